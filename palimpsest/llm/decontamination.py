@@ -105,6 +105,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadca
     )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+    """The rows of ``docs``, all columns, without a hit; a doc_id with a hit goes with all its rows."""
+    hit = contamination(docs.where(F.col("doc_id").isNotNull()), benchmark, size).where("contaminated").select("doc_id")
+    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("hit_spans")
 

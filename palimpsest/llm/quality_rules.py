@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.quality import base_counts, labelled, slices, word_hashes
+from palimpsest.llm.quality import base_counts, labelled, repeat_words, slices, word_hashes
 from palimpsest.llm.shared import read_table
 
 BITS = 18
@@ -173,5 +173,25 @@ def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = KEEP_FROM
     return texts.mapInArrow(_scorer(model, threshold), OUT)
 
 
+def _filter(model, threshold: float):
+    def keep(batches):
+        m = model.value
+        for b in batches:
+            verdict: list[bool] = []
+            for raws in slices([t or "" for t in b.column("text").to_pylist()]):
+                words = [r.split() for r in raws]
+                failed = [len(w) < 50 or 100 * repeat_words(w) > 50 * len(w) for w in words]
+                verdict += (~np.array(failed) & (m.probability(raws) >= threshold)).tolist()
+            yield b.filter(pa.array(verdict, pa.bool_()))
+
+    return keep
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = KEEP_FROM, most: int = 1500) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``apply_rules`` keeps."""
+    model = docs.sparkSession.sparkContext.broadcast(fit_rules(docs, labels, most))
+    return docs.mapInArrow(_filter(model, threshold), docs.schema)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))

@@ -215,5 +215,16 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataF
     return marked.join(placed, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose doc_id is the least of its group.
+
+    Rows equal in doc_id and text count as one; rows without a doc_id stay.
+    """
+    groups = near_duplicates(docs.where(F.col("doc_id").isNotNull()), radius, shingle)
+    keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
