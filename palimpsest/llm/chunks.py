@@ -19,11 +19,32 @@ import hashlib
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
 _SPACED_UNSAFE = re.compile(r"[ \n](?:\s|\Z)")
 
+# Words of Latin-1 letters, which both kinds of tokenizer take as they are (lower case only, where
+# the normaliser lower-cases), and a run of marks after them: one piece each, whatever stands around.
+_MARKS = "([.,!?;:#$%&*|]*)"
+_PIECES = {"words": re.compile("([a-zß-öø-ÿ]+)" + _MARKS).fullmatch, "spaced": re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)" + _MARKS).fullmatch}
+
+# The byte-level alphabet: visible Latin-1 characters stand for their byte, the others for 256 onwards.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_ALPHABET = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+
+
+def _latin(text: str) -> bool:
+    """All characters below 256, where lower() and composition go character by character."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
 
 def file_digest(path: str) -> str:
     with open(path, "rb") as f:
@@ -50,13 +71,27 @@ def chunk_mode(path: str) -> str:
     return "whole"
 
 
+class _Memo(dict):
+    """ids of chunks; a chunk it lacks comes from the generation before or is encoded now."""
+
+    def __init__(self, fresh, older: dict[str, bytes]):
+        super().__init__({"": b""})
+        self.fresh, self.older = fresh, older
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.fresh(chunk)
+        self[chunk] = ids
+        return ids
+
+
 class Encoder:
     """ids of whole texts.  The memo has two generations of ``most`` chunks; a full one takes the older's place."""
 
-    def __init__(self, path: str, most: int = 500_000, most_chars: int = 2_000_000):
+    def __init__(self, path: str, most: int = 700_000, most_chars: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.mode, self.most, self.most_chars, self.memo = chunk_mode(path), most, most_chars, {}
-        self.older: dict[str, bytes] = {}
+        self.mode, self.most, self.most_chars = chunk_mode(path), most, most_chars
         if path.endswith(".model"):
             import sentencepiece
 
@@ -68,50 +103,20 @@ class Encoder:
 
             self.model = Tokenizer.from_file(path)
             self._whole = lambda texts: [e.ids for e in self.model.encode_batch(texts, add_special_tokens=False)]
+            self._piece = self.model.model.tokenize
             size = self.model.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-
-    def _put(self, keys: list[str]) -> None:
-        """Encode chunks the memo lacks, many to a call; chunks with a special token's opening go alone."""
-        memo = self.memo
-        odd = [k for k in keys if "<" in k]
-        plain = [k for k in keys if "<" not in k]
-        for k, ids in zip(odd, self._whole(odd) if odd else ()):
-            memo[k] = np.array(ids, self.dtype).tobytes()
-        for lo in range(0, len(plain), 512):
-            part = plain[lo : lo + 512]
-            e = self.model.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(e.ids, self.dtype).tobytes()
-            of = np.array(e.word_ids, np.int64)
-            ends = np.searchsorted(of, np.arange(len(part)), side="right") * self.dtype.itemsize
-            at = 0
-            for k, end in zip(part, ends.tolist()):
-                memo[k] = ids[at:end]
-                at = end
-
-    def _know(self, found: set[str]) -> None:
-        if len(self.memo) > self.most:
-            self.older, self.memo = self.memo, {}
-        memo, older = self.memo, self.older
-        missing = found.difference(memo)
-        if older:
-            known = missing.intersection(older)
-            memo.update((w, older[w]) for w in known)
-            missing -= known
-        if not missing:
-            return
-        cut, need = [], set()
-        for w in missing:
-            # a letter and a final stop or comma are always two pieces
-            if len(w) > 2 and w[-1] in ".," and w[-2].isascii() and w[-2].isalpha():
-                cut.append(w)
-                need.add(w[:-1])
-                need.add(w[-1])
-            else:
-                need.add(w)
-        self._put(list(need.difference(memo)))
-        for w in cut:
-            memo[w] = memo[w[:-1]] + memo[w[-1]]
+        self._pieces = _PIECES.get(self.mode)
+        self.memo = _Memo(self._chunk, {})
+
+    def _chunk(self, chunk: str) -> bytes:
+        if found := self._pieces(chunk):
+            word, marks = found.groups()
+            if marks:
+                return self.memo[word] + self.memo[marks]
+            byte_level = chunk.replace(" ", "Ġ") if chunk.isascii() else chunk.encode().decode("latin-1").translate(_ALPHABET)
+            return array(self.dtype.char, [t.id for t in self._piece(byte_level)]).tobytes()
+        return array(self.dtype.char, self.model.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers of ``dtype``."""
@@ -127,29 +132,22 @@ class Encoder:
         return out
 
     def _some(self, texts: list[str]) -> list[bytes]:
+        if self.mode == "whole":
+            return [np.array(i, self.dtype).tobytes() for i in self._whole(texts)]
+        if len(self.memo) > self.most:
+            self.memo.older = {}
+            self.memo = _Memo(self._chunk, self.memo)
+        get = self.memo.__getitem__
         if self.mode == "words":
-            lists = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts]
-            found = set()
-            for ws in lists:
-                found.update(ws)
-            found.discard("")
-            self._know(found)
-            self.memo[""] = b""
-            get = self.memo.__getitem__
-            return [b"".join(map(get, ws)) for ws in lists]
-        if self.mode == "spaced":
-            # "\x00" parts the chunks; each keeps the space before it, and a line feed is its own
-            lists = [None if "\x00" in t or _SPACED_UNSAFE.search(t) else t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") for t in texts]
-            found = set()
-            for ws in lists:
-                found.update(ws or ())
-            found.discard("")
-            self._know(found)
-            self.memo[""] = b""
-            get = self.memo.__getitem__
-            whole = iter(self._whole([t for t, ws in zip(texts, lists) if ws is None]))
-            return [np.array(next(whole), self.dtype).tobytes() if ws is None else b"".join(map(get, ws)) for ws in lists]
-        return [np.array(i, self.dtype).tobytes() for i in self._whole(texts)]
+            return [b"".join(map(get, (t.lower() if "<|" not in t and _latin(t) else t).replace("\n", " ").split(" "))) for t in texts]
+        out = []
+        for t in texts:
+            if "\x00" in t or _SPACED_UNSAFE.search(t):
+                out.append(np.array(self._whole([t])[0], self.dtype).tobytes())
+            else:
+                # "\x00" parts the chunks; each keeps the space before it, and a line feed is its own
+                out.append(b"".join(map(get, t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00"))))
+        return out
 
 
 @functools.lru_cache(maxsize=2)
