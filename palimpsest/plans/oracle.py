@@ -31,7 +31,7 @@ COPIES = f"""{TURNS}, copies AS (
 
 USAGE = """usage AS (
   SELECT event_id AS seq, user_id, (event_id // 4) % 3 AS conversation_id, CAST(floor(abs(value) * 10) AS BIGINT) AS input_tokens,
-         CAST(floor(abs(value) * 3) AS BIGINT) AS output_tokens, epoch_ms(ts) AS ts_ms
+         CAST(floor(abs(value) * 3) AS BIGINT) AS output_tokens, (epoch_us(ts) // 1000) AS ts_ms
   FROM events)"""
 
 INDEX = f"""{TURNS}, tokens AS (
@@ -260,7 +260,7 @@ SELECT '<retrieved_context>' || chr(10) || string_agg(line, chr(10) ORDER BY ran
     "window_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)
 ), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, s""",
     "grouping_sets": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, CAST(grouping(l_returnflag, l_linestatus) AS BIGINT) AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
-    "as_of_join": """WITH e AS (SELECT *, epoch_ms(ts) * 100000 + event_id AS at FROM events)
+    "as_of_join": """WITH e AS (SELECT *, (epoch_us(ts) // 1000) * 100000 + event_id AS at FROM events)
 SELECT l.event_id, r.value AS seen FROM (SELECT * FROM e WHERE event_type = 'click') l ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'view') r ON l.user_id = r.user_id AND l.at >= r.at""",
 }
 
