@@ -41,13 +41,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared place through Spark's own file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def filesystem(path: str):
     """(pyarrow file system, path in it) of a shared path, for code on executors."""
     from pyarrow import fs
@@ -69,6 +62,14 @@ def write_bytes(path: str, chunks) -> None:
     files.move(own, at)
 
 
-def sized_partitions(spark: SparkSession, total_bytes: int, target: int) -> int:
-    """At least the session's shuffle partitions, and enough that each holds `target` bytes."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // target))
+def give_back() -> None:
+    """Return freed memory to the system; workers live on between tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass

@@ -24,7 +24,10 @@ the same place, and the windows of an anchor are consecutive.  The steps:
 5. Each chunk reads its marks, and windows of all but the least document of an entry join them.
 
 Equal windows of one chunk are one entry however many documents hold them, so a passage in a
-third of all documents gives one entry for each chunk.  Chunks are told by scan partition and
+third of all documents gives one entry for each chunk.  Where such a passage ends, though, one
+anchor has as many different continuations as there are documents.  Strings of 20 bytes with over
+``HOT`` entries in all therefore give an entry for each single window, whose exchange bucket comes
+from all of its bytes, so that no bucket grows with them.  Chunks are told by scan partition and
 place in it; a checksum over rows stops the run if a later scan should deal rows differently.
 
 Null and empty texts lose nothing; null doc_ids count as greater than all others; rows with one
@@ -43,12 +46,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import filesystem, read_table, shared_path
+from palimpsest.llm.shared import filesystem, give_back, read_table, shared_path
 
 K = 20
 PLACE_BITS = 28
-CHUNK_BYTES = 24 << 20
-SLICE_BYTES = 1 << 20
+CHUNK_BYTES = 8 << 20
+SLICE_BYTES = 1 << 17
+BUCKET_ENTRIES = 64_000
+FREQUENT, HOT = 8, 2_000
 LAST = np.iinfo(np.int64).max
 
 
@@ -91,12 +96,18 @@ class Chunk:
         self.ends = np.cumsum([len(r) for r in self.raws], dtype=np.int64)
         self.starts = self.ends - np.array([len(r) for r in self.raws], np.int64)
         self.bytes = np.frombuffer(b"".join(self.raws), np.uint8)
+        before = size - K
+        self.padded = np.concatenate([np.zeros(before, np.uint8), self.bytes, np.zeros(size, np.uint8)])
+        self.bytes = self.padded[before : before + len(self.bytes)]
         self._anchors()
 
     @property
     def check(self) -> int:
         return zlib.crc32(self.ends.tobytes(), zlib.crc32(self.docs.tobytes()))
 
+    def code_at(self, place: np.ndarray) -> np.ndarray:
+        return self.code[np.searchsorted(self.place, place)]
+
     def _anchors(self) -> None:
         found = [(np.zeros(0, np.int64),) * 5]
         lo = 0
@@ -138,73 +149,124 @@ class Chunk:
         doc = np.searchsorted(ends, place, side="right")
         return place + base, at[begin] + base, at[end] + base, doc + lo, (h[place] >> np.uint64(16)).astype(np.int64)
 
-    def codes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct codes in order, and whether each is in two documents of this chunk."""
+    def codes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct codes in order, whether each is in two documents of this chunk, and its number of entries here."""
         order = np.lexsort((self.doc, self.code))
         code, doc = self.code[order], self.docs[self.doc[order]]
         new = np.concatenate([[True], code[1:] != code[:-1]]) if len(code) else np.zeros(0, bool)
         begin = np.flatnonzero(new)
         if not len(begin):
-            return code, new
-        return code[begin], np.maximum.reduceat(doc, begin) != np.minimum.reduceat(doc, begin)
-
-    def entries(self, wanted: np.ndarray) -> "Entries":
-        """Entries of the anchors whose codes are in ``wanted``, a sorted array."""
-        at = np.searchsorted(wanted, self.code)
-        keep = np.zeros(len(self.code), bool)
-        if len(wanted):
-            keep = wanted[np.minimum(at, len(wanted) - 1)] == self.code
-        return Entries(self, np.flatnonzero(keep))
+            return code, new, np.zeros(0, np.int64)
+        n = np.diff(np.concatenate([begin, [len(code)]]))
+        # copies of a text are one entry: where a code is frequent, entries are counted and not anchors
+        many = np.flatnonzero(n > FREQUENT)
+        if len(many):
+            own = order[np.repeat(n > FREQUENT, n)]
+            e = Entries(self, self.place[own], self.first[own], self.last[own], self.doc[own])
+            found, counts = np.unique(self.code[own[e.of]], return_counts=True)
+            n[np.searchsorted(code[begin], found)] = counts
+        return code[begin], np.maximum.reduceat(doc, begin) != np.minimum.reduceat(doc, begin), n
+
+    def entries(self, wanted: np.ndarray, hot: np.ndarray) -> "Entries":
+        """Entries of the anchors whose codes are in ``wanted``, a sorted array; ``hot`` marks codes that go by single windows."""
+        if not len(wanted) or not len(self.code):
+            none = np.zeros(0, np.int64)
+            return Entries(self, none, none, none, none)
+        at = np.minimum(np.searchsorted(wanted, self.code), len(wanted) - 1)
+        found = wanted[at] == self.code
+        own, single = np.flatnonzero(found & ~hot[at]), np.flatnonzero(found & hot[at])
+        n = self.last[single] - self.first[single] + 1
+        window = np.repeat(self.first[single] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n, n) + np.arange(n.sum())
+        join = lambda a, b: np.concatenate([a[own], b])
+        return Entries(self, join(self.place, window), join(self.first, window), join(self.last, window), join(self.doc, np.repeat(self.doc[single], n)), len(own))
 
 
 class Entries:
-    """Distinct entries of a chunk in sorted order, as rows of fixed width.
+    """Distinct entries of a chunk, as rows of fixed width.
 
-    text: (n, size + before + 2) bytes: the suffix, the reversed bytes before, then the least and
-    largest o of the windows.  own: the anchors, entry: the entry of each; least: doc_id of each entry.
+    place, first, last, doc: of each anchor, or of each single window after ``anchors`` of those.
+    A row has size + before + 2 bytes: the suffix, the reversed bytes before, then the least and
+    largest o of the windows.  entry: the entry of each; of, least: a row and the least doc_id of
+    each entry.  Rows are made some at a time and not kept.
     """
 
-    def __init__(self, chunk: Chunk, own: np.ndarray):
-        size, before = chunk.size, chunk.size - K
-        self.own = own
-        place, near, far = chunk.place[own], chunk.place[own] - chunk.last[own], chunk.place[own] - chunk.first[own]
-        n = len(own)
-        text = np.zeros((n, size + before + 2), np.uint8)
-        if n:
-            padded = np.concatenate([np.zeros(before, np.uint8), chunk.bytes, np.zeros(size, np.uint8)])
-            views = np.lib.stride_tricks.sliding_window_view(padded, size + before)[place]
-            text[:, :size] = views[:, before:]
-            text[:, size : size + before] = views[:, before - 1 :: -1] if before else views[:, :0]
-            text[:, :size][np.arange(size)[None, :] >= (size - near)[:, None]] = 0
-            text[:, size : size + before][np.arange(before)[None, :] >= far[:, None]] = 0
-            text[:, -2], text[:, -1] = near, far
-        order, new = sorted_rows(text)
+    def __init__(self, chunk: Chunk, place, first, last, doc, anchors: int | None = None):
+        self.chunk, self.place, self.first, self.last, self.doc = chunk, place, first, last, doc
+        self.anchors, n = len(place) if anchors is None else anchors, len(place)
+        # equal rows by two hashes of them; an entry's number is its rank by hash, and ``ordered`` sorts
+        h1, h2 = np.empty(n, np.uint64), np.empty(n, np.uint64)
+        for lo in range(0, n, BLOCK):
+            words = _words(self.rows(np.arange(lo, min(n, lo + BLOCK))))
+            with np.errstate(over="ignore"):
+                h1[lo : lo + BLOCK], h2[lo : lo + BLOCK] = words @ _FACTORS[0][: words.shape[1]], words @ _FACTORS[1][: words.shape[1]]
+        h1 ^= h1 >> np.uint64(31)
+        order = np.lexsort((h2, h1))
+        h1, h2 = h1[order], h2[order]
+        new = np.ones(n, bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         begin = np.flatnonzero(new)
         self.entry = np.empty(n, np.int64)
         self.entry[order] = np.cumsum(new) - 1
-        self.text = text[order[begin]]
-        self.code = chunk.code[own][order[begin]]
-        docs = chunk.docs[chunk.doc[own]]
+        self.of, self.hash = order[begin], h1[begin]
+        docs = chunk.docs[doc]
         self.least = np.minimum.reduceat(docs[order], begin) if n else docs
 
-
-def sorted_rows(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of byte rows, and which of them, in that order, differ from the one before."""
-    n, width = text.shape
-    wide = np.zeros((n, -(-width // 8) * 8), np.uint8)
-    wide[:, :width] = text
-    words = wide.view(">u8").astype(np.uint64)
-    order = np.lexsort([words[:, i] for i in range(words.shape[1] - 1, -1, -1)])
-    ranked = words[order]
-    new = np.ones(n, bool)
-    new[1:] = (ranked[1:] != ranked[:-1]).any(1)
-    return order, new
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        size, before = self.chunk.size, self.chunk.size - K
+        place, near, far = self.place[at], (self.place - self.last)[at], (self.place - self.first)[at]
+        text = np.zeros((len(at), size + before + 2), np.uint8)
+        if len(at):
+            views = np.lib.stride_tricks.sliding_window_view(self.chunk.padded, size + before)[place]
+            text[:, :size] = views[:, before:]
+            text[:, size : size + before] = views[:, before - 1 :: -1]
+            text[:, :size][np.arange(size)[None, :] >= (size - near)[:, None]] = 0
+            text[:, size : size + before][np.arange(before)[None, :] >= far[:, None]] = 0
+            text[:, -2], text[:, -1] = near, far
+        return text
+
+    def ordered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers, rows and exchange codes of the entries, by rows in order."""
+        n = len(self.of)
+        text = np.empty((n, 2 * self.chunk.size - K + 2), np.uint8)
+        for lo in range(0, n, BLOCK):
+            text[lo : lo + BLOCK] = self.rows(self.of[lo : lo + BLOCK])
+        order = sorted_rows(text)
+        with np.errstate(over="ignore"):
+            code = (self.hash * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16)).astype(np.int64)
+        anchors = np.flatnonzero(self.of < self.anchors)
+        code[anchors] = self.chunk.code_at(self.place[self.of[anchors]])
+        return order, text[order], code[order]
+
+
+BLOCK = 1 << 16
+_FACTORS = np.random.default_rng(3).integers(1, 1 << 63, (2, 64), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _words(text: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(text), -(-text.shape[1] // 8) * 8), np.uint8)
+    wide[:, : text.shape[1]] = text
+    return wide.view(">u8").astype(np.uint64)
+
+
+def sorted_rows(text: np.ndarray) -> np.ndarray:
+    """Order of byte rows: by their first 24 bytes, and the few that agree in them by the rest."""
+    words = _words(text[:, :24])
+    order = np.lexsort([words[:, i] for i in (2, 1, 0)])
+    head = words[order]
+    same = np.zeros(len(order) + 1, bool)
+    same[1:-1] = (head[1:] == head[:-1]).all(1)
+    tied = np.flatnonzero(same[1:] | same[:-1])
+    if len(tied):
+        group = np.cumsum(~same[:-1])[tied]
+        rest = _words(text[order[tied], 24:])
+        order[tied] = order[tied[np.lexsort([rest[:, i] for i in range(rest.shape[1] - 1, -1, -1)] + [group])]]
+    return order
 
 
 def chunks(batches, size: int):
     """(chunk number in this scan partition, its record batches, Chunk), by bytes and not by batch."""
     number, held, ids, texts, total = 0, [], [], [], 0
-    for b in batches:
+    for b in (b.slice(at, 1000) for b in batches for at in range(0, len(b), 1000)):
         of, ts, lo = b.column("doc_id").to_pylist(), b.column("text").to_pylist(), 0
         for i, t in enumerate(ts):
             ids.append(of[i])
@@ -213,29 +275,33 @@ def chunks(batches, size: int):
             if total >= CHUNK_BYTES:
                 held.append(b.slice(lo, i + 1 - lo))
                 yield number, held, Chunk(ids, texts, size)
+                give_back()
                 number, held, ids, texts, total, lo = number + 1, [], [], [], 0, i + 1
         if lo < len(ts):
             held.append(b.slice(lo))
     if ids:
         yield number, held, Chunk(ids, texts, size)
+    del held, ids, texts
+    give_back()
 
 
 # ---------------------------------------------------------------- codes in two documents
 
 
-def pack_codes(codes: np.ndarray, twice: np.ndarray) -> bytes:
-    """Sorted 48-bit codes as differences of 4 bytes where all fit, and a bit for each."""
+def pack_codes(codes: np.ndarray, bits: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted 48-bit codes as differences of 4 bytes where all fit, with a bit and a count up to 65,535 for each."""
     gaps = np.diff(codes, prepend=codes[:1])
     narrow = not len(gaps) or int(gaps.max()) < 1 << 32
     head = np.array([len(codes), int(codes[0]) if len(codes) else 0, narrow], "<i8")
-    return head.tobytes() + gaps.astype("<u4" if narrow else "<i8").tobytes() + np.packbits(twice).tobytes()
+    return head.tobytes() + gaps.astype("<u4" if narrow else "<i8").tobytes() + np.minimum(counts, 65_535).astype("<u2").tobytes() + np.packbits(bits).tobytes()
 
 
-def unpack_codes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack_codes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, first, narrow = np.frombuffer(blob, "<i8", 3).tolist()
     gaps = np.frombuffer(blob, "<u4" if narrow else "<i8", n, 24).astype(np.int64)
-    bits = np.frombuffer(blob, np.uint8, -1, 24 + n * (4 if narrow else 8))
-    return np.cumsum(gaps) + first, np.unpackbits(bits, count=n).astype(bool)
+    at = 24 + n * (4 if narrow else 8)
+    counts = np.frombuffer(blob, "<u2", n, at).astype(np.int64)
+    return np.cumsum(gaps) + first, np.unpackbits(np.frombuffer(blob, np.uint8, -1, at + 2 * n), count=n).astype(bool), counts
 
 
 def _bounds(codes: np.ndarray, buckets: int) -> np.ndarray:
@@ -248,10 +314,10 @@ def _list_codes(size: int, buckets: int):
     def run(batches):
         part = TaskContext.get().partitionId()
         for number, _, c in chunks(batches, size):
-            codes, twice = c.codes()
+            codes, twice, counts = c.codes()
             cut = _bounds(codes, buckets)
             full = np.flatnonzero(np.diff(cut))
-            blobs = [pack_codes(codes[cut[i] : cut[i + 1]], twice[cut[i] : cut[i + 1]]) for i in full]
+            blobs = [pack_codes(codes[cut[i] : cut[i + 1]], twice[cut[i] : cut[i + 1]], counts[cut[i] : cut[i + 1]]) for i in full]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), part, np.int32)), pa.array(np.full(len(full), number, np.int32)), pa.array(np.full(len(full), c.check)), pa.array(blobs, pa.binary())],
                 ["bucket", "part", "chunk", "crc", "blob"],
@@ -261,15 +327,20 @@ def _list_codes(size: int, buckets: int):
 
 
 def _find_common(key, table):
+    give_back()
     lists = [unpack_codes(b) for b in table.column("blob").to_pylist()]
-    every = np.concatenate([c for c, _ in lists])
-    values, counts = np.unique(every, return_counts=True)
-    common = np.unique(np.concatenate([values[counts > 1], *(c[t] for c, t in lists)]))
-    kept = [c[np.isin(c, common, assume_unique=True)] for c, _ in lists]
-    blobs = [pack_codes(k, np.zeros(len(k), bool)) for k in kept]
-    return pa.table(
-        {"part": table.column("part"), "chunk": table.column("chunk"), "crc": table.column("crc"), "n": pa.array([len(k) for k in kept], pa.int64()), "blob": pa.array(blobs, pa.binary())}
-    )
+    values, back, times = np.unique(np.concatenate([c for c, _, _ in lists]), return_inverse=True, return_counts=True)
+    entries = np.bincount(back, np.concatenate([n for _, _, n in lists]), len(values))
+    wanted = times > 1
+    wanted[back[np.concatenate([t for _, t, _ in lists])]] = True
+    common, entries = values[wanted], entries[wanted]
+    blobs, sizes = [], []
+    for c, _, n in lists:
+        at = np.searchsorted(common, c)
+        at = at[(at < len(common)) & (common[np.minimum(at, len(common) - 1)] == c)] if len(common) else at[:0]
+        blobs.append(pack_codes(common[at], entries[at] > HOT, np.ones(len(at))))
+        sizes.append(len(at))
+    return pa.table({"part": table.column("part"), "chunk": table.column("chunk"), "crc": table.column("crc"), "n": pa.array(sizes, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
 
 # ---------------------------------------------------------------- side tables by scan partition
@@ -297,10 +368,14 @@ def _side(path: str, part: int) -> dict[int, list[dict]]:
     return out
 
 
-def _wanted(rows: list[dict], c: Chunk) -> np.ndarray:
+def _wanted(rows: list[dict], c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted codes that a chunk shares, and which of them are hot."""
     if any(r["crc"] != c.check for r in rows):
         raise RuntimeError("documents came in another order than before; store the table first")
-    return np.sort(np.concatenate([np.zeros(0, np.int64), *(unpack_codes(r["blob"])[0] for r in rows)]))
+    lists = [unpack_codes(r["blob"]) for r in rows]
+    codes, hot = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in lists)]), np.concatenate([np.zeros(0, bool), *(x[1] for x in lists)])
+    order = np.argsort(codes)
+    return codes[order], hot[order]
 
 
 # ---------------------------------------------------------------- sorted runs
@@ -399,15 +474,15 @@ def _list_runs(size: int, buckets: int, side: str):
         part = TaskContext.get().partitionId()
         codes = _side(side, part)
         for number, _, c in chunks(batches, size):
-            e = c.entries(_wanted(codes.get(number, []), c))
-            bucket = np.array([(i << 48) // buckets for i in range(1, buckets)], np.int64)
-            bucket = np.searchsorted(bucket, e.code, side="right")
+            e = c.entries(*_wanted(codes.get(number, []), c))
+            number_of, text, code = e.ordered()
+            bucket = np.searchsorted(np.array([(i << 48) // buckets for i in range(1, buckets)], np.int64), code, side="right")
             rows: list[tuple] = []
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for i in np.flatnonzero(np.diff(cut)):
                 of = order[cut[i] : cut[i + 1]]
-                rows.append((int(i), part, number, c.check, of.astype("<u4").tobytes(), e.least[of].astype("<i8").tobytes(), front_code(e.text[of])))
+                rows.append((int(i), part, number, c.check, number_of[of].astype("<u4").tobytes(), e.least[number_of[of]].astype("<i8").tobytes(), front_code(text[of])))
             names = ["bucket", "part", "chunk", "crc", "entries", "least", "run"]
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 7, kinds)], names)
@@ -418,6 +493,7 @@ def _list_runs(size: int, buckets: int, side: str):
 def marks(text: np.ndarray, shared: np.ndarray, least: np.ndarray, size: int) -> np.ndarray:
     """For sorted entries: bit o is set if the window o bytes before the anchor is in a smaller document."""
     n, before = len(text), size - K
+    least = np.asarray(least)
     bits = np.zeros(n, np.uint64)
     near, far = text[:, -2].astype(np.int64), text[:, -1].astype(np.int64)
     following = np.concatenate([shared[1:], [0]])
@@ -431,10 +507,11 @@ def marks(text: np.ndarray, shared: np.ndarray, least: np.ndarray, size: int) ->
         at = np.flatnonzero((near <= o) & (o <= far) & (longest >= size - o))
         if len(at) < 2:
             continue
-        stretch = np.cumsum(shared < size - o)[at]
-        order = np.lexsort((left[at], stretch))
-        at, stretch = at[order], stretch[order]
-        new = np.concatenate([[True], (stretch[1:] != stretch[:-1]) | (left[at][1:] != left[at][:-1])])
+        with np.errstate(over="ignore"):
+            key = (left + np.cumsum(shared < size - o).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))[at] * np.uint64(0x9E3779B97F4A7C15)
+        order = np.argsort(key)
+        at, key = at[order], key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
         group = np.cumsum(new) - 1
         first = np.minimum.reduceat(least[at], np.flatnonzero(new))
         bits[at[first[group] < least[at]]] |= np.uint64(1 << o)
@@ -443,6 +520,7 @@ def marks(text: np.ndarray, shared: np.ndarray, least: np.ndarray, size: int) ->
 
 def _merge(size: int):
     def run(key, table):
+        give_back()
         rows = sorted(table.to_pylist(), key=lambda r: (r["part"], r["chunk"]))
         width = 2 * size - K + 2
         text, shared, of = bytearray(), [], []
@@ -476,17 +554,31 @@ def covered(c: Chunk, e: Entries, rows: list[dict]) -> np.ndarray:
     bits = np.zeros(len(e.least), np.uint64)
     for r in rows:
         bits[np.frombuffer(r["entries"], "<u4")] |= np.frombuffer(r["bits"], "<u8")
-    starts = np.zeros(len(c.bytes) + 1, np.int32)
-    later = c.docs[c.doc[e.own]] > e.least[e.entry]
-    np.add.at(starts, c.first[e.own[later]], 1)
-    np.add.at(starts, c.last[e.own[later]] + 1, -1)
-    hit = np.cumsum(starts[:-1]) > 0
-    rest, own = e.own[~later], bits[e.entry[~later]]
+    edges = np.zeros(len(c.bytes) + 1, np.int32)
+    later = c.docs[e.doc] > e.least[e.entry]
+    np.add.at(edges, e.first[later], 1)
+    np.add.at(edges, e.last[later] + 1, -1)
+    hit = np.cumsum(edges[:-1], dtype=np.int32) > 0
+    rest, own = e.place[~later], bits[e.entry[~later]]
     for o in range(c.size - K + 1):
         some = rest[(own >> np.uint64(o) & np.uint64(1)).astype(bool)]
-        hit[c.place[some] - o] = True
-    total = np.concatenate([np.zeros(c.size, np.int64), np.cumsum(hit)])
-    return total[c.size :] > total[: len(hit)]
+        hit[some - o] = True
+    # a window reaches size - 1 bytes on; the windows of a document end in it
+    gone, reach = hit, 1
+    while reach < c.size:
+        step = min(reach, c.size - reach)
+        wider = gone.copy()
+        wider[step:] |= gone[:-step]
+        gone, reach = wider, reach + step
+    return gone
+
+
+def by_document(c: Chunk, flags: np.ndarray) -> np.ndarray:
+    """Number of set flags, one for each byte, of each document."""
+    n, full = np.zeros(len(c.ends), np.int64), c.ends > c.starts
+    if full.any():
+        n[full] = np.add.reduceat(flags.view(np.uint8), c.starts[full], dtype=np.int64)
+    return n
 
 
 def _finish(size: int, codes_path: str, marks_path: str, texts: bool):
@@ -494,28 +586,26 @@ def _finish(size: int, codes_path: str, marks_path: str, texts: bool):
         part = TaskContext.get().partitionId()
         codes, found = _side(codes_path, part), _side(marks_path, part)
         for number, held, c in chunks(batches, size):
-            e = c.entries(_wanted(codes.get(number, []), c))
+            e = c.entries(*_wanted(codes.get(number, []), c))
             gone = covered(c, e, found.get(number, []))
-            total = np.concatenate([[0], np.cumsum(gone)])
-            removed = total[c.ends] - total[c.starts]
+            removed = by_document(c, gone)
             kept = [r if not n else r_of(c, gone, i) for i, (r, n) in enumerate(zip(c.raws, removed.tolist()))]
             if texts:
                 table = pa.Table.from_batches(held)
                 new = pa.array([None if t is None and not n else k.decode("utf-8", "ignore") for t, n, k in zip(table.column("text").to_pylist(), removed.tolist(), kept)], pa.string())
                 yield from table.set_column(table.schema.get_field_index("text"), "text", new).combine_chunks().to_batches()
                 continue
-            edge = gone & ~np.concatenate([[False], gone[:-1]]) if len(gone) else gone
-            begins = c.starts[(c.ends > c.starts)]
-            if len(gone):
-                edge[begins] = gone[begins]
-            edges = np.concatenate([[0], np.cumsum(edge)])
-            spans = edges[c.ends] - edges[c.starts]
+            edge = gone.copy()
+            edge[1:] &= ~gone[:-1]
+            begins = c.starts[c.ends > c.starts]
+            edge[begins] = gone[begins]
+            spans = by_document(c, edge)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.concat_arrays([b.column("doc_id") for b in held]),
                     pa.array(c.ends - c.starts),
-                    pa.array(removed.astype(np.int64)),
-                    pa.array(spans.astype(np.int64)),
+                    pa.array(removed),
+                    pa.array(spans),
                     pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
                 ],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
@@ -535,14 +625,16 @@ def _found(docs: DataFrame, size: int) -> tuple[str, str]:
     # all scans must deal rows alike, however many executors there are by then
     if spark.conf.get("spark.sql.files.minPartitionNum", None) in (None, ""):
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    # small Arrow batches: executors hold a batch of whole texts several times over
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(2000, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
     rows = docs.select("doc_id", "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-total // (24 << 20)))
+    buckets = max(1, -(-total // (12 << 20)))
     listed = rows.mapInArrow(_list_codes(size, buckets), "bucket int, part int, chunk int, crc long, blob binary")
     common = listed.groupBy("bucket").applyInArrow(_find_common, "part int, chunk int, crc long, n long, blob binary")
     codes = _by_part(common, "codes")
-    n = spark.read.parquet(codes).agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, -(-n // 250_000))
+    n = spark.read.schema("part int, n long").parquet(codes).agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, -(-n // BUCKET_ENTRIES))
     runs = rows.mapInArrow(_list_runs(size, buckets, codes), "bucket int, part int, chunk int, crc long, entries binary, least binary, run binary")
     found = runs.groupBy("bucket").applyInArrow(_merge(size), "part int, chunk int, crc long, entries binary, bits binary")
     return codes, _by_part(found, "marks")
