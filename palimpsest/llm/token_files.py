@@ -4,12 +4,12 @@ A store is a folder.  Part p, in ascending doc_id order over all parts, has thre
 
 * ``ids-p.bin``      ids as flat little-endian unsigned integers, 16 bits wide if all ids fit, else 32
 * ``offsets-p.bin``  n + 1 unsigned 64-bit offsets into them, from 0
-* ``docs-p.bin``     n signed 64-bit doc_ids
+* ``docs-p.bin``     n signed 64-bit doc_ids; null is the least number there is
 
 ``parts`` (Parquet) lists part, documents, ids and ``base``, the ids of all earlier parts, from
 a prefix sum.  Readers map the files into memory where the file system is local.
 
-Null text is empty; every document has its end id.  Repeated rows are stored once each; further
+Null text is empty, a null doc_id comes first; every document has its end id.  Repeated rows are stored once each; further
 columns are ignored; an empty table gives a store without parts.
 """
 
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.chunks import encoder
 from palimpsest.llm.shared import filesystem, read_table, shared_path, write_bytes
 
+NULL = -(1 << 63)
+PARTS = "part int, n_docs long, n_ids long, width int, base long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -46,7 +48,7 @@ def _writer(path: str, end_id: int, folder: str):
                     raw = e.encode(texts[lo : lo + 500])
                     if dtype != e.dtype:
                         raw = [np.frombuffer(x, e.dtype).astype(dtype).tobytes() for x in raw]
-                    docs.append(np.array(of[lo : lo + 500], "<i8"))
+                    docs.append(np.array([NULL if d is None else d for d in of[lo : lo + 500]], "<i8"))
                     sizes.append(np.array([len(x) // dtype.itemsize + 1 for x in raw], "<u8"))
                     found = True
                     yield end.join([*raw, b""])
@@ -71,8 +73,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str)
     for r in found:
         rows.append((*r, base))
         base += r["n_ids"]
-    schema = "part int, n_docs long, n_ids long, width int, base long"
-    docs.sparkSession.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{folder}/parts")
+    docs.sparkSession.createDataFrame(rows, PARTS).coalesce(1).write.mode("overwrite").parquet(f"{folder}/parts")
 
 
 def mapped(path: str, dtype):
@@ -94,8 +95,9 @@ def _reader(folder: str):
                 for lo in range(0, len(docs), 10_000):
                     at = offsets[lo : lo + 10_001].astype(np.int64)
                     crcs = [zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+                    some = docs[lo : lo + 10_000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(docs[lo : lo + 10_000]), pa.array(at[:-1] + r["base"]), pa.array(np.diff(at)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
+                        [pa.array(some, mask=some == NULL), pa.array(at[:-1] + r["base"]), pa.array(np.diff(at)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
                     )
 
     return read
@@ -103,7 +105,7 @@ def _reader(folder: str):
 
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from a store's files."""
-    parts = spark.read.parquet(f"{folder}/parts")
+    parts = spark.read.schema(PARTS).parquet(f"{folder}/parts")
     return parts.repartition(F.col("part")).mapInArrow(_reader(folder), ROWS)
 
 
