@@ -123,6 +123,14 @@ def without_context(text: Column, markers=CONTEXT_MARKERS) -> Column:
     return F.trim(text)
 
 
+def has_context(text: Column, markers=CONTEXT_MARKERS) -> Column:
+    """Whether a message carries a block already, so that none is put into it twice."""
+    found = F.lit(False)
+    for begin, _ in markers:
+        found = found | text.contains(begin)
+    return F.coalesce(found, F.lit(False))
+
+
 def last_sentences(text: Column) -> Column:
     """A search query from a message: its last two sentences, 200 characters at most, dashed blocks left out."""
     clean = F.trim(F.regexp_replace(text, "(?s)---.*?---", ""))

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import token_estimate, truncated
 
 
+def key(platform: Column, conversation: Column, otherwise: Column) -> Column:
+    """``platform:conversation``; a turn without one goes by an id of its own, never by the clock."""
+    return F.concat_ws(":", platform, F.coalesce(conversation, F.concat(F.lit("unknown-"), otherwise)))
+
+
+def last_turns(turns: DataFrame, n: int) -> DataFrame:
+    """The last n turns of each conversation."""
+    back = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    return turns.withColumn("_back", back).where(F.col("_back") <= n).drop("_back")
+
+
 def first_by_id(turns: DataFrame) -> DataFrame:
     """Of rows with one id the first to arrive."""
     at = F.row_number().over(Window.partitionBy("id").orderBy("arrival"))

@@ -400,6 +400,66 @@ def export_import(spark, sf_dir):
     return tables.imported(rows, F.col("payload")).select("conv_id", "turn", "id", "platform", "role", "content", "ts_ms")
 
 
+def point_lookup(spark, sf_dir):
+    return tables.point(views.turns(spark, sf_dir), "id", "7-1").select("id", "role", "content")
+
+
+def settings_default(spark, sf_dir):
+    known = views.table(spark, sf_dir, "region").select(F.col("r_name").alias("key"), F.col("r_regionkey").cast("string").alias("value"))
+    return tables.setting(known, "ASIA", "none").unionByName(tables.setting(known, "ATLANTIS", "none"))
+
+
+def composite_key(spark, sf_dir):
+    """Keys of turns whose conversation may be unknown."""
+    t = views.turns(spark, sf_dir).withColumn("conv", F.when(F.col("turn") != 1, F.col("conv_id").cast("string")))
+    return t.select("id", conversation.key(F.col("platform"), F.col("conv"), F.col("id")).alias("key"))
+
+
+def last_turns(spark, sf_dir):
+    return conversation.last_turns(views.turns(spark, sf_dir), 3).select("conv_id", "turn", "role")
+
+
+def extraction_totals(spark, sf_dir):
+    """Facts in all, and those that an earlier fact of the same words makes duplicates, by category."""
+    known = views.facts(spark, sf_dir).withColumn("w", F.array_sort(F.array_distinct(F.filter(F.split(F.lower("content"), r"\s+"), lambda w: F.length(w) > 2))))
+    first = known.groupBy("w").agg(F.min("id").alias("first"))
+    rows = known.join(first, "w")
+    return rows.groupBy("category").agg(F.count_if(F.col("id") == F.col("first")).alias("new"), F.count_if(F.col("id") != F.col("first")).alias("duplicates"))
+
+
+def injection_guard(spark, sf_dir):
+    marked = views.turns(spark, sf_dir).withColumn("content", F.when(F.col("turn") % 3 == 0, F.concat(F.lit("<memory_context>x</memory_context>"), "content")).otherwise(F.col("content")))
+    return marked.where(~text.has_context(F.col("content"))).select("id")
+
+
+def fact_block(spark, sf_dir):
+    """The block of the facts that bear on a message, one row."""
+    known = views.facts(spark, sf_dir)
+    top = retrieval.ranked(retrieval.relevant_facts(known, "that the thing with thtion from ernt and this", AS_OF_MS, 0.2)).join(known, "id")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("- "), "content", F.lit(" ("), "confidence", F.lit(")")).alias("line")))), lambda x: x["line"]), "\n")
+    return top.agg(F.concat(F.lit("<memory_context>\n"), lines, F.lit("\n</memory_context>")).alias("block"))
+
+
+def response_json(spark, sf_dir):
+    """Bodies that are JSON, up to 50,000 characters; others are null."""
+    body = F.when(F.col("page_id") % 2 == 0, F.to_json(F.struct("html"))).otherwise(F.col("html"))
+    return views.table(spark, sf_dir, "pages").select("page_id", F.length(sse.response_body(body)).alias("n"))
+
+
+def reembed_texts(spark, sf_dir):
+    vectors = _vectors(spark, sf_dir).select("id", F.concat(F.lit("text "), "id").alias("text"), F.col("id").alias("created_at"), "vector")
+    return tables.stripped_for_reembedding(vectors)
+
+
+def newest_events(spark, sf_dir):
+    return tables.newest(_events(spark, sf_dir), "event_id", 30).select("event_id", "event_type")
+
+
+def average_latency(spark, sf_dir):
+    """Rounded mean of a measure by kind of event."""
+    return _events(spark, sf_dir).groupBy("event_type").agg(F.floor(F.avg("value") + 0.5).cast("long").alias("ms"), F.count("*").alias("n"))
+
+
 def _events(spark, sf_dir):
     return views.table(spark, sf_dir, "events")
 
@@ -441,6 +501,7 @@ QUERIES = {
         compression_savings, expand_symbols, strip_context, purge_marked, kg_entities, kg_relations, kg_walk, kg_block, kg_stats, kg_top, sse_reassemble, sse_usage, url_match, artifact_extract,
         history_turns, user_message_extract, token_islands, token_cost, memory_health, injection_stats, vector_stats, delta_query, query_extract, extraction_text, to_extract, unsynced_flatten,
         migration_batches, backfill_todo, index_backfill, upsert_latest, delete_keys, ring_buffer, evict_oldest, context_block, export_import, window_tumbling, window_sliding, window_sessions,
-        grouping_sets, as_of_join, approx_distinct,
+        grouping_sets, as_of_join, approx_distinct, point_lookup, settings_default, composite_key, last_turns, extraction_totals, injection_guard, fact_block, response_json, reembed_texts,
+        newest_events, average_latency,
     )
 }

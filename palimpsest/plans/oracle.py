@@ -255,6 +255,17 @@ SELECT id, array_to_string(p[greatest(len(p) - 1, 1):], ' ')[:200] AS query FROM
     || CASE WHEN length(content) > 80 THEN content[:77] || '...' ELSE content END AS line FROM l)
 SELECT '<retrieved_context>' || chr(10) || string_agg(line, chr(10) ORDER BY rank) || chr(10) || '</retrieved_context>' AS block FROM x""",
     "export_import": f"WITH {TURNS} SELECT conv_id, turn, id, platform, role, content, ts_ms FROM turns",
+    "point_lookup": f"WITH {TURNS} SELECT id, role, content FROM turns WHERE id = '7-1'",
+    "settings_default": "SELECT CAST(r_regionkey AS VARCHAR) AS value FROM region WHERE r_name = 'ASIA' UNION ALL SELECT 'none'",
+    "composite_key": f"WITH {TURNS} SELECT id, platform || ':' || CASE WHEN turn = 1 THEN 'unknown-' || id ELSE CAST(conv_id AS VARCHAR) END AS key FROM turns",
+    "last_turns": f"WITH {TURNS} SELECT conv_id, turn, role FROM turns QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3",
+    "extraction_totals": f"""WITH {FACTS}, w AS (SELECT id, category, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda x: length(x) > 2))) AS w FROM facts
+), f AS (SELECT *, min(id) OVER (PARTITION BY w) AS first FROM w) SELECT category, count(*) FILTER (id = first) AS new, count(*) FILTER (id <> first) AS duplicates FROM f GROUP BY category""",
+    "injection_guard": f"WITH {TURNS} SELECT id FROM turns WHERE turn % 3 <> 0",
+    "response_json": """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN least(50000, length(CAST(to_json({html: html}) AS VARCHAR))) END AS n FROM pages""",
+    "reembed_texts": "SELECT vec_id AS id, 'text ' || vec_id AS text, vec_id AS created_at FROM embeddings",
+    "newest_events": "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 30",
+    "average_latency": "SELECT event_type, CAST(floor(avg(value) + 0.5) AS BIGINT) AS ms, count(*) AS n FROM events GROUP BY event_type",
     "window_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "window_sliding": """SELECT start, count(*) AS n FROM (SELECT time_bucket(INTERVAL 30 MINUTE, ts) - k * INTERVAL 30 MINUTE AS start FROM events, range(2) r(k)) GROUP BY 1""",
     "window_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)
@@ -264,6 +275,12 @@ SELECT '<retrieved_context>' || chr(10) || string_agg(line, chr(10) ORDER BY ran
 SELECT l.event_id, r.value AS seen FROM (SELECT * FROM e WHERE event_type = 'click') l ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'view') r ON l.user_id = r.user_id AND l.at >= r.at""",
 }
 
+ORACLE_SQL["fact_block"] = (
+    ORACLE_SQL["fact_relevance"].rpartition("SELECT id, score")[0]
+    + """SELECT '<memory_context>' || chr(10) || string_agg('- ' || content || ' (' || confidence || ')', chr(10) ORDER BY place) || chr(10) || '</memory_context>' AS block
+FROM sized WHERE ceil((size + n - 1 + 34) / 4) <= 500 OR place <= greatest(3, n - 2)"""
+)
+
 
 def _spec_tokens() -> int:
     from palimpsest.functions.compression import spec_block
