@@ -60,6 +60,17 @@ def _families(raws: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(words, per), (pairs, n_pairs), (code[keep].astype(np.int64), grams)]
 
 
+def _counted(raws: list[bytes], step: int = 64) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, slot, share of the text's) of each slot that a text has, by family, from a few texts at a time."""
+    parts: list[list] = [[], [], []]
+    for lo in range(0, len(raws), step):
+        for part, (slots, per) in zip(parts, _families(raws[lo : lo + step])):
+            keys, n = np.unique(np.repeat(np.arange(len(per)), per) << BITS | slots, return_counts=True)
+            own = keys >> BITS
+            part.append(((own + lo).astype(np.int32), (keys & ((1 << BITS) - 1)).astype(np.int32), (n / np.maximum(per, 1)[own]).astype(np.float32)))
+    return [tuple(np.concatenate(x) for x in zip(*part)) for part in parts]
+
+
 def _means(values: np.ndarray, per: np.ndarray) -> np.ndarray:
     """Mean of each run of values; 0 for an empty run."""
     total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
@@ -111,16 +122,14 @@ def train(texts: list[str], quality: np.ndarray, share: dict[int, float], rounds
         return model
     yf = y[fit]
     balance = np.where(yf > 0, 0.5 / yf.mean(), 0.5 / (1 - yf.mean()))
-    families = _families([raws[i] for i in fit])
+    families = _counted([raws[i] for i in fit])
     square = [np.full(1 << BITS, 1e-8) for _ in families]
-    owner = [np.repeat(np.arange(len(fit)), per) for _, per in families]
-    inverse = [1 / np.maximum(per, 1) for _, per in families]
     bias_square = 1e-8
     for _ in range(rounds):
-        z = model.bias + sum(_means(w[i], per) for w, (i, per) in zip(model.tables, families))
+        z = model.bias + sum(np.bincount(own, w[i] * v, len(fit)) for w, (own, i, v) in zip(model.tables, families))
         err = balance * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - yf) / len(fit)
-        for w, s, (i, per), own, inv in zip(model.tables, square, families, owner, inverse):
-            grad = np.bincount(i, (err * inv)[own], 1 << BITS)
+        for w, s, (own, i, v) in zip(model.tables, square, families):
+            grad = np.bincount(i, err[own] * v, 1 << BITS)
             s += grad * grad
             w -= (rate * grad / np.sqrt(s)).astype(np.float32)
         g = err.sum()

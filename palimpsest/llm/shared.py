@@ -63,11 +63,14 @@ def write_bytes(path: str, chunks) -> None:
 
 
 def give_back() -> None:
-    """Return freed memory to the system; workers live on between tasks."""
+    """Drop the tokenizers' memos and return freed memory to the system; workers live on between tasks."""
     import ctypes
+    import sys
 
     import pyarrow as pa
 
+    if chunks := sys.modules.get("palimpsest.llm.chunks"):
+        chunks.encoder.cache_clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
