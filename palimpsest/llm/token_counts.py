@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.chunks import chunk_mode, encoder, file_digest
-from palimpsest.llm.shared import read_table, shared_path
+from palimpsest.llm.shared import read_table, shared_path, stored
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
@@ -58,7 +58,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, over: in
         .write.mode("append")
         .parquet(cache_path)
     )
-    counts = _cache(spark, cache_path, version)
+    # written, so that both sides of the join are exchanges of their own and Spark can split a hot digest
+    counts = stored(_cache(spark, cache_path, version), "counts")
     sizes = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return sizes.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit"))
 
