@@ -44,3 +44,15 @@ def test_stages(spark):
             start += k
     got = corpus_pipeline.run(spark, SF).collect()
     assert sorted((r["doc_id"], r["start"], r["length"], r["doc_tokens"]) for r in got) == sorted(want)
+
+
+def test_odd_and_empty_tables(spark, docs, none, tmp_path):
+    for n, table in enumerate((docs, none)):
+        path = str(tmp_path / str(n))
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, SF)
+            if name != "packing":
+                assert sorted(out.columns) == sorted(docs.columns)
+            out.write.parquet(f"{path}-{name}")
+            table = spark.read.schema(out.schema).parquet(f"{path}-{name}")
+        assert table.columns[:3] == ["doc_id", "start", "length"] and (table.count() > 0) == (n == 0)
