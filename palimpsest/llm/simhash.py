@@ -191,13 +191,15 @@ def _router(tree, radius: int):
     return run
 
 
-def fingerprint_links(fps: DataFrame, radius: int, leaf: int = 16384, sample: int = 1 << 15) -> DataFrame:
+def fingerprint_links(fps: DataFrame, radius: int, leaf: int = 4096, sample: int = 1 << 15) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of distinct ``fps`` (fp) within the radius."""
     spark = fps.sparkSession
     n = fps.count()
     depth = max(0, min(16, (max(n, 1) // leaf).bit_length()))
-    # vantage points come from at most `sample` fingerprints; every fingerprint is placed and asked
-    some = fps.orderBy(F.xxhash64("fp")).limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    # vantage points come from at most `sample` fingerprints, those of least hash, of which each task
+    # offers its share; every fingerprint is placed and asked
+    share = min(1 << 30, -(-(1 << 30) * 2 * sample // max(n, 1)))
+    some = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < share).orderBy(F.xxhash64("fp")).limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     tree = spark.sparkContext.broadcast(VantageTree(np.sort(some), depth))
     return fps.mapInArrow(_router(tree, radius), "leaf int, fp long, home boolean").groupBy("leaf").applyInArrow(_leaf(radius), "a long, b long")
 
