@@ -26,8 +26,15 @@ PHRASE_STOP_WORDS = "the a an is are was were be and or but in on at to for of w
 def retrieval_tokens(text: Column) -> Column:
     """Lower-case words of letters, digits, ``_`` and ``-``, of two characters or more, without stop words."""
     words = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\s_-]", " "), r"\s+")
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~_is_stop_word(w))
+
+
+def _is_stop_word(w: Column) -> Column:
+    """A word is only compared with the stop words of its length."""
+    found = F.lit(False)
+    for n in sorted({len(s) for s in STOP_WORDS}):
+        found = F.when(F.length(w) == n, F.array_contains(F.array(*[F.lit(s) for s in STOP_WORDS if len(s) == n]), w)).otherwise(found)
+    return found
 
 
 def relevance_tokens(text: Column) -> Column:

@@ -148,7 +148,8 @@ def relevant_facts(facts: DataFrame, message: str, as_of_ms: int, threshold: flo
     score = score * F.when(F.col("confidence") == "high", 1.0).when(F.col("confidence") == "medium", 0.7).when(F.col("confidence") == "low", 0.4).otherwise(0.5)
     hours = (F.lit(as_of_ms) - F.col("ts_ms")) / 3_600_000
     score = score + F.when(hours < 24, 0.1).otherwise(0.0) + F.when(hours < 1, 0.05).otherwise(0.0)
-    top = rows.withColumn("score", F.round(score, 6)).where(F.col("score") >= threshold).orderBy(F.desc("score"), "id").limit(most)
+    # the threshold after the top few, so that no filter runs the tokenizer a second time
+    top = rows.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), "id").limit(most).where(F.col("score") >= threshold)
     place = F.row_number().over(Window.orderBy(F.desc("score"), "id"))
     whole = Window.partitionBy(F.lit(1))
     line = F.length("content") + 2 + F.when(F.col("confidence").isNotNull(), F.length("confidence") + 3).otherwise(0)
