@@ -1,0 +1,181 @@
+"""Near-duplicates by word shingles: Jaccard similarity, candidates from MinHash bands, each confirmed exactly.
+
+Words are those of ``simhash``; a text's set holds its distinct shingles of ``shingle`` words
+(fewer words: all of them), as XXH64 hashes.  Texts of equal sets meet by a hash of the set.
+Distinct sets are cut into BANDS bands of ROWS minima; two sets of similarity s share a band
+with probability 1 - (1 - s**ROWS)**BANDS, at 0.8 all but 5 in 100 million pairs.  Sets that share
+a band are linked only if their exact similarity is high enough.
+
+A band may hold a large group, so not all its pairs are tried at once: a few rounds compare each
+set with one leader of its band, and join what is linked; after them every pair of a band that
+is still in different components is tried, so that no candidate pair is left out.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from palimpsest.llm.components import components
+from palimpsest.llm.quality import slices
+from palimpsest.llm.shared import stored
+from palimpsest.llm.simhash import SEED
+
+BANDS, ROWS = 32, 4
+_rng = np.random.default_rng(11)
+MULTIPLIERS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+MIXERS = _rng.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Each round orders the sets of a band anew.
+MASKS = [int(m) for m in _rng.integers(0, 1 << 63, 3)]
+
+
+def shingles(raw: bytes, size: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    words = raw.lower().split()
+    joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= size:
+        return np.array([digest(joined, SEED)], np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: len(words) - size + 1].tolist()
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist())], np.uint64))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[None, lo : lo + 1024] * MULTIPLIERS[:, None]).min(1), out=least)
+    return (least.reshape(BANDS, ROWS) * MIXERS).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    same = int((b[at] == a).sum())
+    return same / (len(a) + len(b) - same)
+
+
+def _set_id(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+
+
+def _mark(shingle: int, similarity: float):
+    # a smaller set is similar enough to equal sets only
+    least = next(n for n in range(1, 1 << 20) if n + 1e-9 >= similarity * (n + 1)) if similarity < 1 else 1 << 62
+
+    def run(batches):
+        for b in batches:
+            keys, at = b.select(["doc_id", "key"]), 0
+            for raws in slices(b.column("text").to_pylist()):
+                sets = [shingles(r, shingle) for r in raws]
+                ids = pa.array(np.array([_set_id(s) for s in sets], np.uint64).view(np.int64))
+                cut = pa.array([bands(s) if len(s) >= least else None for s in sets], pa.list_(pa.int64()))
+                part = keys.slice(at, len(raws))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), ids, cut], ["doc_id", "key", "id", "bands"])
+                at += len(raws)
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches):
+        for b in batches:
+            for raws in slices(b.column("text").to_pylist()):
+                sets = [shingles(r, shingle) for r in raws]
+                ids = pa.array(np.array([_set_id(s) for s in sets], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "hashes"])
+
+    return run
+
+
+def _confirm(similarity: float):
+    def run(batches):
+        for b in batches:
+            found = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) + 1e-9 >= similarity for x, y in zip(b.column("x"), b.column("y"))]
+            yield b.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
+
+    return run
+
+
+def _candidates(placed: DataFrame, mask: int | None) -> DataFrame:
+    """Pairs (a < b) of sets that share a band and are not joined yet: with the band's leader, or all of them."""
+    by = F.col("id").bitwiseXOR(F.lit(mask or 0))
+    split = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("id", by).alias("lead"), F.min_by("root", by).alias("lead_root"))
+    split = stored(split.where("low <> high").drop("low", "high"), "split")
+    one = placed.join(split, "band")
+    if mask is not None:
+        met = one.where("root <> lead_root").select(F.col("lead").alias("x"), F.col("id").alias("y"))
+    else:
+        one = stored(one.select("band", "id", "root"), "open")
+        other = one.select("band", F.col("id").alias("y"), F.col("root").alias("other_root"))
+        met = one.join(other, "band").where("root < other_root").select(F.col("id").alias("x"), "y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _linked(texts: DataFrame, marked: DataFrame, owners: DataFrame, similarity: float, shingle: int) -> DataFrame | None:
+    """(node, root) of the sets that are linked to others; None if none are."""
+    members = stored(marked.select("id", F.explode("bands").alias("band")).distinct(), "members")
+    many = stored(members.groupBy("band").count().where("count > 1").select("band"), "many")
+    placed = stored(members.join(many, "band").select("band", "id", F.col("id").alias("root")), "placed")
+    met = placed.select("id").distinct()
+    rows = stored(owners.join(met, "id").select("key"), "candidates")
+    sets = stored(texts.join(rows, "key", "left_semi").select("text").mapInArrow(_sets(shingle), "id long, hashes binary").dropDuplicates(["id"]), "sets")
+    edges = tried = roots = None
+    for mask in [*MASKS, None]:
+        pairs = _candidates(placed, mask)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        if pairs.isEmpty():
+            continue
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").where(F.col("x").isNotNull())
+        both = both.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
+        found = stored(both.mapInArrow(_confirm(similarity), "a long, b long"), "found")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if found.isEmpty():
+            continue
+        edges = found if edges is None else edges.unionByName(found)
+        roots = stored(components(edges), "roots")
+        placed = stored(placed.drop("root").join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root")), "placed")
+    return roots
+
+
+def _key():
+    return F.xxhash64("doc_id", "text").alias("key")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """doc_id, key, root, component_id of every row of ``docs`` (doc_id, text).
+
+    ``key`` is a hash of the row's doc_id and text, ``root`` names its group and ``component_id`` is the
+    group's least doc_id.
+    """
+    texts = docs.select("doc_id", _key(), F.coalesce("text", F.lit("")).alias("text"))
+    marked = stored(texts.mapInArrow(_mark(shingle, similarity), "doc_id long, key long, id long, bands array<long>"), "marked")
+    owners = stored(marked.groupBy("id").agg(F.min("doc_id").alias("first"), F.min("key").alias("key")), "owners")
+    roots = _linked(texts, marked, owners, similarity, shingle)
+    if roots is None:
+        linked = owners.select("id", "first", F.col("id").alias("root"))
+    else:
+        # written, so that each side of a join is an exchange of its own and Spark can split a hot key
+        linked = stored(owners.join(roots, owners["id"] == roots["node"], "left").select("id", "first", F.coalesce("root", "id").alias("root")), "linked")
+    least = stored(linked.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    placed = stored(linked.join(least, "root").select("id", "root", "component_id"), "components")
+    return marked.select("doc_id", "key", "id").join(placed, "id").select("doc_id", "key", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """Of each group of near-duplicates in ``docs`` the row, all columns, of the least doc_id.
+
+    Rows equal in doc_id and text count as one; rows without a doc_id stay.
+    """
+    named = docs.where(F.col("doc_id").isNotNull())
+    keep = near_copies(named, similarity, shingle).where("doc_id = component_id").groupBy("root").agg(F.min("key").alias("__key"))
+    kept = named.withColumn("__key", _key()).join(keep.select("__key"), "__key", "left_semi").select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "text"]).unionByName(docs.where(F.col("doc_id").isNull()))
