@@ -1,6 +1,6 @@
 """License scans by canonical digest, in DataFrame functions alone.
 
-A text is brought to canonical form: copyright lines go, everything but ASCII letters and digits
+A text is brought to canonical form: copyright notices go, everything but ASCII letters and digits
 becomes one space, letters become lower case and equivalent spellings become one.  The SHA-256 of
 the whole canonical text is joined with the digests of known texts, which come about in the same
 way.  Known texts are a parameter, (license_id, text); a small set is in ``KNOWN``.
@@ -30,6 +30,11 @@ SPELLINGS = [
 ]
 
 COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(?:[Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt]|\([Cc]\)|©|[Aa][Ll][Ll] [Rr][Ii][Gg][Hh][Tt][Ss] [Rr][Ee][Ss][Ee][Rr][Vv][Ee][Dd])[^\n]*"
+# Notices only: a year, a sign or a holder's name follows, or the line says no more.  COPYRIGHT_LINE is the SQL's.
+NOTICE_LINE = (
+    r"(^|\n)[ \t#*/;-]*(?:(?i:copyright)[ \t:,]+(?:(?i:\(c\))|©|[0-9]|(?!(?i:holder|owner|notice|license|licence|law|statement|disclaimer))[A-Z])[^\n]*"
+    r"|\([Cc]\)[ \t]*[0-9]{4}[^\n]*|©[^\n]*|(?i:all rights reserved)[ \t.]*(?=\r?\n|$))"
+)
 OTHER = "[^A-Za-z0-9]+"
 
 # Whole texts and whole notices of common licenses.
@@ -62,9 +67,24 @@ Permission is granted to anyone to use this software for any purpose, including
     ("MIT notice", "Released under the MIT License."),
 ]
 
+#: Title lines that a copy may have or lack.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License"], "Zlib": ["zlib License", "The zlib License"],
+}
+
+
+def titled(known: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """``known`` with each license under all of its titles and under none."""
+    out = list(known)
+    for name, text in known:
+        body = next((text[len(t) :] for t in TITLES.get(name, ()) if text.startswith(t + "\n")), text)
+        out += [(name, f"{t}\n{body}") for t in ["", *TITLES.get(name, ())]]
+    return out
+
 
 def canonical(text: Column) -> Column:
-    body = F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, "$1")
+    body = F.regexp_replace(F.coalesce(text, F.lit("")), NOTICE_LINE, "$1")
     body = F.lower(F.trim(F.regexp_replace(body, OTHER, " ")))
     for have, want in SPELLINGS:
         body = F.replace(body, F.lit(have), F.lit(want))
@@ -74,7 +94,7 @@ def canonical(text: Column) -> Column:
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, canonical_sha256, license_id (null: none), is_license of every row of ``docs`` (doc_id, text)."""
     if known is None:
-        known = docs.sparkSession.createDataFrame(KNOWN, "license_id string, text string")
+        known = docs.sparkSession.createDataFrame(titled(KNOWN), "license_id string, text string")
     form = canonical(F.col("text"))
     digests = known.select("license_id", form.alias("form")).where("form <> ''").groupBy(F.sha2(F.col("form").cast("binary"), 256).alias("canonical_sha256")).agg(F.min("license_id").alias("license_id"))
     rows = docs.select("doc_id", F.sha2(form.cast("binary"), 256).alias("canonical_sha256"))
