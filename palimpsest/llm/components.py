@@ -4,7 +4,9 @@ Large-star and small-star steps in turn: in a large step every node's greater ne
 its least neighbour, in a small step its smaller ones do.  A third of all edges may be at one node:
 minima are taken before any exchange, and both sides of a join on the node are written first, so
 that each is an exchange of its own and Spark can split it.  What is written is in the shared
-folder, which also cuts the lineage.
+folder, which also cuts the lineage; each round deletes what the one before it wrote.  Every round
+moves edges to lesser nodes until all are stars, which takes a number of rounds of the order of
+the squared logarithm of the number of nodes, so there is no cap on them.
 """
 
 from __future__ import annotations
@@ -12,20 +14,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import stored
+from palimpsest.llm.shared import forget, scratch, shared_path, stored, written
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node reachable from every node of ``edges`` (a, b: bigint)."""
-    pairs = stored(_down(edges), "edges")
-    for _ in range(most_rounds):
-        nxt = stored(_small_star(_large_star(pairs)), "edges")
+    spark = edges.sparkSession
+    at = shared_path(spark, "edges")
+    pairs = written(_down(edges), at)
+    before = _sum(pairs)
+    while True:
+        to = shared_path(spark, "edges")
+        with scratch(spark):
+            nxt = written(_small_star(_large_star(pairs)), to)
+        now = _sum(nxt)
+        forget(spark, at)
         # the same set of edges twice means that all are stars
-        if _sum(nxt) == _sum(pairs):
+        if now == before:
             roots = nxt.select(F.col("a").alias("node"), F.col("b").alias("root"))
             return roots.unionByName(nxt.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        pairs = nxt
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        pairs, at, before = nxt, to, now
 
 
 def _down(edges: DataFrame) -> DataFrame:

@@ -3,13 +3,17 @@
 Words are runs of digits, letters a to z and characters beyond ASCII, after A to Z are lower-cased.
 A benchmark item gives each window of ``size`` consecutive words, or, if it has fewer, one window
 of all its words.  A document's windows of the same lengths are first tested in their row against
-a table of 2**18 slots, hashed from three words of each benchmark window; the few that remain are
-joined, as whole strings, with the benchmark's windows.  That side is broadcast only if its
-measured size is at most ``broadcast_bytes``; beyond that Spark shuffles both sides.
-
-Null and empty texts have no words.  Items without words have no window; a null item_id counts
-as the empty string.  Repeated rows get a row each, equal item_ids count once; further columns
-are ignored; an empty table of documents gives an empty result, an empty benchmark no hits.
+a table of bits, hashed from three words of each benchmark window, with 32 bits or more for each
+window (16 MB at most); the few that remain are joined, as whole strings, with the benchmark's
+windows.  That side is broadcast only if its measured size is at most ``broadcast_bytes``; beyond
+that Spark shuffles both sides, of which the documents' has only windows that passed the table.
+
+Verdicts are of rows, which are told apart by their place in the files: rows of one doc_id, or of
+none, are judged each by its own text.  Null and empty texts have no words; a long text's words are
+held in memory at once.  Items without words have no window; a null item_id counts as the empty
+string.  Repeated rows get a row each, equal item_ids count once; further columns are ignored (they
+pass through ``keep_clean``); an empty table of documents gives an empty result, an empty benchmark
+no hits.
 """
 
 from __future__ import annotations
@@ -17,11 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import read_table
+from palimpsest.llm.shared import FILE, ROW, ROW_KEY, read_table, stored, with_row_key, without_rows
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-SLOTS = 1 << 18
+LEAST_SLOTS, MOST_SLOTS, SLOTS_EACH = 1 << 15, 1 << 27, 32
 
 
 def words_of(text: Column) -> Column:
@@ -30,64 +34,74 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(low, F.lit("")), BETWEEN), "")
 
 
-def _slot(words: Column, at: Column, length: int) -> Column:
-    """Slot of a window, from its first, middle and last word."""
+def _hash(words: Column, at: Column, length: int) -> Column:
+    """Hash of a window's length and its first, middle and last word."""
     picked = [F.get(words, at + k) for k in sorted({0, length // 2, length - 1})]
-    return F.pmod(F.xxhash64(*picked), F.lit(SLOTS)).cast("int")
-
-
-def _at(words: Column, length: int) -> Column:
-    return F.when(F.size(words) >= length, F.sequence(F.lit(0), F.size(words) - length)).otherwise(F.array().cast("array<int>"))
-
-
-def _windows(words: Column, at: Column, length: int) -> Column:
-    return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(length).alias("length"), F.array_join(F.slice(words, i + 1, length), " ").alias("window"), _slot(words, i, length).alias("slot")))
-
-
-def _passing(words: Column, table: bytes, length: int) -> Column:
-    """Starts of the windows whose slot is taken."""
-    return F.filter(_at(words, length), lambda i: F.substring(F.lit(table), _slot(words, i, length) + 1, F.lit(1)) == F.lit(b"\x01"))
+    return F.xxhash64(F.lit(length), *picked)
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """window, length, slot and the sorted item_ids of every distinct window."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words_of(F.col("text")).alias("words"))
-    whole = items.where((F.size("words") > 0) & (F.size("words") < size))
-    rows = None
-    for length in range(1, size + 1):
-        some = whole.where(F.size("words") == length) if length < size else items.where(F.size("words") >= size)
-        cut = _windows(F.col("words"), _at(F.col("words"), length), length)
-        some = some.select("item_id", F.lit(length).alias("length"), F.explode(cut).alias("w")).select("item_id", "length", "w.window", "w.slot")
-        rows = some if rows is None else rows.unionByName(some)
-    return rows.groupBy("window").agg(F.first("length").alias("length"), F.first("slot").alias("slot"), F.sort_array(F.collect_set("item_id")).alias("items"))
+    """window, length, hash and the sorted item_ids of every distinct window."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
+    words, at = F.col("words"), F.col("at")
+    cut = items.select("item_id", "words", F.least(F.size("words"), F.lit(size)).alias("length"))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("length"))).alias("at"))
+    code = F.lit(0).cast("long")
+    for n in range(1, size + 1):
+        code = F.when(F.col("length") == n, _hash(words, at, n)).otherwise(code)
+    rows = cut.select("item_id", "length", code.alias("hash"), F.array_join(F.slice("words", at + 1, F.col("length")), " ").alias("window"))
+    return rows.groupBy("window").agg(F.first("length").alias("length"), F.first("hash").alias("hash"), F.sort_array(F.collect_set("item_id")).alias("items"))
+
+
+def _bit_table(windows: DataFrame, slots: int) -> DataFrame:
+    """One row, one column: an array of 64-bit numbers in which the bit of each window's slot is set."""
+    bits = windows.groupBy(F.expr(f"pmod(hash, {slots}) DIV 64").alias("id")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(hash, {slots}) % 64 AS INT))")).alias("bits"))
+    every = windows.sparkSession.range(slots // 64).join(bits, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits"))
+
+
+def _tried(docs: DataFrame, windows: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """Of ``docs`` with row keys: a row of length 0 for each, and one for each window that passes the table; bytes of ``windows``."""
+    known = windows.groupBy("length").agg(F.count("*").alias("n"), F.sum(F.octet_length("window") + 64 + 24 * F.size("items")).alias("bytes")).collect()  # `size` rows at most
+    n, words, at = sum(r["n"] for r in known), F.col("words"), F.col("at")
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (SLOTS_EACH * n - 1).bit_length() if n else 0))
+    rows = docs.select("doc_id", FILE, ROW, words_of(F.col("text")).alias("words"))
+    # place -1 stands for the document itself
+    rows = rows.select("*", F.explode(F.sequence(F.lit(-1), F.size("words") - 1)).alias("at"))
+    passing = []
+    if known:
+        table = _bit_table(windows, slots).scalar()
+        for length in sorted(r["length"] for r in known):
+            slot = F.pmod(_hash(words, at, length), F.lit(slots))
+            taken = F.getbit(F.get(table, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+            passing.append((length, (at >= 0) & (at + length <= F.size("words")) & taken))
+    some = at == -1
+    for _, ok in passing:
+        some = some | ok
+    lengths = F.when(at == -1, F.array(F.lit(0))).otherwise(F.array_compact(F.array(*[F.when(ok, F.lit(length)) for length, ok in passing]).cast("array<int>")))
+    rows = rows.where(some).select("doc_id", FILE, ROW, "words", "at", F.explode(lengths).alias("length"))
+    window = F.when(F.col("length") > 0, F.array_join(F.slice("words", at + 1, F.greatest(F.col("length"), F.lit(0))), " "))
+    return rows.select("doc_id", FILE, ROW, F.size("words").cast("long").alias("n_words"), "at", "length", window.alias("window")), sum(r["bytes"] for r in known)
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, size: int, broadcast_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The documents' rows (doc_id, n_words) with their keys, and windows that occur (at, length, items) with the keys of their rows."""
+    windows = stored(benchmark_windows(benchmark, size), "windows")
+    tried, taken = _tried(docs, windows, size)
+    tried, known = stored(tried, "tried"), windows.select("window", "items")
+    hits = tried.where("length > 0").join(F.broadcast(known) if taken <= broadcast_bytes else known, "window")
+    return tried.where("length = 0").select("doc_id", FILE, ROW, "n_words"), hits.select(FILE, ROW, "at", "length", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the hit word spans of every row of ``docs`` (doc_id, text)."""
-    windows = benchmark_windows(benchmark, size)
-    # at most SLOTS rows for each of `size` lengths
-    taken = windows.groupBy("length").agg(F.collect_set("slot").alias("slots"), F.sum(F.octet_length("window") + 64 + 24 * F.size("items")).alias("bytes")).collect()
-    words = F.col("words")
-    tests = []
-    for r in taken:
-        table = bytearray(SLOTS)
-        for s in r["slots"]:
-            table[s] = 1
-        tests.append(_windows(words, _passing(words, bytes(table), r["length"]), r["length"]))
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words_of(F.col("text")).alias("words"))
-    none = F.array().cast("array<struct<at:int,length:int,window:string,slot:int>>")
-    found = F.concat(*tests) if tests else none
-    tried = rows.select("doc_id", "row", F.size("words").cast("long").alias("n_words"), found.alias("found")).select("doc_id", "row", "n_words", F.explode_outer("found").alias("w"))
-    tried = tried.select("doc_id", "row", "n_words", "w.at", "w.length", "w.window")
-    known = windows.select("window", "items")
-    if sum(r["bytes"] for r in taken) <= broadcast_bytes:
-        known = F.broadcast(known)
-    hit = F.col("items").isNotNull()
-    joined = tried.join(known, "window", "left").groupBy("row", "doc_id").agg(
-        F.first("n_words").alias("n_words"),
-        F.sort_array(F.collect_list(F.when(hit, F.struct("at", (F.col("at") + F.col("length")).alias("end"))))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    rows, hits = _hits(with_row_key(docs), benchmark, size, broadcast_bytes)
+    joined = hits.groupBy(*ROW_KEY).agg(
+        F.sort_array(F.collect_list(F.struct("at", (F.col("at") + F.col("length")).alias("end")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
+    joined = rows.join(joined, ROW_KEY, "left")
+    none = F.array().cast("array<struct<at:int,end:int>>")
+    joined = joined.select("doc_id", "n_words", F.coalesce("hits", none).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     covered = F.aggregate(
         "hits",
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
@@ -105,10 +119,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadca
     )
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """The rows of ``docs``, all columns, without a hit; a doc_id with a hit goes with all its rows."""
-    hit = contamination(docs.where(F.col("doc_id").isNotNull()), benchmark, size).where("contaminated").select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """The rows of ``docs``, all columns, without a hit in their own text."""
+    keyed = with_row_key(docs)
+    _, hits = _hits(keyed, benchmark, size, broadcast_bytes)
+    return without_rows(keyed, stored(hits.select(*ROW_KEY).distinct(), "contaminated")).select(*docs.columns)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,18 @@
 """Quality score by a factorisation machine.
 
 Features of a text are its hashed words (counts, scaled to unit length), the statistics of its
-shape and a bucket of its length in characters.  The score's interactions
+shape and, as metadata, a bucket of its length in bytes.  The score's interactions
 
     sum over i < j of <v_i, v_j> x_i x_j  =  1/2 sum over f of ((sum_i v_if x_i)**2 - sum_i (v_if x_i)**2)
 
 take time linear in the features.  Weights and factors are trained on labelled rows of the four
 training folds (a bounded sample, ``most`` of each class, weighted back to the classes' true
-sizes); labels, lang, source and doc_id are never inputs of a score.
+sizes, of texts up to ``quality.MOST_BYTES``); labels, lang, source and doc_id are never inputs of a
+score.
 
 Null and empty texts are scored by the feature that marks a text without words.  Without labels
 of both classes every score is the share of label 1, or 0.5.  Repeated rows are scored once
-each; further columns are ignored; an empty table gives an empty result.
+each; doc_ids are whole numbers; a text is scored whole, in memory of some 50 times its size; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

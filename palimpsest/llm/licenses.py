@@ -1,43 +1,62 @@
 """License scans by canonical digest, in DataFrame functions alone.
 
-A text is brought to canonical form: copyright notices go, everything but ASCII letters and digits
-becomes one space, letters become lower case and equivalent spellings become one.  The SHA-256 of
-the whole canonical text is joined with the digests of known texts, which come about in the same
-way.  Known texts are a parameter, (license_id, text); a small set is in ``KNOWN``.
+A text is brought to canonical form: copyright notices go, everything but letters, marks and digits
+of any script becomes a space, letters become lower case and equivalent spellings of whole words
+become one.  The SHA-256 of the whole canonical text is joined with the digests of known texts, which
+come about in the same way; so is that of each canonical line, which finds notices within longer
+documents.  Known texts are a parameter, (license_id, text), of any number: up to MOST_KEYS digests
+are broadcast.  A set of common licenses comes with the package: short ones in ``KNOWN``, long ones
+as files in ``known_licenses``.
+
+A line is a copyright notice if it begins, after marks of a comment, with "copyright" and a sign, a
+number or a capitalised name, with "(c)" and a year, or with the sign, or if it says no more than "all rights
+reserved".  Clause (c) of a license and lines of its body that begin with "copyright holders" and
+the like stay.
 
 Null text is canonically empty, and an empty canonical text is never a license.  Repeated rows
-get a row each; if two known texts are canonically equal the least id stands; further columns
-are ignored; an empty table gives an empty result.
+get a row each; if two known texts are canonically equal the least id stands; a text of any length is
+held in memory some times over; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import read_table
+from palimpsest.llm.shared import MOST_KEYS, ROW_KEY, read_table, with_row_key
 
 # Spellings that count as equal in license texts, and the one that stands.
 SPELLINGS = [
     ("acknowledgment", "acknowledgement"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"), ("authorisation", "authorization"),
     ("authorised", "authorized"), ("calibre", "caliber"), ("cancelled", "canceled"), ("capitalisation", "capitalization"), ("catalogue", "catalog"),
     ("categorise", "categorize"), ("centre", "center"), ("emphasised", "emphasized"), ("favour", "favor"), ("favourite", "favorite"),
-    ("fulfil ", "fulfill "), ("fulfilment", "fulfillment"), ("initialise", "initialize"), ("judgment", "judgement"), ("labelling", "labeling"),
+    ("fulfil", "fulfill"), ("fulfilment", "fulfillment"), ("initialise", "initialize"), ("judgment", "judgement"), ("labelling", "labeling"),
     ("labour", "labor"), ("licence", "license"), ("maximise", "maximize"), ("modelled", "modeled"), ("modelling", "modeling"),
     ("offence", "offense"), ("optimise", "optimize"), ("organisation", "organization"), ("organise", "organize"), ("practise", "practice"),
-    ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"), ("sub license", "sublicense"),
-    ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("non commercial", "noncommercial"), ("per cent", "percent"),
+    ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"),
+    ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
 ]
+# Pairs of words that count as one word.
+JOINED = [("sub license", "sublicense"), ("non commercial", "noncommercial"), ("per cent", "percent")]
 
-COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(?:[Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt]|\([Cc]\)|©|[Aa][Ll][Ll] [Rr][Ii][Gg][Hh][Tt][Ss] [Rr][Ee][Ss][Ee][Rr][Vv][Ee][Dd])[^\n]*"
-# Notices only: a year, a sign or a holder's name follows, or the line says no more.  COPYRIGHT_LINE is the SQL's.
-NOTICE_LINE = (
-    r"(^|\n)[ \t#*/;-]*(?:(?i:copyright)[ \t:,]+(?:(?i:\(c\))|©|[0-9]|(?!(?i:holder|owner|notice|license|licence|law|statement|disclaimer))[A-Z])[^\n]*"
-    r"|\([Cc]\)[ \t]*[0-9]{4}[^\n]*|©[^\n]*|(?i:all rights reserved)[ \t.]*(?=\r?\n|$))"
-)
-OTHER = "[^A-Za-z0-9]+"
+# The same patterns are right for Java and RE2.  BODY_LINE marks lines that are no notices.
+BODY_LINE = r"(^|\n)[ \t#*/;-]*((?i:copyright)[ \t]+(?i:holder|owner|notice|license|licence|law|statement|disclaimer))"
+NOTICE_LINE = r"(^|\n)[ \t#*/;-]*(?:(?i:copyright)[ \t:,]+(?:(?i:\(c\))|©|[0-9]|[A-Z][a-z])[^\n]*|\([Cc]\)[ \t]*[0-9]{4}[^\n]*|©[^\n]*|(?i:all rights reserved)[ \t.\r]*(?m:$))"
+OTHER = r"[^\p{L}\p{M}\p{N}\n]+"
 
 # Whole texts and whole notices of common licenses.
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+"""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
 KNOWN = [
     ("MIT", """MIT License
 
@@ -61,6 +80,29 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 
 3. This notice may not be removed or altered from any source distribution."""),
+    ("BSD-2-Clause", _BSD + _BSD_END),
+    ("BSD-3-Clause", _BSD + """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+""" + _BSD_END),
+    ("MIT-0", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("BSL-1.0", """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("Unlicense", """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""),
     ("Apache-2.0 notice", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-NC-4.0 notice", "Licensed under CC BY-NC 4.0."),
     ("GPL-3.0 notice", "This work is licensed under the GNU General Public License, version 3."),
@@ -71,54 +113,118 @@ Permission is granted to anyone to use this software for any purpose, including
 TITLES = {
     "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License"],
     "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License"], "Zlib": ["zlib License", "The zlib License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License"], "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License"],
+    "MIT-0": ["MIT No Attribution"], "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003"], "Unlicense": ["The Unlicense"],
 }
 
+#: Where an appendix begins that a copy may lack.
+APPENDICES = {"Apache-2.0": "APPENDIX: How to apply", "GPL-2.0": "How to Apply These Terms", "GPL-3.0": "How to Apply These Terms", "LGPL-2.1": "How to Apply These Terms", "MPL-2.0": "Exhibit A - Source"}
+
 
 def titled(known: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """``known`` with each license under all of its titles and under none."""
+    """``known`` with each license under all of its titles and under none, and with and without its appendix."""
     out = list(known)
     for name, text in known:
         body = next((text[len(t) :] for t in TITLES.get(name, ()) if text.startswith(t + "\n")), text)
         out += [(name, f"{t}\n{body}") for t in ["", *TITLES.get(name, ())]]
+        if APPENDICES.get(name, "\0") in text:
+            out.append((name, text[: text.index(APPENDICES[name])]))
     return out
 
 
-def canonical(text: Column) -> Column:
-    body = F.regexp_replace(F.coalesce(text, F.lit("")), NOTICE_LINE, "$1")
-    body = F.lower(F.trim(F.regexp_replace(body, OTHER, " ")))
+@functools.cache
+def common_licenses() -> list[tuple[str, str]]:
+    """(license_id, text) of ``KNOWN`` and of the files in ``known_licenses``, in all their forms."""
+    files = sorted((Path(__file__).parent / "known_licenses").glob("*.txt"))
+    return titled(KNOWN + [(f.stem, f.read_text(encoding="utf-8")) for f in files])
+
+
+def _spaced(text: Column) -> Column:
+    """Lower-case words with a space of their own on each side; line feeds stay."""
+    body = F.regexp_replace(F.coalesce(text, F.lit("")), BODY_LINE, "$1\u0001$2")
+    body = F.regexp_replace(F.regexp_replace(body, NOTICE_LINE, "$1"), OTHER, "  ")
+    return F.concat(F.lit(" "), F.lower(F.replace(body, F.lit("\n"), F.lit(" \n "))), F.lit(" "))
+
+
+def canonical_lines(text: Column) -> Column:
+    """A text's canonical lines, empty ones left out."""
+    body = _spaced(text)
     for have, want in SPELLINGS:
-        body = F.replace(body, F.lit(have), F.lit(want))
-    return body
+        body = F.replace(body, F.lit(f" {have} "), F.lit(f" {want} "))
+    body = F.regexp_replace(body, " +", " ")
+    return F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def joined(words: Column) -> Column:
+    body = F.concat(F.lit(" "), words, F.lit(" "))
+    for have, want in JOINED:
+        body = F.replace(body, F.lit(f" {have} "), F.lit(f" {want} "))
+    return F.trim(body)
+
+
+def canonical(text: Column) -> Column:
+    return joined(F.array_join(canonical_lines(text), " "))
+
+
+def _digest(form: Column) -> Column:
+    return F.sha2(form.cast("binary"), 256)
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """doc_id, canonical_sha256, license_id (null: none), is_license of every row of ``docs`` (doc_id, text)."""
+    """doc_id, canonical_sha256, license_id of the whole text (null: none), notices, is_license of every row of ``docs`` (doc_id, text).
+
+    ``notices``: the sorted license_ids of the lines that are known texts, joined by commas.
+    """
     if known is None:
-        known = docs.sparkSession.createDataFrame(titled(KNOWN), "license_id string, text string")
-    form = canonical(F.col("text"))
-    digests = known.select("license_id", form.alias("form")).where("form <> ''").groupBy(F.sha2(F.col("form").cast("binary"), 256).alias("canonical_sha256")).agg(F.min("license_id").alias("license_id"))
-    rows = docs.select("doc_id", F.sha2(form.cast("binary"), 256).alias("canonical_sha256"))
-    return rows.join(digests, "canonical_sha256", "left").select("doc_id", "canonical_sha256", "license_id", F.col("license_id").isNotNull().alias("is_license"))
+        known = docs.sparkSession.createDataFrame(common_licenses(), "license_id string, text string")
+    digests = known.select("license_id", canonical(F.col("text")).alias("form")).where("form <> ''").groupBy(_digest(F.col("form")).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    if known.limit(MOST_KEYS + 1).count() <= MOST_KEYS:
+        digests = F.broadcast(digests)
+    lines = with_row_key(docs).select("doc_id", *ROW_KEY, canonical_lines(F.col("text")).alias("lines"))
+    entry = lambda whole, form: F.struct(F.lit(whole).alias("whole"), _digest(joined(form)).alias("digest"))
+    entries = F.concat(F.array(entry(True, F.array_join("lines", " "))), F.transform("lines", lambda x: entry(False, x)))
+    rows = lines.select("doc_id", *ROW_KEY, F.explode(entries).alias("e")).select("doc_id", *ROW_KEY, "e.whole", "e.digest")
+    met = rows.join(digests, "digest", "left").where("whole OR license_id IS NOT NULL")
+    notices = F.array_join(F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license_id")))), ",")
+    per = met.groupBy(*ROW_KEY, "doc_id").agg(F.max(F.when(F.col("whole"), F.col("digest"))).alias("canonical_sha256"), F.max(F.when(F.col("whole"), F.col("license_id"))).alias("license_id"), notices.alias("notices"))
+    return per.select("doc_id", "canonical_sha256", "license_id", "notices", (F.col("license_id").isNotNull() | (F.col("notices") != "")).alias("is_license"))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
-def _canonical_sql(text: str) -> str:
-    body = rf"lower(trim(regexp_replace(regexp_replace(coalesce({text}, ''), '{COPYRIGHT_LINE}', '\1', 'g'), '{OTHER}', ' ', 'g')))"
-    for have, want in SPELLINGS:
-        body = f"replace({body}, '{have}', '{want}')"
-    return body
+def _replaced(text: str, pairs) -> str:
+    for have, want in pairs:
+        text = f"replace({text}, ' {have} ', ' {want} ')"
+    return text
+
+
+def _lines_sql(text: str) -> str:
+    body = rf"regexp_replace(coalesce({text}, ''), '{BODY_LINE}', '\1' || chr(1) || '\2', 'g')"
+    body = rf"regexp_replace(regexp_replace({body}, '{NOTICE_LINE}', '\1', 'g'), '{OTHER}', '  ', 'g')"
+    body = f"' ' || lower(replace({body}, chr(10), ' ' || chr(10) || ' ')) || ' '"
+    body = f"regexp_replace({_replaced(f'({body})', SPELLINGS)}, ' +', ' ', 'g')"
+    return f"list_filter(list_transform(string_split({body}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+def _joined_sql(words: str) -> str:
+    return f"trim({_replaced(f'concat(chr(32), {words}, chr(32))', JOINED)})"
 
 
 OP4_SQL = f"""
-WITH known(license_id, text) AS (VALUES {", ".join("('%s', '%s')" % (a, b.replace("'", "''")) for a, b in KNOWN)}
+WITH known(license_id, text) AS (VALUES {", ".join("('%s', '%s')" % (a, b.replace("'", "''")) for a, b in common_licenses())}
 ), digests AS (
-  SELECT sha256(form) AS canonical_sha256, min(license_id) AS license_id
-  FROM (SELECT license_id, {_canonical_sql("text")} AS form FROM known) WHERE form <> '' GROUP BY 1
+  SELECT sha256(form) AS digest, min(license_id) AS license_id
+  FROM (SELECT license_id, {_joined_sql(f"array_to_string({_lines_sql('text')}, ' ')")} AS form FROM known) WHERE form <> '' GROUP BY 1
+), lines AS (
+  SELECT doc_id, {_lines_sql("text")} AS l FROM documents
+), notices AS (
+  SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
+  FROM (SELECT doc_id, unnest(l) AS x FROM lines) JOIN digests ON digest = sha256({_joined_sql("x")}) GROUP BY doc_id
 ), rows AS (
-  SELECT doc_id, sha256({_canonical_sql("text")}) AS canonical_sha256 FROM documents
+  SELECT doc_id, sha256({_joined_sql("array_to_string(l, ' ')")}) AS canonical_sha256 FROM lines
 )
-SELECT doc_id, canonical_sha256, license_id, license_id IS NOT NULL AS is_license FROM rows LEFT JOIN digests USING (canonical_sha256)
+SELECT doc_id, canonical_sha256, license_id, coalesce(notices, '') AS notices, license_id IS NOT NULL OR notices IS NOT NULL AS is_license
+FROM rows LEFT JOIN digests ON digest = canonical_sha256 LEFT JOIN notices USING (doc_id)
 """

@@ -82,11 +82,15 @@ def structure(raw: bytes, words: list[bytes], counts: tuple[int, int, int, int])
 STRUCTURE = 12
 
 
+#: Texts of more bytes are not learned from (all are scored), which bounds what goes to the driver.
+MOST_BYTES = 1 << 16
+
+
 def labelled(docs: DataFrame, labels: DataFrame, most: int, held_out: bool = True) -> DataFrame:
-    """text and quality of at most ``most`` labelled rows of each class, those of least hash.
+    """text and quality of at most ``most`` labelled rows of each class, those of least hash, texts up to MOST_BYTES.
 
     Rows whose crc32(doc_id as text) mod 5 is 0 are held out.  A doc_id with several labels
-    counts with its lowest; null labels do not count.
+    counts with its lowest, one with several texts with the least of them; null labels do not count.
     """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -99,7 +103,9 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int, held_out: bool = Tru
         some = known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = some if chosen is None else chosen.unionByName(some)
     # at most 2 * most rows of 12 bytes, whatever the input
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select("doc_id", text.alias("text")).where(F.octet_length("text") <= MOST_BYTES).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality")
 
 
 def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

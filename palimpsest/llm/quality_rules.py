@@ -1,14 +1,15 @@
 """Quality rules: base counts, and logistic regression over hashed word and character n-grams.
 
-The regression sees the words, the word pairs and the 4-byte n-grams of a text, each family
-hashed into a table of weights and averaged over the text.  It is trained on labelled rows (a
-bounded sample, ``most`` of each class, weighted back to the classes' true sizes); one row in
-four is set aside to fit the Platt scaling, which makes its output a probability.  Scoring goes
+The regression sees the words, the word pairs and the n-grams of four characters (code points) of a
+text, each family hashed into a table of weights and averaged over the text.  It is trained on labelled rows (a
+bounded sample, ``most`` of each class, of texts up to ``quality.MOST_BYTES``, weighted back to the
+classes' true sizes); one row in four is set aside to fit the Platt scaling, which makes its output a probability.  Scoring goes
 through Arrow batches against a fixed threshold.
 
 Null and empty texts have no words and fail the base rule.  Without labels of both classes the
-verdict rests on the base rule alone.  Repeated rows are scored once each; further columns are
-ignored; an empty table gives an empty result.
+verdict rests on the base rule alone.  Repeated rows are scored once each; doc_ids are whole numbers
+(of any type in ``keep_good``); a text is scored whole, in memory of some 60 times its size; further
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines l
 
 
 def _families(raws: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(slots, number of them in each text) of words, word pairs and 4-byte n-grams."""
+    """(slots, number of them in each text) of words, word pairs and four-character n-grams."""
     h, per = word_hashes(raws)
     shift = np.uint64(64 - BITS)
     with np.errstate(over="ignore"):
@@ -41,14 +42,22 @@ def _families(raws: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     n_pairs = np.maximum(per - 1, 0)
     # the n-grams of the texts end to end, and of those the ones within a text
     joined = b"".join(raws)
-    sizes = np.array([len(r) for r in raws])
+    sizes = np.array([len(r) for r in raws], np.int64)
+    if joined.isascii():
+        c = np.frombuffer(joined, np.uint8).astype(np.uint32)
+    else:
+        c = np.frombuffer(joined.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4")
+        begins = np.concatenate([[0], np.cumsum((np.frombuffer(joined, np.uint8) & 0xC0) != 0x80)])
+        ends = np.cumsum(sizes)
+        sizes = begins[ends] - begins[ends - sizes]
     grams = np.maximum(sizes - 3, 0)
-    if len(joined) < 4:
+    if len(c) < 4:
         return [(words, per), (pairs, n_pairs), (np.zeros(0, np.int64), grams)]
-    b = np.frombuffer(joined, np.uint8).astype(np.uint32)
-    code = b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16) | b[3:] << np.uint32(24)
     with np.errstate(over="ignore"):
-        code = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+        code = c[:-3]
+        for later in (c[1:-2], c[2:-1], c[3:]):
+            code = code * np.uint32(0x01000193) + later
+        code = (code ^ (code >> np.uint32(15))) * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)
     keep = np.ones(len(code), bool)
     ends = np.cumsum(sizes)
     for back in (1, 2, 3):

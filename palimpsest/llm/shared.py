@@ -7,11 +7,20 @@ master is local does a temporary folder stand in.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A row's file, hashed, and its place in it.
+FILE, ROW = "__file", "__row"
+ROW_KEY = [FILE, ROW]
+#: At most so many row keys are broadcast, which takes some 100 MB.
+MOST_KEYS = 1_000_000
 
 
 def importable(spark: SparkSession) -> None:
@@ -38,17 +47,66 @@ def shared_root(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
+_scratch: list[list[str]] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path of its own in the shared folder."""
-    return f"{shared_root(spark)}/palimpsest/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_root(spark)}/palimpsest/{name}-{uuid.uuid4().hex[:12]}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Delete intermediate tables that nothing reads any more."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """What steps inside put into the shared folder goes at the end; results that read it must be written by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        forget(spark, *_scratch.pop())
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write and reread: cuts the lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
+    return written(df, shared_path(df.sparkSession, name))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with FILE and ROW, which tell equal rows apart and are the same whenever a row is read again.
+
+    They come from the files that hold the rows; what is not a plain read of files is stored first.
+    """
+    if docs._jdf.queryExecution().analyzed().children().isEmpty():
+        try:
+            at = docs.metadataColumn("_metadata")
+            return docs.select("*", F.xxhash64(at["file_path"]).alias(FILE), at["row_index"].alias(ROW))
+        except AnalysisException:
+            pass
+    return with_row_key(stored(docs, "rows"))
+
+
+def without_rows(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``keyed``, from ``with_row_key``, that ``gone`` (FILE, ROW: a stored table) does not name, without their key.
+
+    Up to MOST_KEYS keys are broadcast and no text moves; beyond that Spark joins by exchange.
+    """
+    if gone.limit(MOST_KEYS + 1).count() <= MOST_KEYS:
+        gone = F.broadcast(gone)
+    return keyed.join(gone, ROW_KEY, "left_anti").drop(*ROW_KEY)
 
 
 def filesystem(path: str):

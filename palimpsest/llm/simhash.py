@@ -14,13 +14,24 @@ a spanning forest of its links, so a dense group gives n - 1 edges and not all i
 forests are joined by connected components, and a component's id is its least doc_id.
 
 The tree's shape only decides where work is done: for any sample every pair within the radius
-meets.  Null and empty texts have fingerprint zero and are linked like any other; repeated rows
-get a row each; null doc_ids are left out of component ids; further columns are ignored; an
-empty table gives an empty result.
+meets.
+
+``keep_one`` keeps one row of each group of texts whose sets of shingles have a Jaccard similarity of
+``similarity``: what the trees link within ``radius`` bits is confirmed by the sets, and pairs that
+similar but farther apart, which no tree of 64-bit fingerprints can find without visiting all
+leaves, meet as ``jaccard`` has it.
+
+Null and empty texts have fingerprint zero and are linked like any other; repeated rows
+get a row each; null doc_ids are left out of component ids; doc_ids are whole numbers; texts may be
+of any length, their words are taken some at a time; further columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,28 +39,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import components
+from palimpsest.llm.jaccard import SEED, bands, linked_sets, set_id, smallest
 from palimpsest.llm.quality import slices
-from palimpsest.llm.shared import read_table, stored
+from palimpsest.llm.shared import FILE, MOST_KEYS, ROW, ROW_KEY, read_table, stored, with_row_key, without_rows
+
+WORDS = 1 << 16
+
+
+def hashes(raw: bytes, shingle: int = 3):
+    """XXH64 of a text's shingles, in order, from some words at a time."""
+    low, digest = raw.lower(), xxhash.xxh64_intdigest
+    words = low.split() if len(low) < 1 << 20 else (m[0] for m in re.finditer(rb"[^\x20\x09-\x0D]+", low))
+    words = iter(words)
+    run, first = list(islice(words, WORDS)), True
+    while first or len(run) >= shingle:
+        joined = b" ".join(run)
+        if len(run) <= shingle:
+            if run or not first:
+                yield np.array([digest(joined, SEED)], np.uint64)
+            return
+        sizes = np.fromiter(map(len, run), np.int64, len(run))
+        ends = np.cumsum(sizes + 1) - 1
+        starts = (ends - sizes)[: len(run) - shingle + 1].tolist()
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+        more = list(islice(words, WORDS))
+        if not more:
+            return
+        run, first = run[len(run) - shingle + 1 :] + more, False
+
 
-SEED = 42
+def _bits(parts) -> int:
+    ones, n = np.zeros(64, np.int64), 0
+    for h in parts:
+        ones += np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+        n += len(h)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
 def fingerprint(raw: bytes, shingle: int = 3) -> int:
-    words = raw.lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = (ends - sizes)[: len(words) - shingle + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())], ">u8")
-    ones = np.zeros(64, np.int64)
-    for lo in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[lo : lo + (1 << 16)].view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+    return _bits(hashes(raw, shingle))
+
+
+def shingles(raw: bytes, size: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; of no words, that of the empty one."""
+    parts = [np.unique(h) for h in hashes(raw, size)]
+    if not parts:
+        return np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64)
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
 
 
 def _fingerprints(shingle: int):
@@ -217,15 +253,85 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataF
     return marked.join(placed, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id is the least of its group.
+def _mark(shingle: int, similarity: float, empty: pa.Schema):
+    least = smallest(similarity)
+
+    def run(batches):
+        for b in batches:
+            keys, at = b.select(["doc_id", FILE, ROW]), 0
+            for raws in slices(b.column("text").to_pylist()):
+                part = keys.slice(at, len(raws))
+                at += len(raws)
+                ids, fps, sizes, cut = [], [], [], []
+                for raw in raws:
+                    own = list(hashes(raw, shingle))
+                    fps.append(_bits(own))
+                    s = np.unique(np.concatenate(own)) if own else shingles(b"", shingle)
+                    ids.append(set_id(s))
+                    sizes.append(len(s))
+                    cut.append(bands(s) if len(s) >= least else None)
+                long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*part.columns, long(ids), long(fps), pa.array(sizes, pa.int64()), pa.array(cut, pa.list_(pa.int64()))], empty.names)
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches):
+        for b in batches:
+            at = 0
+            for raws in slices(b.column("text").to_pylist()):
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(at, len(raws)), pa.array([shingles(r, shingle).tobytes() for r in raws], pa.binary())], ["id", "hashes"])
+                at += len(raws)
+
+    return run
+
+
+def _near_fingerprints(owners: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of set ids that join all whose fingerprints the trees join."""
+    first = stored(owners.groupBy("fp").agg(F.min("id").alias("a"), F.count("*").alias("n")), "first")
+    equal = owners.join(first.where("n > 1").drop("n"), "fp").where("id <> a").select("a", F.col("id").alias("b"))
+    near = stored(fingerprint_links(first.select("fp"), radius), "fingerprint-links")
+    near = near.join(first.select(F.col("fp").alias("a"), F.col("a").alias("x")), "a").select("x", "b")
+    near = near.join(first.select(F.col("fp").alias("b"), F.col("a").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return equal.unionByName(near)
 
-    Rows equal in doc_id and text count as one; rows without a doc_id stay.
+
+def copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 3) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (doc_id, text) with row keys, and the keys of all rows but one of each group of near-duplicates.
+
+    The row that stays has the least doc_id (null: after all others), then the least
+    fingerprint, then the first place in the files.
+    """
+    keyed = with_row_key(docs)
+    texts = keyed.select("doc_id", FILE, ROW, F.coalesce("text", F.lit("")).alias("text"))
+    kind = dict(docs.dtypes)["doc_id"]
+    names = pa.schema([(n, pa.null()) for n in ("doc_id", FILE, ROW, "id", "fp", "n", "bands")])
+    marked = stored(texts.mapInArrow(_mark(shingle, similarity, names), f"doc_id {kind}, {FILE} long, {ROW} long, id long, fp long, n long, bands array<long>"), "marked")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", FILE, ROW)
+    owners = stored(marked.groupBy("id").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")).select("id", "first", "first.fp", "n", "bands"), "owners")
+
+    members = stored(owners.select("id", "n", F.explode("bands").alias("band")), "members")
+    many = stored(members.groupBy("band").agg(F.count("*").alias("sets")).where("sets > 1").select("band"), "many")
+    members = stored(members.join(many, "band"), "members")
+    near = stored(_near_fingerprints(owners.select("id", "fp"), radius), "near")
+    met = members.select("id").unionByName(near.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
+    rows = stored(owners.join(met, "id").select("id", F.col(f"first.{FILE}").alias(FILE), F.col(f"first.{ROW}").alias(ROW)), "candidates")
+    some = F.broadcast(rows) if rows.limit(MOST_KEYS + 1).count() <= MOST_KEYS else rows
+    sets = stored(texts.join(some, ROW_KEY).select("id", "text").mapInArrow(_sets(shingle), "id long, hashes binary"), "sets")
+    roots = linked_sets(members, sets, near, similarity)
+    best = owners.select("id", "first") if roots is None else owners.join(roots.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("root", "id").alias("id"), "first")
+    best = stored(best.groupBy("id").agg(F.min("first").alias("first")).select(f"first.{FILE}", f"first.{ROW}"), "best")
+    return keyed, stored(marked.select(*ROW_KEY).join(best, ROW_KEY, "left_anti"), "copies")
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 3) -> DataFrame:
+    """One row, all columns, of each group of near-duplicates in ``docs`` (doc_id, text), as ``copies`` has it.
+
+    Rows without a doc_id count like any other; repeated rows leave one; texts without words are
+    one group; an empty table stays empty; further columns of any name pass through.
     """
-    groups = near_duplicates(docs.where(F.col("doc_id").isNotNull()), radius, shingle)
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    return without_rows(*copies(docs, similarity, shingle, radius)).select(*docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

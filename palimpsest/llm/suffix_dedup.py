@@ -30,9 +30,14 @@ anchor has as many different continuations as there are documents.  Strings of 2
 from all of its bytes, so that no bucket grows with them.  Chunks are told by scan partition and
 place in it; a checksum over rows stops the run if a later scan should deal rows differently.
 
-Null and empty texts lose nothing; null doc_ids count as greater than all others; rows with one
-doc_id never remove bytes from each other; further columns pass through ``remove_repeats``; an
-empty table gives an empty result.  Texts of 256 MiB and more are refused.
+Hashes only bring candidates together: entries and windows with equal ones are compared byte by byte.
+A long text is searched for anchors in overlapping slices, so it may be of any length that a row
+holds; some 20 times its size is in memory at once.
+
+Null and empty texts lose nothing; null doc_ids count as greater than all others, and so does the
+greatest number that a doc_id can be; doc_ids are whole numbers; rows with one doc_id never remove
+bytes from each other; further columns pass through ``remove_repeats``; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -115,16 +120,21 @@ class Chunk:
             hi = lo + 1
             while hi < len(self.raws) and self.ends[hi] - self.starts[lo] <= SLICE_BYTES:
                 hi += 1
-            if self.ends[hi - 1] - self.starts[lo] >= self.size:
-                found.append(self._slice(lo, hi))
+            # slices of one long text overlap, so that each window is whole in one of them
+            for at in range(int(self.starts[lo]), int(self.ends[hi - 1]), SLICE_BYTES) if hi == lo + 1 else (int(self.starts[lo]),):
+                stop = min(at + SLICE_BYTES + self.size - 1, int(self.ends[hi - 1]))
+                if stop - at >= self.size:
+                    found.append(self._slice(lo, hi, at, stop))
             lo = hi
-        self.place, self.first, self.last, self.doc, self.code = (np.concatenate(x) for x in zip(*found))
-
-    def _slice(self, lo: int, hi: int):
-        base, size = self.starts[lo], self.size
-        b = self.bytes[base : self.ends[hi - 1]]
-        if len(b) >= 1 << PLACE_BITS:
-            raise ValueError("a text has 256 MiB or more")
+        place, first, last, doc, code = (np.concatenate(x) for x in zip(*found))
+        # windows of one anchor that two slices hold are one run
+        goes_on = place[1:] == place[:-1]
+        begins, ends = np.ones(len(place), bool), np.ones(len(place), bool)
+        begins[1:], ends[:-1] = ~goes_on, ~goes_on
+        self.place, self.first, self.last, self.doc, self.code = place[begins], first[begins], last[ends], doc[begins], code[begins]
+
+    def _slice(self, lo: int, hi: int, base: int, stop: int):
+        size, b = self.size, self.bytes[base:stop]
         h = _string_hashes(b)
         # upper bits of the hash, then the place: the least is the leftmost of least hash
         least = (h >> np.uint64(PLACE_BITS)) << np.uint64(PLACE_BITS) | np.arange(len(h), dtype=np.uint64)
@@ -134,7 +144,7 @@ class Chunk:
             have *= 2
         if have < span:
             least = np.minimum(least[: len(least) - (span - have)], least[span - have :])
-        ends, starts = self.ends[lo:hi] - base, self.starts[lo:hi] - base
+        ends, starts = np.minimum(self.ends[lo:hi], stop) - base, np.maximum(self.starts[lo:hi], base) - base
         inside = np.zeros(len(least) + 1, np.int64)
         ok = ends - starts >= size
         inside[starts[ok]] += 1
@@ -209,6 +219,10 @@ class Entries:
         h1, h2 = h1[order], h2[order]
         new = np.ones(n, bool)
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        same = np.flatnonzero(~new)
+        for lo in range(0, len(same), BLOCK):
+            at = same[lo : lo + BLOCK]
+            new[at[(self.rows(order[at]) != self.rows(order[at - 1])).any(1)]] = True
         begin = np.flatnonzero(new)
         self.entry = np.empty(n, np.int64)
         self.entry[order] = np.cumsum(new) - 1
@@ -512,17 +526,31 @@ def marks(text: np.ndarray, shared: np.ndarray, least: np.ndarray, size: int) ->
         at = np.flatnonzero((near <= o) & (o <= far) & (longest >= size - o))
         if len(at) < 2:
             continue
+        stretch = np.cumsum(shared < size - o)
         with np.errstate(over="ignore"):
-            key = (left + np.cumsum(shared < size - o).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))[at] * np.uint64(0x9E3779B97F4A7C15)
+            key = (left + stretch.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))[at] * np.uint64(0x9E3779B97F4A7C15)
         order = np.argsort(key)
-        at, key = at[order], key[order]
-        new = np.concatenate([[True], key[1:] != key[:-1]])
+        new = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
+        if _differ(text[:, size : size + o], stretch, at[order], new).any():  # two windows of one hash
+            order = np.lexsort([*text[at, size : size + o].T, stretch[at]])
+            new = np.concatenate([[True], np.zeros(len(at) - 1, bool)])
+            new[1:] = _differ(text[:, size : size + o], stretch, at[order], new)
+        at = at[order]
         group = np.cumsum(new) - 1
         first = np.minimum.reduceat(least[at], np.flatnonzero(new))
         bits[at[first[group] < least[at]]] |= np.uint64(1 << o)
     return bits
 
 
+def _differ(left: np.ndarray, stretch: np.ndarray, at: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Which of ``at`` but the first, where not ``new``, differ from the one before in the bytes before or in their stretch."""
+    same = np.flatnonzero(~new[1:])
+    x, y = at[same + 1], at[same]
+    out = np.zeros(len(at) - 1, bool)
+    out[same] = (stretch[x] != stretch[y]) | (left[x] != left[y]).any(1)
+    return out
+
+
 def _merge(size: int):
     def run(key, table):
         give_back()

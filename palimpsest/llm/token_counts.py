@@ -4,10 +4,12 @@ A cache row is (tokenizer digest, content digest, n_tokens).  Content is normali
 far as the tokenizer itself ignores the difference: where its normaliser folds white space,
 runs of spaces, tabs and line ends count as one space.  Only digests that the cache lacks are
 encoded, each once, and their counts are appended, so a later call over the same or more
-documents encodes what is new.
+documents encodes what is new.  Digests meet the cache before any text moves: up to MOST_KEYS
+misses are broadcast, beyond that both sides are exchanged.
 
-Null text counts as empty (0 tokens); repeated rows and equal texts each get their row;
-further columns of ``docs`` are ignored; an empty table gives an empty result.
+Null text counts as empty (0 tokens); repeated rows and equal texts each get their row; a text may
+be of any length that a row holds and is encoded whole; further columns of ``docs`` are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.chunks import chunk_mode, encoder, file_digest
-from palimpsest.llm.shared import read_table, shared_path, stored
+from palimpsest.llm.shared import MOST_KEYS, read_table, shared_path, stored
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
@@ -48,16 +50,21 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, over: in
     version, mode = file_digest(tokenizer_path), chunk_mode(tokenizer_path)
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), content_digest(F.col("text"), mode).alias("digest"))
 
-    wanted = keyed.groupBy("digest").agg(F.first("text").alias("text"))
-    known = _cache(spark, cache_path, version)
+    known, wanted = _cache(spark, cache_path, version), keyed
     if known is not None:
-        wanted = wanted.join(known, "digest", "left_anti")
-    (
-        wanted.mapInArrow(_counter(tokenizer_path), "digest binary, n_tokens long")
-        .select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
-        .write.mode("append")
-        .parquet(cache_path)
-    )
+        # digests alone meet the cache; texts move only where it lacks them
+        misses = stored(keyed.select("digest").distinct().join(known, "digest", "left_anti"), "misses")
+        n = misses.limit(MOST_KEYS + 1).count()
+        wanted = keyed.join(F.broadcast(misses) if n <= MOST_KEYS else misses, "digest", "left_semi") if n else None
+    if wanted is not None:
+        (
+            wanted.groupBy("digest")
+            .agg(F.first("text").alias("text"))
+            .mapInArrow(_counter(tokenizer_path), "digest binary, n_tokens long")
+            .select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
+            .write.mode("append")
+            .parquet(cache_path)
+        )
     # written, so that both sides of the join are exchanges of their own and Spark can split a hot digest
     counts = stored(_cache(spark, cache_path, version), "counts")
     sizes = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")

@@ -4,13 +4,16 @@ A store is a folder.  Part p, in ascending doc_id order over all parts, has thre
 
 * ``ids-p.bin``      ids as flat little-endian unsigned integers, 16 bits wide if all ids fit, else 32
 * ``offsets-p.bin``  n + 1 unsigned 64-bit offsets into them, from 0
-* ``docs-p.bin``     n signed 64-bit doc_ids; null is the least number there is
+* ``docs-p.bin``     n signed 64-bit doc_ids; null ones come first, as 0
 
-``parts`` (Parquet) lists part, documents, ids and ``base``, the ids of all earlier parts, from
-a prefix sum.  Readers map the files into memory where the file system is local.
+``parts`` (Parquet) lists part, documents, those without a doc_id, ids and ``base``, the ids of all
+earlier parts, from a prefix sum.  Readers, one task for each part, map the files into memory where
+the file system is local.
 
-Null text is empty, a null doc_id comes first; every document has its end id.  Repeated rows are stored once each; further
-columns are ignored; an empty table gives a store without parts.
+Null text is empty, a null doc_id comes first; every document has its end id.  doc_ids are whole
+numbers.  Texts may be of any length that a row holds; their ids are in memory one at a time.
+Repeated rows are stored once each; further columns are ignored; an empty table gives a store
+without parts.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.chunks import encoder
 from palimpsest.llm.shared import filesystem, read_table, shared_path, write_bytes
 
-NULL = -(1 << 63)
-PARTS = "part int, n_docs long, n_ids long, width int, base long"
+WRITTEN = "part int, n_docs long, n_null long, n_ids long, width int"
+PARTS = WRITTEN + ", base long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -37,18 +40,19 @@ def _writer(path: str, end_id: int, folder: str):
         e = encoder(path)
         dtype = e.dtype if end_id < 1 << 8 * e.dtype.itemsize else np.dtype("<u4")
         end, part = np.array([end_id], dtype).tobytes(), TaskContext.get().partitionId()
-        docs, sizes, n = [], [], 0
+        docs, sizes, nulls = [], [], 0
         found = False
 
         def ids():
-            nonlocal found
+            nonlocal found, nulls
             for b in batches:
                 of, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
                 for lo in range(0, len(texts), 500):
                     raw = e.encode(texts[lo : lo + 500])
                     if dtype != e.dtype:
                         raw = [np.frombuffer(x, e.dtype).astype(dtype).tobytes() for x in raw]
-                    docs.append(np.array([NULL if d is None else d for d in of[lo : lo + 500]], "<i8"))
+                    docs.append(np.array([d or 0 for d in of[lo : lo + 500]], "<i8"))
+                    nulls += of[lo : lo + 500].count(None)
                     sizes.append(np.array([len(x) // dtype.itemsize + 1 for x in raw], "<u8"))
                     found = True
                     yield end.join([*raw, b""])
@@ -58,7 +62,8 @@ def _writer(path: str, end_id: int, folder: str):
             offsets = np.concatenate([np.zeros(1, "<u8"), np.cumsum(np.concatenate(sizes), dtype="<u8")])
             write_bytes(f"{folder}/offsets-{part:06d}.bin", [offsets.tobytes()])
             write_bytes(f"{folder}/docs-{part:06d}.bin", [np.concatenate(docs).tobytes()])
-            yield pa.RecordBatch.from_pylist([{"part": part, "n_docs": len(offsets) - 1, "n_ids": int(offsets[-1]), "width": dtype.itemsize}], pa.schema([("part", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32())]))
+            row = {"part": part, "n_docs": len(offsets) - 1, "n_null": nulls, "n_ids": int(offsets[-1]), "width": dtype.itemsize}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([(k, pa.int32() if k in ("part", "width") else pa.int64()) for k in row]))
 
     return write
 
@@ -67,7 +72,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str)
     """Encode ``docs`` (doc_id, text) into a store at ``folder``, a path that driver and executors share."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    parts = ordered.mapInArrow(_writer(tokenizer_path, end_id, folder), "part int, n_docs long, n_ids long, width int")
+    parts = ordered.mapInArrow(_writer(tokenizer_path, end_id, folder), WRITTEN)
     # one row for each partition; the prefix sum over them gives each its base
     found, base, rows = sorted(parts.collect()), 0, []
     for r in found:
@@ -96,8 +101,9 @@ def _reader(folder: str):
                     at = offsets[lo : lo + 10_001].astype(np.int64)
                     crcs = [zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
                     some = docs[lo : lo + 10_000]
+                    null = np.arange(lo, lo + len(some)) < r["n_null"]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(some, mask=some == NULL), pa.array(at[:-1] + r["base"]), pa.array(np.diff(at)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
+                        [pa.array(some, mask=null), pa.array(at[:-1] + r["base"]), pa.array(np.diff(at)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
                     )
 
     return read
@@ -106,7 +112,8 @@ def _reader(folder: str):
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from a store's files."""
     parts = spark.read.schema(PARTS).parquet(f"{folder}/parts")
-    return parts.repartition(F.col("part")).mapInArrow(_reader(folder), ROWS)
+    # a number of partitions, so that tasks are not joined for the few bytes that a part's row has
+    return parts.repartitionByRange(max(1, parts.count()), "part").mapInArrow(_reader(folder), ROWS)
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

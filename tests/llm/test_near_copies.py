@@ -1,5 +1,8 @@
 import hashlib
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -119,3 +122,44 @@ def test_loser_tree():
         assert [row for _, row, _ in out] == sorted(sum(lists, []))
         for (_, a, _), (_, b, same) in zip(out, out[1:]):
             assert same == next((i for i in range(12) if a[i] != b[i]), 12)
+
+
+def test_long_texts_in_slices():
+    """A long text's anchors come from slices, as if there were none."""
+    rng = np.random.default_rng(4)
+    text = "".join(rng.choice(list("abcde \n"), 300_000)) + "ab" * 5000 + "a" * 400
+    whole = suffix_dedup.Chunk([1, 2], [text, text[1000:]], 50)
+    size, suffix_dedup.SLICE_BYTES = suffix_dedup.SLICE_BYTES, 1 << 30
+    try:
+        one = suffix_dedup.Chunk([1, 2], [text, text[1000:]], 50)
+    finally:
+        suffix_dedup.SLICE_BYTES = size
+    for name in ("place", "first", "last", "doc", "code"):
+        assert (getattr(whole, name) == getattr(one, name)).all()
+
+
+def test_text_of_tens_of_megabytes(tmp_path):
+    """A worker that looks for anchors in 40 MB of text stays far below an executor's memory."""
+    code = "import random, resource; from palimpsest.llm.suffix_dedup import Chunk; r = random.Random(1); t = ''.join(r.choices('abcdefgh ', k=40_000_000)); n = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; c = Chunk([1], [t], 50); print(len(c.place), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - n)"
+    anchors, grown = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.getcwd()).stdout.split())
+    assert anchors > 1_000_000 and grown < 700_000  # kB
+
+
+def test_hot_strings_go_by_single_windows(spark, tmp_path, monkeypatch):
+    """A string with more entries than HOT: a common passage that goes on differently in each document."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    rnd = random.Random(2)
+    passage = "a passage that very many of the documents hold, word for word, and that is long enough to count"
+    rows = [(d, "".join(rnd.choices("abcdef ", k=rnd.randint(0, 60))) + passage + "".join(rnd.choices("abcdef ", k=rnd.randint(0, 60)))) for d in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "d"))
+    got = suffix_dedup.repeats(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert sorted(map(tuple, got)) == sorted(w[:5] for w in covered(rows))
+
+
+def test_fingerprint_by_parts(monkeypatch):
+    text = " ".join(random.Random(3).choices(["One", "two", "three,", "four"], k=500)).encode()
+    whole = [(simhash.fingerprint(text, k), simhash.shingles(text, k).tolist()) for k in (1, 3, 5)]
+    for words in (6, 7, 100):
+        monkeypatch.setattr(simhash, "WORDS", words)
+        assert [(simhash.fingerprint(text, k), simhash.shingles(text, k).tolist()) for k in (1, 3, 5)] == whole
+    assert simhash.fingerprint(b"") == 0 and len(simhash.shingles(b" ")) == 1

@@ -32,8 +32,15 @@ def test_operators(spark, docs, tmp_path):
 def test_rules(docs, spark):
     groups = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
     assert groups == {(3, 3), (None, 3), (None, None)}
-    assert sorted(str(r["doc_id"]) for r in simhash.keep_one(docs).collect()) == ["3", "None", "None", "None"]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in simhash.keep_one(docs).collect()) == [("3", TEXT), ("None", None)]
     gone = sorted((str(r["doc_id"]), r["n_removed"] > 0) for r in suffix_dedup.repeats(docs).collect())
     assert gone == [("3", False), ("None", False), ("None", True), ("None", True)]
     clean = decontamination.keep_clean(docs, spark.createDataFrame([(1, TEXT)], "item_id long, text string"))
-    assert sorted(str(r["doc_id"]) for r in clean.collect()) == ["None", "None", "None"]
+    assert [(r["doc_id"], r["text"]) for r in clean.collect()] == [(None, None)]
+
+
+def test_rows_of_one_doc_id_are_judged_each(spark):
+    docs = spark.createDataFrame([(1, TEXT), (1, "clean"), (None, TEXT), (None, "clean too"), ("4", "clean as well")], "doc_id string, text string")
+    clean = decontamination.keep_clean(docs, spark.createDataFrame([(1, TEXT)], "item_id long, text string"))
+    assert sorted(r["text"] for r in clean.collect()) == ["clean", "clean as well", "clean too"]
+    assert sorted(r["text"] for r in simhash.keep_one(docs).collect()) == [TEXT, "clean", "clean as well", "clean too"]

@@ -1,14 +1,14 @@
 """The pipeline against plain versions of its stages, on whole small tables."""
 
-import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from cases import bench_words
 from palimpsest.llm import packing, quality_rules
-from test_near_copies import covered, fingerprint, groups
+from test_near_copies import covered
 from test_quality import base
+from test_similar_copies import least
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,12 +18,8 @@ def test_stages(spark):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     model = quality_rules.fit_rules(docs, labels)
     rows = [(d, t) for d, t in rows if not base(t)[5] and model.probability([t.encode()])[0] >= quality_rules.KEEP_FROM]
-    f = np.array([fingerprint(t) for _, t in rows], np.uint64)
-    g = groups(len(f), [(i, int(j)) for i in range(len(f)) for j in np.flatnonzero(np.bitwise_count(f ^ f[i]) <= 2)])
-    least = {}
-    for (d, _), r in zip(rows, g):
-        least[r] = min(d, least.get(r, d))
-    rows = sorted((d, t) for (d, t), r in zip(rows, g) if least[r] == d)
+    kept = set(least(rows))
+    rows = sorted((d, t) for d, t in rows if d in kept)
     rows = [(d, w[5].decode("utf-8", "ignore")) for (d, _), w in zip(rows, covered(rows))]
     grams = set()
     for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():

@@ -12,17 +12,26 @@ def plain(sizes, shards):
     return sorted(loads)
 
 
-def test_classes_as_one_by_one():
+def test_sizes_as_one_by_one():
     rnd = random.Random(3)
     for _ in range(40):
-        classes = sorted(((rnd.randint(1, 40), rnd.choice([1, 2, 5, 300, 1000])) for _ in range(6)), reverse=True)
+        classes = sorted(((rnd.choice([rnd.randint(1, 40), rnd.randint(1, 10**7)]), rnd.choice([1, 2, 5, 300, 1000])) for _ in range(6)), reverse=True)
         classes = list({s: (s, c) for s, c in classes}.values())
-        dealt = sharding.lpt(classes, 7)
+        loads = [0] * 7
+        dealt = [sharding.deal(loads, s, c) for s, c in classes]
         assert all(sum(g) == c for g, (_, c) in zip(dealt, classes))
-        loads = [sum(g[i] * s for g, (s, _) in zip(dealt, classes)) for i in range(7)]
+        assert loads == [sum(g[i] * s for g, (s, _) in zip(dealt, classes)) for i in range(7)]
         assert sorted(loads) == plain([s for s, c in classes for _ in range(c)], 7)
 
 
+def test_large_sizes_are_exact(spark):
+    rnd = random.Random(5)
+    sizes = [rnd.randint(66_000, 70_000) for _ in range(240)] + [rnd.randint(1, 50) for _ in range(400)] + [300_000]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n int").selectExpr("doc_id", "concat(cast(doc_id as string), repeat('x', n)) AS text")
+    loads = sorted(r[1] for r in sharding.assign_shards(df, 24).groupBy("shard").sum("size").collect())
+    assert loads == plain([n + len(str(d)) + 8 for d, n in enumerate(sizes)], 24)
+
+
 def test_shards(docs, rows, none):
     got = sharding.assign_shards(docs, 5).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(d for d, _ in rows)
@@ -43,5 +52,5 @@ def test_shards(docs, rows, none):
         groups[t or ""] += len((t or "").encode()) + 8
     loads = sorted([sum(r["size"] for r in by_shard[i]) for i in range(5)])
     want = plain(groups.values(), 5)
-    assert all(abs(a - b) <= b / 1000 for a, b in zip(loads, want))  # sizes of 64 KiB and more share classes
+    assert loads == want
     assert sharding.assign_shards(none, 5).count() == 0

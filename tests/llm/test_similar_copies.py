@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
 from cases import frame, lower, space_words
-from palimpsest.llm import minhash, simhash
+from palimpsest.llm import jaccard, simhash
 from test_near_copies import groups
 
 
@@ -36,18 +39,21 @@ def edited(n=90, seed=4):
 
 
 def test_all_pairs(spark, docs, rows, none):
-    kept = minhash.keep_one(docs)
+    kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == least(rows)
     copies = edited()
-    got = sorted(r["doc_id"] for r in minhash.keep_one(frame(spark, copies)).collect())
+    got = sorted(r["doc_id"] for r in simhash.keep_one(frame(spark, copies)).collect())
     assert got == least(copies) and 4 < len(got) < len(copies)
-    assert minhash.keep_one(none).count() == 0
+    assert simhash.keep_one(none).count() == 0
 
 
 def test_repeated_and_null_ids(spark):
     a, b = "one two three four five six", "another text of its own with more words"
-    kept = minhash.keep_one(spark.createDataFrame([(1, a), (1, b), (1, b), (2, a), (None, a), (None, None)], "doc_id long, text string"))
-    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == sorted([("1", a), ("1", b), ("None", a), ("None", "None")])
+    kept = simhash.keep_one(spark.createDataFrame([(1, a), (1, b), (1, b), (2, a), (None, a), (None, None)], "doc_id long, text string"))
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == sorted([("1", a), ("1", b), ("None", "None")])
+    # rows are judged, not doc_ids: the second text of doc_id 2 is a copy although the first is not
+    kept = simhash.keep_one(spark.createDataFrame([(1, a), (2, b), (2, a)], "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, a), (2, b)]
 
 
 def test_stage_takes_copies_beyond_two_bits(spark):
@@ -57,3 +63,31 @@ def test_stage_takes_copies_beyond_two_bits(spark):
     assert min(far) > 2
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "")
     assert [r["doc_id"] for r in kept.collect()] == [0]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_blocks(seed):
+    """A product of matrices finds what pair by pair comparison does."""
+    rng = np.random.default_rng(seed)
+    base = [rng.choice(1 << 40, n, replace=False).astype(np.uint64) for n in (20, 60, 200)]
+    sets = []
+    for _ in range(120):
+        s = base[rng.integers(0, 3)]
+        s = s[rng.random(len(s)) > rng.choice([0.02, 0.1, 0.2])]
+        sets.append(np.unique(np.concatenate([s, rng.choice(1 << 40, rng.integers(0, 6)).astype(np.uint64)])))
+    roots = rng.integers(0, 90, 120)
+    want = [(i, j) for i in range(120) for j in range(i) if jaccard.alike(sets[i], sets[j]) >= 0.8]
+    apart = [(i, j) for i, j in want if roots[i] != roots[j]]
+    found = jaccard.links(sets, roots, 0.8, width=64).tolist()
+    joined = [(int(np.flatnonzero(roots == r)[0]), i) for i, r in enumerate(roots)]
+    assert {tuple(sorted(p)) for p in found} <= {tuple(sorted(p)) for p in apart}
+    assert groups(120, joined + found) == groups(120, joined + apart) and 0 < len(found) < len(apart)
+
+
+def test_large_group_block_by_block(spark, monkeypatch):
+    """Bands of many blocks, without leaders' help."""
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 4096)
+    monkeypatch.setattr(jaccard, "MASKS", [])
+    copies = edited(160, 9)
+    got = sorted(r["doc_id"] for r in simhash.keep_one(frame(spark, copies)).collect())
+    assert got == least(copies)

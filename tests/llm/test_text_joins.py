@@ -38,13 +38,38 @@ def test_decontamination(spark, docs, rows, none, limit):
     assert not any(r["contaminated"] for r in decontamination.contamination(docs, bench.limit(0)).collect())
 
 
+def test_table_grows_with_the_benchmark(spark):
+    """A million windows: the table of bits lets few others pass, and the hits are right."""
+    items = spark.range(1000).selectExpr("id AS item_id", "array_join(transform(sequence(0, 1008), i -> concat('w', id * 2000 + i)), ' ') AS text")
+    docs = spark.range(300).selectExpr("id AS doc_id", "array_join(transform(sequence(0, 30), i -> concat('w', id * 2000 + if(id % 3 = 0, i, i * 2))), ' ') AS text")
+    windows = decontamination.benchmark_windows(items).cache()
+    assert windows.count() == 1_000_000
+    tried, _ = decontamination._tried(decontamination.with_row_key(docs), windows, 10)
+    assert tried.where("length > 0").count() < 100 * 22 + 1000
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontamination.contamination(docs, items).collect()}
+    assert got == {d: (31, 1) if d % 3 == 0 else (0, 0) for d in range(300)}
+
+
 def test_licenses(spark, docs, rows, none):
-    mit = dict(licenses.KNOWN)["MIT"]
+    mit, files = dict(licenses.KNOWN)["MIT"], dict(reversed(licenses.common_licenses()))
     texts = [
         (1, mit), (2, "  Copyright (c) 2020 A\n" + mit.replace("sublicense", "sub-licence").upper() + "\nAll rights reserved."), (3, mit + " and more"), (4, None), (5, "Copyright 2020"), (6, ""),
-        (7, "licensed under the APACHE licence version 2 0"), (1, mit),
+        (7, "licensed under the APACHE licence version 2 0"), (1, mit), (8, files["GPL-3.0"].upper()), (9, files["Apache-2.0"][: files["Apache-2.0"].index("APPENDIX")]), (10, "some prose\n\n# Released under the MIT Licence\nmore, licensed under CC BY-NC 4.0"),
     ]
     df = spark.createDataFrame([(d, t, "x") for d, t in texts], "doc_id long, text string, license_id string")
-    got = sorted((r["doc_id"], r["license_id"], r["is_license"]) for r in licenses.scan_licenses(df).collect() if r["doc_id"] not in (3, 4, 5, 6))
-    assert got == [(1, "MIT", True), (1, "MIT", True), (2, "MIT", True), (7, "Apache-2.0 notice", True)]
+    got = sorted((r["doc_id"], r["license_id"] or "", r["notices"], r["is_license"]) for r in licenses.scan_licenses(df).collect())
+    assert got == [
+        (1, "MIT", "", True), (1, "MIT", "", True), (2, "MIT", "", True), (3, "", "", False), (4, "", "", False), (5, "", "", False), (6, "", "", False), (7, "Apache-2.0 notice", "Apache-2.0 notice", True),
+        (8, "GPL-3.0", "", True), (9, "Apache-2.0", "", True), (10, "", "MIT notice", True),
+    ]
     assert licenses.scan_licenses(docs).count() == len(rows) and licenses.scan_licenses(none).count() == 0
+
+
+def test_canonical_form(spark):
+    """Clauses, other scripts and words that only hold a spelling."""
+    form = lambda *texts: [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(licenses.canonical(licenses.F.col("t"))).collect()]
+    assert form("(c) you may keep it\n(C) 2020 nobody\nCopyright Jane Doe\ncopyright holders stay", "Лицензия 许可证", "programmed licences, the licence licence sub-\nlicense\nnon-commercial") == [
+        "c you may keep it copyright holders stay", "лицензия 许可证", "programmed licences the license license sublicense noncommercial",
+    ]
+    a, b = form("(a) do\n(b) so\n(c) this", "(a) do\n(b) so\n(c) that")
+    assert a != b

@@ -45,8 +45,16 @@ def test_counts_and_cache(spark, docs, rows, none, tmp_path):
     again = token_counts.count_tokens(docs, CLIP, cache)
     assert Counter(map(tuple, again.collect())) == want
     assert spark.read.parquet(cache).count() == n  # nothing was encoded anew
+    # a full cache: no text moves, even without broadcasts
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    plan = token_counts.count_tokens(docs, CLIP, cache)
+    assert Counter(map(tuple, plan.collect())) == want and spark.read.parquet(cache).count() == n
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    more = docs.unionByName(docs.limit(1).withColumn("text", token_counts.F.lit("a text that is new")))
+    assert token_counts.count_tokens(more, CLIP, cache).count() == len(rows) + 1 and spark.read.parquet(cache).count() == n + 1
     token_counts.count_tokens(docs, BYTES, cache)
-    assert spark.read.parquet(cache).count() > n  # another tokenizer has counts of its own
+    assert spark.read.parquet(cache).count() > n + 1  # another tokenizer has counts of its own
     assert token_counts.count_tokens(none, CLIP, f"{cache}2").count() == 0
 
 
@@ -88,3 +96,10 @@ def test_token_files(spark, docs, rows, none, tmp_path):
     assert len(whole) == starts[-1]  # flat files, nothing but ids
     token_files.write_store(none, BYTES, 2, folder + "0")
     assert token_files.read_store(spark, folder + "0").count() == 0
+
+
+def test_least_doc_id_is_not_null(spark, tmp_path):
+    least, folder = -(1 << 63), f"file://{tmp_path}/s"
+    token_files.write_store(spark.createDataFrame([(least, "a"), (None, "b c"), (least + 1, None)], "doc_id long, text string"), BYTES, 2, folder)
+    got = sorted(map(tuple, token_files.read_store(spark, folder).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None, least, least + 1] and token_files.read_store(spark, folder).rdd.getNumPartitions() == spark.read.parquet(folder + "/parts").count()
