@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.quality import STRUCTURE, base_counts, labelled, slices, structure, word_hashes
-from palimpsest.llm.shared import read_table
+from palimpsest.llm.shared import give_back, read_table, small
 
 BITS, FACTORS, BUCKETS = 16, 8, 24
 WORDS = 1 << BITS
@@ -136,7 +136,8 @@ def fit_machine(docs: DataFrame, labels: DataFrame, most: int = 2000) -> Machine
 def _scorer(model, threshold: float):
     def score(batches):
         m = model.value
-        for b in batches:
+        give_back()
+        for b in small(batches):
             docs, at = b.column("doc_id"), 0
             for raws in slices(b.column("text").to_pylist()):
                 ids = docs.slice(at, len(raws))

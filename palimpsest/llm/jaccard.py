@@ -8,9 +8,9 @@ meet in bands: BANDS bands of ROWS minima; two sets of similarity s share one wi
 1 - (1 - s**ROWS)**BANDS, at 0.8 all but 3 in a million pairs.  Only what is similar enough by its
 sets is linked, whichever way it met.
 
-A band may hold a large group, and not all of its pairs are made into rows.  A few rounds compare
-each set with one leader of its band and join what is linked.  After them, bands whose sets are
-still in different components are cut into blocks of some ``BLOCK_BYTES`` of sets, and each two
+A band may hold a large group, and not all of its pairs are made into rows.  Each set is compared
+with one leader of its band, and what is linked is joined.  After that, bands whose sets are still
+in different components are cut into blocks of some ``BLOCK_BYTES`` of sets, and each two
 blocks meet in one task, which compares all their sets by a matrix product (small bands share one); so a band of n blocks
 sends each set n times, and no candidate pair is left out.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import components
-from palimpsest.llm.shared import stored
+from palimpsest.llm.shared import give_back, small, stored
 
 SEED = 42
 BANDS, ROWS = 24, 4
@@ -32,8 +32,6 @@ BLOCK_BYTES = 4 << 20
 _rng = np.random.default_rng(11)
 MULTIPLIERS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 MIXERS = _rng.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
-#: Each round orders the sets of a band anew.
-MASKS = [int(m) for m in _rng.integers(0, 1 << 63, 3)]
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
@@ -63,7 +61,7 @@ def smallest(similarity: float) -> int:
 
 def _confirm(similarity: float):
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             found = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) + 1e-9 >= similarity for x, y in zip(b.column("x"), b.column("y"))]
             yield b.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
@@ -136,15 +134,6 @@ def _blocks(similarity: float):
     return run
 
 
-def _with_leaders(placed: DataFrame, mask: int) -> DataFrame:
-    """Pairs (a < b) of a band's leader and its sets of other components."""
-    by = F.col("id").bitwiseXOR(F.lit(mask))
-    split = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("id", by).alias("lead"), F.min_by("root", by).alias("lead_root"))
-    split = stored(split.where("low <> high").drop("low", "high"), "split")
-    met = placed.join(split, "band").where("root <> lead_root")
-    return met.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
-
-
 def _by_blocks(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links within each band that still holds several components, found block by block; bands of one block share tasks."""
     size = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("n"), F.count("*").alias("sets"))
@@ -162,24 +151,15 @@ def _by_blocks(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFra
 def linked_sets(members: DataFrame, sets: DataFrame, near: DataFrame, similarity: float) -> DataFrame | None:
     """(node, root) of all ids that links join; None if there are no links.
 
-    ``members`` (band, id, n: sets' sizes), ``sets`` (id, hashes) and ``near`` (a, b), pairs that met
-    before, are stored tables.
+    ``members`` (band, id, n: sets' sizes, lead: an id of the band), ``sets`` (id, hashes) and ``near``
+    (a, b), pairs that met before, are stored tables.
     """
-    placed = members.select("band", "id", "n", F.col("id").alias("root"))
-    found = stored(confirmed(near, sets, similarity), "found")
-    edges = roots = tried = None
-    for mask in [*MASKS, None, "end"]:
-        if not found.isEmpty():
-            edges = found if edges is None else edges.unionByName(found)
-            roots = stored(components(edges), "roots")
-            placed = placed.drop("root").join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "n", F.coalesce("root", "id").alias("root"))
-            placed = stored(placed, "placed")
-        if mask == "end":
-            return roots
-        if mask is None:
-            found = stored(_by_blocks(placed, sets, similarity), "found")
-            continue
-        pairs = _with_leaders(placed, mask)
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = stored(confirmed(pairs, sets, similarity), "found")
+    pairs = members.where("id <> lead").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
+    pairs = stored(pairs.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "pairs")
+    edges = stored(confirmed(pairs, sets, similarity), "found")
+    roots = stored(components(edges), "roots")
+    placed = members.select("band", "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "n", F.coalesce("root", "id").alias("root"))
+    more = stored(_by_blocks(stored(placed, "placed"), sets, similarity), "found")
+    if not more.isEmpty():
+        roots = stored(components(edges.unionByName(more)), "roots")
+    return None if roots.isEmpty() else roots

@@ -6,7 +6,9 @@ own, whose length is a power of two, so nothing is padded and no sequence crosse
 Sequences are numbered without gaps, longest bucket first, from prefix sums over partitions.
 
 Null text is empty; the end id makes every document at least one id long.  Repeated rows are
-packed once each; further columns are ignored; an empty table gives an empty result.
+packed once each, in the order in which tasks meet them, as ties in length are; a text of any length
+that a row holds is encoded whole; doc_ids are whole numbers; further columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.chunks import encoder
-from palimpsest.llm.shared import read_table, stored
+from palimpsest.llm.shared import give_back, read_table, small, stored
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, rank long"
 
@@ -37,7 +39,7 @@ def _cutter(path: str, end_id: int, most: int):
         e = encoder(path)
         part, seen = TaskContext.get().partitionId(), {}
         last = np.array([end_id], "<u4")
-        for b in batches:
+        for b in small(batches):
             ids_of, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             for lo in range(0, len(texts), 500):
                 rows: list[list] = [[] for _ in range(6)]
@@ -53,6 +55,7 @@ def _cutter(path: str, end_id: int, most: int):
                 arrays = [pa.array(c, pa.int64()) for c in rows]
                 parts = pa.array(np.full(len(rows[0]), part, np.int32))
                 yield pa.RecordBatch.from_arrays([*arrays[:5], parts, arrays[5]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"])
+        give_back(encoders=False)
 
     return cut
 

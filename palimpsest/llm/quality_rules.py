@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.quality import base_counts, labelled, repeat_words, slices, word_hashes
-from palimpsest.llm.shared import read_table
+from palimpsest.llm.shared import give_back, read_table, small
 
 BITS = 18
 KEEP_FROM = 0.5
@@ -166,7 +166,8 @@ def fit_rules(docs: DataFrame, labels: DataFrame, most: int = 1500) -> Model:
 def _scorer(model, threshold: float):
     def score(batches):
         m = model.value
-        for b in batches:
+        give_back()
+        for b in small(batches):
             ids, at = b.column("doc_id"), 0
             for raws in slices(b.column("text").to_pylist()):
                 words = [r.split() for r in raws]
@@ -194,7 +195,8 @@ def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = KEEP_FROM
 def _filter(model, threshold: float):
     def keep(batches):
         m = model.value
-        for b in batches:
+        give_back()
+        for b in small(batches):
             verdict: list[bool] = []
             for raws in slices([t or "" for t in b.column("text").to_pylist()]):
                 words = [r.split() for r in raws]

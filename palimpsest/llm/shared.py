@@ -99,14 +99,17 @@ def with_row_key(docs: DataFrame) -> DataFrame:
     return with_row_key(stored(docs, "rows"))
 
 
+def bounded(table: DataFrame) -> DataFrame:
+    """A stored table of a few numbers a row, to be broadcast if it has at most MOST_KEYS rows."""
+    return F.broadcast(table) if table.limit(MOST_KEYS + 1).count() <= MOST_KEYS else table
+
+
 def without_rows(keyed: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows of ``keyed``, from ``with_row_key``, that ``gone`` (FILE, ROW: a stored table) does not name, without their key.
 
     Up to MOST_KEYS keys are broadcast and no text moves; beyond that Spark joins by exchange.
     """
-    if gone.limit(MOST_KEYS + 1).count() <= MOST_KEYS:
-        gone = F.broadcast(gone)
-    return keyed.join(gone, ROW_KEY, "left_anti").drop(*ROW_KEY)
+    return keyed.join(bounded(gone), ROW_KEY, "left_anti").drop(*ROW_KEY)
 
 
 def filesystem(path: str):
@@ -130,14 +133,21 @@ def write_bytes(path: str, chunks) -> None:
     files.move(own, at)
 
 
-def give_back() -> None:
-    """Drop the tokenizers' memos and return freed memory to the system; workers live on between tasks."""
+def small(batches, rows: int = 1000):
+    """The record batches in parts of ``rows`` rows, so that few texts are Python objects at once."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
+def give_back(encoders: bool = True) -> None:
+    """Return freed memory to the system, and drop the tokenizers' memos; workers live on between tasks."""
     import ctypes
     import sys
 
     import pyarrow as pa
 
-    if chunks := sys.modules.get("palimpsest.llm.chunks"):
+    if encoders and (chunks := sys.modules.get("palimpsest.llm.chunks")):
         chunks.encoder.cache_clear()
     pa.default_memory_pool().release_unused()
     try:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.components import components
 from palimpsest.llm.jaccard import SEED, bands, linked_sets, set_id, smallest
 from palimpsest.llm.quality import slices
-from palimpsest.llm.shared import FILE, MOST_KEYS, ROW, ROW_KEY, read_table, stored, with_row_key, without_rows
+from palimpsest.llm.shared import FILE, ROW, ROW_KEY, bounded, give_back, read_table, small, stored, with_row_key, without_rows
 
 WORDS = 1 << 16
 
@@ -90,7 +90,8 @@ def shingles(raw: bytes, size: int = 5) -> np.ndarray:
 
 def _fingerprints(shingle: int):
     def run(batches):
-        for b in batches:
+        give_back()
+        for b in small(batches):
             docs, at = b.column("doc_id"), 0
             for raws in slices(b.column("text").to_pylist()):
                 fps = np.array([fingerprint(r, shingle) for r in raws], np.uint64).view(np.int64)
@@ -257,7 +258,8 @@ def _mark(shingle: int, similarity: float, empty: pa.Schema):
     least = smallest(similarity)
 
     def run(batches):
-        for b in batches:
+        give_back()
+        for b in small(batches):
             keys, at = b.select(["doc_id", FILE, ROW]), 0
             for raws in slices(b.column("text").to_pylist()):
                 part = keys.slice(at, len(raws))
@@ -278,7 +280,8 @@ def _mark(shingle: int, similarity: float, empty: pa.Schema):
 
 def _sets(shingle: int):
     def run(batches):
-        for b in batches:
+        give_back()
+        for b in small(batches):
             at = 0
             for raws in slices(b.column("text").to_pylist()):
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(at, len(raws)), pa.array([shingles(r, shingle).tobytes() for r in raws], pa.binary())], ["id", "hashes"])
@@ -312,13 +315,12 @@ def copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: i
     owners = stored(marked.groupBy("id").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")).select("id", "first", "first.fp", "n", "bands"), "owners")
 
     members = stored(owners.select("id", "n", F.explode("bands").alias("band")), "members")
-    many = stored(members.groupBy("band").agg(F.count("*").alias("sets")).where("sets > 1").select("band"), "many")
-    members = stored(members.join(many, "band"), "members")
+    many = stored(members.groupBy("band").agg(F.count("*").alias("sets"), F.min("id").alias("lead")).where("sets > 1").select("band", "lead"), "many")
+    members = stored(members.join(bounded(many), "band"), "members")
     near = stored(_near_fingerprints(owners.select("id", "fp"), radius), "near")
     met = members.select("id").unionByName(near.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
     rows = stored(owners.join(met, "id").select("id", F.col(f"first.{FILE}").alias(FILE), F.col(f"first.{ROW}").alias(ROW)), "candidates")
-    some = F.broadcast(rows) if rows.limit(MOST_KEYS + 1).count() <= MOST_KEYS else rows
-    sets = stored(texts.join(some, ROW_KEY).select("id", "text").mapInArrow(_sets(shingle), "id long, hashes binary"), "sets")
+    sets = stored(texts.join(bounded(rows), ROW_KEY).select("id", "text").mapInArrow(_sets(shingle), "id long, hashes binary"), "sets")
     roots = linked_sets(members, sets, near, similarity)
     best = owners.select("id", "first") if roots is None else owners.join(roots.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("root", "id").alias("id"), "first")
     best = stored(best.groupBy("id").agg(F.min("first").alias("first")).select(f"first.{FILE}", f"first.{ROW}"), "best")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.chunks import chunk_mode, encoder, file_digest
-from palimpsest.llm.shared import MOST_KEYS, read_table, shared_path, stored
+from palimpsest.llm.shared import bounded, give_back, read_table, shared_path, small, stored
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
@@ -36,10 +36,11 @@ def content_digest(text, mode: str):
 def _counter(path: str):
     def count(batches):
         e = encoder(path)
-        for b in batches:
+        for b in small(batches):
             texts = b.column("text").to_pylist()
             sizes = [len(x) // e.dtype.itemsize for x in e.encode(texts)]
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(sizes, pa.int64())], ["digest", "n_tokens"])
+        give_back(encoders=False)
 
     return count
 
@@ -54,8 +55,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, over: in
     if known is not None:
         # digests alone meet the cache; texts move only where it lacks them
         misses = stored(keyed.select("digest").distinct().join(known, "digest", "left_anti"), "misses")
-        n = misses.limit(MOST_KEYS + 1).count()
-        wanted = keyed.join(F.broadcast(misses) if n <= MOST_KEYS else misses, "digest", "left_semi") if n else None
+        wanted = None if misses.isEmpty() else keyed.join(bounded(misses), "digest", "left_semi")
     if wanted is not None:
         (
             wanted.groupBy("digest")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.chunks import encoder
-from palimpsest.llm.shared import filesystem, read_table, shared_path, write_bytes
+from palimpsest.llm.shared import filesystem, give_back, read_table, shared_path, small, write_bytes
 
 WRITTEN = "part int, n_docs long, n_null long, n_ids long, width int"
 PARTS = WRITTEN + ", base long"
@@ -45,7 +45,7 @@ def _writer(path: str, end_id: int, folder: str):
 
         def ids():
             nonlocal found, nulls
-            for b in batches:
+            for b in small(batches):
                 of, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
                 for lo in range(0, len(texts), 500):
                     raw = e.encode(texts[lo : lo + 500])
@@ -58,6 +58,7 @@ def _writer(path: str, end_id: int, folder: str):
                     yield end.join([*raw, b""])
 
         write_bytes(f"{folder}/ids-{part:06d}.bin", ids())
+        give_back(encoders=False)
         if found:
             offsets = np.concatenate([np.zeros(1, "<u8"), np.cumsum(np.concatenate(sizes), dtype="<u8")])
             write_bytes(f"{folder}/offsets-{part:06d}.bin", [offsets.tobytes()])

@@ -85,9 +85,8 @@ def test_blocks(seed):
 
 
 def test_large_group_block_by_block(spark, monkeypatch):
-    """Bands of many blocks, without leaders' help."""
+    """Bands of many blocks."""
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", 4096)
-    monkeypatch.setattr(jaccard, "MASKS", [])
     copies = edited(160, 9)
     got = sorted(r["doc_id"] for r in simhash.keep_one(frame(spark, copies)).collect())
     assert got == least(copies)
