@@ -3,7 +3,7 @@
 Words are runs of digits, letters a to z and characters beyond ASCII, after A to Z are lower-cased.
 A benchmark item gives each window of ``size`` consecutive words, or, if it has fewer, one window
 of all its words.  A document's windows of the same lengths are first tested in their row against
-a table of bits, hashed from three words of each benchmark window, with 32 bits or more for each
+a table of bits, hashed from three words of each benchmark window, with 1,024 bits or more for each
 window (16 MB at most); the few that remain are joined, as whole strings, with the benchmark's
 windows.  That side is broadcast only if its measured size is at most ``broadcast_bytes``; beyond
 that Spark shuffles both sides, of which the documents' has only windows that passed the table.
@@ -25,7 +25,7 @@ from palimpsest.llm.shared import FILE, ROW, ROW_KEY, read_table, stored, with_r
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-LEAST_SLOTS, MOST_SLOTS, SLOTS_EACH = 1 << 15, 1 << 27, 32
+LEAST_SLOTS, MOST_SLOTS, SLOTS_EACH = 1 << 15, 1 << 27, 1024
 
 
 def words_of(text: Column) -> Column:
@@ -78,10 +78,14 @@ def _tried(docs: DataFrame, windows: DataFrame, size: int) -> tuple[DataFrame, i
     some = at == -1
     for _, ok in passing:
         some = some | ok
-    lengths = F.when(at == -1, F.array(F.lit(0))).otherwise(F.array_compact(F.array(*[F.when(ok, F.lit(length)) for length, ok in passing]).cast("array<int>")))
-    rows = rows.where(some).select("doc_id", FILE, ROW, "words", "at", F.explode(lengths).alias("length"))
-    window = F.when(F.col("length") > 0, F.array_join(F.slice("words", at + 1, F.greatest(F.col("length"), F.lit(0))), " "))
-    return rows.select("doc_id", FILE, ROW, F.size("words").cast("long").alias("n_words"), "at", "length", window.alias("window")), sum(r["bytes"] for r in known)
+    # the windows' words become strings here, so that a row takes no array of words along
+    of = lambda length: F.struct(F.lit(length).alias("length"), F.array_join(F.slice(words, at + 1, length), " ").alias("window"))
+    none = F.array(F.struct(F.lit(0).alias("length"), F.lit(None).cast("string").alias("window")))
+    # nulls go after the explosion: what would drop them here is not compiled, and rows would wait with their words
+    found = F.when(at == -1, none).otherwise(F.array(*[F.when(ok, of(length)) for length, ok in passing]) if passing else none)
+    rows = rows.where(some).select("doc_id", FILE, ROW, F.size("words").cast("long").alias("n_words"), "at", found.alias("found"))
+    rows = rows.select("doc_id", FILE, ROW, "n_words", "at", F.explode("found").alias("w")).where("w IS NOT NULL")
+    return rows.select("doc_id", FILE, ROW, "n_words", "at", "w.length", "w.window"), sum(r["bytes"] for r in known)
 
 
 def _hits(docs: DataFrame, benchmark: DataFrame, size: int, broadcast_bytes: int) -> tuple[DataFrame, DataFrame]:
