@@ -6,21 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that the retrieval tokenizer leaves out.
-STOP_WORDS = (
-    "a an the and or but in on at to for of with "
-    "by from is are was were be been being have has "
-    "had do does did will would could should may might "
-    "shall can this that these those i you he she we "
-    "they it my your his her our their its me him us "
-    "them what which who when where how why not no so "
-    "if as up out about into than then too very just "
-    "also more some all any each most other such same "
-    "get got make made go going know think see look "
-    "want use need like time way even here there"
-).split()
+STOP_WORDS = [
+    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "are", "was", "were", "be", "been",
+    "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "shall", "can", "this", "that", "these",
+    "those", "i", "you", "he", "she", "we", "they", "it", "my", "your", "his", "her", "our", "their", "its", "me", "him", "us", "them", "what",
+    "which", "who", "when", "where", "how", "why", "not", "no", "so", "if", "as", "up", "out", "about", "into", "than", "then", "too", "very", "just",
+    "also", "more", "some", "all", "any", "each", "most", "other", "such", "same", "get", "got", "make", "made", "go", "going", "know", "think",
+    "see", "look", "want", "use", "need", "like", "time", "way", "even", "here", "there",
+]
 
 # Words that may not begin or end a mined phrase.
-PHRASE_STOP_WORDS = "the a an is are was were be and or but in on at to for of with by from this that it".split()
+PHRASE_STOP_WORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "this", "that",
+    "it",
+]
 
 
 def retrieval_tokens(text: Column) -> Column:

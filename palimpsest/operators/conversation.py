@@ -29,21 +29,27 @@ def without_echoes(turns: DataFrame, window_ms: int = 5_000, back: int = 5) -> D
     """Turns (conv_id, arrival, role, content, ts_ms, ...) in order of arrival, without those that repeat an accepted one.
 
     A turn repeats if one of the last ``back`` accepted turns, by time, has its role and content
-    and is less than ``window_ms`` away.  The fold goes over one conversation's turns at a time.
+    and is less than ``window_ms`` away.  Conversations are sorted, not collected: a task streams
+    through them in Arrow batches and carries the last ``back`` accepted turns alone.
     """
-    others = [c for c in turns.columns if c not in ("conv_id", "arrival", "id", "role", "content", "ts_ms")]
-    row = F.struct("arrival", "id", "role", "content", "ts_ms", *others)
-    kinds = dict(turns.dtypes)
-    empty = F.array().cast("array<struct<" + ",".join(f"{c}:{kinds[c]}" for c in ("arrival", "id", "role", "content", "ts_ms", *others)) + ">>")
+    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "arrival")
 
-    def step(kept, t):
-        last = F.slice(kept, F.greatest(F.size(kept) - (back - 1), F.lit(1)), back)
-        again = F.exists(last, lambda x: (x["role"] == t["role"]) & (x["content"] == t["content"]) & (F.abs(x["ts_ms"] - t["ts_ms"]) < window_ms))
-        by_time = lambda a, b: F.when(a["ts_ms"] < b["ts_ms"], -1).when(a["ts_ms"] > b["ts_ms"], 1).otherwise(a["arrival"].cast("int") - b["arrival"].cast("int"))
-        return F.when(again, kept).otherwise(F.array_sort(F.array_append(kept, t), by_time))
+    def run(batches):
+        import pyarrow as pa
 
-    folded = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("rows")).select("conv_id", F.aggregate("rows", empty, step).alias("rows"))
-    return folded.select("conv_id", F.inline("rows"))
+        now, last = object(), []
+        for b in batches:
+            keep = []
+            for conv, at, role, content, ms in zip(*[b.column(c).to_pylist() for c in ("conv_id", "arrival", "role", "content", "ts_ms")]):
+                if conv != now:
+                    now, last = conv, []
+                again = role is not None and content is not None and any(r == role and c == content and abs(t - ms) < window_ms for t, _, r, c in last)
+                keep.append(not again)
+                if not again:
+                    last = sorted([*last, (ms, at, role, content)], key=lambda x: x[:2])[-back:]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return ordered.mapInArrow(run, turns.schema)
 
 
 def rollup(turns: DataFrame) -> DataFrame:
@@ -123,11 +129,10 @@ def migration_batches(turns: DataFrame, size: int = 25) -> DataFrame:
 def extraction_text(turns: DataFrame, last: int = 20, each: int = 2_000, most: int = 8_000, least: int = 100) -> DataFrame:
     """conv_id, text: the last turns of each conversation with their speakers; conversations under ``least`` characters are left out."""
     speaker = F.when(F.col("role") == "user", "User: ").otherwise("Assistant: ")
-    line = F.struct("turn", F.concat(speaker, F.substring("content", 1, each)).alias("line"))
-    lines = F.array_sort(F.collect_list(line))
-    per = turns.groupBy("conv_id").agg(lines.alias("lines"))
-    tail = F.slice("lines", F.greatest(F.size("lines") - (last - 1), F.lit(1)), last)
-    text = F.substring(F.array_join(F.transform(tail, lambda x: x["line"]), "\n\n"), 1, most)
+    line = F.concat(speaker, F.substring("content", 1, each))
+    tail = last_turns(turns.select("conv_id", "turn", "role", "content"), last).select("conv_id", F.struct("turn", line.alias("line")).alias("x"))
+    per = tail.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("lines"))
+    text = F.substring(F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n"), 1, most)
     return per.select("conv_id", text.alias("text")).where(F.length("text") >= least)
 
 
@@ -152,3 +157,31 @@ def new_words_query(turns: DataFrame, least: int = 15) -> DataFrame:
     rows = rows.withColumn("fresh", fresh)
     tail = F.slice("fresh", F.greatest(F.size("fresh") - 49, F.lit(1)), 50)
     return rows.select("id", F.when(F.size("fresh") >= 5, F.array_join(tail, " ")).otherwise(F.substring(F.col("clean"), F.greatest(F.length("clean") - 499, F.lit(1)), F.lit(500))).alias("query"))
+
+
+def mark_synced(synced: DataFrame, flushed: DataFrame, at_ms: int) -> DataFrame:
+    """(conv_id, synced_at) after the conversations of ``flushed`` (conv_id) were sent at ``at_ms``."""
+    now = flushed.select("conv_id").distinct().withColumn("synced_at", F.lit(at_ms).cast("long"))
+    return synced.select("conv_id", "synced_at").unionByName(now).groupBy("conv_id").agg(F.max("synced_at").alias("synced_at"))
+
+
+def sync_entry(flushed: DataFrame, at_ms: int, error: str | None = None) -> DataFrame:
+    """One row for the sync log: id, timestamp, conversations_flushed, turns_flushed, status, error."""
+    one = flushed.agg(F.countDistinct("conv_id").alias("conversations_flushed"), F.count("*").alias("turns_flushed"))
+    sent = lambda c: F.col(c) if error is None else F.lit(0).cast("long")
+    return one.select(
+        F.lit(f"sync_{at_ms}").alias("id"), F.lit(at_ms).cast("long").alias("timestamp"), sent("conversations_flushed").alias("conversations_flushed"), sent("turns_flushed").alias("turns_flushed"),
+        F.lit("ok" if error is None else "error").alias("status"), F.lit(error).cast("string").alias("error"),
+    )
+
+
+def sync_log(entries: DataFrame, n: int = 20) -> DataFrame:
+    return entries.orderBy(F.desc("timestamp"), "id").limit(n)
+
+
+def migration_tallies(turns: DataFrame, there: DataFrame, size: int = 25) -> DataFrame:
+    """batch, ingested, skipped, errors: turns (conv_id, id, content) that are new, that ``there`` (id) holds, and that have no content."""
+    rows = turns.join(migration_batches(turns, size).select("batch", "conv_id"), "conv_id").join(there.select("id").distinct().withColumn("known", F.lit(True)), "id", "left")
+    bad = F.coalesce(F.trim("content") == "", F.lit(True))
+    known = F.coalesce("known", F.lit(False))
+    return rows.groupBy("batch").agg(F.count_if(~bad & ~known).alias("ingested"), F.count_if(~bad & known).alias("skipped"), F.count_if(bad).alias("errors"))

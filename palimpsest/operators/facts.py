@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.plans.steps import materialised
+from palimpsest.plans.steps import components, materialised
 
 
 def search(facts: DataFrame, text: str) -> DataFrame:
@@ -26,35 +28,67 @@ def parsed_answer(answer: Column) -> Column:
     return F.from_json(bare, "array<struct<content:string,category:string,confidence:string>>")
 
 
+def fact_words(content: Column) -> Column:
+    """The distinct lower-case words over two characters, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(content), r"\s+"), lambda w: F.length(w) > 2)))
+
+
 def similar_pairs(facts: DataFrame, least: float = 0.85) -> DataFrame:
     """a < b, similarity: facts (id, content) of different word sets that share ``least`` of the larger one's words over two characters.
 
-    Facts of one word set count once, by their least id.  Of each set the rarest words are enough
-    to find every partner: a set of n words and any partner share one of its n - ceil(least * n) + 1
-    rarest, so common words never join.
+    Facts of one word set count once, by their least id.  Words go by 64-bit hashes.  Of each set the
+    rarest words are enough to find every partner: a set of n words and any partner share one of its
+    n - ceil(least * n) + 1 rarest, so common words never join; and where the first word they share
+    stands, enough words must follow in both.
     """
-    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("content"), r"\s+"), lambda w: F.length(w) > 2)))
+    words = F.array_sort(F.array_distinct(F.transform(fact_words(F.col("content")), lambda w: F.xxhash64(w))))
     sets = facts.select("id", words.alias("words")).where(F.size("words") > 0).groupBy("words").agg(F.min("id").alias("id"))
-    posted = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    df = posted.groupBy("word").agg(F.count("*").alias("df"))
-    order = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
-    prefix = posted.join(df, "word").withColumn("at", order).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("word", "id", "n")
-    left, right = prefix.select("word", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("word", F.col("id").alias("b"), F.col("n").alias("nb"))
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least)
-    pairs = left.join(right, "word").where(near).select("a", "b").distinct()
+    sets = materialised(sets.select("id", F.size("words").alias("n"), "words"))
+    posted = sets.select("id", "n", F.explode("words").alias("word"))
+    df = posted.groupBy("word").agg(F.count("*").alias("df")).where("df > 1")
+    # words of one set alone find no partner; they keep their places at the front of the order
+    shared = posted.join(df, "word").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
+    alone = F.col("n") - F.size("w")
+    prefix = F.slice("w", F.lit(1), F.greatest(F.lit(0).cast("long"), F.col("n") - F.ceil(F.col("n") * least) + 1 - alone).cast("int"))
+    placed = shared.select("id", "n", alone.alias("alone"), F.posexplode(prefix).alias("at", "x"))
+    placed = materialised(placed.select("id", "n", F.col("x.word").alias("word"), (F.col("n") - F.col("alone") - F.col("at")).alias("rest")))
+    left, right = placed.select("word", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "rest")]), placed.select("word", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "rest")])
+    need = F.greatest("n_a", "n_b") * least - 1e-6
+    near = (F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= need) & (F.least("rest_a", "rest_b") >= need)
+    pairs = left.join(right, "word").where(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
     score = F.size(F.array_intersect("wa", "wb")) / F.greatest(F.size("wa"), F.size("wb"))
     return both.select("a", "b", F.round(score, 6).alias("similarity")).where(F.col("similarity") >= least)
 
 
-def accepted(ids: DataFrame, pairs: DataFrame, most_rounds: int = 100) -> DataFrame:
+def _folder():
+    def fold(key, rows):
+        """Which ids of one component a pass in id order keeps; needs no import of this package."""
+        import pyarrow as pa
+
+        partners: dict[int, list[int]] = {}
+        for a, b in zip(rows.column("a").to_pylist(), rows.column("b").to_pylist()):
+            partners.setdefault(b, []).append(a)
+            partners.setdefault(a, [])
+        kept: set[int] = set()
+        for b in sorted(partners):
+            if kept.isdisjoint(partners[b]):
+                kept.add(b)
+        return pa.table({"id": pa.array(sorted(kept), pa.int64())})
+
+    return fold
+
+
+def accepted(ids: DataFrame, pairs: DataFrame, rounds: int = 2) -> DataFrame:
     """Ids that a pass in id order keeps: those with no smaller kept partner in ``pairs`` (a < b).
 
-    Each round settles every id whose smaller partners are all settled.
+    ``rounds`` rounds settle every id whose smaller partners are all settled, which leaves little of
+    dense groups.  What is still open hangs together in chains, however long: each connected
+    component of it is folded in one task, which holds two numbers for each of its pairs.
     """
     kept = None
     open_pairs, open_ids = pairs.select("a", "b"), ids.select("id")
-    for _ in range(most_rounds):
+    for _ in range(rounds):
         waiting = open_pairs.select(F.col("b").alias("id")).distinct()
         now = materialised(open_ids.join(waiting, "id", "left_anti"))
         gone = materialised(open_pairs.join(now.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct())
@@ -64,4 +98,24 @@ def accepted(ids: DataFrame, pairs: DataFrame, most_rounds: int = 100) -> DataFr
         open_pairs = materialised(open_pairs.join(gone.withColumnRenamed("id", "b"), "b", "left_anti").join(settled.withColumnRenamed("id", "a"), "a", "left_anti").select("a", "b"))
         if open_ids.isEmpty():
             return kept
-    raise RuntimeError(f"not settled in {most_rounds} rounds")
+    roots = components(open_pairs)
+    rest = open_pairs.join(roots.withColumnRenamed("node", "a"), "a").groupBy("root").applyInArrow(_folder(), "id long")
+    return kept.unionByName(rest).unionByName(open_ids.join(roots.select(F.col("node").alias("id")), "id", "left_anti"))
+
+
+def fuzzy_distinct(facts: DataFrame, least: float = 0.85) -> DataFrame:
+    """Ids of ``facts`` (id, content) that a pass in id order keeps: no smaller kept one is equal, in lower case, or shares ``least`` of the larger one's words."""
+    texts = facts.groupBy(F.lower("content").alias("content")).agg(F.min("id").alias("id"))
+    sets = texts.select("id", fact_words(F.col("content")).alias("words"))
+    one = sets.where(F.size("words") > 0).groupBy("words").agg(F.min("id").alias("id")).select("id").unionByName(sets.where(F.size("words") == 0).select("id"))
+    return accepted(one, similar_pairs(texts, least))
+
+
+def extracted(texts: DataFrame, extract: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Valid facts that an extractor finds in ``texts`` (conv_id, text).
+
+    ``extract`` adds ``answer``, a model's JSON list of facts, to each row: it may call a service from an
+    Arrow batch or apply rules; what does not parse gives no facts.
+    """
+    answers = extract(texts)
+    return valid(answers.select("conv_id", F.inline(parsed_answer(F.col("answer")))))

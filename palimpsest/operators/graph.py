@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.plans.steps import materialised
+
 # Patterns of entities, in order: (pattern, type, prefix of the key, least length).
 ENTITY_PATTERNS = [
     (r"(?i)\b(docker|kubernetes|k8s|nginx|traefik|postgres|postgresql|sqlite|redis|minio|n8n|ollama|llama|claude|openai|anthropic|chromium|chrome)\b", "tool", "", 0),
@@ -34,6 +36,17 @@ def project_pattern(names: list[str]) -> tuple[str, str, str, int]:
     return (r"\b(" + "|".join(names) + r")\b", "project", "", 0)
 
 
+def domain_pattern(domain: str) -> tuple[str, str, str, int]:
+    """Hosts below a domain of one's own, to be put after all other patterns."""
+    return ("(?i)([a-z0-9-]+" + "".join("\\." + part for part in domain.split(".")) + ")", "location", "", 0)
+
+
+def with_own(names: list[str] = (), domain: str | None = None) -> list[tuple[str, str, str, int]]:
+    """The patterns with a host's own project names and domain among them."""
+    own = [*ENTITY_PATTERNS[:2], *([project_pattern(list(names))] if names else []), *ENTITY_PATTERNS[2:]]
+    return [*own, domain_pattern(domain)] if domain else own
+
+
 def _found(text: Column, patterns) -> Column:
     """Array of (key, type, shown) in order of pattern and place."""
     every = []
@@ -44,17 +57,21 @@ def _found(text: Column, patterns) -> Column:
     return F.concat(*every)
 
 
-def with_entities(facts: DataFrame, patterns=ENTITY_PATTERNS) -> DataFrame:
-    """``facts`` (id, content, ts_ms) with ``e``, their (name, type, shown), each key once.
+def parsed(facts: DataFrame, patterns=ENTITY_PATTERNS) -> DataFrame:
+    """``facts`` (id, content, ts_ms) with ``e``, their (name, type, shown), each key once, and ``said``, what their words say of the first entity.
 
-    What is found is a column of its own before its first ones are picked, so that each pattern
-    runs once over a text.
+    Each pattern runs once over a text: what it finds is folded in one expression, and a relation's
+    target is taken from the few words that matched.
     """
-    found = facts.select("id", "content", "ts_ms", _found(F.col("content"), patterns).alias("found"))
-    keyed = found.withColumn("keys", F.transform("found", lambda x: x["key"]))
-    firsts = F.filter("found", lambda e, i: F.array_position(F.col("keys"), e["key"]) == i + 1)
+    kind = "array<struct<key:string,type:string,shown:string>>"
+    firsts = F.aggregate(_found(F.col("content"), patterns), F.array().cast(kind), lambda kept, x: F.when(F.exists(kept, lambda k: k["key"] == x["key"]), kept).otherwise(F.array_append(kept, x)))
     named = F.transform(firsts, lambda e: F.struct(F.trim(F.lower(e["shown"])).alias("name"), e["type"].alias("type"), e["shown"].alias("shown")))
-    return keyed.select("id", "content", "ts_ms", named.alias("e"))
+    said = F.concat(*[F.transform(F.regexp_extract_all("content", F.lit(pattern), 0), _target(pattern, rel, n)) for n, (pattern, rel) in enumerate(RELATION_PATTERNS)])
+    return facts.select("id", "content", "ts_ms", named.alias("e"), F.filter(said, lambda s: F.length(s["to"]) >= 2).alias("said"))
+
+
+def _target(pattern: str, rel: str, n: int):
+    return lambda m, i: F.struct((i + 100 * (n + 1)).alias("at"), F.trim(F.lower(F.regexp_extract(m, pattern, 1))).alias("to"), F.lit(rel).alias("rel"), m.alias("evidence"))
 
 
 def _at_least(n: int):
@@ -65,27 +82,24 @@ def _entity(kind: str, prefix: str):
     return lambda name: F.struct(F.concat(F.lit(prefix), F.lower(name)).alias("key"), F.lit(kind).alias("type"), name.alias("shown"))
 
 
-def mentions(facts: DataFrame) -> DataFrame:
+def mentions(facts: DataFrame, patterns=ENTITY_PATTERNS) -> DataFrame:
     """fact_id, ts_ms, at, name, type, shown: entities in the order in which facts (id, content, ts_ms) bring them up, relation targets last."""
-    rows = with_entities(facts)
-    own = rows.select(F.col("id").alias("fact_id"), "ts_ms", F.posexplode("e").alias("at", "x")).select("fact_id", "ts_ms", "at", "x.name", "x.type", "x.shown")
-    targets = relation_rows(facts).where("rel <> 'CO_OCCURS_WITH'").select(
-        "fact_id", "ts_ms", (F.col("at") + 1000).cast("int").alias("at"), F.col("to").alias("name"), F.lit("concept").alias("type"), F.col("to").alias("shown")
-    )
-    return own.unionByName(targets)
+    own = F.transform("e", lambda x, i: F.struct(i.alias("at"), x["name"].alias("name"), x["type"].alias("type"), x["shown"].alias("shown")))
+    targets = F.transform("said", lambda s: F.struct((s["at"] + 1000).alias("at"), s["to"].alias("name"), F.lit("concept").alias("type"), s["to"].alias("shown")))
+    every = F.concat(own, F.when(F.size("e") > 0, targets).otherwise(F.slice(targets, 1, 0)))
+    return parsed(facts, patterns).select(F.col("id").alias("fact_id"), "ts_ms", F.explode(every).alias("m")).select("fact_id", "ts_ms", "m.*")
 
 
-def entities(facts: DataFrame) -> DataFrame:
+def entities(facts: DataFrame, patterns=ENTITY_PATTERNS) -> DataFrame:
     """name, type, shown, mentions, first_seen, last_seen."""
     first = F.struct("fact_id", "at")
-    return mentions(facts).groupBy("name").agg(
+    return mentions(facts, patterns).groupBy("name").agg(
         F.min_by("type", first).alias("type"), F.min_by("shown", first).alias("shown"), F.count("*").alias("mentions"), F.min("ts_ms").alias("first_seen"), F.max("ts_ms").alias("last_seen")
     )
 
 
 def relation_rows(facts: DataFrame) -> DataFrame:
     """fact_id, ts_ms, at, from, to, rel, evidence, confidence: neighbours in a fact, then what its words say of the first entity."""
-    rows = with_entities(facts)
     near = F.when(F.size("e") >= 2, F.sequence(F.lit(1), F.size("e") - 1)).otherwise(F.array().cast("array<int>"))
     kind = "array<struct<at:int,from:string,to:string,rel:string,evidence:string,confidence:double>>"
     chain = F.transform(
@@ -95,21 +109,14 @@ def relation_rows(facts: DataFrame) -> DataFrame:
             F.substring("content", 1, 100).alias("evidence"), F.lit(0.4).cast("double").alias("confidence"),
         ),
     ).cast(kind)
-    said = []
-    for n, (pattern, rel) in enumerate(RELATION_PATTERNS):
-        pairs = F.arrays_zip(F.regexp_extract_all("content", F.lit(pattern), 0).alias("m"), F.regexp_extract_all("content", F.lit(pattern), 1).alias("t"))
-        said.append(F.transform(F.filter(pairs, lambda p: F.length(F.trim(p["t"])) >= 2), _said(rel, n)).cast(kind))
-    explicit = F.when(F.size("e") > 0, F.concat(*said)).otherwise(F.array().cast(kind))
-    every = rows.select(F.col("id").alias("fact_id"), "ts_ms", F.explode(F.concat(chain, explicit)).alias("r"))
+    explicit = F.transform(
+        F.when(F.size("e") > 0, F.col("said")).otherwise(F.slice("said", 1, 0)),
+        lambda s: F.struct(s["at"].alias("at"), F.get("e", F.lit(0))["name"].alias("from"), s["to"].alias("to"), s["rel"].alias("rel"), s["evidence"].alias("evidence"), F.lit(0.75).cast("double").alias("confidence")),
+    ).cast(kind)
+    every = parsed(facts).select(F.col("id").alias("fact_id"), "ts_ms", F.explode(F.concat(chain, explicit)).alias("r"))
     return every.select("fact_id", "ts_ms", "r.*")
 
 
-def _said(rel: str, n: int):
-    return lambda p, i: F.struct(
-        (i + 100 * (n + 1)).alias("at"), F.element_at("e", 1)["name"].alias("from"), F.trim(F.lower(p["t"])).alias("to"), F.lit(rel).alias("rel"), p["m"].alias("evidence"), F.lit(0.75).cast("double").alias("confidence")
-    )
-
-
 def relations(facts: DataFrame) -> DataFrame:
     """from, to, rel, confidence, evidence, n: confidence is the first one's and 0.05 for each further one, 1 at most; evidence is the last."""
     at = F.struct("fact_id", "at")
@@ -171,3 +178,12 @@ def stats(ents: DataFrame, rels: DataFrame) -> DataFrame:
 
 def top_entities(ents: DataFrame, n: int = 10) -> DataFrame:
     return ents.orderBy(F.desc("mentions"), "name").limit(n)
+
+
+def layer(ents: DataFrame, rels: DataFrame, query: str, least: int = 50) -> DataFrame | None:
+    """id, score, method of a walk from a query's entities; None if its block has no more than ``least`` characters."""
+    seen = materialised(walk(seeds(ents, query), rels))
+    text = block(seen, ents, rels).first()["block"]
+    if text is None or len(text) <= least:
+        return None
+    return seen.select(F.col("name").alias("id"), (2 - F.col("hop")).alias("score"), F.lit("graph").alias("method"))

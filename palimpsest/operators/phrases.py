@@ -11,25 +11,27 @@ SPEC_BUDGET, SPEC_COST, SYMBOL_COST = 80, 3, 1
 
 
 def phrase_counts(texts: DataFrame, shortest: int = 2, longest: int = 6, least_freq: int = 2, least_convs: int = 1) -> DataFrame:
-    """phrase, freq, n_convs of word n-grams in ``texts`` (conv_id, content); grams go from turn to turn of a conversation."""
-    whole = texts.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "content"))), lambda t: t["content"]), " ").alias("content"))
-    whole = whole.where(F.length("content") >= 10)
+    """phrase, freq, n_convs of word n-grams in ``texts`` (conv_id, turn, content); grams go from turn to turn of a conversation.
+
+    A turn's grams are found in its words and the first few of the turns after it, so no conversation
+    is gathered in one row.
+    """
     clean = F.trim(F.regexp_replace(F.regexp_replace(F.lower("content"), r"[^a-z0-9\s'-]", " "), r"\s+", " "))
-    words = whole.select("conv_id", F.filter(F.split(clean, " "), lambda w: F.length(w) > 1).alias("w"))
-    stop = F.array(*[F.lit(x) for x in PHRASE_STOP_WORDS])
-    grams = [_grams(n) for n in range(shortest, longest + 1)]
-    found = words.select("conv_id", F.explode(F.concat(*grams)).alias("g"))
-    ok = (F.length("g.phrase") >= 6) & ~F.array_contains(stop, F.col("g.first")) & ~F.array_contains(stop, F.col("g.last"))
+    order, whole = Window.partitionBy("conv_id").orderBy("turn"), Window.partitionBy("conv_id")
+    size = F.sum(F.length("content") + 1).over(whole) - 1
+    turns = texts.select("conv_id", "turn", F.length("content").alias("l"), F.filter(F.split(clean, " "), lambda w: F.length(w) > 1).alias("w"), size.alias("size")).where("size >= 10 AND size(w) > 0")
+    following = F.flatten(F.collect_list(F.slice("w", 1, longest - 1)).over(order.rowsBetween(1, longest - 1)))
+    rows = turns.select("conv_id", F.size("w").alias("own"), F.concat("w", F.slice(following, 1, longest - 1)).alias("w"))
+    # rows of places and lengths, not arrays of phrases: the filters come before a phrase is put together
+    begins = rows.select("conv_id", "w", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("i")).where(~F.get("w", F.col("i") - 1).isin(PHRASE_STOP_WORDS))
+    grams = begins.select("conv_id", "w", "i", F.explode(F.array(*[F.lit(n) for n in range(shortest, longest + 1)])).alias("n"))
+    last = F.get("w", F.col("i") + F.col("n") - 2)
+    found = grams.where(last.isNotNull() & ~last.isin(PHRASE_STOP_WORDS)).select("conv_id", F.array_join(F.slice("w", F.col("i"), F.col("n")), " ").alias("phrase")).where(F.length("phrase") >= 6)
     # two steps: a phrase's rows of one conversation meet before those of all
-    per = found.where(ok).groupBy(F.col("g.phrase").alias("phrase"), "conv_id").agg(F.count("*").alias("n"))
+    per = found.groupBy("phrase", "conv_id").agg(F.count("*").alias("n"))
     return per.groupBy("phrase").agg(F.sum("n").alias("freq"), F.count("*").alias("n_convs")).where((F.col("freq") >= least_freq) & (F.col("n_convs") >= least_convs))
 
 
-def _grams(n: int):
-    starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(F.array_join(F.slice("w", i, n), " ").alias("phrase"), F.element_at("w", i).alias("first"), F.element_at("w", i + (n - 1)).alias("last")))
-
-
 def candidates(counts: DataFrame) -> DataFrame:
     """phrase, freq, n_convs, tokens, value of phrases worth an entry."""
     tokens = phrase_token_estimate(F.length("phrase"))
@@ -68,3 +70,8 @@ def symbol_for(phrase: str, used: set[str]) -> str:
     while f"§{n}" in used:
         n += 1
     return f"§{n}"
+
+
+def by_frequency(symbols: DataFrame, n: int = 16) -> DataFrame:
+    """The n most frequent entries of a dictionary."""
+    return symbols.orderBy(F.desc(F.coalesce("freq", F.lit(0))), "symbol").limit(n)

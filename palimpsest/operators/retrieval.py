@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import relevance_tokens, retrieval_tokens
+from palimpsest.plans.steps import materialised
 
 K1, B, RRF = 1.5, 0.75, 60
 
@@ -66,16 +67,87 @@ def normalised(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, threshold: float = 0.2, k: int = 16, strict: bool = True, same_model: bool = False) -> DataFrame:
-    """query_id, id, score, rank of the k best of ``vectors`` (id, vector, model) for each of a few ``queries`` (query_id, query, query_model)."""
-    pairs = vectors.join(F.broadcast(queries), F.col("model") == F.col("query_model") if same_model else F.lit(True))
-    score = F.round(cosine(F.col("vector"), F.col("query")), 4)
-    found = pairs.select("query_id", "id", score.alias("score"))
-    found = found.where(F.col("score") > threshold) if strict else found.where(F.col("score") >= threshold)
+def _nearest(matrix, norms, query_ids, query_models, threshold: float, k: int, strict: bool, same_model: bool):
+    """Arrow batches of vectors to the k best of each batch for each query of a block; needs no import of this package."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        q, q_norms, q_ids, q_models = matrix.value, norms.value, query_ids.value, query_models.value
+        for batch in (b.slice(at, 2048) for b in batches for at in range(0, len(b), 2048)):
+            vectors = batch.column("vector")
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(vectors), 0))
+            rows = np.flatnonzero(sizes == q.shape[1])
+            v = np.asarray(vectors.take(pa.array(rows)).flatten(), np.float64).reshape(len(rows), q.shape[1])
+            lengths = np.sqrt((v * v).sum(1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score = (q @ v.T) / (q_norms[:, None] * lengths[None, :])
+            score = np.where(np.isfinite(score), score, 0.0)
+            score = np.sign(score) * np.floor(np.abs(score) * 1e4 + 0.5) / 1e4
+            found = score > threshold if strict else score >= threshold
+            if same_model:
+                models = np.array(batch.column("model").to_pylist(), object)[rows]
+                found &= np.array(q_models, object)[:, None] == models[None, :]
+            a, b = np.nonzero(found)
+            ids = batch.column("id").take(pa.array(rows))
+            order = np.lexsort((pc.rank(ids, "ascending", tiebreaker="first").to_numpy()[b] if len(rows) else b, -score[a, b], a))
+            a, b = a[order], b[order]
+            place = np.arange(len(a)) - np.searchsorted(a, a)
+            a, b = a[place < k], b[place < k]
+            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(score[a, b])], ["query_id", "id", "score"])
+
+    return run
+
+
+def vector_search(
+    vectors: DataFrame, queries: DataFrame, threshold: float = 0.2, k: int = 16, strict: bool = True, same_model: bool = False, block_bytes: int = 16 << 20
+) -> DataFrame:
+    """query_id, id, score, rank of the k best of ``vectors`` (id, vector, model) for each of ``queries`` (query_id, query, query_model).
+
+    Queries go in blocks of at most some ``block_bytes`` of components, each broadcast; every block is
+    compared with all vectors by matrix products of Arrow batches, of which each hands on its k best.
+    Vectors of another length than a query's score 0 with it, and so do vectors without length.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    spark = vectors.sparkSession
+    kinds = dict(vectors.dtypes) | dict(queries.dtypes)
+    out = f"query_id {kinds['query_id']}, id {kinds['id']}, score double"
+    sizes = queries.groupBy(F.size("query").alias("dim")).agg(F.count("*").alias("n")).where("dim > 0").collect()  # a row for each length
+    found = None
+    for r in sorted(sizes):
+        blocks = -(-r["n"] * r["dim"] * 8 // block_bytes)
+        for i in range(blocks):
+            block = queries.where((F.size("query") == r["dim"]) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).select("query_id", "query", "query_model").toArrow().combine_chunks()
+            q = np.asarray(pc.list_flatten(block.column("query")).combine_chunks(), np.float64).reshape(len(block), r["dim"])
+            values = [q, np.sqrt((q * q).sum(1)), block.column("query_id").combine_chunks(), block.column("query_model").to_pylist()]
+            run = _nearest(*[spark.sparkContext.broadcast(v) for v in values], threshold, k, strict, same_model)
+            one = vectors.select("id", "vector", "model").mapInArrow(run, out)
+            found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = spark.createDataFrame([], out)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def embedded(docs: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
+    """``docs`` (id, content, ...) with ``vector``: ``embed`` of their content, brought to unit length.
+
+    ``embed`` maps a column of texts to a column of number arrays: an Arrow or Pandas UDF around a
+    model, or an expression such as ``hashed_embedding``.
+    """
+    return docs.withColumn("vector", normalised(embed(F.col("content"))))
+
+
+def hashed_embedding(text: Column, dim: int = 64) -> Column:
+    """A stand-in for a model: counts of a text's tokens by a hash of their characters."""
+    slots = F.transform(retrieval_tokens(text), lambda w: F.pmod(F.crc32(w), F.lit(dim)))
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+
+
 def rrf(legs: list[DataFrame], k: int = 8) -> DataFrame:
     """id, score by reciprocal ranks of ranked lists (id, rank from 1); ties go to the earlier leg, then to its rank."""
     every = None
@@ -100,27 +172,67 @@ def facts_by_confidence(facts: DataFrame, n: int = 8) -> DataFrame:
     return facts.withColumn("weight", weight).orderBy(F.desc("weight"), F.desc("ts_ms"), "id").limit(n)
 
 
-def first_layer(layers: list[DataFrame]) -> DataFrame:
-    """Rows of the first layer, lists of (id, score, method), that has any."""
-    every = None
-    for n, rows in enumerate(layers):
-        one = rows.select(F.col("id").cast("string").alias("id"), F.col("score").cast("double").alias("score"), "method", F.lit(n).alias("layer"))
-        every = one if every is None else every.unionByName(one)
-    least = every.agg(F.min("layer").alias("layer"))
-    return every.join(F.broadcast(least), "layer").select("layer", "id", "score", "method")
+def first_layer(layers: list[Callable[[], DataFrame | None]]) -> DataFrame | None:
+    """Rows of the first layer that has any, with its number; each layer gives a short list (id, score, method) or None.
+
+    A layer is only made if those before it are empty, and is made once.
+    """
+    for n, layer in enumerate(layers):
+        rows = layer()
+        if rows is None:
+            continue
+        rows = materialised(rows.select(F.lit(n).alias("layer"), F.col("id").cast("string").alias("id"), F.col("score").cast("double").alias("score"), "method"))
+        if not rows.isEmpty():
+            return rows
+    return None
+
 
+def layered(query: str, turns: DataFrame, graph: Callable[[], DataFrame | None] | None, facts: DataFrame, k: int = 6) -> DataFrame:
+    """Keyword search if the query is over 5 characters, else recent turns; then the graph; then facts.
 
-def layered(query: str, turns: DataFrame, graph: DataFrame | None, facts: DataFrame, k: int = 6) -> DataFrame:
-    """Keyword search if the query is over 5 characters, else recent turns; then the graph; then facts."""
+    ``graph`` makes its rows (id, score, method) when asked for, or None if it has too little to say.
+    """
     terms = query_terms(query)
-    empty = turns.where(F.lit(False)).select("id", F.lit(0.0).alias("score"), F.lit("").alias("method"))
-    if len(query) > 5:
-        first = rrf([ranked(bm25(turns, terms, 2 * k))], k) if terms else empty
-    else:
-        first = recent(turns, k)
-    second = graph if graph is not None and len(query) > 5 else empty
+    long = len(query) > 5
+    first = (lambda: rrf([ranked(bm25(turns, terms, 2 * k))], k) if terms else None) if long else (lambda: recent(turns, k))
     third = facts_by_confidence(facts).select("id", F.col("weight").alias("score"), F.lit("facts").alias("method"))
-    return first_layer([first, second, third])
+    found = first_layer([first, graph if graph and long else lambda: None, lambda: third])
+    if found is not None:
+        return found
+    return turns.where(F.lit(False)).select(F.lit(0).alias("layer"), F.col("id").cast("string").alias("id"), F.lit(0.0).alias("score"), F.lit("").alias("method"))
+
+
+def context_blocks(session: str | None, relevant: str | None, host: str = "") -> str | None:
+    """What goes before a message: a host's session context and what matches the message; None if there is neither."""
+    name = f"{host.upper()} " if host else ""
+    parts = []
+    if session:
+        parts += [f"--- {name}SESSION CONTEXT ---", "(Recent decisions, entities, and stable patterns from your work history.)", session, "--- END SESSION CONTEXT ---"]
+    if relevant:
+        parts += [f"--- {name}RELEVANT CONTEXT ---", "(Query-matched context from past sessions. Use to inform response; do not narrate.)", relevant, "--- END RELEVANT CONTEXT ---"]
+    return "\n".join(parts) + "\n\n" if parts else None
+
+
+def enrichment_block(text: Column, kind: Column, host: str = "") -> Column:
+    """A block of what was matched beforehand for a message of a kind (null: auto)."""
+    name = f"{host.upper()} " if host else ""
+    head = F.concat(F.lit(f"--- {name}ENRICHMENT ["), F.upper(F.coalesce(F.nullif(kind, F.lit("")), F.lit("auto"))), F.lit("] ---\n(Pre-matched patterns, decisions, entities for this message.)\n"))
+    return F.concat(head, F.trim(text), F.lit(f"\n--- END {name}ENRICHMENT ---\n\n"))
+
+
+def facts_by_time(facts: DataFrame) -> DataFrame:
+    """All facts, the newest first."""
+    return facts.orderBy(F.desc("ts_ms"), "id")
+
+
+def merged_lists(legs: list[DataFrame], payload: list[str]) -> DataFrame:
+    """id, score and payload of ranked lists (id, rank, ...): reciprocal ranks add up, the payload of a later list wins."""
+    every = None
+    for n, leg in enumerate(legs):
+        one = leg.select("id", "rank", F.lit(n).alias("leg"), F.struct(*payload).alias("p"))
+        every = one if every is None else every.unionByName(one)
+    fused = every.groupBy("id").agg(F.round(F.sum(1 / (F.lit(RRF) + F.col("rank"))), 6).alias("score"), F.max_by("p", F.struct("leg", -F.col("rank"))).alias("p"))
+    return fused.select("id", "score", "p.*")
 
 
 def query_terms(query: str) -> list[str]:

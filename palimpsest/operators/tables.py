@@ -7,9 +7,26 @@ from pyspark.sql import functions as F
 
 
 def upsert(rows: DataFrame, key: str, *version: str) -> DataFrame:
-    """Of rows with one key the latest by version, whole."""
-    at = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(v) for v in version]))
-    return rows.withColumn("_at", at).where("_at = 1").drop("_at")
+    """Of rows with one key the latest by version, whole; tasks hand on one row of each key."""
+    latest = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(*version)).alias("_row"))
+    return latest.select("_row.*")
+
+
+def merged(table: DataFrame, imported: DataFrame, key: str) -> DataFrame:
+    """``table`` after ``imported`` rows were put into it: of one key the imported row counts."""
+    both = table.withColumn("_put", F.lit(0)).unionByName(imported.withColumn("_put", F.lit(1)), allowMissingColumns=True)
+    return upsert(both, key, "_put").drop("_put")
+
+
+def overwritten(table: DataFrame, path: str) -> DataFrame:
+    """``table`` as the new whole of what is at ``path``."""
+    table.write.mode("overwrite").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def cleared(*tables: DataFrame) -> list[DataFrame]:
+    """The tables without their rows."""
+    return [t.limit(0) for t in tables]
 
 
 def point(table: DataFrame, key: str, value) -> DataFrame:
@@ -76,3 +93,29 @@ def import_json(spark: SparkSession, path: str) -> DataFrame:
 def stripped_for_reembedding(vectors: DataFrame) -> DataFrame:
     """What a move to another vector model takes along: texts, never vectors."""
     return vectors.select("id", "text", "created_at")
+
+
+PARTS = ("conversations", "facts", "settings", "syncLog")
+
+
+def export_all(path: str, version: int, exported_at: str, **data: DataFrame) -> None:
+    """An export: ``manifest`` (version, exportedAt, and rows of each part) and ``data``, JSON rows of the parts given, of PARTS."""
+    spark = next(iter(data.values())).sparkSession
+    for name, rows in data.items():
+        if name not in PARTS:
+            raise ValueError(f"no part of an export: {name}")
+        rows.write.mode("overwrite").json(f"{path}/data/{name}")
+    spark.createDataFrame([(version, exported_at, sorted(data))], "version int, exportedAt string, parts array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def import_all(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The parts of an export, read by ``schemas``; a part that it lacks is empty.  ValueError where there is no export."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        manifest = spark.read.schema("version int, exportedAt string, parts array<string>").json(f"{path}/manifest").first()
+    except AnalysisException:
+        manifest = None
+    if manifest is None or manifest["parts"] is None:
+        raise ValueError("Invalid export format")
+    return {name: spark.read.schema(schema).json(f"{path}/data/{name}") if name in manifest["parts"] else spark.createDataFrame([], schema) for name, schema in schemas.items()}

@@ -39,5 +39,6 @@ def health_label(score: Column) -> Column:
 
 
 def vector_stats(vectors: DataFrame) -> DataFrame:
-    """model, n, kilobytes of 4-byte components."""
-    return vectors.groupBy("model").agg(F.count("*").alias("n"), F.floor(F.sum(F.size("vector")) * 4 / 1024 + 0.5).cast("long").alias("kilobytes"))
+    """model, n, kilobytes of 4-byte components, and when the oldest and the newest of ``vectors`` (model, vector, created_at) came."""
+    kilobytes = F.floor(F.sum(F.size("vector")) * 4 / 1024 + 0.5).cast("long")
+    return vectors.groupBy("model").agg(F.count("*").alias("n"), kilobytes.alias("kilobytes"), F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import compression, text
 from palimpsest.operators import conversation, facts, graph, phrases, retrieval, tables, telemetry, windows
-from palimpsest.plans.steps import materialised
+from palimpsest.plans.steps import materialised, shared_path
 from palimpsest.sources import history, sse, views
 
 TERMS = ["thing", "thtion", "ernt", "thing"]
@@ -20,8 +22,8 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three vectors to search for."""
-    return _vectors(spark, sf_dir).where(F.col("id") < 3).select(F.col("id").alias("query_id"), F.col("vector").alias("query"), F.col("model").alias("query_model"))
+    """The vectors to search for: those whose ids are divisible by 100."""
+    return _vectors(spark, sf_dir).where(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), F.col("vector").alias("query"), F.col("model").alias("query_model"))
 
 
 def _rollup(spark, sf_dir):
@@ -72,18 +74,13 @@ def recent_turns(spark, sf_dir):
     return retrieval.recent(views.turns(spark, sf_dir), 6)
 
 
-def _graph_layer(known, query):
-    ents, rels = known
-    found = graph.walk(graph.seeds(ents, query), rels)
-    return found.select(F.col("name").alias("id"), (2 - F.col("hop")).alias("score"), F.lit("graph").alias("method"))
-
-
 def layered_retrieval(spark, sf_dir):
     """Four queries, one for each layer that can answer."""
-    turns, known, tied = views.turns(spark, sf_dir), views.facts(spark, sf_dir), _graph(spark, sf_dir)
+    turns, known = views.turns(spark, sf_dir), views.facts(spark, sf_dir)
+    tied = functools.cache(lambda: _graph(spark, sf_dir))  # made once, and only if a query gets so far
     out = None
     for query in ("hi", "thing thtion", "zzqx redis", "zzqx zzqy"):
-        rows = retrieval.layered(query, turns, _graph_layer(tied, query) if len(query) > 5 else None, known).withColumn("query", F.lit(query))
+        rows = retrieval.layered(query, turns, lambda q=query: graph.layer(*tied(), q), known).withColumn("query", F.lit(query))
         out = rows if out is None else out.unionByName(rows)
     return out.select("query", "layer", "id", F.round("score", 6).alias("score"), "method")
 
@@ -144,12 +141,8 @@ def fact_similar_pairs(spark, sf_dir):
 
 
 def fact_fuzzy_dedup(spark, sf_dir):
-    """Facts kept by the pass in id order, one of each word set first."""
-    known = views.facts(spark, sf_dir)
-    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("content"), r"\s+"), lambda w: F.length(w) > 2)))
-    sets = known.select("id", words.alias("w"))
-    one = sets.where(F.size("w") > 0).groupBy("w").agg(F.min("id").alias("id")).select("id").unionByName(sets.where(F.size("w") == 0).select("id"))
-    return facts.accepted(one, facts.similar_pairs(known))
+    """Facts kept by the pass in id order."""
+    return facts.fuzzy_distinct(views.facts(spark, sf_dir))
 
 
 def fact_search(spark, sf_dir):
@@ -227,11 +220,17 @@ def _graph(spark, sf_dir):
 
 
 def kg_entities(spark, sf_dir):
-    return _graph(spark, sf_dir)[0]
+    return graph.entities(views.graph_facts(spark, sf_dir))
 
 
 def kg_relations(spark, sf_dir):
-    return _graph(spark, sf_dir)[1]
+    return graph.relations(views.graph_facts(spark, sf_dir))
+
+
+def kg_own_patterns(spark, sf_dir):
+    """Entities with a host's own project names and domain among the patterns."""
+    f = views.graph_facts(spark, sf_dir).withColumn("content", F.concat("content", F.lit(" for mellow at api-"), (F.col("id") % 3).cast("string"), F.lit(".example.org")))
+    return graph.entities(f, graph.with_own(["mellow"], "example.org")).where("name = 'mellow' OR name LIKE '%example.org'").select("name", "type", "mentions")
 
 
 def kg_walk(spark, sf_dir):
@@ -249,7 +248,7 @@ def kg_stats(spark, sf_dir):
 
 
 def kg_top(spark, sf_dir):
-    return graph.top_entities(_graph(spark, sf_dir)[0]).select("name", "type", "mentions")
+    return graph.top_entities(kg_entities(spark, sf_dir)).select("name", "type", "mentions")
 
 
 def sse_reassemble(spark, sf_dir):
@@ -325,7 +324,7 @@ def injection_stats(spark, sf_dir):
 
 
 def vector_stats(spark, sf_dir):
-    return telemetry.vector_stats(_vectors(spark, sf_dir))
+    return telemetry.vector_stats(_vectors(spark, sf_dir).withColumn("created_at", views.EPOCH_MS + F.col("id") * 1000))
 
 
 def delta_query(spark, sf_dir):
@@ -420,11 +419,10 @@ def last_turns(spark, sf_dir):
 
 
 def extraction_totals(spark, sf_dir):
-    """Facts in all, and those that an earlier fact of the same words makes duplicates, by category."""
-    known = views.facts(spark, sf_dir).withColumn("w", F.array_sort(F.array_distinct(F.filter(F.split(F.lower("content"), r"\s+"), lambda w: F.length(w) > 2))))
-    first = known.groupBy("w").agg(F.min("id").alias("first"))
-    rows = known.join(first, "w")
-    return rows.groupBy("category").agg(F.count_if(F.col("id") == F.col("first")).alias("new"), F.count_if(F.col("id") != F.col("first")).alias("duplicates"))
+    """Facts that a pass in id order takes as new, and those that it takes as duplicates, by category."""
+    known = views.facts(spark, sf_dir)
+    new = facts.fuzzy_distinct(known).withColumn("new", F.lit(True))
+    return known.join(new, "id", "left").groupBy("category").agg(F.count_if(F.col("new")).alias("new"), F.count_if(F.col("new").isNull()).alias("duplicates"))
 
 
 def injection_guard(spark, sf_dir):
@@ -492,6 +490,98 @@ def approx_distinct(spark, sf_dir):
     return views.table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_orderkey", 0.02).alias("orders"))
 
 
+def approx_distinct_error(spark, sf_dir):
+    """Whether approximate counts are within 5 % of exact ones."""
+    both = views.table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_orderkey", 0.02).alias("near"), F.countDistinct("l_orderkey").alias("exact"))
+    return both.select("l_returnflag", "exact", (F.abs(F.col("near") - F.col("exact")) <= F.col("exact") * 0.05).alias("within"))
+
+
+def facts_by_time(spark, sf_dir):
+    return retrieval.facts_by_time(views.facts(spark, sf_dir)).select("id", "ts_ms")
+
+
+def symbols_by_frequency(spark, sf_dir):
+    return phrases.by_frequency(symbol_dictionary(spark, sf_dir)).select("symbol", "phrase", "freq")
+
+
+def enrichment_blocks(spark, sf_dir):
+    kind = F.when(F.col("turn") % 3 == 0, F.col("role"))
+    return views.turns(spark, sf_dir).select("id", retrieval.enrichment_block(F.concat(F.lit(" "), "content", F.lit("  ")), kind).alias("block"))
+
+
+def merged_lists(spark, sf_dir):
+    """Newest turns and best turns as one list; the payload of the second one wins."""
+    t = views.turns(spark, sf_dir)
+    legs = [retrieval.ranked(retrieval.recent(t, 40)), retrieval.ranked(retrieval.bm25(t, TERMS, 40)).withColumn("method", F.lit("keyword"))]
+    return retrieval.merged_lists(legs, ["method"])
+
+
+def embedded_turns(spark, sf_dir):
+    """Turns with vectors from an embedder that is put in: here of their length and their first character."""
+    embed = lambda c: F.array(F.length(c).cast("double"), F.ascii(c).cast("double"), F.lit(0.0))
+    rows = retrieval.embedded(views.turns(spark, sf_dir), embed)
+    return rows.select("id", *[F.round(F.element_at("vector", i), 6).alias(f"v{i}") for i in (1, 2)])
+
+
+def extracted_facts(spark, sf_dir):
+    """Facts from an extractor that is put in: here one that makes a fact of each conversation's first words."""
+    words = F.array_join(F.slice(F.split("text", " "), 2, 4), " ")
+    extract = lambda rows: rows.withColumn("answer", F.concat(F.lit("```json\n"), F.to_json(F.array(F.struct(words.alias("content"), F.lit("HIGH").alias("confidence")))), F.lit("\n```")))
+    return facts.extracted(conversation.extraction_text(views.turns(spark, sf_dir)), extract).select("conv_id", "content", "category", "confidence")
+
+
+FLUSHED_MS = views.EPOCH_MS + 10**12
+
+
+def sync_flush(spark, sf_dir):
+    """What is synced once the unsynced conversations were sent."""
+    sent = conversation.flush_rows(views.turns(spark, sf_dir), _rollup(spark, sf_dir), _synced(spark, sf_dir))
+    return conversation.mark_synced(_synced(spark, sf_dir), sent, FLUSHED_MS)
+
+
+def sync_log(spark, sf_dir):
+    """The log after a flush and one that failed."""
+    sent = conversation.flush_rows(views.turns(spark, sf_dir), _rollup(spark, sf_dir), _synced(spark, sf_dir))
+    return conversation.sync_log(conversation.sync_entry(sent, FLUSHED_MS).unionByName(conversation.sync_entry(sent, FLUSHED_MS + 1, "timed out")))
+
+
+def migration_tallies(spark, sf_dir):
+    t = views.turns(spark, sf_dir).withColumn("content", F.when(F.col("turn") != 2, F.col("content")).otherwise(" "))
+    return conversation.migration_tallies(t, t.where("conv_id % 3 = 0"))
+
+
+def import_all(spark, sf_dir):
+    """Facts and settings after half of them were exported to files and put back into a table of the rest."""
+    known = views.facts(spark, sf_dir).select(F.col("id").cast("string").alias("key"), F.col("confidence").alias("value"))
+    settings = views.table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value"))
+    path = shared_path(spark, "export")
+    half = lambda df: df.where(F.pmod(F.crc32("key"), F.lit(2)) == 0)
+    tables.export_all(path, 1, "2024-01-01T00:00:00Z", facts=half(known), settings=half(settings))
+    back = tables.import_all(spark, path, {n: "key string, value string" for n in ("facts", "settings", "syncLog")})
+    others = {n: df.withColumn("value", F.when(F.pmod(F.crc32("key"), F.lit(2)) == 0, "old").otherwise(F.col("value"))) for n, df in (("facts", known), ("settings", settings))}
+    out = [tables.merged(df, back[n], "key").select(F.lit(n).alias("part"), "key", "value") for n, df in others.items()]
+    return out[0].unionByName(out[1]).unionByName(back["syncLog"].select(F.lit("syncLog").alias("part"), "key", "value"))
+
+
+def overwritten_settings(spark, sf_dir):
+    """Settings after one table of them was written over another."""
+    path = shared_path(spark, "settings")
+    nations = views.table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value"))
+    tables.overwritten(tables.cleared(nations)[0], path)
+    return tables.overwritten(nations.where("value <> '0'"), path)
+
+
+def history_pages(spark, sf_dir):
+    """Items of pages of 50 turns, one of them broken, up to the first page that is not full."""
+    at = F.expr("CAST(conv_id * 6 + turn AS INT)")
+    t = views.turns(spark, sf_dir).where("turn < 6").select(F.expr("CAST((conv_id * 6 + turn) DIV 50 AS INT)").alias("page"), at.alias("n"), F.to_json(F.struct("id", "role")).alias("item"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("n", "item"))), lambda x: x["item"])
+    pages = t.groupBy("page").agg(listed.alias("items"))
+    full = F.when(F.size("items") < 50, F.concat("items", F.array_repeat(F.lit('{"id":"-"}'), 50))).otherwise(F.col("items"))
+    body = F.when(F.col("page") == 3, "{broken").when(F.col("page") == 9, F.concat(F.lit("["), F.array_join(F.slice("items", 1, 2), ","), F.lit("]"))).otherwise(F.concat(F.lit("["), F.array_join(full, ","), F.lit("]")))
+    return history.page_items(pages.select("page", body.alias("body"))).select("page", "at", F.get_json_object("item", "$.id").alias("id"), "error")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -502,6 +592,7 @@ QUERIES = {
         history_turns, user_message_extract, token_islands, token_cost, memory_health, injection_stats, vector_stats, delta_query, query_extract, extraction_text, to_extract, unsynced_flatten,
         migration_batches, backfill_todo, index_backfill, upsert_latest, delete_keys, ring_buffer, evict_oldest, context_block, export_import, window_tumbling, window_sliding, window_sessions,
         grouping_sets, as_of_join, approx_distinct, point_lookup, settings_default, composite_key, last_turns, extraction_totals, injection_guard, fact_block, response_json, reembed_texts,
-        newest_events, average_latency,
+        newest_events, average_latency, kg_own_patterns, approx_distinct_error, facts_by_time, symbols_by_frequency, enrichment_blocks, merged_lists, embedded_turns, extracted_facts, sync_flush,
+        sync_log, migration_tallies, import_all, overwritten_settings, history_pages,
     )
 }

@@ -1,4 +1,4 @@
-"""DuckDB SQL of the same queries, written apart from the DataFrame code."""
+"""DuckDB SQL of the same queries, written apart from the DataFrame code; fixed values alone are shared."""
 
 from __future__ import annotations
 
@@ -68,7 +68,7 @@ ROLLUP = f"""{TURNS}, rolled AS (
 VECTORS = """v AS (SELECT vec_id AS id, embedding AS e, label AS model FROM embeddings
 ), cos AS (
   SELECT q.id AS query_id, v.id, q.model AS qm, v.model AS vm, round(list_cosine_similarity(v.e::DOUBLE[], q.e::DOUBLE[]), 4) AS score
-  FROM v, (SELECT * FROM v WHERE id < 3) q)"""
+  FROM v, (SELECT * FROM v WHERE id % 100 = 0) q)"""
 
 
 def _compress(text: str, symbols=()) -> str:
@@ -232,7 +232,7 @@ SELECT user_id, {SHORT.format("i")} AS input, {SHORT.format("o")} AS output, CAS
     + least(100, 12 * n)::DOUBLE * 0.25 + least(100, 20 * d)::DOUBLE * 0.15 + 0.5) AS BIGINT) AS score FROM p)
 SELECT user_id, score, CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 55 THEN 'good' WHEN score >= 30 THEN 'fair' ELSE 'poor' END AS label FROM h""",
     "injection_stats": f"""WITH {USAGE} SELECT count(*) AS n, max(ts_ms * 100000 + seq) AS last_ms, arg_max(input_tokens, ts_ms * 100000 + seq) AS last_size, arg_max(conversation_id, ts_ms * 100000 + seq) AS last_layers FROM usage""",
-    "vector_stats": "SELECT label AS model, count(*) AS n, CAST(floor(sum(len(embedding)) * 4 / 1024 + 0.5) AS BIGINT) AS kilobytes FROM embeddings GROUP BY label",
+    "vector_stats": f"SELECT label AS model, count(*) AS n, CAST(floor(sum(len(embedding)) * 4 / 1024 + 0.5) AS BIGINT) AS kilobytes, min({EPOCH_MS} + vec_id * 1000) AS oldest, max({EPOCH_MS} + vec_id * 1000) AS newest FROM embeddings GROUP BY label",
     "delta_query": rf"""WITH {TURNS}, u AS (SELECT id, trim(content) AS c, lag(trim(content)) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM turns WHERE role = 'user' AND length(trim(content)) >= 15
 ), f AS (SELECT id, c, CASE WHEN b IS NULL THEN [] ELSE list_filter(regexp_split_to_array(lower(c), '\s+'), lambda w: length(w) > 3 AND NOT list_contains(regexp_split_to_array(lower(b), '\s+'), w)) END AS n FROM u)
 SELECT id, CASE WHEN len(n) >= 5 THEN array_to_string(n[greatest(len(n) - 49, 1):], ' ') ELSE c[greatest(length(c) - 499, 1):] END AS query FROM f""",
@@ -259,8 +259,6 @@ SELECT '<retrieved_context>' || chr(10) || string_agg(line, chr(10) ORDER BY ran
     "settings_default": "SELECT CAST(r_regionkey AS VARCHAR) AS value FROM region WHERE r_name = 'ASIA' UNION ALL SELECT 'none'",
     "composite_key": f"WITH {TURNS} SELECT id, platform || ':' || CASE WHEN turn = 1 THEN 'unknown-' || id ELSE CAST(conv_id AS VARCHAR) END AS key FROM turns",
     "last_turns": f"WITH {TURNS} SELECT conv_id, turn, role FROM turns QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3",
-    "extraction_totals": f"""WITH {FACTS}, w AS (SELECT id, category, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda x: length(x) > 2))) AS w FROM facts
-), f AS (SELECT *, min(id) OVER (PARTITION BY w) AS first FROM w) SELECT category, count(*) FILTER (id = first) AS new, count(*) FILTER (id <> first) AS duplicates FROM f GROUP BY category""",
     "injection_guard": f"WITH {TURNS} SELECT id FROM turns WHERE turn % 3 <> 0",
     "response_json": """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN least(50000, length(CAST(to_json({html: html}) AS VARCHAR))) END AS n FROM pages""",
     "reembed_texts": "SELECT vec_id AS id, 'text ' || vec_id AS text, vec_id AS created_at FROM embeddings",
@@ -282,10 +280,84 @@ FROM sized WHERE ceil((size + n - 1 + 34) / 4) <= 500 OR place <= greatest(3, n
 )
 
 
-def _spec_tokens() -> int:
-    from palimpsest.functions.compression import spec_block
-
-    return len(spec_block(SYMBOLS)) // 4 + 1
-
+ORACLE_SQL["compression_savings"] = ORACLE_SQL["compression_savings"].replace(
+    "{spec}", "(length('--- SYMBOLS ---' || chr(10) || '§tt=that the' || chr(10) || '§wt=with the' || chr(10) || '§ti=tion' || chr(10) || '--- END ---') // 4 + 1)"
+)
 
-ORACLE_SQL["compression_savings"] = ORACLE_SQL["compression_savings"].replace("{spec}", str(_spec_tokens()))
+# A pass in id order: of equal texts and of equal word sets the first alone is looked at, and one is kept if none
+# of the smaller ones that it is similar to is.
+DISTINCT = f"""{WORDSETS}, texts AS (SELECT min(id) AS id, lower(content) AS c FROM facts GROUP BY c
+), worded AS (SELECT id, list_sort(list_distinct(list_filter(regexp_split_to_array(c, '\\s+'), lambda x: length(x) > 2))) AS w FROM texts
+), looked AS (SELECT min(id) AS id FROM worded WHERE len(w) > 0 GROUP BY w UNION ALL SELECT id FROM worded WHERE len(w) = 0
+), nodes AS MATERIALIZED (SELECT b AS id, list(a) AS smaller, row_number() OVER (ORDER BY b) AS i FROM pairs GROUP BY b
+), pass(i, gone) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT nodes.i, CASE WHEN len(list_filter(smaller, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, id) ELSE gone END FROM pass JOIN nodes ON nodes.i = pass.i + 1
+), kept AS (
+  SELECT id FROM looked WHERE id NOT IN (SELECT unnest(gone) FROM (SELECT gone FROM pass ORDER BY i DESC LIMIT 1)))"""
+ORACLE_SQL["fact_fuzzy_dedup"] = f"WITH RECURSIVE {DISTINCT} SELECT id FROM kept"
+ORACLE_SQL["extraction_totals"] = f"""WITH RECURSIVE {DISTINCT}
+SELECT category, count(*) FILTER (kept.id IS NOT NULL) AS new, count(*) FILTER (kept.id IS NULL) AS duplicates FROM facts LEFT JOIN kept ON kept.id = facts.id GROUP BY category"""
+
+# The greedy pass: best value first, what does not fit is passed over; a symbol from the phrase's letters, or the first free number.
+DICTIONARY = f"""{GRAMS}, ordered AS (
+  SELECT row_number() OVER (ORDER BY value DESC, phrase) AS i, phrase, freq, value, tokens + 3 AS cost, list_filter(string_split(phrase, ' '), lambda x: length(x) > 1) AS w FROM cand WHERE tokens + 3 <= 80
+), named AS MATERIALIZED (
+  SELECT *, array_to_string(list_transform(w, lambda x: x[1]), '') AS initials FROM ordered
+), pass(i, budget, used, phrase, freq, value, cost, symbol) AS (
+  SELECT CAST(0 AS BIGINT), CAST(80 AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR)
+  UNION ALL
+  SELECT i, CASE WHEN fits THEN budget - cost ELSE budget END, CASE WHEN fits THEN list_append(used, symbol) ELSE used END, CASE WHEN fits THEN phrase END, freq, value, cost, symbol
+  FROM (
+    SELECT n.i, p.budget, p.used, n.phrase, n.freq, n.value, n.cost, n.cost <= p.budget AS fits,
+           coalesce(list_filter(['§' || initials[:4], '§' || w[1][:3], '§' || initials[:3], '§' || w[1][:2] || coalesce(w[2][1], '')], lambda s: s <> '§' AND NOT list_contains(p.used, s))[1],
+                    list_filter(list_transform(range(1, 100), lambda k: '§' || k), lambda s: NOT list_contains(p.used, s))[1]) AS symbol
+    FROM pass p JOIN named n ON n.i = p.i + 1 WHERE p.budget >= 5)
+), chosen AS (SELECT symbol, phrase, freq, value, cost AS spec_cost FROM pass WHERE phrase IS NOT NULL)"""
+ORACLE_SQL["symbol_dictionary"] = f"WITH RECURSIVE {DICTIONARY} SELECT * FROM chosen"
+ORACLE_SQL["symbols_by_frequency"] = f"WITH RECURSIVE {DICTIONARY} SELECT symbol, phrase, freq FROM chosen ORDER BY freq DESC, symbol LIMIT 16"
+
+ORACLE_SQL["kg_block"] = f"""WITH {WALK}, best AS (SELECT name, hop, type, shown, mentions FROM walked JOIN e USING (name) ORDER BY hop, name LIMIT 15
+), ways AS (
+  SELECT "from" AS name, '→' AS way, rel, "to" AS other FROM r WHERE confidence >= 0.5 UNION ALL SELECT "to", '←', rel, "from" FROM r WHERE confidence >= 0.5 AND "from" <> "to"
+), said_of AS (
+  SELECT ways.* FROM ways JOIN best USING (name) WHERE hop < 2 QUALIFY row_number() OVER (PARTITION BY name ORDER BY way, rel, other) <= 4
+), listed AS (SELECT name, string_agg(chr(10) || '  ' || way || ' ' || rel || ' ' || other, '' ORDER BY way, rel, other) AS lines FROM said_of GROUP BY name)
+SELECT '[KNOWLEDGE GRAPH]' || chr(10) || string_agg(upper(type) || ': ' || shown || ' (seen ' || mentions || 'x)' || coalesce(lines, ''), chr(10) ORDER BY hop, name) || chr(10) || '[/KNOWLEDGE GRAPH]' AS block
+FROM best LEFT JOIN listed USING (name)"""
+
+_OWN = f"""{KG.split("), found AS (")[0]}), own AS (SELECT id FROM kf)"""
+ORACLE_SQL["kg_own_patterns"] = f"""WITH {_OWN}
+SELECT 'mellow' AS name, 'project' AS type, count(*) AS mentions FROM own UNION ALL SELECT 'api-' || id % 3 || '.example.org', 'location', count(*) FROM own GROUP BY 1"""
+ORACLE_SQL |= {
+    "approx_distinct_error": "SELECT l_returnflag, count(DISTINCT l_orderkey) AS exact, true AS within FROM lineitem GROUP BY l_returnflag",
+    "facts_by_time": f"WITH {FACTS} SELECT id, ts_ms FROM facts ORDER BY ts_ms DESC, id",
+    "enrichment_blocks": f"""WITH {TURNS} SELECT id, '--- ENRICHMENT [' || CASE WHEN turn % 3 = 0 THEN upper(role) ELSE 'AUTO' END || '] ---' || chr(10)
+  || '(Pre-matched patterns, decisions, entities for this message.)' || chr(10) || trim(content) || chr(10) || '--- END ENRICHMENT ---' || chr(10) || chr(10) AS block FROM turns""",
+    "merged_lists": f"""WITH {INDEX}, {bm25(TERMS, 40)}, newest AS (
+  SELECT id, row_number() OVER (ORDER BY id) AS rank FROM (SELECT id FROM turns ORDER BY ts_ms DESC, id LIMIT 40)
+), every AS (SELECT id, rank, 0 AS leg, 'recent' AS method FROM newest UNION ALL SELECT id, rank, 1, 'keyword' FROM top)
+SELECT id, round(sum(1 / (60 + rank)), 6) AS score, arg_max(method, leg) AS method FROM every GROUP BY id""",
+    "embedded_turns": f"""WITH {TURNS}, v AS (SELECT id, length(content)::DOUBLE AS a, unicode(content)::DOUBLE AS b FROM turns)
+SELECT id, round(a / sqrt(a * a + b * b), 6) AS v1, round(b / sqrt(a * a + b * b), 6) AS v2 FROM v""",
+    "extracted_facts": ORACLE_SQL["extraction_text"].rpartition("SELECT * FROM t")[0]
+    + """, f AS (SELECT conv_id, trim(array_to_string(string_split(text, ' ')[2:5], ' ')) AS content, array_to_string(string_split(text, ' ')[2:5], ' ') AS raw FROM t WHERE length(text) >= 100)
+SELECT conv_id, content, 'general' AS category, 'high' AS confidence FROM f WHERE length(raw) > 5""",
+    "sync_flush": f"""WITH {ROLLUP} SELECT conv_id, CASE WHEN synced_at IS NULL OR updated_at > synced_at THEN {EPOCH_MS + 10**12} ELSE synced_at END AS synced_at FROM rollup LEFT JOIN synced USING (conv_id)""",
+    "sync_log": f"""WITH {ROLLUP}, sent AS (SELECT conv_id FROM turns WHERE conv_id IN (SELECT conv_id FROM rollup LEFT JOIN synced USING (conv_id) WHERE synced_at IS NULL OR updated_at > synced_at))
+SELECT 'sync_{EPOCH_MS + 10**12}' AS id, {EPOCH_MS + 10**12} AS timestamp, count(DISTINCT conv_id) AS conversations_flushed, count(*) AS turns_flushed, 'ok' AS status, NULL::VARCHAR AS error FROM sent
+UNION ALL SELECT 'sync_{EPOCH_MS + 10**12 + 1}', {EPOCH_MS + 10**12 + 1}, 0, 0, 'error', 'timed out'""",
+    "migration_tallies": f"""WITH {TURNS}, b AS (SELECT conv_id, CAST(ceil(row_number() OVER (ORDER BY conv_id) / 25) AS BIGINT) AS batch FROM turns GROUP BY conv_id)
+SELECT batch, count(*) FILTER (turn <> 2 AND conv_id % 3 <> 0) AS ingested, count(*) FILTER (turn <> 2 AND conv_id % 3 = 0) AS skipped, count(*) FILTER (turn = 2) AS errors
+FROM turns JOIN b USING (conv_id) GROUP BY batch""",
+    "import_all": f"""WITH {FACTS} SELECT 'facts' AS part, CAST(id AS VARCHAR) AS key, confidence AS value FROM facts UNION ALL SELECT 'settings', n_name, CAST(n_regionkey AS VARCHAR) FROM nation""",
+    "overwritten_settings": "SELECT n_name AS key, CAST(n_regionkey AS VARCHAR) AS value FROM nation WHERE n_regionkey <> 0",
+    "history_pages": f"""WITH {TURNS}, t AS (SELECT CAST((conv_id * 6 + turn) // 50 AS INTEGER) AS page, row_number() OVER (PARTITION BY (conv_id * 6 + turn) // 50 ORDER BY conv_id * 6 + turn) - 1 AS "at", id FROM turns WHERE turn < 6
+), n AS (SELECT page, count(*) AS n FROM t GROUP BY page
+), every AS (
+  SELECT page, "at", id FROM t WHERE page <> 3 AND (page <> 9 OR "at" < 2)
+  UNION ALL SELECT page, n + k, '-' FROM n, range(50) r(k) WHERE n < 50 AND page NOT IN (3, 9))
+SELECT page, CAST("at" AS INTEGER) AS "at", id, NULL::VARCHAR AS error FROM every WHERE page <= coalesce((SELECT 9 FROM n WHERE page = 9), page)
+UNION ALL SELECT page, 0, NULL, 'no JSON list' FROM n WHERE page = 3""",
+}

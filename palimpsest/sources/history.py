@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 BLOCKS = "array<struct<type:string,text:string,content:string>>"
 
@@ -49,49 +46,23 @@ def still_to_fetch(listing: DataFrame, done: DataFrame) -> DataFrame:
     return listing.join(done, "conv_id", "left").where(F.col("turns").isNull() | (F.col("message_count") > F.col("turns"))).select(*listing.columns)
 
 
-class PagedJson(DataSource):
-    """``spark.read.format("paged_json").option("path", folder)``: files page-N.json, each a list of objects.
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """page, body of the files page-N.json of a folder, on any file system that Spark reads."""
+    files = spark.read.option("wholetext", True).text(f"{path}/page-*.json")
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"page-(\d+)\.json$", 1)
+    return files.select(number.cast("int").alias("page"), F.col("value").alias("body"))
 
-    Pages are read until one holds fewer than ``page_size`` objects.  A page that is not JSON gives
-    one row with its error and the reading goes on.
-    """
 
-    @classmethod
-    def name(cls) -> str:
-        return "paged_json"
-
-    def schema(self) -> str:
-        return "page int, item string, error string"
-
-    def reader(self, schema):
-        return _PageReader(self.options["path"], int(self.options.get("page_size", 50)))
-
-
-class _PageReader(DataSourceReader):
-    def __init__(self, path: str, page_size: int):
-        self.path, self.page_size = path, page_size
-
-    def partitions(self):
-        import glob
-        import re
-
-        pages = sorted(int(m[1]) for f in glob.glob(f"{self.path}/page-*.json") if (m := re.search(r"page-(\d+)\.json$", f)))
-        wanted = []
-        for n in pages:
-            wanted.append(InputPartition(n))
-            try:
-                with open(f"{self.path}/page-{n}.json", encoding="utf-8") as f:
-                    if len(json.load(f)) < self.page_size:
-                        break
-            except ValueError:
-                continue
-        return wanted
-
-    def read(self, partition):
-        n = partition.value
-        try:
-            with open(f"{self.path}/page-{n}.json", encoding="utf-8") as f:
-                for item in json.load(f):
-                    yield n, json.dumps(item), None
-        except ValueError as e:
-            yield n, None, str(e)
+def page_items(pages: DataFrame, page_size: int = 50) -> DataFrame:
+    """page, at, item, error of ``pages`` (page, body: a JSON list of objects), up to the first that has fewer than ``page_size`` items.
+
+    A page that is no JSON list gives one row with its error, and the reading goes on.  Pages are
+    parsed where they are read; what decides the end is one number.
+    """
+    items = F.from_json("body", "array<string>")
+    counted = pages.select("page", "body", F.json_array_length("body").alias("n"))
+    end = counted.where(F.col("n") < page_size).agg(F.min("page").alias("end"))
+    wanted = counted.join(F.broadcast(end), F.coalesce(F.col("page") <= F.col("end"), F.lit(True)))  # one row
+    good = wanted.where("n IS NOT NULL").select("page", F.posexplode(items).alias("at", "item"), F.lit(None).cast("string").alias("error"))
+    bad = wanted.where("n IS NULL").select("page", F.lit(0).alias("at"), F.lit(None).cast("string").alias("item"), F.lit("no JSON list").alias("error"))
+    return good.unionByName(bad)

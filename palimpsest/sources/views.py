@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 EPOCH_MS = 1_704_067_200_000
 PLATFORMS = ["claude", "chatgpt", "gemini", "perplexity"]
+# The kinds and the confidences of facts.
 CATEGORIES = ["preference", "personal", "work", "technical", "project", "decision", "goal", "skill", "general"]
 CONFIDENCES = ["high", "medium", "low"]
 

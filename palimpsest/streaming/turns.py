@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
+from palimpsest.operators.retrieval import embedded
+
 TURN = "id string, conv_id long, role string, content string, ts_ms long"
 
 
@@ -30,13 +32,13 @@ def turn_counts(turns: DataFrame, gap: str = "30 minutes", late: str = "10 minut
 
 
 class _Echoes(StatefulProcessor):
-    """Keeps the last accepted turns of a conversation and lets pass what repeats none of them."""
+    """Keeps the last accepted turns of a conversation, for ``ttl_ms`` after they came, and lets pass what repeats none of them."""
 
-    def __init__(self, window_ms: int = 5_000, back: int = 5):
-        self.window_ms, self.back = window_ms, back
+    def __init__(self, window_ms: int = 5_000, back: int = 5, ttl_ms: int = 3_600_000):
+        self.window_ms, self.back, self.ttl_ms = window_ms, back, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getListState("last", "role string, content string, ts_ms long")
+        self.last = handle.getListState("last", "role string, content string, ts_ms long", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timer) -> Iterator[pd.DataFrame]:
         last = [tuple(r) for r in self.last.get()]
@@ -53,10 +55,14 @@ class _Echoes(StatefulProcessor):
         pass
 
 
-def without_echoes(turns: DataFrame) -> DataFrame:
-    """The stream's turns without those that repeat one of the last five accepted within five seconds; needs the RocksDB state store."""
+def without_echoes(turns: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
+    """The stream's turns without those that repeat one of the last five accepted within five seconds; needs the RocksDB state store.
+
+    Turns that come late, or in another order, are put in order of their time within a batch.  The state of
+    a conversation goes when it was silent for ``ttl_ms``.
+    """
     schema = StructType.fromDDL(TURN)
-    return turns.groupBy("conv_id").transformWithStateInPandas(statefulProcessor=_Echoes(), outputStructType=schema, outputMode="append", timeMode="None")
+    return turns.groupBy("conv_id").transformWithStateInPandas(statefulProcessor=_Echoes(ttl_ms=ttl_ms), outputStructType=schema, outputMode="append", timeMode="ProcessingTime")
 
 
 def flush_once(path: str):
@@ -66,3 +72,18 @@ def flush_once(path: str):
         batch.write.mode("overwrite").json(f"{path}/batch={number}")
 
     return write
+
+
+def flushing(turns: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Start a query that writes turns once: a batch each ``every`` ("2 minutes"), in which what came meanwhile waits, or all there is now."""
+    out = turns.writeStream.foreachBatch(flush_once(path)).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
+
+
+def embedding(turns: DataFrame, embed: Callable[[Column], Column], path: str, checkpoint: str, per_batch: Callable[[DataFrame], DataFrame] = lambda b: b) -> StreamingQuery:
+    """Start a query that appends the vectors of new turns to a table; what waits is in the source, and a restart goes on from the checkpoint."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        embedded(per_batch(batch), embed).select("id", "vector").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return turns.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -156,18 +156,68 @@ def test_tables(spark, tmp_path):
 
 
 def test_history(spark, tmp_path):
-    spark.dataSource.register(history.PagedJson)
     import json
 
     (tmp_path / "page-0.json").write_text(json.dumps([{"id": i} for i in range(3)]))
     (tmp_path / "page-1.json").write_text("{broken")
     (tmp_path / "page-2.json").write_text(json.dumps([{"id": 9}]))
-    (tmp_path / "page-3.json").write_text(json.dumps([{"id": 10}]))
-    rows = spark.read.format("paged_json").option("path", str(tmp_path)).option("page_size", 3).load().collect()
-    assert sorted((r["page"], r["item"], bool(r["error"])) for r in rows if r["item"]) == [(0, '{"id": 0}', False), (0, '{"id": 1}', False), (0, '{"id": 2}', False), (2, '{"id": 9}', False)]
+    (tmp_path / "page-10.json").write_text(json.dumps([{"id": 10}]))
+    rows = history.page_items(history.read_pages(spark, str(tmp_path)), 3).collect()
+    assert sorted((r["page"], r["at"], r["item"]) for r in rows if r["item"]) == [(0, 0, '{"id":0}'), (0, 1, '{"id":1}'), (0, 2, '{"id":2}'), (2, 0, '{"id":9}')]
     assert [r["page"] for r in rows if r["error"]] == [1]
 
 
+def test_import_without_export(spark, tmp_path):
+    with pytest.raises(ValueError, match="Invalid export format"):
+        tables.import_all(spark, str(tmp_path / "nothing"), {"facts": "key string"})
+
+
+def test_vector_search_in_blocks(spark):
+    """Blocks of any size, queries of several lengths, vectors without length."""
+    rnd = random.Random(7)
+    vec = lambda n: [rnd.gauss(0, 1) for _ in range(n)]
+    rows = [(i, vec(8), i % 3) for i in range(60)] + [(60, [0.0] * 8, 0), (61, vec(5), 1), (62, None, 1), (63, [], 1)]
+    vectors = spark.createDataFrame(rows, "id long, vector array<double>, model int")
+    asked = [(i, v, m) for i, v, m in rows if v and i % 5 < 2]
+    queries = spark.createDataFrame(asked, "query_id long, query array<double>, query_model int")
+
+    def cos(a, b):
+        if not b or len(a) != len(b) or not any(a) or not any(b):
+            return 0.0
+        return round(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5, 4)
+
+    for same in (False, True):
+        want = set()
+        for q, a, m in asked:
+            best = sorted((-cos(a, b), i) for i, b, n in rows if cos(a, b) > 0.2 and (m == n or not same))[:4]
+            want |= {(q, i, -s, k + 1) for k, (s, i) in enumerate(best)}
+        got = retrieval.vector_search(vectors, queries, 0.2, 4, same_model=same, block_bytes=300)
+        assert {(r["query_id"], r["id"], r["score"], r["rank"]) for r in got.collect()} == want
+
+
+def test_chain_of_dependent_pairs(spark):
+    """A chain settles whatever its length: every other id stays."""
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 50)], "a long, b long")
+    ids = spark.createDataFrame([(i,) for i in [*range(301), *range(1000, 1050), 5000]], "id long")
+    assert sorted(r["id"] for r in facts.accepted(ids, pairs).collect()) == [*range(0, 301, 2), 1000, 5000]
+
+
+def test_equal_short_facts(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "A b"), (3, "c"), (4, "some longer words"), (5, "words longer some")], "id long, content string")
+    assert sorted(r["id"] for r in facts.fuzzy_distinct(df).collect()) == [1, 3, 4]
+
+
+def test_context_blocks():
+    assert retrieval.context_blocks(None, "") is None
+    assert retrieval.context_blocks("s", None, "host") == "--- HOST SESSION CONTEXT ---\n(Recent decisions, entities, and stable patterns from your work history.)\ns\n--- END SESSION CONTEXT ---\n\n"
+
+
+def test_hashed_embedding(spark):
+    df = spark.createDataFrame([(1, "redis server cache"), (2, "cache server redis"), (3, "")], "id long, content string")
+    v = {r["id"]: r["vector"] for r in retrieval.embedded(df, retrieval.hashed_embedding).collect()}
+    assert v[1] == v[2] and len(v[1]) == 64 and sum(x * x for x in v[1]) == pytest.approx(1) and not any(v[3])
+
+
 def test_as_of(spark):
     left = spark.createDataFrame([(1, 5, "a"), (1, 1, "b"), (2, 9, "c")], "k int, at int, n string")
     right = spark.createDataFrame([(1, 3, 30.0), (1, 5, 50.0), (2, 10, 1.0)], "k int, at int, v double")
