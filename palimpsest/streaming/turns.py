@@ -32,13 +32,14 @@ def turn_counts(turns: DataFrame, gap: str = "30 minutes", late: str = "10 minut
 
 
 class _Echoes(StatefulProcessor):
-    """Keeps the last accepted turns of a conversation, for ``ttl_ms`` after they came, and lets pass what repeats none of them."""
+    """Keeps the last accepted turns of a conversation, until the watermark is ``ttl_ms`` past them, and lets pass what repeats none of them."""
 
     def __init__(self, window_ms: int = 5_000, back: int = 5, ttl_ms: int = 3_600_000):
         self.window_ms, self.back, self.ttl_ms = window_ms, back, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getListState("last", "role string, content string, ts_ms long", ttlDurationMs=self.ttl_ms)
+        self.handle = handle
+        self.last = handle.getListState("last", "role string, content string, ts_ms long")
 
     def handleInputRows(self, key, rows, timer) -> Iterator[pd.DataFrame]:
         last = [tuple(r) for r in self.last.get()]
@@ -48,9 +49,17 @@ class _Echoes(StatefulProcessor):
                 continue
             last = sorted([*last, (r["role"], r["content"], int(r["ts_ms"]))], key=lambda x: x[2])[-self.back :]
             out.append({k: r[k] for k in ("id", "conv_id", "role", "content", "ts_ms")})
-        self.last.put(last) if last else self.last.clear()
+        if last:
+            self.last.put(last)
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(last[-1][2] + self.ttl_ms)
         yield pd.DataFrame(out, columns=["id", "conv_id", "role", "content", "ts_ms"])
 
+    def handleExpiredTimer(self, key, timer, expired) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame([], columns=["id", "conv_id", "role", "content", "ts_ms"])
+
     def close(self) -> None:
         pass
 
@@ -58,11 +67,12 @@ class _Echoes(StatefulProcessor):
 def without_echoes(turns: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
     """The stream's turns without those that repeat one of the last five accepted within five seconds; needs the RocksDB state store.
 
-    Turns that come late, or in another order, are put in order of their time within a batch.  The state of
-    a conversation goes when it was silent for ``ttl_ms``.
+    ``turns`` have a watermark on ``ts``: what comes later than it allows is dropped, what comes out of
+    order within a batch is put in order, and the state of a conversation goes when the watermark is
+    ``ttl_ms`` past its last turn.
     """
     schema = StructType.fromDDL(TURN)
-    return turns.groupBy("conv_id").transformWithStateInPandas(statefulProcessor=_Echoes(ttl_ms=ttl_ms), outputStructType=schema, outputMode="append", timeMode="ProcessingTime")
+    return turns.groupBy("conv_id").transformWithStateInPandas(statefulProcessor=_Echoes(ttl_ms=ttl_ms), outputStructType=schema, outputMode="append", timeMode="EventTime")
 
 
 def flush_once(path: str):

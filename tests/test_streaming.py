@@ -23,7 +23,7 @@ def test_ids_once(spark, tmp_path):
 
 
 def test_echoes_as_in_a_batch(spark, tmp_path):
-    got = drain(live.without_echoes(live.distinct_turns(source(spark, tmp_path)).drop("ts")), "append", tmp_path, "echoes")
+    got = drain(live.without_echoes(live.distinct_turns(source(spark, tmp_path))), "append", tmp_path, "echoes")
     batch = spark.createDataFrame(ROWS, live.TURN).withColumn("arrival", F.col("ts_ms"))
     assert {r["id"] for r in got.collect()} == {r["id"] for r in conversation.without_echoes(batch).collect()}
 
@@ -47,7 +47,7 @@ def test_restart_and_late_turns(spark, tmp_path):
     parts = [[("a", 1, "user", "x", 10_000), ("b", 1, "user", "y", 12_000)], [("c", 1, "user", "x", 13_000), ("e", 1, "user", "z", 30_000), ("d", 1, "user", "z", 29_000)], [("f", 1, "user", "z", 40_000)]]
     for n, rows in enumerate(parts):
         spark.createDataFrame(rows, live.TURN).coalesce(1).write.mode("append").json(str(folder))
-        stream = live.without_echoes(live.read_turns(spark, str(folder)).drop("ts"))
+        stream = live.without_echoes(live.read_turns(spark, str(folder)).withWatermark("ts", "10 minutes"), ttl_ms=20_000)
         live.flushing(stream, out, state).awaitTermination(120)
         assert sorted(r["id"] for r in spark.read.json(out).collect()) == [["a", "b"], ["a", "b", "d"], ["a", "b", "d", "f"]][n]
 
