@@ -89,7 +89,7 @@ class _Memo(dict):
 class Encoder:
     """ids of whole texts.  The memo has two generations of ``most`` chunks; a full one takes the older's place."""
 
-    def __init__(self, path: str, most: int = 150_000, most_chars: int = 2_000_000):
+    def __init__(self, path: str, most: int = 300_000, most_chars: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.mode, self.most, self.most_chars = chunk_mode(path), most, most_chars
         if path.endswith(".model"):
