@@ -22,8 +22,8 @@ def run(spark, platform, packets, conversation=None, mode="concat"):
 
 
 def test_claude_stream(spark):
-    r = run(spark, "claude", [frame({"type": "message_start"}), claude("Hello"), claude(" there, how"), claude(" can I help?"), "data: [DONE]\n\n", claude("late")], "conv-abc")
-    assert (r["content"], r["platform"], r["conversation_id"], r["chunk_count"]) == ("Hello there, how can I help?", "claude", "conv-abc", 3)
+    r = run(spark, "claude", [frame({"type": "message_start"}), claude("Seven"), claude(" crates of pears"), claude(" came today."), "data: [DONE]\n\n", claude("late")], "conv-abc")
+    assert (r["content"], r["platform"], r["conversation_id"], r["chunk_count"]) == ("Seven crates of pears came today.", "claude", "conv-abc", 3)
 
 
 def test_frame_split_over_packets(spark):
@@ -32,15 +32,15 @@ def test_frame_split_over_packets(spark):
 
 
 def test_chatgpt_cumulative_frames(spark):
-    f = [frame({"message": {"content": {"parts": [t]}}, "conversation_id": "c-1"}) for t in ("Hello", "Hello, how", "Hello, how can I help?")]
+    f = [frame({"message": {"content": {"parts": [t]}}, "conversation_id": "c-1"}) for t in ("Rain", "Rain by", "Rain by nine.")]
     r = run(spark, "chatgpt", f)
-    assert r["content"] == "HelloHello, howHello, how can I help?" and r["conversation_id"] == "c-1"
-    assert run(spark, "chatgpt", f, mode="latest")["content"] == "Hello, how can I help?"
+    assert r["content"] == "RainRain byRain by nine." and r["conversation_id"] == "c-1"
+    assert run(spark, "chatgpt", f, mode="latest")["content"] == "Rain by nine."
 
 
 def test_perplexity_gemini_and_others(spark):
-    assert run(spark, "perplexity", [frame({"choices": [{"index": 0, "delta": {"content": t}}]}) for t in ("The answer", " is 42.")])["content"] == "The answer is 42."
-    assert run(spark, "gemini", [frame({"candidates": [{"content": {"parts": [{"text": t}], "role": "model"}}]}) for t in ("Gemini says ", "hello")])["content"] == "Gemini says hello"
+    assert run(spark, "perplexity", [frame({"choices": [{"index": 0, "delta": {"content": t}}]}) for t in ("Turn left", " at the mill.")])["content"] == "Turn left at the mill."
+    assert run(spark, "gemini", [frame({"candidates": [{"content": {"parts": [{"text": t}], "role": "model"}}]}) for t in ("Two eggs ", "and flour")])["content"] == "Two eggs and flour"
     assert run(spark, "other", [frame({"text": "a"}), frame({"delta": {"text": "b"}})])["content"] == "ab"
 
 
