@@ -4,7 +4,7 @@ Words are runs of digits, letters a to z and characters beyond ASCII, after A to
 A benchmark item gives each window of ``size`` consecutive words, or, if it has fewer, one window
 of all its words.  A document's windows of the same lengths are first tested in their row against
 a table of bits, hashed from three words of each benchmark window, with 1,024 bits or more for each
-window (16 MB at most); the few that remain are joined, as whole strings, with the benchmark's
+window (4 MB at most: beyond a million windows more of the others pass); the few that remain are joined, as whole strings, with the benchmark's
 windows.  That side is broadcast only if its measured size is at most ``broadcast_bytes``; beyond
 that Spark shuffles both sides, of which the documents' has only windows that passed the table.
 
@@ -25,7 +25,7 @@ from palimpsest.llm.shared import FILE, ROW, ROW_KEY, read_table, stored, with_r
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-LEAST_SLOTS, MOST_SLOTS, SLOTS_EACH = 1 << 15, 1 << 27, 1024
+LEAST_SLOTS, MOST_SLOTS, SLOTS_EACH = 1 << 15, 1 << 25, 1024
 
 
 def words_of(text: Column) -> Column:
