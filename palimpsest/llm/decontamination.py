@@ -53,8 +53,19 @@ def benchmark_windows(benchmark: DataFrame, size: int = 10) -> DataFrame:
     return rows.groupBy("window").agg(F.first("length").alias("length"), F.first("hash").alias("hash"), F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
-def _bit_table(windows: DataFrame, slots: int) -> DataFrame:
-    """One row, one column: an array of 64-bit numbers in which the bit of each window's slot is set."""
+def table_slots(n: int) -> int:
+    """Bits of a table for ``n`` windows."""
+    return min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (SLOTS_EACH * n - 1).bit_length() if n else 0))
+
+
+def taken(table: Column, code: Column, slots: int) -> Column:
+    """Whether the bit of a hash's slot is set."""
+    slot = F.pmod(code, F.lit(slots))
+    return F.getbit(F.get(table, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def bit_table(windows: DataFrame, slots: int) -> DataFrame:
+    """One row, one column: an array of 64-bit numbers in which the bit of the slot of each of ``windows`` (hash) is set."""
     bits = windows.groupBy(F.expr(f"pmod(hash, {slots}) DIV 64").alias("id")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(hash, {slots}) % 64 AS INT))")).alias("bits"))
     every = windows.sparkSession.range(slots // 64).join(bits, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
     return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits"))
@@ -64,17 +75,15 @@ def _tried(docs: DataFrame, windows: DataFrame, size: int) -> tuple[DataFrame, i
     """Of ``docs`` with row keys: a row of length 0 for each, and one for each window that passes the table; bytes of ``windows``."""
     known = windows.groupBy("length").agg(F.count("*").alias("n"), F.sum(F.octet_length("window") + 64 + 24 * F.size("items")).alias("bytes")).collect()  # `size` rows at most
     n, words, at = sum(r["n"] for r in known), F.col("words"), F.col("at")
-    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (SLOTS_EACH * n - 1).bit_length() if n else 0))
+    slots = table_slots(n)
     rows = docs.select("doc_id", FILE, ROW, words_of(F.col("text")).alias("words"))
     # place -1 stands for the document itself
     rows = rows.select("*", F.explode(F.sequence(F.lit(-1), F.size("words") - 1)).alias("at"))
     passing = []
     if known:
-        table = _bit_table(windows, slots).scalar()
+        table = bit_table(windows, slots).scalar()
         for length in sorted(r["length"] for r in known):
-            slot = F.pmod(_hash(words, at, length), F.lit(slots))
-            taken = F.getbit(F.get(table, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
-            passing.append((length, (at >= 0) & (at + length <= F.size("words")) & taken))
+            passing.append((length, (at >= 0) & (at + length <= F.size("words")) & taken(table, _hash(words, at, length), slots)))
     some = at == -1
     for _, ok in passing:
         some = some | ok
@@ -91,9 +100,9 @@ def _tried(docs: DataFrame, windows: DataFrame, size: int) -> tuple[DataFrame, i
 def _hits(docs: DataFrame, benchmark: DataFrame, size: int, broadcast_bytes: int) -> tuple[DataFrame, DataFrame]:
     """The documents' rows (doc_id, n_words) with their keys, and windows that occur (at, length, items) with the keys of their rows."""
     windows = stored(benchmark_windows(benchmark, size), "windows")
-    tried, taken = _tried(docs, windows, size)
+    tried, known_bytes = _tried(docs, windows, size)
     tried, known = stored(tried, "tried"), windows.select("window", "items")
-    hits = tried.where("length > 0").join(F.broadcast(known) if taken <= broadcast_bytes else known, "window")
+    hits = tried.where("length > 0").join(F.broadcast(known) if known_bytes <= broadcast_bytes else known, "window")
     return tried.where("length = 0").select("doc_id", FILE, ROW, "n_words"), hits.select(FILE, ROW, "at", "length", "items")
 
 

@@ -4,9 +4,15 @@ A text is brought to canonical form: copyright notices go, everything but letter
 of any script becomes a space, letters become lower case and equivalent spellings of whole words
 become one.  The SHA-256 of the whole canonical text is joined with the digests of known texts, which
 come about in the same way; so is that of each canonical line, which finds notices within longer
-documents.  Known texts are a parameter, (license_id, text), of any number: up to MOST_KEYS digests
-are broadcast.  A set of common licenses comes with the package: short ones in ``KNOWN``, long ones
-as files in ``known_licenses``.
+documents.  Known texts are a parameter, (license_id, text), of any number: their digests are
+broadcast, and beyond MOST_KEYS there is a pass over the documents for each MOST_KEYS of them.  A set
+of common licenses comes with the package: short ones in ``KNOWN``, long ones as files in
+``known_licenses``.
+
+Whole known texts of LEAST_WORDS words or more are found within longer documents as well, wherever
+they begin: each place of a document whose first, eighth and last of LEAST_WORDS words hash to a bit that a known
+text has set is joined with the known texts by a hash of its LEAST_WORDS words, and the digest of as
+many words as the known text has decides.
 
 A line is a copyright notice if it begins, after marks of a comment, with "copyright" and a sign, a
 number or a capitalised name, with "(c)" and a year, or with the sign, or if it says no more than "all rights
@@ -26,7 +32,11 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import MOST_KEYS, ROW_KEY, read_table, with_row_key
+from palimpsest.llm.decontamination import bit_table, table_slots, taken
+from palimpsest.llm.shared import MOST_KEYS, ROW_KEY, read_table, stored, with_row_key
+
+#: Known texts of fewer words are notices, which are looked up as lines.
+LEAST_WORDS = 16
 
 # Spellings that count as equal in license texts, and the one that stands.
 SPELLINGS = [
@@ -170,24 +180,59 @@ def _digest(form: Column) -> Column:
     return F.sha2(form.cast("binary"), 256)
 
 
+def _head(words: Column, at: Column) -> Column:
+    """Hash of three of the LEAST_WORDS words from a place."""
+    return F.xxhash64(*[F.get(words, at + k) for k in (0, 7, LEAST_WORDS - 1)])
+
+
+def _start(words: Column, at: Column) -> Column:
+    return F.xxhash64(F.slice(words, at + 1, LEAST_WORDS))
+
+
+def _met(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Of ``docs`` (doc_id, ROW_KEY, lines, form): a row for each whole text, and for each line and block that is one of ``known``.
+
+    Place -1 stands for the whole text, smaller ones for its lines and others for its words; all are
+    made and tested in one pass, and what is none of ``known`` goes no further.
+    """
+    at, words = F.col("at"), F.col("words")
+    cut = known.select(F.col("license_id").alias("block_id"), F.col("digest").alias("block"), F.split("form", " ").alias("words")).where(F.size("words") >= LEAST_WORDS)
+    long = stored(cut.select("block_id", "block", F.size("words").alias("n"), _head(words, F.lit(0)).alias("hash"), _start(words, F.lit(0)).alias("start")), "blocks")
+    slots = table_slots(long.count())
+    rows = docs.withColumn("words", F.split("form", " "))
+    rows = rows.select("*", F.explode(F.sequence(-1 - F.size("lines"), F.greatest(F.lit(-1), F.size("words") - LEAST_WORDS))).alias("at"))
+    rows = rows.where((at < 0) | taken(bit_table(long, slots).scalar(), _head(words, at), slots)) if slots else rows.where(at < 0)
+    digest = F.when(at == -1, _digest(F.col("form"))).when(at < -1, _digest(joined(F.get("lines", -2 - at))))
+    rows = rows.select("doc_id", *ROW_KEY, "words", "at", digest.alias("digest"), F.when(at >= 0, _start(words, at)).alias("start"))
+    rows = rows.join(F.broadcast(known.select("digest", "license_id")), "digest", "left").join(F.broadcast(long.drop("hash")), "start", "left")
+    held = (at >= 0) & (_digest(F.array_join(F.slice(words, at + 1, F.col("n")), " ")) == F.col("block"))
+    rows = rows.where((at == -1) | F.col("license_id").isNotNull() | F.when(F.col("n").isNotNull(), held))
+    return rows.select("doc_id", *ROW_KEY, "at", "digest", "license_id", "block_id")
+
+
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """doc_id, canonical_sha256, license_id of the whole text (null: none), notices, is_license of every row of ``docs`` (doc_id, text).
+    """doc_id, canonical_sha256, license_id of the whole text (null: none), notices, blocks, is_license of every row of ``docs`` (doc_id, text).
 
-    ``notices``: the sorted license_ids of the lines that are known texts, joined by commas.
+    ``notices``: the sorted license_ids of the lines that are known texts, joined by commas; ``blocks``:
+    those of the known texts of LEAST_WORDS words or more that the text holds.
     """
     if known is None:
         known = docs.sparkSession.createDataFrame(common_licenses(), "license_id string, text string")
-    digests = known.select("license_id", canonical(F.col("text")).alias("form")).where("form <> ''").groupBy(_digest(F.col("form")).alias("digest")).agg(F.min("license_id").alias("license_id"))
-    if known.limit(MOST_KEYS + 1).count() <= MOST_KEYS:
-        digests = F.broadcast(digests)
+    known = known.select("license_id", canonical(F.col("text")).alias("form")).where("form <> ''")
+    known = stored(known.groupBy(_digest(F.col("form")).alias("digest")).agg(F.min("license_id").alias("license_id"), F.first("form").alias("form")), "known")
+    passes = max(1, -(-known.count() // MOST_KEYS))
     lines = with_row_key(docs).select("doc_id", *ROW_KEY, canonical_lines(F.col("text")).alias("lines"))
-    entry = lambda whole, form: F.struct(F.lit(whole).alias("whole"), _digest(joined(form)).alias("digest"))
-    entries = F.concat(F.array(entry(True, F.array_join("lines", " "))), F.transform("lines", lambda x: entry(False, x)))
-    rows = lines.select("doc_id", *ROW_KEY, F.explode(entries).alias("e")).select("doc_id", *ROW_KEY, "e.whole", "e.digest")
-    met = rows.join(digests, "digest", "left").where("whole OR license_id IS NOT NULL")
-    notices = F.array_join(F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license_id")))), ",")
-    per = met.groupBy(*ROW_KEY, "doc_id").agg(F.max(F.when(F.col("whole"), F.col("digest"))).alias("canonical_sha256"), F.max(F.when(F.col("whole"), F.col("license_id"))).alias("license_id"), notices.alias("notices"))
-    return per.select("doc_id", "canonical_sha256", "license_id", "notices", (F.col("license_id").isNotNull() | (F.col("notices") != "")).alias("is_license"))
+    lines = lines.select("*", joined(F.array_join("lines", " ")).alias("form"))
+    met = _met(lines, known.where(F.pmod(F.xxhash64("digest"), F.lit(passes)) == 0))
+    for i in range(1, passes):
+        met = met.unionByName(_met(lines, known.where(F.pmod(F.xxhash64("digest"), F.lit(passes)) == i)))
+    whole, line = F.col("at") == -1, F.col("at") < -1
+    ids = lambda x: F.array_join(F.array_sort(F.collect_set(x)), ",")
+    per = met.groupBy(*ROW_KEY, "doc_id").agg(
+        F.max(F.when(whole, F.col("digest"))).alias("canonical_sha256"), F.max(F.when(whole, F.col("license_id"))).alias("license_id"),
+        ids(F.when(line, F.col("license_id"))).alias("notices"), ids(F.col("block_id")).alias("blocks"),
+    )
+    return per.select("doc_id", "canonical_sha256", "license_id", "notices", "blocks", (F.col("license_id").isNotNull() | (F.col("notices") != "") | (F.col("blocks") != "")).alias("is_license"))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,17 +259,23 @@ def _joined_sql(words: str) -> str:
 
 OP4_SQL = f"""
 WITH known(license_id, text) AS (VALUES {", ".join("('%s', '%s')" % (a, b.replace("'", "''")) for a, b in common_licenses())}
-), digests AS (
-  SELECT sha256(form) AS digest, min(license_id) AS license_id
+), forms AS (
+  SELECT form, min(license_id) AS license_id
   FROM (SELECT license_id, {_joined_sql(f"array_to_string({_lines_sql('text')}, ' ')")} AS form FROM known) WHERE form <> '' GROUP BY 1
+), digests AS (
+  SELECT sha256(form) AS digest, license_id FROM forms
 ), lines AS (
   SELECT doc_id, {_lines_sql("text")} AS l FROM documents
 ), notices AS (
   SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
   FROM (SELECT doc_id, unnest(l) AS x FROM lines) JOIN digests ON digest = sha256({_joined_sql("x")}) GROUP BY doc_id
 ), rows AS (
-  SELECT doc_id, sha256({_joined_sql("array_to_string(l, ' ')")}) AS canonical_sha256 FROM lines
+  SELECT doc_id, {_joined_sql("array_to_string(l, ' ')")} AS body FROM lines
+), blocks AS (
+  SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS blocks
+  FROM rows JOIN forms ON contains(' ' || body || ' ', ' ' || form || ' ') WHERE len(string_split(form, ' ')) >= {LEAST_WORDS} GROUP BY doc_id
 )
-SELECT doc_id, canonical_sha256, license_id, coalesce(notices, '') AS notices, license_id IS NOT NULL OR notices IS NOT NULL AS is_license
-FROM rows LEFT JOIN digests ON digest = canonical_sha256 LEFT JOIN notices USING (doc_id)
+SELECT doc_id, sha256(body) AS canonical_sha256, license_id, coalesce(notices, '') AS notices, coalesce(blocks, '') AS blocks,
+       license_id IS NOT NULL OR notices IS NOT NULL OR blocks IS NOT NULL AS is_license
+FROM rows LEFT JOIN digests ON digest = sha256(body) LEFT JOIN notices USING (doc_id) LEFT JOIN blocks USING (doc_id)
 """

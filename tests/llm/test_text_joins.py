@@ -1,5 +1,6 @@
 import hashlib
 
+import duckdb
 import pytest
 
 from cases import bench_words
@@ -50,18 +51,23 @@ def test_table_grows_with_the_benchmark(spark):
     assert got == {d: (31, 1) if d % 3 == 0 else (0, 0) for d in range(300)}
 
 
-def test_licenses(spark, docs, rows, none):
+def test_licenses(spark, docs, rows, none, monkeypatch):
     mit, files = dict(licenses.KNOWN)["MIT"], dict(reversed(licenses.common_licenses()))
     texts = [
         (1, mit), (2, "  Copyright (c) 2020 A\n" + mit.replace("sublicense", "sub-licence").upper() + "\nAll rights reserved."), (3, mit + " and more"), (4, None), (5, "Copyright 2020"), (6, ""),
         (7, "licensed under the APACHE licence version 2 0"), (1, mit), (8, files["GPL-3.0"].upper()), (9, files["Apache-2.0"][: files["Apache-2.0"].index("APPENDIX")]), (10, "some prose\n\n# Released under the MIT Licence\nmore, licensed under CC BY-NC 4.0"),
+        (11, "# A tool\n\nIts use is free.\n" + mit.replace(". ", ".\n// ") + "\n\n## Next\n" + files["BSD-3-Clause"].replace("distribution", "dis-tribution", 1)),
+        (12, "see below: " + files["ISC"].replace(" ", "\n * ") + " " + files["Zlib"] + " end"), (13, files["Zlib"][:-30]), (14, " ".join(files["ISC"].split()[:40] * 3)),
     ]
     df = spark.createDataFrame([(d, t, "x") for d, t in texts], "doc_id long, text string, license_id string")
-    got = sorted((r["doc_id"], r["license_id"] or "", r["notices"], r["is_license"]) for r in licenses.scan_licenses(df).collect())
-    assert got == [
-        (1, "MIT", "", True), (1, "MIT", "", True), (2, "MIT", "", True), (3, "", "", False), (4, "", "", False), (5, "", "", False), (6, "", "", False), (7, "Apache-2.0 notice", "Apache-2.0 notice", True),
-        (8, "GPL-3.0", "", True), (9, "Apache-2.0", "", True), (10, "", "MIT notice", True),
+    want = [
+        (1, "MIT", "", "MIT"), (1, "MIT", "", "MIT"), (2, "MIT", "", "MIT"), (3, "", "", "MIT"), (4, "", "", ""), (5, "", "", ""), (6, "", "", ""), (7, "Apache-2.0 notice", "Apache-2.0 notice", ""),
+        (8, "GPL-3.0", "", "GPL-3.0"), (9, "Apache-2.0", "", "Apache-2.0"), (10, "", "MIT notice", ""), (11, "", "", "MIT"), (12, "", "", "ISC,Zlib"), (13, "", "", ""), (14, "", "", ""),
     ]
+    for most in (licenses.MOST_KEYS, 40):
+        monkeypatch.setattr(licenses, "MOST_KEYS", most)
+        got = sorted((r["doc_id"], r["license_id"] or "", r["notices"], r["blocks"], r["is_license"]) for r in licenses.scan_licenses(df).collect())
+        assert got == [(*w, any(w[1:])) for w in want]
     assert licenses.scan_licenses(docs).count() == len(rows) and licenses.scan_licenses(none).count() == 0
 
 
@@ -73,3 +79,16 @@ def test_canonical_form(spark):
     ]
     a, b = form("(a) do\n(b) so\n(c) this", "(a) do\n(b) so\n(c) that")
     assert a != b
+
+
+def test_licenses_as_in_sql(spark, tmp_path):
+    """The SQL on documents that are or hold licenses, of which the given tables have few."""
+    mit, files = dict(licenses.KNOWN)["MIT"], dict(reversed(licenses.common_licenses()))
+    texts = [mit, "intro\n" + mit, files["MPL-2.0"] + "\nend", files["BSD-2-Clause"], "a\nReleased under the MIT License.\n" + files["Unlicense"], None, "", "prose of no license at all"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(licenses.OP4_SQL).df()
+    got = licenses.op4_licenses(spark, str(tmp_path)).toPandas()
+    key = lambda df: sorted(tuple(str(v) for v in r) for r in df[sorted(df.columns)].fillna("-").itertuples(index=False))
+    assert sorted(got.columns) == sorted(want.columns) and key(got) == key(want) and (got["blocks"] != "").sum() == 5
