@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import relevance_tokens, retrieval_tokens
+from palimpsest.operators.grid import in_cells
 from palimpsest.plans.steps import materialised
 
 K1, B, RRF = 1.5, 0.75, 60
@@ -16,7 +17,8 @@ K1, B, RRF = 1.5, 0.75, 60
 def indexable(docs: DataFrame) -> DataFrame:
     """``docs`` (id, content) with their tokens; texts under 10 characters or without tokens are left out."""
     kept = docs.where(F.col("id").isNotNull() & (F.length(F.trim("content")) >= 10))
-    return kept.withColumn("tokens", retrieval_tokens(F.col("content"))).where(F.size("tokens") > 0)
+    # a generator of one row: what comes after it cannot run the tokenizer a second time
+    return kept.withColumn("tokens", F.explode(F.array(retrieval_tokens(F.col("content"))))).where(F.size("tokens") > 0)
 
 
 def index_terms(docs: DataFrame) -> DataFrame:
@@ -67,68 +69,60 @@ def normalised(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-def _nearest(matrix, norms, query_ids, query_models, threshold: float, k: int, strict: bool, same_model: bool):
-    """Arrow batches of vectors to the k best of each batch for each query of a block; needs no import of this package."""
+def _nearest(threshold: float, k: int, strict: bool, same_model: bool):
+    """A block of queries and a block of vectors to the k best of the block for each query."""
 
-    def run(batches):
+    def run(key, queries, vectors):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        q, q_norms, q_ids, q_models = matrix.value, norms.value, query_ids.value, query_models.value
-        for batch in (b.slice(at, 2048) for b in batches for at in range(0, len(b), 2048)):
-            vectors = batch.column("vector")
-            sizes = np.asarray(pc.fill_null(pc.list_value_length(vectors), 0))
-            rows = np.flatnonzero(sizes == q.shape[1])
-            v = np.asarray(vectors.take(pa.array(rows)).flatten(), np.float64).reshape(len(rows), q.shape[1])
-            lengths = np.sqrt((v * v).sum(1))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                score = (q @ v.T) / (q_norms[:, None] * lengths[None, :])
-            score = np.where(np.isfinite(score), score, 0.0)
-            score = np.sign(score) * np.floor(np.abs(score) * 1e4 + 0.5) / 1e4
-            found = score > threshold if strict else score >= threshold
-            if same_model:
-                models = np.array(batch.column("model").to_pylist(), object)[rows]
-                found &= np.array(q_models, object)[:, None] == models[None, :]
-            a, b = np.nonzero(found)
-            ids = batch.column("id").take(pa.array(rows))
-            order = np.lexsort((pc.rank(ids, "ascending", tiebreaker="first").to_numpy()[b] if len(rows) else b, -score[a, b], a))
-            a, b = a[order], b[order]
-            place = np.arange(len(a)) - np.searchsorted(a, a)
-            a, b = a[place < k], b[place < k]
-            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(score[a, b])], ["query_id", "id", "score"])
+        def matrix(table, column):
+            flat = pc.list_flatten(table.column(column).combine_chunks())
+            return np.asarray(pc.fill_null(flat, float("nan")), np.float64).reshape(len(table), -1)
+
+        out = []
+        if len(queries) and len(vectors):
+            every, ids = matrix(vectors, "vector"), vectors.column("id").combine_chunks()
+            lengths, by_id = np.sqrt((every * every).sum(1)), pc.rank(ids, "ascending", tiebreaker="first").to_numpy()
+            models = np.array(vectors.column("model").to_pylist(), object)
+            for lo in range(0, len(queries), 512):
+                some = queries.slice(lo, 512)
+                q = matrix(some, "query")
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    score = (q @ every.T) / (np.sqrt((q * q).sum(1))[:, None] * lengths[None, :])
+                score = np.where(np.isfinite(score), score, 0.0)
+                score = np.sign(score) * np.floor(np.abs(score) * 1e4 + 0.5) / 1e4
+                found = score > threshold if strict else score >= threshold
+                if same_model:
+                    found &= np.array(some.column("query_model").to_pylist(), object)[:, None] == models[None, :]
+                a, b = np.nonzero(found)
+                order = np.lexsort((by_id[b], -score[a, b], a))
+                a, b = a[order], b[order]
+                place = np.arange(len(a)) - np.searchsorted(a, a)
+                a, b = a[place < k], b[place < k]
+                out.append(pa.table([some.column("query_id").combine_chunks().take(pa.array(a)), ids.take(pa.array(b)), pa.array(score[a, b])], ["query_id", "id", "score"]))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (queries.schema.field("query_id").type, vectors.schema.field("id").type, pa.float64())], ["query_id", "id", "score"])
 
     return run
 
 
 def vector_search(
-    vectors: DataFrame, queries: DataFrame, threshold: float = 0.2, k: int = 16, strict: bool = True, same_model: bool = False, block_bytes: int = 16 << 20
+    vectors: DataFrame, queries: DataFrame, threshold: float = 0.2, k: int = 16, strict: bool = True, same_model: bool = False, query_rows: int = 8192, vector_rows: int = 8192
 ) -> DataFrame:
     """query_id, id, score, rank of the k best of ``vectors`` (id, vector, model) for each of ``queries`` (query_id, query, query_model).
 
-    Queries go in blocks of at most some ``block_bytes`` of components, each broadcast; every block is
-    compared with all vectors by matrix products of Arrow batches, of which each hands on its k best.
-    Vectors of another length than a query's score 0 with it, and so do vectors without length.
+    Blocks of queries meet blocks of vectors in tasks (``grid``), by matrix products; each pair of
+    blocks hands on the k best of the block for each query.  Nothing passes the driver.  Vectors of
+    another length than a query's are not found; vectors without length score 0.
     """
-    import numpy as np
-    import pyarrow.compute as pc
-
-    spark = vectors.sparkSession
     kinds = dict(vectors.dtypes) | dict(queries.dtypes)
     out = f"query_id {kinds['query_id']}, id {kinds['id']}, score double"
-    sizes = queries.groupBy(F.size("query").alias("dim")).agg(F.count("*").alias("n")).where("dim > 0").collect()  # a row for each length
-    found = None
-    for r in sorted(sizes):
-        blocks = -(-r["n"] * r["dim"] * 8 // block_bytes)
-        for i in range(blocks):
-            block = queries.where((F.size("query") == r["dim"]) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).select("query_id", "query", "query_model").toArrow().combine_chunks()
-            q = np.asarray(pc.list_flatten(block.column("query")).combine_chunks(), np.float64).reshape(len(block), r["dim"])
-            values = [q, np.sqrt((q * q).sum(1)), block.column("query_id").combine_chunks(), block.column("query_model").to_pylist()]
-            run = _nearest(*[spark.sparkContext.broadcast(v) for v in values], threshold, k, strict, same_model)
-            one = vectors.select("id", "vector", "model").mapInArrow(run, out)
-            found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = spark.createDataFrame([], out)
+    # equal rows share a block: of each no more than k are of use
+    some = vectors.where(F.size("vector") > 0).groupBy("id", "vector", "model").agg(F.least(F.count("*"), F.lit(k)).alias("n"))
+    sized = some.select("id", "vector", "model", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("_copy")).select("id", "vector", "model", F.size("vector").alias("dim"))
+    asked = queries.where(F.size("query") > 0).select("query_id", "query", "query_model", F.size("query").alias("dim"))
+    found = in_cells(asked, sized, "dim", ["query_id", "query"], ["id", "vector"], _nearest(threshold, k, strict, same_model), out, query_rows, vector_rows)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -148,14 +142,22 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
 
 
-def rrf(legs: list[DataFrame], k: int = 8) -> DataFrame:
-    """id, score by reciprocal ranks of ranked lists (id, rank from 1); ties go to the earlier leg, then to its rank."""
-    every = None
+def rrf(legs: list[DataFrame], k: int = 8, by: str | None = None) -> DataFrame:
+    """id, score by reciprocal ranks of ranked lists (id, rank from 1); ties go to the earlier leg, then to its rank.
+
+    With ``by`` there is a list for each value of that column.
+    """
+    own, every = [by] if by else [], None
     for n, leg in enumerate(legs):
-        one = leg.select("id", "rank", F.lit(n).alias("leg"))
+        one = leg.select(*own, "id", "rank", F.lit(n).alias("leg"))
         every = one if every is None else every.unionByName(one)
-    fused = every.groupBy("id").agg(F.round(F.sum(1 / (F.lit(RRF) + F.col("rank"))), 6).alias("score"), F.min(F.struct("leg", "rank")).alias("first"))
-    return fused.orderBy(F.desc("score"), "first", "id").limit(k).select("id", "score", F.lit("hybrid").alias("method"))
+    fused = every.groupBy(*own, "id").agg(F.round(F.sum(1 / (F.lit(RRF) + F.col("rank"))), 6).alias("score"), F.min(F.struct("leg", "rank")).alias("first"))
+    order = (F.desc("score"), "first", "id")
+    if by:
+        best = fused.withColumn("_at", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_at") <= k)
+    else:
+        best = fused.orderBy(*order).limit(k)
+    return best.select(*own, "id", "score", F.lit("hybrid").alias("method"))
 
 
 def ranked(top: DataFrame) -> DataFrame:
@@ -187,14 +189,18 @@ def first_layer(layers: list[Callable[[], DataFrame | None]]) -> DataFrame | Non
     return None
 
 
-def layered(query: str, turns: DataFrame, graph: Callable[[], DataFrame | None] | None, facts: DataFrame, k: int = 6) -> DataFrame:
+def layered(
+    query: str, turns: DataFrame, graph: Callable[[], DataFrame | None] | None, facts: DataFrame, k: int = 6, search: Callable[[list[str], int], DataFrame] | None = None
+) -> DataFrame:
     """Keyword search if the query is over 5 characters, else recent turns; then the graph; then facts.
 
     ``graph`` makes its rows (id, score, method) when asked for, or None if it has too little to say.
+    ``search`` finds (id, score) of the best turns for terms, as ``SearchIndex.bm25``; without it all turns are read.
     """
+    search = search or (lambda terms, n: bm25(turns, terms, n))
     terms = query_terms(query)
     long = len(query) > 5
-    first = (lambda: rrf([ranked(bm25(turns, terms, 2 * k))], k) if terms else None) if long else (lambda: recent(turns, k))
+    first = (lambda: rrf([ranked(search(terms, 2 * k))], k) if terms else None) if long else (lambda: recent(turns, k))
     third = facts_by_confidence(facts).select("id", F.col("weight").alias("score"), F.lit("facts").alias("method"))
     found = first_layer([first, graph if graph and long else lambda: None, lambda: third])
     if found is not None:

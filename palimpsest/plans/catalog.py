@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import compression, text
 from palimpsest.operators import conversation, facts, graph, phrases, retrieval, tables, telemetry, windows
+from palimpsest.operators.keyed import KeyedTable
+from palimpsest.operators.search_index import SearchIndex
+from palimpsest.plans.kept import kept, turn_index
 from palimpsest.plans.steps import materialised, shared_path
 from palimpsest.sources import history, sse, views
+from palimpsest.streaming.rollups import Conversations
 
 TERMS = ["thing", "thtion", "ernt", "thing"]
 AS_OF_MS = views.EPOCH_MS + 600_000 * 1000
@@ -38,6 +42,12 @@ def _synced(spark, sf_dir):
 
 
 def bm25_topk(spark, sf_dir):
+    """The best turns, from the index that is kept of them."""
+    return turn_index(spark, sf_dir).bm25(TERMS, 16)
+
+
+def bm25_scan(spark, sf_dir):
+    """The same by a scan of all turns, without an index."""
     return retrieval.bm25(views.turns(spark, sf_dir), TERMS, 16)
 
 
@@ -49,6 +59,14 @@ def bm25_stats(spark, sf_dir):
     return retrieval.index_stats(views.turns(spark, sf_dir))
 
 
+def index_changes(spark, sf_dir):
+    """The best turns after turns were added to an index, some were replaced, and some removed."""
+    turns = views.turns(spark, sf_dir)
+    index = SearchIndex.create(spark, shared_path(spark, "index")).add(turns.where("conv_id % 2 = 0"), new=True)
+    index = index.add(turns.where("turn < 2").withColumn("content", F.concat("content", F.lit(" thing thing"))))
+    return index.remove(turns.where("conv_id % 5 = 0").select("id")).bm25(TERMS, 20)
+
+
 def vector_topk(spark, sf_dir):
     return retrieval.vector_search(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir))
 
@@ -64,10 +82,12 @@ def vector_normalised(spark, sf_dir):
 
 
 def rrf_hybrid(spark, sf_dir):
-    words = retrieval.ranked(retrieval.bm25(views.turns(spark, sf_dir), TERMS, 16))
-    near = retrieval.vector_search(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir).where("query_id = 0"))
-    near = near.select(F.expr("concat(id DIV 6, '-', id % 6)").alias("id"), "rank")
-    return retrieval.rrf([words, near], 8)
+    """For each vector searched for, its neighbours fused with the best turns by keywords."""
+    asked = _query_vectors(spark, sf_dir)
+    words = retrieval.ranked(turn_index(spark, sf_dir).bm25(TERMS, 16)).join(asked.select("query_id"))  # 16 rows for each query
+    near = retrieval.vector_search(_vectors(spark, sf_dir), asked)
+    near = near.select("query_id", F.expr("concat(id DIV 6, '-', id % 6)").alias("id"), "rank")
+    return retrieval.rrf([words, near], 8, by="query_id")
 
 
 def recent_turns(spark, sf_dir):
@@ -80,7 +100,7 @@ def layered_retrieval(spark, sf_dir):
     tied = functools.cache(lambda: _graph(spark, sf_dir))  # made once, and only if a query gets so far
     out = None
     for query in ("hi", "thing thtion", "zzqx redis", "zzqx zzqy"):
-        rows = retrieval.layered(query, turns, lambda q=query: graph.layer(*tied(), q), known).withColumn("query", F.lit(query))
+        rows = retrieval.layered(query, turns, lambda q=query: graph.layer(*tied(), q), known, search=turn_index(spark, sf_dir).bm25).withColumn("query", F.lit(query))
         out = rows if out is None else out.unionByName(rows)
     return out.select("query", "layer", "id", F.round("score", 6).alias("score"), "method")
 
@@ -214,9 +234,9 @@ def purge_marked(spark, sf_dir):
 
 
 def _graph(spark, sf_dir):
-    """Entities and relations, each made once however often a query reads them."""
-    f = views.graph_facts(spark, sf_dir)
-    return materialised(graph.entities(f)), materialised(graph.relations(f))
+    """Entities and relations, kept for the queries that read them."""
+    f, source = views.graph_facts(spark, sf_dir), [views.table(spark, sf_dir, t) for t in ("supplier", "part")]
+    return kept(spark, "entities", lambda: graph.entities(f), *source), kept(spark, "relations", lambda: graph.relations(f), *source)
 
 
 def kg_entities(spark, sf_dir):
@@ -363,17 +383,31 @@ def backfill_todo(spark, sf_dir):
 def index_backfill(spark, sf_dir):
     """Turns that an index of the even conversations lacks."""
     t = views.turns(spark, sf_dir)
-    return tables.without_keys(retrieval.indexable(t), t.where("conv_id % 2 = 0"), "id").select("id", "conv_id")
+    index = SearchIndex.create(spark, shared_path(spark, "index")).add(t.where("conv_id % 2 = 0"), new=True)
+    return index.missing(t).select("id", "conv_id")
 
 
 def upsert_latest(spark, sf_dir):
-    t = views.turns_with_copies(spark, sf_dir).withColumn("id", F.concat_ws("-", "conv_id", "turn"))
-    return tables.upsert(t, "id", "ts_ms", "arrival").select("id", "ts_ms", "arrival")
+    """The last copy of each turn, after the copies were put into a keyed table of the turns."""
+    t = views.turns_with_copies(spark, sf_dir).withColumn("id", F.concat_ws("-", "conv_id", "turn")).select("id", "ts_ms", "arrival")
+    table = KeyedTable.create(spark, shared_path(spark, "keyed"), t.schema, "id", 8)
+    first = F.col("arrival") % 10 == 0
+    return table.put(t.where(first), "ts_ms", "arrival").put(t.where(~first), "ts_ms", "arrival").read()
 
 
 def delete_keys(spark, sf_dir):
-    t = views.turns(spark, sf_dir)
-    return tables.without_keys(t, t.where("turn = 1"), "id").groupBy("platform").agg(F.count("*").alias("n"))
+    """Turns by platform, after some were deleted from a keyed table."""
+    t = views.turns(spark, sf_dir).select("id", "platform", "turn")
+    table = KeyedTable.create(spark, shared_path(spark, "keyed"), t.schema, "id", 8).put(t)
+    return table.delete(t.where("turn = 1")).read().groupBy("platform").agg(F.count("*").alias("n"))
+
+
+def rollup_arrivals(spark, sf_dir):
+    """Conversations rolled up as turns arrive in three batches, the latest turns first and some of them twice."""
+    t, live = views.turns(spark, sf_dir), Conversations(spark, shared_path(spark, "conversations"), 8)
+    for n, part in enumerate(("turn > 2", "turn IN (1, 3)", "turn < 3")):
+        live.arrive(t.where(part), n)
+    return live.rollup()
 
 
 def ring_buffer(spark, sf_dir):
@@ -386,7 +420,7 @@ def evict_oldest(spark, sf_dir):
 
 def context_block(spark, sf_dir):
     """The block of the five best turns, one row."""
-    top = retrieval.ranked(retrieval.bm25(views.turns(spark, sf_dir), TERMS, 5)).join(views.turns(spark, sf_dir), "id")
+    top = retrieval.ranked(turn_index(spark, sf_dir).bm25(TERMS, 5)).join(views.turns(spark, sf_dir), "id")
     age = text.age_label((F.lit(AS_OF_MS) - F.col("ts_ms")) / 60_000)
     line = F.concat(F.lit("["), age, F.lit("] "), "role", F.lit(": "), text.truncated(F.col("content"), 80))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n")
@@ -512,7 +546,7 @@ def enrichment_blocks(spark, sf_dir):
 def merged_lists(spark, sf_dir):
     """Newest turns and best turns as one list; the payload of the second one wins."""
     t = views.turns(spark, sf_dir)
-    legs = [retrieval.ranked(retrieval.recent(t, 40)), retrieval.ranked(retrieval.bm25(t, TERMS, 40)).withColumn("method", F.lit("keyword"))]
+    legs = [retrieval.ranked(retrieval.recent(t, 40)), retrieval.ranked(turn_index(spark, sf_dir).bm25(TERMS, 40)).withColumn("method", F.lit("keyword"))]
     return retrieval.merged_lists(legs, ["method"])
 
 
@@ -585,12 +619,12 @@ def history_pages(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, bm25_terms, bm25_stats, vector_topk, vector_same_model, vector_normalised, rrf_hybrid, recent_turns, layered_retrieval, fact_relevance, facts_by_confidence,
+        bm25_topk, bm25_scan, index_changes, bm25_terms, bm25_stats, vector_topk, vector_same_model, vector_normalised, rrf_hybrid, recent_turns, layered_retrieval, fact_relevance, facts_by_confidence,
         conversation_rollup, conversation_stats, platform_breakdown, conversations_recent, conversations_cursor, conversations_changed, popup_rows, role_normalise, content_normalise,
         turn_dedup, fact_similar_pairs, fact_fuzzy_dedup, fact_search, fact_valid, fact_answers, ngram_counts, symbol_candidates, symbol_dictionary, compress_static, compress_dictionary,
         compression_savings, expand_symbols, strip_context, purge_marked, kg_entities, kg_relations, kg_walk, kg_block, kg_stats, kg_top, sse_reassemble, sse_usage, url_match, artifact_extract,
         history_turns, user_message_extract, token_islands, token_cost, memory_health, injection_stats, vector_stats, delta_query, query_extract, extraction_text, to_extract, unsynced_flatten,
-        migration_batches, backfill_todo, index_backfill, upsert_latest, delete_keys, ring_buffer, evict_oldest, context_block, export_import, window_tumbling, window_sliding, window_sessions,
+        migration_batches, backfill_todo, index_backfill, upsert_latest, rollup_arrivals, delete_keys, ring_buffer, evict_oldest, context_block, export_import, window_tumbling, window_sliding, window_sessions,
         grouping_sets, as_of_join, approx_distinct, point_lookup, settings_default, composite_key, last_turns, extraction_totals, injection_guard, fact_block, response_json, reembed_texts,
         newest_events, average_latency, kg_own_patterns, approx_distinct_error, facts_by_time, symbols_by_frequency, enrichment_blocks, merged_lists, embedded_turns, extracted_facts, sync_flush,
         sync_log, migration_tallies, import_all, overwritten_settings, history_pages,

@@ -41,6 +41,10 @@ INDEX = f"""{TURNS}, tokens AS (
 ), docs AS (SELECT id, w, len(w) AS dl FROM tokens WHERE len(w) > 0)"""
 
 
+CHANGED = f"""{TURNS.replace('turns AS', 'base AS')}, turns AS (
+  SELECT * REPLACE (CASE WHEN turn < 2 THEN content || ' thing thing' ELSE content END AS content) FROM base WHERE (conv_id % 2 = 0 OR turn < 2) AND conv_id % 5 <> 0)"""
+
+
 def bm25(terms: list[str], k: int, name: str = "top") -> str:
     """CTEs over INDEX that end in ``name`` (id, score, rank)."""
     values = ", ".join(f"('{t}', {terms.count(t)})" for t in sorted(set(terms)))
@@ -149,6 +153,8 @@ WORDSETS = f"""{FACTS}, sets AS (
 
 ORACLE_SQL = {
     "bm25_topk": f"WITH {INDEX}, {bm25(TERMS, 16)} SELECT id, score FROM top",
+    "bm25_scan": f"WITH {INDEX}, {bm25(TERMS, 16)} SELECT id, score FROM top",
+    "index_changes": f"WITH {INDEX.replace(TURNS, CHANGED)}, {bm25(TERMS, 20)} SELECT id, score FROM top",
     "bm25_terms": f"WITH {INDEX} SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM (SELECT id, unnest(w) AS term FROM docs) GROUP BY term",
     "bm25_stats": f"WITH {INDEX} SELECT count(*) AS n_docs, round(avg(dl), 6) AS avg_length, CAST(sum(dl) AS BIGINT) AS n_tokens FROM docs",
     "vector_topk": f"WITH {VECTORS} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM cos WHERE score > 0.2 QUALIFY rank <= 16",
@@ -156,9 +162,10 @@ ORACLE_SQL = {
     "vector_normalised": """SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: (x::DOUBLE * 2 / n) ** 2)), 6) AS norm2, round(embedding[1]::DOUBLE * 2 / n, 6) AS first
 FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: (x::DOUBLE * 2) ** 2))) AS n FROM embeddings)""",
     "rrf_hybrid": f"""WITH {INDEX}, {bm25(TERMS, 16)}, {VECTORS}, near AS (
-  SELECT (id // 6) || '-' || (id % 6) AS id, row_number() OVER (ORDER BY score DESC, cos.id) AS rank FROM cos WHERE query_id = 0 AND score > 0.2 QUALIFY rank <= 16
-), legs AS (SELECT id, rank, 0 AS leg FROM top UNION ALL SELECT id, rank, 1 FROM near)
-SELECT id, round(sum(1 / (60 + rank)), 6) AS score, 'hybrid' AS method FROM legs GROUP BY id ORDER BY score DESC, min((leg, rank)), id LIMIT 8""",
+  SELECT query_id, (id // 6) || '-' || (id % 6) AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cos.id) AS rank FROM cos WHERE score > 0.2 QUALIFY rank <= 16
+), legs AS (SELECT vec_id AS query_id, id, rank, 0 AS leg FROM top, embeddings WHERE vec_id % 100 = 0 UNION ALL SELECT query_id, id, rank, 1 FROM near
+), fused AS (SELECT query_id, id, round(sum(1 / (60 + rank)), 6) AS score, min((leg, rank)) AS first FROM legs GROUP BY query_id, id)
+SELECT query_id, id, score, 'hybrid' AS method FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, id) <= 8""",
     "recent_turns": f"WITH {TURNS} SELECT id, 1.0::DOUBLE AS score, 'recent' AS method FROM turns ORDER BY ts_ms DESC, id LIMIT 6",
     "layered_retrieval": f"""WITH {INDEX}, {bm25(["thing", "thtion"], 12)}, {FACTS}, {WALK.replace("what uses redis here", "zzqx redis")},
 l0 AS (SELECT 'hi' AS query, 0 AS layer, id, 1.0 AS score, 'recent' AS method FROM turns ORDER BY ts_ms DESC, id LIMIT 6),
@@ -177,6 +184,7 @@ SELECT query, layer, id, score::DOUBLE AS score, method FROM (FROM l0 UNION ALL
 SELECT id, score::DOUBLE AS score FROM sized WHERE ceil((size + n - 1 + 34) / 4) <= 500 OR place <= greatest(3, n - 2)""",
     "facts_by_confidence": f"WITH {FACTS} SELECT id, confidence, ts_ms FROM facts ORDER BY CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, ts_ms DESC, id LIMIT 8",
     "conversation_rollup": f"WITH {ROLLUP} SELECT * FROM rollup",
+    "rollup_arrivals": f"WITH {ROLLUP} SELECT * FROM rollup",
     "conversation_stats": f"""WITH {ROLLUP} SELECT count(*) AS n_conversations, CAST(sum(turn_count) AS BIGINT) AS n_turns, CAST(sum(token_estimate) AS BIGINT) AS n_tokens,
   count(*) FILTER (synced_at IS NULL OR updated_at > synced_at) AS n_unsynced, min(started_at) AS oldest, max(updated_at) AS newest FROM rollup LEFT JOIN synced USING (conv_id)""",
     "platform_breakdown": f"WITH {TURNS} SELECT platform, count(DISTINCT conv_id) AS n_conversations, count(*) AS n_turns, CAST(sum(length(content)) AS BIGINT) AS n_chars FROM turns GROUP BY platform",

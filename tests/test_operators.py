@@ -191,7 +191,7 @@ def test_vector_search_in_blocks(spark):
         for q, a, m in asked:
             best = sorted((-cos(a, b), i) for i, b, n in rows if cos(a, b) > 0.2 and (m == n or not same))[:4]
             want |= {(q, i, -s, k + 1) for k, (s, i) in enumerate(best)}
-        got = retrieval.vector_search(vectors, queries, 0.2, 4, same_model=same, block_bytes=300)
+        got = retrieval.vector_search(vectors, queries, 0.2, 4, same_model=same, query_rows=7, vector_rows=9)
         assert {(r["query_id"], r["id"], r["score"], r["rank"]) for r in got.collect()} == want
 
 
