@@ -33,17 +33,19 @@ def fact_words(content: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(content), r"\s+"), lambda w: F.length(w) > 2)))
 
 
-def similar_pairs(facts: DataFrame, least: float = 0.85) -> DataFrame:
-    """a < b, similarity: facts (id, content) of different word sets that share ``least`` of the larger one's words over two characters.
+def word_sets(facts: DataFrame) -> DataFrame:
+    """id, n, words: each distinct set of words of ``facts`` (id, content), by its least id; words go by 64-bit hashes."""
+    words = F.array_sort(F.array_distinct(F.transform(fact_words(F.col("content")), lambda w: F.xxhash64(w))))
+    sets = facts.select("id", F.explode(F.array(words)).alias("words")).where(F.size("words") > 0).groupBy("words").agg(F.min("id").alias("id"))
+    return materialised(sets.select("id", F.size("words").alias("n"), "words"))
+
+
+def rare_words(sets: DataFrame, least: float) -> DataFrame:
+    """word, id, n, rest: the rarest words of each set, enough to find every partner.
 
-    Facts of one word set count once, by their least id.  Words go by 64-bit hashes.  Of each set the
-    rarest words are enough to find every partner: a set of n words and any partner share one of its
-    n - ceil(least * n) + 1 rarest, so common words never join; and where the first word they share
-    stands, enough words must follow in both.
+    A set of n words and any partner share one of its n - ceil(least * n) + 1 rarest, so common
+    words never join; ``rest`` is how many words a set has from there on.
     """
-    words = F.array_sort(F.array_distinct(F.transform(fact_words(F.col("content")), lambda w: F.xxhash64(w))))
-    sets = facts.select("id", words.alias("words")).where(F.size("words") > 0).groupBy("words").agg(F.min("id").alias("id"))
-    sets = materialised(sets.select("id", F.size("words").alias("n"), "words"))
     posted = sets.select("id", "n", F.explode("words").alias("word"))
     df = posted.groupBy("word").agg(F.count("*").alias("df")).where("df > 1")
     # words of one set alone find no partner; they keep their places at the front of the order
@@ -51,64 +53,142 @@ def similar_pairs(facts: DataFrame, least: float = 0.85) -> DataFrame:
     alone = F.col("n") - F.size("w")
     prefix = F.slice("w", F.lit(1), F.greatest(F.lit(0).cast("long"), F.col("n") - F.ceil(F.col("n") * least) + 1 - alone).cast("int"))
     placed = shared.select("id", "n", alone.alias("alone"), F.posexplode(prefix).alias("at", "x"))
-    placed = materialised(placed.select("id", "n", F.col("x.word").alias("word"), (F.col("n") - F.col("alone") - F.col("at")).alias("rest")))
-    left, right = placed.select("word", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "rest")]), placed.select("word", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "rest")])
+    return materialised(placed.select(F.col("x.word").alias("word"), "id", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest")))
+
+
+def _alike(earlier: DataFrame, later: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """a < b, similarity: sets of ``earlier`` and ``later`` (rare words of each) that share ``least`` of the larger one's words."""
+    side = lambda df, x: df.select("word", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "rest")])
     need = F.greatest("n_a", "n_b") * least - 1e-6
+    # lengths must be near, and where the first word they share stands, enough words must follow in both
     near = (F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= need) & (F.least("rest_a", "rest_b") >= need)
-    pairs = left.join(right, "word").where(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    pairs = side(earlier, "a").join(side(later, "b"), "word").where(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
     score = F.size(F.array_intersect("wa", "wb")) / F.greatest(F.size("wa"), F.size("wb"))
     return both.select("a", "b", F.round(score, 6).alias("similarity")).where(F.col("similarity") >= least)
 
 
+def similar_pairs(facts: DataFrame, least: float = 0.85) -> DataFrame:
+    """a < b, similarity: facts (id, content) of different word sets that share ``least`` of the larger one's words over two characters.
+
+    Facts of one word set count once, by their least id.  This is every pair: a group of near copies
+    has as many as its square.  ``fuzzy_members`` needs none of that.
+    """
+    sets = word_sets(facts)
+    placed = rare_words(sets, least)
+    return _alike(placed, placed, sets, least)
+
+
 def _folder():
-    def fold(key, rows):
-        """Which ids of one component a pass in id order keeps; needs no import of this package."""
+    def fold(batches):
+        """Which ids a pass in id order drops, from pairs in the order of root, b, a; needs no import of this package."""
         import pyarrow as pa
 
-        partners: dict[int, list[int]] = {}
-        for a, b in zip(rows.column("a").to_pylist(), rows.column("b").to_pylist()):
-            partners.setdefault(b, []).append(a)
-            partners.setdefault(a, [])
-        kept: set[int] = set()
-        for b in sorted(partners):
-            if kept.isdisjoint(partners[b]):
-                kept.add(b)
-        return pa.table({"id": pa.array(sorted(kept), pa.int64())})
+        root, gone, last = None, set(), None
+        for batch in batches:
+            out = []
+            for r, b, a in zip(*[batch.column(c).to_pylist() for c in ("root", "b", "a")]):
+                if r != root:
+                    root, gone = r, set()
+                # a < b: whether a stays is settled before b comes
+                if a not in gone and b not in gone:
+                    gone.add(b)
+                    out.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["id"])
 
     return fold
 
 
-def accepted(ids: DataFrame, pairs: DataFrame, rounds: int = 2) -> DataFrame:
-    """Ids that a pass in id order keeps: those with no smaller kept partner in ``pairs`` (a < b).
+def dropped(pairs: DataFrame, rounds: int = 2) -> DataFrame:
+    """Ids that a pass in id order drops: those with a smaller kept partner in ``pairs`` (a < b).
 
-    ``rounds`` rounds settle every id whose smaller partners are all settled, which leaves little of
-    dense groups.  What is still open hangs together in chains, however long: each connected
-    component of it is folded in one task, which holds two numbers for each of its pairs.
+    ``rounds`` rounds settle every id whose smaller partners are all settled.  What is still open hangs
+    together in chains: each connected component of it streams through one task in order, which
+    remembers the ids dropped of that component and no pairs.
     """
-    kept = None
-    open_pairs, open_ids = pairs.select("a", "b"), ids.select("id")
+    out = None
+    left = materialised(pairs.select("a", "b"))
     for _ in range(rounds):
-        waiting = open_pairs.select(F.col("b").alias("id")).distinct()
-        now = materialised(open_ids.join(waiting, "id", "left_anti"))
-        gone = materialised(open_pairs.join(now.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct())
-        kept = now if kept is None else kept.unionByName(now)
-        settled = now.unionByName(gone)
-        open_ids = materialised(open_ids.join(settled, "id", "left_anti"))
-        open_pairs = materialised(open_pairs.join(gone.withColumnRenamed("id", "b"), "b", "left_anti").join(settled.withColumnRenamed("id", "a"), "a", "left_anti").select("a", "b"))
-        if open_ids.isEmpty():
-            return kept
-    roots = components(open_pairs)
-    rest = open_pairs.join(roots.withColumnRenamed("node", "a"), "a").groupBy("root").applyInArrow(_folder(), "id long")
-    return kept.unionByName(rest).unionByName(open_ids.join(roots.select(F.col("node").alias("id")), "id", "left_anti"))
+        least = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        gone = materialised(left.join(least, "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        out = gone if out is None else out.unionByName(gone)
+        without = lambda df, side: df.join(gone.select(F.col("id").alias(side)), side, "left_anti")  # noqa: E731, B023
+        left = materialised(without(without(left, "a"), "b"))
+        if left.isEmpty():
+            return out
+    roots = components(left).withColumnRenamed("node", "a")
+    ordered = left.join(roots, "a").select("root", "b", "a").repartition("root").sortWithinPartitions("root", "b", "a")
+    return out.unionByName(ordered.mapInArrow(_folder(), "id long"))
+
+
+def accepted(ids: DataFrame, pairs: DataFrame, rounds: int = 2) -> DataFrame:
+    """Ids that a pass in id order keeps: those with no smaller kept partner in ``pairs`` (a < b)."""
+    return ids.select("id").join(dropped(pairs, rounds), "id", "left_anti")
+
+
+def _settle(placed: DataFrame, sets: DataFrame, least: float, few: int, growth: int, most: int, kept: list[DataFrame], gone: list[DataFrame]) -> None:
+    """Decide the sets of ``placed`` (word, id, n, rest), all of which are beyond and unlike those that ``kept`` holds; adds to ``kept`` and ``gone``."""
+    size = placed.groupBy("word").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1)), F.lit(0)).alias("pairs")).first()["pairs"]
+    ids = placed.agg(F.count_distinct("id").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).first()
+    if not ids["n"]:
+        return
+    if ids["n"] <= few or size <= 2 * most * ids["n"]:
+        pairs = materialised(_alike(placed, placed, sets, least).select("a", "b"))
+        drop = materialised(dropped(pairs))
+        stay = pairs.join(drop.select(F.col("id").alias("a")), "a", "left_anti")
+        gone.append(materialised(stay.join(drop.select(F.col("id").alias("b")), "b", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("representative"))))
+        kept.append(materialised(placed.join(drop, "id", "left_anti")))
+        return
+    shares, n = [], few
+    while n < ids["n"]:
+        shares.append(n / ids["n"])
+        n *= growth
+    edges = placed.select("id").distinct().agg(F.percentile_approx("id", shares, 1_000_000).alias("at")).first()["at"]
+    lo, since = ids["lo"] - 1, len(kept)
+    for hi in sorted({*edges, ids["hi"]}):
+        some = placed.where((F.col("id") > lo) & (F.col("id") <= hi))
+        for known in kept[since:]:
+            found = materialised(_alike(known, some, sets, least).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("representative")))
+            gone.append(found)
+            some = some.join(found.select("id"), "id", "left_anti")
+        _settle(materialised(some), sets, least, few, growth, most, kept, gone)
+        lo = hi
+
+
+def fuzzy_members(facts: DataFrame, least: float = 0.85, few: int = 256, growth: int = 16, most: int = 50) -> DataFrame:
+    """id, representative of every row of ``facts`` (id, content), as a pass in id order has it.
+
+    A fact is kept, and its own representative, if no smaller kept one equals it in lower case or
+    shares ``least`` of the larger one's words; else its representative is the least kept one that
+    does.  Facts go in growing batches, in id order.  What is like a fact kept so far is found by a
+    join with those alone, so a group of near copies makes about a row for each and never all its
+    pairs; what is left of a batch is settled by its pairs where they are few (``most`` for each), and
+    else in batches again.  ``few`` facts are always settled by their pairs.
+    """
+    content = F.lower("content")
+    texts = materialised(facts.groupBy(content.alias("content")).agg(F.min("id").alias("id")))
+    keyed = materialised(texts.select("id", F.array_sort(F.array_distinct(F.transform(fact_words(F.col("content")), lambda w: F.xxhash64(w)))).alias("words")))
+    sets = materialised(keyed.where(F.size("words") > 0).groupBy("words").agg(F.min("id").alias("set_id")))
+    known = sets.select(F.col("set_id").alias("id"), F.size("words").alias("n"), "words")
+    kept: list[DataFrame] = []
+    gone: list[DataFrame] = []
+    _settle(rare_words(known, least), known, least, few, growth, most, kept, gone)
+    lead = None
+    for g in gone:
+        lead = g if lead is None else lead.unionByName(g)
+    by_set = keyed.join(sets, "words").select("id", "set_id")
+    if lead is not None:
+        lead = lead.groupBy(F.col("id").alias("set_id")).agg(F.min("representative").alias("lead"))
+        by_set = by_set.join(lead, "set_id", "left").select("id", F.coalesce("lead", "set_id").alias("representative"))
+    else:
+        by_set = by_set.select("id", F.col("set_id").alias("representative"))
+    by_text = texts.join(by_set, "id", "left").select(F.col("content").alias("__content"), F.coalesce("representative", "id").alias("representative"))
+    return facts.select("id", content.alias("__content")).join(by_text, "__content", "left").select("id", F.coalesce("representative", "id").alias("representative"))
 
 
 def fuzzy_distinct(facts: DataFrame, least: float = 0.85) -> DataFrame:
-    """Ids of ``facts`` (id, content) that a pass in id order keeps: no smaller kept one is equal, in lower case, or shares ``least`` of the larger one's words."""
-    texts = facts.groupBy(F.lower("content").alias("content")).agg(F.min("id").alias("id"))
-    sets = texts.select("id", fact_words(F.col("content")).alias("words"))
-    one = sets.where(F.size("words") > 0).groupBy("words").agg(F.min("id").alias("id")).select("id").unionByName(sets.where(F.size("words") == 0).select("id"))
-    return accepted(one, similar_pairs(texts, least))
+    """Ids of ``facts`` (id, content) that ``fuzzy_members`` keeps, each once."""
+    return fuzzy_members(facts, least).where("id = representative").select("id").distinct()
 
 
 def extracted(texts: DataFrame, extract: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -165,6 +165,11 @@ def fact_fuzzy_dedup(spark, sf_dir):
     return facts.fuzzy_distinct(views.facts(spark, sf_dir))
 
 
+def fact_members(spark, sf_dir):
+    """Each fact with the kept one that stands for it."""
+    return facts.fuzzy_members(views.facts(spark, sf_dir))
+
+
 def fact_search(spark, sf_dir):
     return facts.search(views.facts(spark, sf_dir), "THTION").select("id", "category")
 
@@ -621,7 +626,7 @@ QUERIES = {
     for f in (
         bm25_topk, bm25_scan, index_changes, bm25_terms, bm25_stats, vector_topk, vector_same_model, vector_normalised, rrf_hybrid, recent_turns, layered_retrieval, fact_relevance, facts_by_confidence,
         conversation_rollup, conversation_stats, platform_breakdown, conversations_recent, conversations_cursor, conversations_changed, popup_rows, role_normalise, content_normalise,
-        turn_dedup, fact_similar_pairs, fact_fuzzy_dedup, fact_search, fact_valid, fact_answers, ngram_counts, symbol_candidates, symbol_dictionary, compress_static, compress_dictionary,
+        turn_dedup, fact_similar_pairs, fact_fuzzy_dedup, fact_members, fact_search, fact_valid, fact_answers, ngram_counts, symbol_candidates, symbol_dictionary, compress_static, compress_dictionary,
         compression_savings, expand_symbols, strip_context, purge_marked, kg_entities, kg_relations, kg_walk, kg_block, kg_stats, kg_top, sse_reassemble, sse_usage, url_match, artifact_extract,
         history_turns, user_message_extract, token_islands, token_cost, memory_health, injection_stats, vector_stats, delta_query, query_extract, extraction_text, to_extract, unsynced_flatten,
         migration_batches, backfill_todo, index_backfill, upsert_latest, rollup_arrivals, delete_keys, ring_buffer, evict_oldest, context_block, export_import, window_tumbling, window_sliding, window_sessions,

@@ -305,6 +305,10 @@ DISTINCT = f"""{WORDSETS}, texts AS (SELECT min(id) AS id, lower(content) AS c F
 ), kept AS (
   SELECT id FROM looked WHERE id NOT IN (SELECT unnest(gone) FROM (SELECT gone FROM pass ORDER BY i DESC LIMIT 1)))"""
 ORACLE_SQL["fact_fuzzy_dedup"] = f"WITH RECURSIVE {DISTINCT} SELECT id FROM kept"
+ORACLE_SQL["fact_members"] = f"""WITH RECURSIVE {DISTINCT}, lead AS (
+  SELECT b, min(a) AS a FROM pairs WHERE a IN (SELECT id FROM kept) AND b NOT IN (SELECT id FROM kept) GROUP BY b)
+SELECT f.id, coalesce(lead.a, s.id, t.id) AS representative
+FROM facts f JOIN texts t ON lower(f.content) = t.c JOIN worded d ON d.id = t.id LEFT JOIN sets s ON s.w = d.w LEFT JOIN lead ON lead.b = s.id"""
 ORACLE_SQL["extraction_totals"] = f"""WITH RECURSIVE {DISTINCT}
 SELECT category, count(*) FILTER (kept.id IS NOT NULL) AS new, count(*) FILTER (kept.id IS NULL) AS duplicates FROM facts LEFT JOIN kept ON kept.id = facts.id GROUP BY category"""
 

@@ -96,6 +96,47 @@ def test_fuzzy_facts_against_a_loop(spark):
     assert sorted(r["id"] for r in got.collect()) == kept
 
 
+def members(texts, least=0.85):
+    """The loop: {id: the kept fact that stands for it}."""
+    kept, out = [], {}
+    for i, t in sorted(texts):
+        w = {x for x in t.lower().split() if len(x) > 2}
+        alike = [k for k, (u, v) in kept if u == t.lower() or (w and v and round(len(w & v) / max(len(w), len(v)), 6) >= least)]
+        if not alike:
+            kept.append((i, (t.lower(), w)))
+        out[i] = alike[0] if alike else i
+    return out
+
+
+@pytest.mark.parametrize("few,growth,most", [(12, 3, 0), (256, 16, 50)])
+def test_members_against_the_loop(spark, few, growth, most):
+    """Dense groups and chains, settled by representatives in batches of any size."""
+    rnd = random.Random(few)
+    pool = ["word%d" % i for i in range(60)]
+    base = [rnd.sample(pool, 12) for _ in range(3)]
+    texts = []
+    for i in range(90):
+        w = list(base[i % 3 if i < 60 else 2])
+        for _ in range(rnd.choice([0, 1, 1, 2])):
+            w[rnd.randrange(12)] = rnd.choice(pool) if rnd.random() < 0.7 else f"own{i}"
+        texts.append((i * 3, " ".join(rnd.sample(w, 12)).replace("word1 ", "Word1 ")))
+    texts += [(500, ""), (501, "a b"), (502, "A b"), (503, texts[4][1]), (504, "a b c")]
+    df = spark.createDataFrame(texts, "id long, content string")
+    got = {r["id"]: r["representative"] for r in facts.fuzzy_members(df, few=few, growth=growth, most=most).collect()}
+    assert got == members(texts)
+
+
+def test_near_copies_make_a_row_each(spark, monkeypatch):
+    """Of some thousand near copies no table on the way has more than a few rows for each."""
+    made, write = [], facts.materialised
+    monkeypatch.setattr(facts, "materialised", lambda df: made.append(write(df)) or made[-1])
+    words = [f"word{i}" for i in range(20)]
+    texts = [(i, " ".join([*words[: i % 20], f"own{i}", *words[i % 20 + 1 :]])) for i in range(6000)]
+    out = facts.fuzzy_members(spark.createDataFrame(texts, "id long, content string"))
+    assert {r["representative"] for r in out.collect()} == {0}
+    assert max(df.count() for df in made) <= 8 * len(texts)
+
+
 def greedy(rows, budget=80):
     left, out = budget, []
     for phrase, freq, tokens, value in sorted(rows, key=lambda r: (-r[3], r[0])):
