@@ -30,6 +30,11 @@ def frame_text(platform: Column, frame: Column) -> Column:
     )
 
 
+def inner_conversation(frame: Column) -> Column:
+    """The conversation that a frame names."""
+    return _json(frame, "$.conversation_id", "$.message.conversation_id")
+
+
 def frames(packets: DataFrame) -> DataFrame:
     """stream_id, platform, conversation_id, at, frame of each frame before the end of its stream."""
     whole = packets.groupBy("stream_id").agg(
@@ -50,7 +55,7 @@ def reassemble(packets: DataFrame, mode: str = "concat") -> DataFrame:
     ``concat`` joins all pieces; ``latest`` takes the last one of streams whose frames are cumulative.
     """
     got = frames(packets).withColumn("piece", frame_text(F.col("platform"), F.col("frame")))
-    inner = _json(F.col("frame"), "$.conversation_id", "$.message.conversation_id")
+    inner = inner_conversation(F.col("frame"))
     pieces = F.transform(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("at", "piece")))), lambda p: p["piece"])
     out = got.groupBy("stream_id").agg(
         F.first("platform").alias("platform"), F.coalesce(F.max("conversation_id"), F.max(inner)).alias("conversation_id"), pieces.alias("pieces")

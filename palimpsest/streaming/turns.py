@@ -41,7 +41,7 @@ class _Echoes(StatefulProcessor):
         self.handle = handle
         self.last = handle.getListState("last", "role string, content string, ts_ms long")
 
-    def handleInputRows(self, key, rows, timer) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last = [tuple(r) for r in self.last.get()]
         out = []
         for r in sorted((r for batch in rows for r in batch.to_dict("records")), key=lambda r: r["ts_ms"]):
@@ -56,7 +56,7 @@ class _Echoes(StatefulProcessor):
             self.handle.registerTimer(last[-1][2] + self.ttl_ms)
         yield pd.DataFrame(out, columns=["id", "conv_id", "role", "content", "ts_ms"])
 
-    def handleExpiredTimer(self, key, timer, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
         yield pd.DataFrame([], columns=["id", "conv_id", "role", "content", "ts_ms"])
 
