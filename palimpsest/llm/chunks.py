@@ -4,8 +4,8 @@ A text is cut only where the tokenizer itself never joins two sides: its ids are
 ids of its chunks one after another, and each distinct chunk is encoded by the library once
 per memo.  Which cuts are safe follows from the tokenizer's own description:
 
-* ``words``: a normaliser that folds ``\\s+`` to a space and a pre-tokenizer that drops white
-  space.  Safe at each space and line feed, which have no ids of their own.
+* ``words``: a normaliser that folds ``\\s+`` to a space and lower-cases, and a pre-tokenizer that
+  drops white space.  Safe at each space and line feed, which have no ids of their own.
 * ``spaced``: byte-level pieces with no normaliser, whose pieces start at a space.  Safe
   before a space that a non-space follows, and on both sides of a lone line feed.  Texts with
   other white space next to those are encoded whole.
@@ -66,7 +66,8 @@ def chunk_mode(path: str) -> str:
     steps = [(n.get("type"), (n.get("pattern") or {}).get("Regex")) for n in (norm or {}).get("normalizers", [norm or {}])]
     first = (pre.get("pretokenizers") or [pre])[0]
     drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and not re.search(r"\\s(?!\\)| ", (first.get("pattern") or {}).get("Regex", " "))
-    if drops and ("Replace", r"\s+") in steps and {k for k, _ in steps} <= {"NFC", "Replace", "Lowercase"}:
+    # texts are lower-cased before they are cut, so a tokenizer that keeps capitals is not of this mode
+    if drops and ("Replace", r"\s+") in steps and "Lowercase" in {k for k, _ in steps} <= {"NFC", "Replace", "Lowercase"}:
         return "words"
     return "whole"
 

@@ -103,3 +103,21 @@ def test_least_doc_id_is_not_null(spark, tmp_path):
     token_files.write_store(spark.createDataFrame([(least, "a"), (None, "b c"), (least + 1, None)], "doc_id long, text string"), BYTES, 2, folder)
     got = sorted(map(tuple, token_files.read_store(spark, folder).collect()), key=lambda r: r[1])
     assert [r[0] for r in got] == [None, least, least + 1] and token_files.read_store(spark, folder).rdd.getNumPartitions() == spark.read.parquet(folder + "/parts").count()
+
+
+def test_a_tokenizer_that_keeps_capitals(spark, tmp_path):
+    """The same vocabulary without lower-casing: capitals are other ids, for chunks and for counts."""
+    import json
+
+    with open(CLIP, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"]["normalizers"] = [n for n in spec["normalizer"]["normalizers"] if n["type"] != "Lowercase"]
+    path = str(tmp_path / "cased.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    texts = ["The Quick Brown Fox jumps over Berlin", "the quick brown fox jumps over berlin", "ÉTÉ été", "A\nB  c"]
+    e = chunks.Encoder(path)
+    assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(texts)] == ids(path, texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(df, path, f"file://{tmp_path}/cache").collect()}
+    assert got == {i: len(x) for i, x in enumerate(ids(path, texts))}
