@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from palimpsest.operators import versions
 from palimpsest.operators.keyed import KeyedTable
+from palimpsest.plans.steps import importable
 from palimpsest.sources.sse import frame_text, inner_conversation
 
 FRAMES = "stream_id string, platform string, conversation_id string, at long, frame string, ended boolean"
@@ -126,6 +127,7 @@ def live_frames(packets: DataFrame, idle_ms: int = 60_000, first: int = 0) -> Da
     without a frame says that a stream began, or with ``ended`` that it is over.  State goes when the
     watermark is ``idle_ms`` past a stream's last packet; what comes later begins anew.
     """
+    importable(packets.sparkSession)
     return packets.groupBy("stream_id").transformWithStateInPandas(statefulProcessor=_Frames(idle_ms, first), outputStructType=FRAMES, outputMode="append", timeMode="EventTime")
 
 

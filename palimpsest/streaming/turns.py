@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.types import StructType
 
 from palimpsest.operators.retrieval import embedded
+from palimpsest.plans.steps import importable
 
 TURN = "id string, conv_id long, role string, content string, ts_ms long"
 
@@ -71,6 +72,7 @@ def without_echoes(turns: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
     order within a batch is put in order, and the state of a conversation goes when the watermark is
     ``ttl_ms`` past its last turn.
     """
+    importable(turns.sparkSession)
     schema = StructType.fromDDL(TURN)
     return turns.groupBy("conv_id").transformWithStateInPandas(statefulProcessor=_Echoes(ttl_ms=ttl_ms), outputStructType=schema, outputMode="append", timeMode="EventTime")
 
