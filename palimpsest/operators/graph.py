@@ -140,19 +140,24 @@ def seeds(ents: DataFrame, query: str) -> DataFrame:
     return named.unionByName(fuzzy.dropDuplicates(["name"]).join(F.broadcast(none)).select(*ents.columns))
 
 
-def walk(start: DataFrame, rels: DataFrame, hops: int = 2, least: float = 0.5) -> DataFrame:
-    """name, hop: what is within ``hops`` of ``start`` (name) over relations of confidence ``least`` or more, either way."""
+def walk_steps(start: DataFrame, rels: DataFrame, hops: int, least: float, by: list[str]) -> DataFrame:
+    """``by``, name, hop: what is within ``hops`` of ``start`` (``by``, name) over relations of confidence ``least`` or more, either way."""
     strong = rels.where(F.col("confidence") >= least)
     edges = strong.select(F.col("from").alias("a"), F.col("to").alias("b")).unionByName(strong.select(F.col("to").alias("a"), F.col("from").alias("b"))).distinct()
-    seen = start.select("name", F.lit(0).alias("hop")).distinct()
+    seen = start.select(*by, "name", F.lit(0).alias("hop")).distinct()
     frontier = seen
     for hop in range(1, hops + 1):
-        reached = frontier.join(edges, F.col("name") == F.col("a")).select(F.col("b").alias("name")).distinct()
-        frontier = reached.join(seen.select("name"), "name", "left_anti").withColumn("hop", F.lit(hop))
+        reached = frontier.join(edges, F.col("name") == F.col("a")).select(*by, F.col("b").alias("name")).distinct()
+        frontier = reached.join(seen.select(*by, "name"), [*by, "name"], "left_anti").withColumn("hop", F.lit(hop))
         seen = seen.unionByName(frontier)
     return seen
 
 
+def walk(start: DataFrame, rels: DataFrame, hops: int = 2, least: float = 0.5) -> DataFrame:
+    """name, hop: what is within ``hops`` of ``start`` (name) over relations of confidence ``least`` or more, either way."""
+    return walk_steps(start, rels, hops, least, [])
+
+
 def block(seen: DataFrame, ents: DataFrame, rels: DataFrame, hops: int = 2, most: int = 15, each: int = 4) -> DataFrame:
     """One row: the text that tells a reader about the entities of a walk, nearest first."""
     top = seen.join(ents, "name").orderBy("hop", "name").limit(most)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import compression, text
-from palimpsest.operators import conversation, facts, graph, phrases, retrieval, tables, telemetry, windows
+from palimpsest.operators import conversation, facts, graph, patterns, phrases, retrieval, tables, telemetry, windows
 from palimpsest.operators.keyed import KeyedTable
 from palimpsest.operators.search_index import SearchIndex
 from palimpsest.plans.kept import kept, turn_index
@@ -258,6 +258,18 @@ def kg_own_patterns(spark, sf_dir):
     return graph.entities(f, graph.with_own(["mellow"], "example.org")).where("name = 'mellow' OR name LIKE '%example.org'").select("name", "type", "mentions")
 
 
+def kg_named(spark, sf_dir):
+    """Which entities each fact of the graph names, by one pass over the facts."""
+    ents, _ = _graph(spark, sf_dir)
+    return patterns.found(views.graph_facts(spark, sf_dir).select("id", F.lower("content").alias("content")), ents)
+
+
+def compress_phrases(spark, sf_dir):
+    """Turns with a dictionary's phrases replaced, all in one pass."""
+    phrases = spark.createDataFrame(SYMBOLS, "phrase string, symbol string")
+    return patterns.replaced(views.turns(spark, sf_dir), phrases)
+
+
 def kg_walk(spark, sf_dir):
     ents, rels = _graph(spark, sf_dir)
     return graph.walk(graph.seeds(ents, "what uses redis here"), rels)
@@ -627,7 +639,7 @@ QUERIES = {
         bm25_topk, bm25_scan, index_changes, bm25_terms, bm25_stats, vector_topk, vector_same_model, vector_normalised, rrf_hybrid, recent_turns, layered_retrieval, fact_relevance, facts_by_confidence,
         conversation_rollup, conversation_stats, platform_breakdown, conversations_recent, conversations_cursor, conversations_changed, popup_rows, role_normalise, content_normalise,
         turn_dedup, fact_similar_pairs, fact_fuzzy_dedup, fact_members, fact_search, fact_valid, fact_answers, ngram_counts, symbol_candidates, symbol_dictionary, compress_static, compress_dictionary,
-        compression_savings, expand_symbols, strip_context, purge_marked, kg_entities, kg_relations, kg_walk, kg_block, kg_stats, kg_top, sse_reassemble, sse_usage, url_match, artifact_extract,
+        compression_savings, expand_symbols, strip_context, purge_marked, kg_entities, kg_relations, kg_named, compress_phrases, kg_walk, kg_block, kg_stats, kg_top, sse_reassemble, sse_usage, url_match, artifact_extract,
         history_turns, user_message_extract, token_islands, token_cost, memory_health, injection_stats, vector_stats, delta_query, query_extract, extraction_text, to_extract, unsynced_flatten,
         migration_batches, backfill_todo, index_backfill, upsert_latest, rollup_arrivals, delete_keys, ring_buffer, evict_oldest, context_block, export_import, window_tumbling, window_sliding, window_sessions,
         grouping_sets, as_of_join, approx_distinct, point_lookup, settings_default, composite_key, last_turns, extraction_totals, injection_guard, fact_block, response_json, reembed_texts,

@@ -215,6 +215,8 @@ SELECT id, trim({_strip}) AS content FROM wrapped""",
     "purge_marked": f"WITH {TURNS} SELECT platform, count(*) AS n FROM turns WHERE turn % 5 <> 0 GROUP BY platform",
     "kg_entities": f"WITH {KG} SELECT * FROM e",
     "kg_relations": f"WITH {KG} SELECT * FROM r",
+    "kg_named": f"WITH {KG} SELECT kf.id, e.name FROM kf JOIN e ON contains(lower(kf.content), e.name)",
+    "compress_phrases": f"WITH {TURNS} SELECT id, regexp_replace(regexp_replace(regexp_replace(content, '(?i)that the', '§tt', 'g'), '(?i)with the', '§wt', 'g'), '(?i)tion', '§ti', 'g') AS content FROM turns",
     "kg_walk": f"WITH {WALK} SELECT name, hop FROM walked",
     "kg_stats": f"WITH {KG} SELECT 'entity' AS kind, type AS key, count(*) AS n FROM e GROUP BY type UNION ALL SELECT 'relation', rel, count(*) FROM r GROUP BY rel",
     "kg_top": f"WITH {KG} SELECT name, type, mentions FROM e ORDER BY mentions DESC, name LIMIT 10",
