@@ -28,7 +28,8 @@ from palimpsest.llm.shared import give_back, small, stored
 
 SEED = 42
 BANDS, ROWS = 24, 4
-BLOCK_BYTES = 4 << 20
+#: A block of a band is at most about so large; two of them meet in a task.
+BLOCK_BYTES, BLOCK_SETS = 4 << 20, 4096
 _rng = np.random.default_rng(11)
 MULTIPLIERS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 MIXERS = _rng.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,28 +76,56 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.mapInArrow(_confirm(similarity), "a long, b long")
 
 
+def _shared(owner: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(owner, column, number) of shingles that two sets or more have, columns numbered anew."""
+    twice = np.bincount(column)[column] > 1 if len(column) else np.zeros(0, bool)
+    owner, column = owner[twice], column[twice]
+    named, column = np.unique(column, return_inverse=True)
+    return owner, column, len(named)
+
+
 def links(sets: list[np.ndarray], roots: np.ndarray, similarity: float, width: int = 4096) -> np.ndarray:
     """Pairs (k, 2) of indexes of similar sets with different roots, enough to join what all such pairs join.
 
-    Shingles in one set alone count in no intersection; the others make a matrix of zeros and ones,
-    some columns at a time, whose product with itself is the size of each intersection.
+    Shingles in one set alone count in no intersection, and sets of which too few others are
+    left have no partner.  Shingles in all sets count in every intersection.  The others make a matrix of zeros and ones,
+    some columns at a time, whose product with itself is the size of each intersection; rows whose
+    shared shingles are too few for any partner are passed over.
     """
-    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    sizes = np.array([len(s) for s in sets], np.int64)
     every = np.concatenate([np.zeros(0, np.uint64), *sets])
-    owner = np.repeat(np.arange(n), sizes)
-    order = np.argsort(every, kind="stable")
-    every, owner = every[order], owner[order]
-    new = np.ones(len(every), bool)
-    new[1:] = every[1:] != every[:-1]
-    column = np.cumsum(new) - 1
-    twice = np.bincount(column)[column] > 1
-    owner, column = owner[twice], column[twice]
-    _, column = np.unique(column, return_inverse=True)
-    columns = int(column.max()) + 1 if len(column) else 0
-    root, out = np.unique(roots, return_inverse=True)[1], []
-    step = max(1, min(n, (1 << 22) // max(n, 1)))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    owner, column, columns = _shared(owner, np.unique(every, return_inverse=True)[1])
+    able = np.arange(len(sets))
+    while True:
+        held = np.bincount(owner, minlength=len(able))
+        stay = held + 1e-9 >= similarity * sizes[able]
+        if stay.all() or not stay.any():
+            able = able[stay]
+            break
+        place = np.cumsum(stay) - 1
+        of = stay[owner]
+        able, owner = able[stay], place[owner[of]]
+        owner, column, columns = _shared(owner, column[of])
+    n, out = len(able), []
+    if n < 2:
+        return np.zeros((0, 2), np.int64)
+    sizes, root = sizes[able], np.unique(roots[able], return_inverse=True)[1]
+    everywhere = np.bincount(column, minlength=columns) == n
+    common = int(everywhere.sum())
+    some = ~everywhere[column]
+    owner, column = owner[some], column[some]
+    column = np.unique(column, return_inverse=True)[1]
+    columns -= common
+    by_column = np.argsort(column, kind="stable")
+    owner, column = owner[by_column], column[by_column]
+    held = common + np.bincount(owner, minlength=n)
+    step, width = max(1, min(n, (1 << 22) // n)), max(1, min(width, columns))
     for lo in range(0, n, step):
-        same = np.zeros((min(step, n - lo), n), np.float32)
+        most = min(held[lo : lo + step].max(), held.max())
+        if most + 1e-9 < similarity * (sizes[lo : lo + step].min() + sizes.min() - most):
+            continue
+        same = np.full((min(step, n - lo), n), common, np.float32)
         for at in range(0, columns, width):
             some = slice(*np.searchsorted(column, [at, at + width]))
             m = np.zeros((n, width), np.float32)
@@ -115,7 +144,7 @@ def links(sets: list[np.ndarray], roots: np.ndarray, similarity: float, width: i
                 if root[x] != root[y]:
                     out.append((x, y))
                     root = np.where(root == max(root[x], root[y]), min(root[x], root[y]), root)
-    return np.array(out, np.int64).reshape(-1, 2)
+    return able[np.array(out, np.int64).reshape(-1, 2)]
 
 
 def _blocks(similarity: float):
@@ -137,12 +166,13 @@ def _blocks(similarity: float):
 def _by_blocks(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links within each band that still holds several components, found block by block; bands of one block share tasks."""
     size = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("n"), F.count("*").alias("sets"))
-    blocks = F.ceil(F.col("n") * 8 / BLOCK_BYTES).cast("long")
+    blocks = F.ceil(F.greatest(F.col("n") * 8 / BLOCK_BYTES, F.col("sets") / BLOCK_SETS)).cast("long")
     # of two sets one was the other's leader
-    still = stored(size.where("low <> high AND sets > 2").select("band", "n", blocks.alias("blocks")), "still")
-    tasks = 1 + (still.where("blocks = 1").agg(F.sum("n")).first()[0] or 0) * 8 // BLOCK_BYTES
+    still = stored(size.where("low <> high AND sets > 2").select("band", "n", "sets", blocks.alias("blocks")), "still")
+    small_ones = still.where("blocks = 1").agg(F.sum("n").alias("n"), F.sum("sets").alias("sets")).first()
+    tasks = 1 + max((small_ones["n"] or 0) * 8 // BLOCK_BYTES, (small_ones["sets"] or 0) // BLOCK_SETS)
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    some = placed.join(still.drop("n"), "band").select("band", "id", "root", "blocks", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    some = placed.join(still.drop("n", "sets"), "band").select("band", "id", "root", "blocks", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     together = F.when(F.col("blocks") > 1, F.col("band")).otherwise(F.pmod("band", F.lit(tasks)))
     some = some.select("band", together.alias("task"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "root")
     return some.join(sets, "id").groupBy("task", "i", "j").applyInArrow(_blocks(similarity), "a long, b long")

@@ -7,6 +7,8 @@ import pytest
 
 import corpus_pipeline
 from cases import frame, lower, space_words
+from pyspark.sql import functions as F
+
 from palimpsest.llm import jaccard, simhash
 from test_near_copies import groups
 
@@ -90,3 +92,15 @@ def test_large_group_block_by_block(spark, monkeypatch):
     copies = edited(160, 9)
     got = sorted(r["doc_id"] for r in simhash.keep_one(frame(spark, copies)).collect())
     assert got == least(copies)
+
+
+def test_many_small_sets_of_one_band(spark, monkeypatch):
+    """Sets that share shingles but too few: no matrix over all of them, in one block or in many."""
+    sets = [np.sort(np.array([1, 2, 3, 4, 100 + i], np.uint64)) for i in range(100_000)]
+    assert len(jaccard.links(sets, np.arange(len(sets)), 0.8)) == 0
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 50)
+    some = sets[:299] + [np.array([1, 2, 3, 4], np.uint64)]  # the last is like each of them, they are not like each other
+    stored = spark.createDataFrame([(i, bytearray(s.tobytes()), len(s)) for i, s in enumerate(some)], "id long, hashes binary, n long")
+    placed = stored.select(F.lit(7).cast("long").alias("band"), "id", "n", F.col("id").alias("root"))
+    got = {tuple(r) for r in jaccard._by_blocks(placed, stored.select("id", "hashes"), 0.8).collect()}
+    assert {min(p) for p in got} == set(range(299)) and {max(p) for p in got} == {299}
