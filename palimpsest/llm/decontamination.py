@@ -133,10 +133,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadca
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """The rows of ``docs``, all columns, without a hit in their own text."""
+    """The rows of ``docs``, all columns, of any names, without a hit in their own text."""
     keyed = with_row_key(docs)
     _, hits = _hits(keyed, benchmark, size, broadcast_bytes)
-    return without_rows(keyed, stored(hits.select(*ROW_KEY).distinct(), "contaminated")).select(*docs.columns)
+    return without_rows(keyed, stored(hits.select(*ROW_KEY).distinct(), "contaminated"), docs.columns)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

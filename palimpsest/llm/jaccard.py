@@ -1,8 +1,8 @@
 """Sets of word shingles and their Jaccard similarity: what confirms SimHash links and finds those out of their reach.
 
 Words are those of ``simhash``; a text's set holds its distinct shingles of ``shingle`` words (fewer
-words: all of them; none: the empty shingle), as XXH64 hashes, and sets are told apart by an XXH64
-of them.  At a similarity of 0.8 two 64-bit fingerprints differ in some 10 bits and in up to 20, a
+words: all of them; none: the empty shingle), as XXH64 hashes, and sets are told apart by 128 bits
+of XXH3 of them.  At a similarity of 0.8 two 64-bit fingerprints differ in some 10 bits and in up to 20, a
 radius at which no tree of Hamming distances prunes anything, so pairs beyond the trees' radius
 meet in bands: BANDS bands of ROWS minima; two sets of similarity s share one with probability
 1 - (1 - s**ROWS)**BANDS, at 0.8 all but 3 in a million pairs.  Only what is similar enough by its
@@ -42,8 +42,8 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return (least.reshape(BANDS, ROWS) * MIXERS).sum(1, dtype=np.uint64).view(np.int64)
 
 
-def set_id(hashes: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+def set_digest(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes(), SEED)
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> float:

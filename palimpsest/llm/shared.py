@@ -85,15 +85,30 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _aside(names: list[str]) -> list[str]:
+    """``names``, with underscores after those that are names of the row key, until none is there twice."""
+    taken = {n.lower() for n in [*names, *ROW_KEY]}
+    out = []
+    for name in names:
+        if name.lower() in ROW_KEY:
+            while name.lower() in taken:
+                name += "_"
+            taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def with_row_key(docs: DataFrame) -> DataFrame:
     """``docs`` with FILE and ROW, which tell equal rows apart and are the same whenever a row is read again.
 
     They come from the files that hold the rows; what is not a plain read of files is stored first.
+    Columns of ``docs`` that have one of these names, in any case, get another; ``without_rows`` gives theirs back.
     """
     if docs._jdf.queryExecution().analyzed().children().isEmpty():
         try:
             at = docs.metadataColumn("_metadata")
-            return docs.select("*", F.xxhash64(at["file_path"]).alias(FILE), at["row_index"].alias(ROW))
+            keyed = docs.select("*", F.xxhash64(at["file_path"]).alias(FILE), at["row_index"].alias(ROW))
+            return keyed.toDF(*_aside(docs.columns), *ROW_KEY)
         except AnalysisException:
             pass
     return with_row_key(stored(docs, "rows"))
@@ -104,12 +119,12 @@ def bounded(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(MOST_KEYS + 1).count() <= MOST_KEYS else table
 
 
-def without_rows(keyed: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of ``keyed``, from ``with_row_key``, that ``gone`` (FILE, ROW: a stored table) does not name, without their key.
+def without_rows(keyed: DataFrame, gone: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of ``keyed``, from ``with_row_key``, that ``gone`` (FILE, ROW: a stored table) does not name, without their key, columns called ``names``.
 
     Up to MOST_KEYS keys are broadcast and no text moves; beyond that Spark joins by exchange.
     """
-    return keyed.join(bounded(gone), ROW_KEY, "left_anti").drop(*ROW_KEY)
+    return keyed.join(bounded(gone), ROW_KEY, "left_anti").drop(*ROW_KEY).toDF(*names)
 
 
 def filesystem(path: str):

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import components
-from palimpsest.llm.jaccard import SEED, bands, linked_sets, set_id, smallest
+from palimpsest.llm.jaccard import SEED, bands, linked_sets, set_digest, smallest
 from palimpsest.llm.quality import slices
 from palimpsest.llm.shared import FILE, ROW, ROW_KEY, bounded, give_back, read_table, small, stored, with_row_key, without_rows
 
@@ -269,11 +269,11 @@ def _mark(shingle: int, similarity: float, empty: pa.Schema):
                     own = list(hashes(raw, shingle))
                     fps.append(_bits(own))
                     s = np.unique(np.concatenate(own)) if own else shingles(b"", shingle)
-                    ids.append(set_id(s))
+                    ids.append(set_digest(s))
                     sizes.append(len(s))
                     cut.append(bands(s) if len(s) >= least else None)
                 long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([*part.columns, long(ids), long(fps), pa.array(sizes, pa.int64()), pa.array(cut, pa.list_(pa.int64()))], empty.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), long(fps), pa.array(sizes, pa.int64()), pa.array(cut, pa.list_(pa.int64()))], empty.names)
 
     return run
 
@@ -309,10 +309,12 @@ def copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: i
     keyed = with_row_key(docs)
     texts = keyed.select("doc_id", FILE, ROW, F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
-    names = pa.schema([(n, pa.null()) for n in ("doc_id", FILE, ROW, "id", "fp", "n", "bands")])
-    marked = stored(texts.mapInArrow(_mark(shingle, similarity, names), f"doc_id {kind}, {FILE} long, {ROW} long, id long, fp long, n long, bands array<long>"), "marked")
+    names = pa.schema([(n, pa.null()) for n in ("doc_id", FILE, ROW, "digest", "fp", "n", "bands")])
+    marked = stored(texts.mapInArrow(_mark(shingle, similarity, names), f"doc_id {kind}, {FILE} long, {ROW} long, digest binary, fp long, n long, bands array<long>"), "marked")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", FILE, ROW)
-    owners = stored(marked.groupBy("id").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")).select("id", "first", "first.fp", "n", "bands"), "owners")
+    owners = marked.groupBy("digest").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    # numbers, once they are written, are those of the one attempt whose rows count
+    owners = stored(owners.select(F.monotonically_increasing_id().alias("id"), "first", "first.fp", "n", "bands"), "owners")
 
     members = stored(owners.select("id", "n", F.explode("bands").alias("band")), "members")
     many = stored(members.groupBy("band").agg(F.count("*").alias("sets"), F.min("id").alias("lead")).where("sets > 1").select("band", "lead"), "many")
@@ -333,7 +335,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius:
     Rows without a doc_id count like any other; repeated rows leave one; texts without words are
     one group; an empty table stays empty; further columns of any name pass through.
     """
-    return without_rows(*copies(docs, similarity, shingle, radius)).select(*docs.columns)
+    return without_rows(*copies(docs, similarity, shingle, radius), docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

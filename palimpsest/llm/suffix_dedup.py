@@ -323,20 +323,24 @@ def unpack_codes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(gaps) + first, np.unpackbits(np.frombuffer(blob, np.uint8, -1, at + 2 * n), count=n).astype(bool), counts
 
 
-def _bounds(codes: np.ndarray, buckets: int) -> np.ndarray:
-    """Places in sorted 48-bit codes where each of equal ranges of codes begins, and the end."""
-    edges = np.array([(i << 48) // buckets for i in range(buckets + 1)], np.int64)
-    return np.searchsorted(codes, edges)
+def shift_for(buckets: int) -> int:
+    """A code's bucket is its first bits, the code shifted so far: a power of two of buckets, ``buckets`` at least."""
+    return 48 - min(31, (max(1, buckets) - 1).bit_length())
 
 
-def _list_codes(size: int, buckets: int):
+def _ranges(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets that occur in a sorted array, where each begins and where it ends; buckets that do not occur cost nothing."""
+    full, begin = np.unique(bucket, return_index=True)
+    return full, begin, np.append(begin[1:], len(bucket))
+
+
+def _list_codes(size: int, shift: int):
     def run(batches):
         part = TaskContext.get().partitionId()
         for number, _, c in chunks(batches, size):
             codes, twice, counts = c.codes()
-            cut = _bounds(codes, buckets)
-            full = np.flatnonzero(np.diff(cut))
-            blobs = [pack_codes(codes[cut[i] : cut[i + 1]], twice[cut[i] : cut[i + 1]], counts[cut[i] : cut[i + 1]]) for i in full]
+            full, begin, end = _ranges(codes >> shift)
+            blobs = [pack_codes(codes[lo:hi], twice[lo:hi], counts[lo:hi]) for lo, hi in zip(begin.tolist(), end.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), part, np.int32)), pa.array(np.full(len(full), number, np.int32)), pa.array(np.full(len(full), c.check)), pa.array(blobs, pa.binary())],
                 ["bucket", "part", "chunk", "crc", "blob"],
@@ -488,20 +492,19 @@ def merge_runs(runs: list):
         top = winner
 
 
-def _list_runs(size: int, buckets: int, side: str):
+def _list_runs(size: int, shift: int, side: str):
     def run(batches):
         part = TaskContext.get().partitionId()
         codes = _side(side, part)
         for number, _, c in chunks(batches, size):
             e = c.entries(*_wanted(codes.get(number, []), c))
             number_of, text, code = e.ordered()
-            bucket = np.searchsorted(np.array([(i << 48) // buckets for i in range(1, buckets)], np.int64), code, side="right")
+            bucket = code >> shift
             rows: list[tuple] = []
             order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for i in np.flatnonzero(np.diff(cut)):
-                of = order[cut[i] : cut[i + 1]]
-                rows.append((int(i), part, number, c.check, number_of[of].astype("<u4").tobytes(), e.least[number_of[of]].astype("<i8").tobytes(), front_code(text[of])))
+            for i, lo, hi in zip(*(x.tolist() for x in _ranges(bucket[order]))):
+                of = order[lo:hi]
+                rows.append((i, part, number, c.check, number_of[of].astype("<u4").tobytes(), e.least[number_of[of]].astype("<i8").tobytes(), front_code(text[of])))
             names = ["bucket", "part", "chunk", "crc", "entries", "least", "run"]
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 7, kinds)], names)
@@ -662,13 +665,11 @@ def _found(docs: DataFrame, size: int) -> tuple[str, str]:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(2000, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
     rows = docs.select("doc_id", "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-total // (12 << 20)))
-    listed = rows.mapInArrow(_list_codes(size, buckets), "bucket int, part int, chunk int, crc long, blob binary")
+    listed = rows.mapInArrow(_list_codes(size, shift_for(-(-total // (12 << 20)))), "bucket int, part int, chunk int, crc long, blob binary")
     common = listed.groupBy("bucket").applyInArrow(_find_common, "part int, chunk int, crc long, n long, blob binary")
     codes = _by_part(common, "codes")
     n = spark.read.schema("part int, n long").parquet(codes).agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, -(-n // BUCKET_ENTRIES))
-    runs = rows.mapInArrow(_list_runs(size, buckets, codes), "bucket int, part int, chunk int, crc long, entries binary, least binary, run binary")
+    runs = rows.mapInArrow(_list_runs(size, shift_for(-(-n // BUCKET_ENTRIES)), codes), "bucket int, part int, chunk int, crc long, entries binary, least binary, run binary")
     found = runs.groupBy("bucket").applyInArrow(_merge(size), "part int, chunk int, crc long, entries binary, bits binary")
     return codes, _by_part(found, "marks")
 

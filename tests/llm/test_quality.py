@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cases import space_words
 from palimpsest.llm import factor_machine, quality, quality_rules
@@ -49,6 +50,35 @@ def test_rules_on_labelled_rows(tables):
     assert np.mean(good) > 0.9 and np.mean(bad) < 0.3
 
 
+def test_rules_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    aside = labels.where(fold == 0)
+    marks = {r["doc_id"]: r["quality"] for r in aside.collect()}
+    got = quality_rules.apply_rules(docs, labels.where(fold != 0)).where("NOT base_failed").join(aside.select("doc_id").distinct(), "doc_id").collect()
+    good, bad = ([r["kept"] for r in got if marks[r["doc_id"]] == q] for q in (1, 0))
+    assert len(good) > 500 and len(bad) > 50
+    assert np.mean(good) >= 0.99 and np.mean(bad) <= 0.03
+
+
+def test_verdicts_with_frozen_weights(docs, rows, tables, spark):
+    """Each row's probability from the model's tables by plain loops over its words and code points."""
+    model = quality_rules.fit_rules(*tables)
+    scorer = quality_rules._scorer(spark.sparkContext.broadcast(model), quality_rules.KEEP_FROM)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    got = {(r["doc_id"], r["n_words"], r["word_chars"]): r for r in texts.mapInArrow(scorer, quality_rules.OUT).collect()}
+    for d, t in rows:
+        n, chars, *_, failed = base(t)
+        raw = (t or "").encode()
+        z = model.bias
+        for table, (slots, per) in zip(model.tables, quality_rules._families([raw])):
+            assert per.sum() == len(slots)
+            z += sum(float(table[s]) for s in slots) / max(1, len(slots))
+        p = 1 / (1 + np.exp(-np.clip(model.scale * z + model.shift, -35, 35)))
+        r = got[d, n, chars]
+        assert r["probability"] == pytest.approx(p, abs=1e-5) and r["kept"] == (not failed and r["probability"] >= quality_rules.KEEP_FROM)
+
+
 def test_machine_on_held_out_rows(tables):
     docs, labels = tables
     marks = {r["doc_id"]: r["quality"] for r in labels.collect()}

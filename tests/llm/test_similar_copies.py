@@ -9,7 +9,7 @@ import corpus_pipeline
 from cases import frame, lower, space_words
 from pyspark.sql import functions as F
 
-from palimpsest.llm import jaccard, simhash
+from palimpsest.llm import decontamination, jaccard, simhash
 from test_near_copies import groups
 
 
@@ -49,6 +49,19 @@ def test_all_pairs(spark, docs, rows, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_columns_of_clashing_names(spark, tmp_path):
+    texts = [(1, "one two three four five six"), (2, "one two three four five six"), (3, "another text of its own with more words")]
+    names = ["doc_id", "text", "__row", "__FILE", "__row_", "id", "a.b", "bands"]
+    df = spark.createDataFrame([(d, t, f"r{d}", d, d * 2, "i", "x", "y") for d, t in texts], names)
+    df.write.parquet(str(tmp_path / "d"))
+    bench = spark.createDataFrame([(1, texts[0][1])], "item_id long, text string")
+    for docs in (df, spark.read.parquet(str(tmp_path / "d"))):
+        kept = simhash.keep_one(docs)
+        assert kept.columns == names and sorted(tuple(r)[:5] for r in kept.collect()) == [(d, t, f"r{d}", d, d * 2) for d, t in texts if d != 2]
+        clean = decontamination.keep_clean(docs, bench)
+        assert clean.columns == names and [tuple(r)[:5] for r in clean.collect()] == [(3, texts[2][1], "r3", 3, 6)]
+
+
 def test_repeated_and_null_ids(spark):
     a, b = "one two three four five six", "another text of its own with more words"
     kept = simhash.keep_one(spark.createDataFrame([(1, a), (1, b), (1, b), (2, a), (None, a), (None, None)], "doc_id long, text string"))
