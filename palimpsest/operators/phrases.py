@@ -10,18 +10,21 @@ from palimpsest.functions.text import PHRASE_STOP_WORDS, phrase_token_estimate
 SPEC_BUDGET, SPEC_COST, SYMBOL_COST = 80, 3, 1
 
 
-def phrase_counts(texts: DataFrame, shortest: int = 2, longest: int = 6, least_freq: int = 2, least_convs: int = 1) -> DataFrame:
-    """phrase, freq, n_convs of word n-grams in ``texts`` (conv_id, turn, content); grams go from turn to turn of a conversation.
-
-    A turn's grams are found in its words and the first few of the turns after it, so no conversation
-    is gathered in one row.
-    """
+def word_rows(texts: DataFrame, longest: int) -> DataFrame:
+    """conv_id, own, w: a turn's words and the first few of those after it in its conversation, which is gathered in no row; the first ``own`` begin grams."""
     clean = F.trim(F.regexp_replace(F.regexp_replace(F.lower("content"), r"[^a-z0-9\s'-]", " "), r"\s+", " "))
     order, whole = Window.partitionBy("conv_id").orderBy("turn"), Window.partitionBy("conv_id")
     size = F.sum(F.length("content") + 1).over(whole) - 1
-    turns = texts.select("conv_id", "turn", F.length("content").alias("l"), F.filter(F.split(clean, " "), lambda w: F.length(w) > 1).alias("w"), size.alias("size")).where("size >= 10 AND size(w) > 0")
+    # texts are exchanged as they are: arrays of their words take several times the bytes
+    turns = texts.select("conv_id", "turn", "content").repartition("conv_id")
+    turns = turns.select("conv_id", "turn", F.filter(F.split(clean, " "), lambda w: F.length(w) > 1).alias("w"), size.alias("size")).where("size >= 10 AND size(w) > 0")
     following = F.flatten(F.collect_list(F.slice("w", 1, longest - 1)).over(order.rowsBetween(1, longest - 1)))
-    rows = turns.select("conv_id", F.size("w").alias("own"), F.concat("w", F.slice(following, 1, longest - 1)).alias("w"))
+    return turns.select("conv_id", F.size("w").alias("own"), F.concat("w", F.slice(following, 1, longest - 1)).alias("w"))
+
+
+def phrase_counts(texts: DataFrame, shortest: int = 2, longest: int = 6, least_freq: int = 2, least_convs: int = 1) -> DataFrame:
+    """phrase, freq, n_convs of word n-grams in ``texts`` (conv_id, turn, content); grams go from turn to turn of a conversation."""
+    rows = word_rows(texts, longest)
     # rows of places and lengths, not arrays of phrases: the filters come before a phrase is put together
     begins = rows.select("conv_id", "w", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("i")).where(~F.get("w", F.col("i") - 1).isin(PHRASE_STOP_WORDS))
     grams = begins.select("conv_id", "w", "i", F.explode(F.array(*[F.lit(n) for n in range(shortest, longest + 1)])).alias("n"))

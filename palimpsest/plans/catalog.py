@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import compression, text
-from palimpsest.operators import conversation, facts, graph, patterns, phrases, retrieval, tables, telemetry, windows
+from palimpsest.operators import adjacency, conversation, facts, graph, patterns, phrase_levels, phrases, retrieval, tables, telemetry, windows
 from palimpsest.operators.keyed import KeyedTable
 from palimpsest.operators.search_index import SearchIndex
 from palimpsest.plans.kept import kept, turn_index
@@ -190,6 +190,11 @@ def ngram_counts(spark, sf_dir):
     return phrases.phrase_counts(views.turns(spark, sf_dir))
 
 
+def phrases_mined(spark, sf_dir):
+    """``ngram_counts`` level by level: only what may recur is exchanged as text."""
+    return phrase_levels.mined_phrases(views.turns(spark, sf_dir))
+
+
 def symbol_candidates(spark, sf_dir):
     return phrases.candidates(phrases.phrase_counts(views.turns(spark, sf_dir)))
 
@@ -275,6 +280,13 @@ def kg_walk(spark, sf_dir):
     return graph.walk(graph.seeds(ents, "what uses redis here"), rels)
 
 
+def kg_reach(spark, sf_dir):
+    """Walks of three hops from every entity, over a stored table of neighbours."""
+    ents, rels = _graph(spark, sf_dir)
+    near = adjacency.stored_adjacency(rels)
+    return adjacency.walked(near, ents.select(F.col("name").alias("seed"), "name"), 3, by=["seed"])
+
+
 def kg_block(spark, sf_dir):
     ents, rels = _graph(spark, sf_dir)
     return graph.block(materialised(graph.walk(graph.seeds(ents, "what uses redis here"), rels)), ents, rels)
@@ -638,8 +650,8 @@ QUERIES = {
     for f in (
         bm25_topk, bm25_scan, index_changes, bm25_terms, bm25_stats, vector_topk, vector_same_model, vector_normalised, rrf_hybrid, recent_turns, layered_retrieval, fact_relevance, facts_by_confidence,
         conversation_rollup, conversation_stats, platform_breakdown, conversations_recent, conversations_cursor, conversations_changed, popup_rows, role_normalise, content_normalise,
-        turn_dedup, fact_similar_pairs, fact_fuzzy_dedup, fact_members, fact_search, fact_valid, fact_answers, ngram_counts, symbol_candidates, symbol_dictionary, compress_static, compress_dictionary,
-        compression_savings, expand_symbols, strip_context, purge_marked, kg_entities, kg_relations, kg_named, compress_phrases, kg_walk, kg_block, kg_stats, kg_top, sse_reassemble, sse_usage, url_match, artifact_extract,
+        turn_dedup, fact_similar_pairs, fact_fuzzy_dedup, fact_members, fact_search, fact_valid, fact_answers, ngram_counts, phrases_mined, symbol_candidates, symbol_dictionary, compress_static, compress_dictionary,
+        compression_savings, expand_symbols, strip_context, purge_marked, kg_entities, kg_relations, kg_named, compress_phrases, kg_walk, kg_reach, kg_block, kg_stats, kg_top, sse_reassemble, sse_usage, url_match, artifact_extract,
         history_turns, user_message_extract, token_islands, token_cost, memory_health, injection_stats, vector_stats, delta_query, query_extract, extraction_text, to_extract, unsynced_flatten,
         migration_batches, backfill_todo, index_backfill, upsert_latest, rollup_arrivals, delete_keys, ring_buffer, evict_oldest, context_block, export_import, window_tumbling, window_sliding, window_sessions,
         grouping_sets, as_of_join, approx_distinct, point_lookup, settings_default, composite_key, last_turns, extraction_totals, injection_guard, fact_block, response_json, reembed_texts,

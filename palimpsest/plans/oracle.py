@@ -201,6 +201,7 @@ FROM (SELECT CASE WHEN turn % 3 = 0 THEN upper(role) WHEN turn % 3 = 1 THEN 'Hum
     "fact_valid": f"""WITH {FACTS} SELECT CASE WHEN id % 4 > 0 THEN category ELSE 'general' END AS category, CASE WHEN id % 5 > 0 THEN confidence ELSE 'medium' END AS confidence, count(*) AS n
 FROM facts WHERE length(content) > 5 GROUP BY 1, 2""",
     "fact_answers": f"WITH {FACTS} SELECT id, content, category, confidence FROM facts",
+    "phrases_mined": f"WITH {GRAMS} SELECT phrase, freq, n_convs FROM counts",
     "ngram_counts": f"WITH {GRAMS} SELECT phrase, freq, n_convs FROM counts",
     "symbol_candidates": f"WITH {GRAMS} SELECT phrase, freq, n_convs, tokens, value FROM cand",
     "compress_static": f"WITH {WORDY} SELECT id, {_compress('content')} AS short FROM wordy",
@@ -218,6 +219,11 @@ SELECT id, trim({_strip}) AS content FROM wrapped""",
     "kg_named": f"WITH {KG} SELECT kf.id, e.name FROM kf JOIN e ON contains(lower(kf.content), e.name)",
     "compress_phrases": f"WITH {TURNS} SELECT id, regexp_replace(regexp_replace(regexp_replace(content, '(?i)that the', '§tt', 'g'), '(?i)with the', '§wt', 'g'), '(?i)tion', '§ti', 'g') AS content FROM turns",
     "kg_walk": f"WITH {WALK} SELECT name, hop FROM walked",
+    "kg_reach": f"""WITH {WALK}, s1 AS (SELECT DISTINCT a AS seed, b AS name FROM edges JOIN e ON e.name = a),
+s2 AS (SELECT DISTINCT seed, b AS name FROM s1 JOIN edges ON a = s1.name), s3 AS (SELECT DISTINCT seed, b AS name FROM s2 JOIN edges ON a = s2.name)
+SELECT seed, name, min(hop) AS hop FROM (
+  SELECT name AS seed, name, 0 AS hop FROM e UNION ALL SELECT seed, name, 1 FROM s1 UNION ALL SELECT seed, name, 2 FROM s2 UNION ALL SELECT seed, name, 3 FROM s3
+) GROUP BY seed, name""",
     "kg_stats": f"WITH {KG} SELECT 'entity' AS kind, type AS key, count(*) AS n FROM e GROUP BY type UNION ALL SELECT 'relation', rel, count(*) FROM r GROUP BY rel",
     "kg_top": f"WITH {KG} SELECT name, type, mentions FROM e ORDER BY mentions DESC, name LIMIT 10",
     "sse_reassemble": f"""WITH {TURNS} SELECT id AS stream_id, platform, CAST(conv_id AS VARCHAR) AS conversation_id, content, CAST(ceil(length(content) / 40) AS BIGINT) AS chunk_count FROM turns WHERE role = 'assistant'""",
