@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,14 +100,26 @@ def stripped_for_reembedding(vectors: DataFrame) -> DataFrame:
 PARTS = ("conversations", "facts", "settings", "syncLog")
 
 
-def export_all(path: str, version: int, exported_at: str, **data: DataFrame) -> None:
-    """An export: ``manifest`` (version, exportedAt, and rows of each part) and ``data``, JSON rows of the parts given, of PARTS."""
+MANIFEST = "version int, exportedAt string, parts array<string>, folder string"
+
+
+def export_all(path: str, version: int, exported_at: str, newest: int = 100, **data: DataFrame) -> None:
+    """An export: ``manifest`` (version, exportedAt, the parts and their folder) and JSON rows of the parts given, of PARTS.
+
+    Of a syncLog (timestamp) the ``newest`` entries are taken.  Each export has a folder of its own and
+    its manifest comes last, so one that dies on its way is none, and what was there before is whole
+    until the new manifest takes its place.
+    """
     spark = next(iter(data.values())).sparkSession
+    if unknown := sorted(set(data) - set(PARTS)):
+        raise ValueError(f"no part of an export: {', '.join(unknown)}")
+    folder = f"data-{uuid.uuid4().hex[:12]}"
     for name, rows in data.items():
-        if name not in PARTS:
-            raise ValueError(f"no part of an export: {name}")
-        rows.write.mode("overwrite").json(f"{path}/data/{name}")
-    spark.createDataFrame([(version, exported_at, sorted(data))], "version int, exportedAt string, parts array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+        if name == "syncLog":
+            rows = rows.orderBy(F.desc("timestamp"), *[c for c in rows.columns if c != "timestamp"]).limit(newest)
+        rows.write.json(f"{path}/{folder}/{name}")
+    one = spark.createDataFrame([(version, exported_at, sorted(data), folder)], MANIFEST)
+    one.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
 def import_all(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
@@ -113,9 +127,9 @@ def import_all(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[
     from pyspark.errors import AnalysisException
 
     try:
-        manifest = spark.read.schema("version int, exportedAt string, parts array<string>").json(f"{path}/manifest").first()
+        manifest = spark.read.schema(MANIFEST).json(f"{path}/manifest").first()
     except AnalysisException:
         manifest = None
     if manifest is None or manifest["parts"] is None:
         raise ValueError("Invalid export format")
-    return {name: spark.read.schema(schema).json(f"{path}/data/{name}") if name in manifest["parts"] else spark.createDataFrame([], schema) for name, schema in schemas.items()}
+    return {name: spark.read.schema(schema).json(f"{path}/{manifest['folder'] or 'data'}/{name}") if name in manifest["parts"] else spark.createDataFrame([], schema) for name, schema in schemas.items()}

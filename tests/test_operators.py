@@ -213,6 +213,25 @@ def test_import_without_export(spark, tmp_path):
         tables.import_all(spark, str(tmp_path / "nothing"), {"facts": "key string"})
 
 
+def test_export(spark, tmp_path):
+    path = str(tmp_path / "export")
+    log = spark.range(250).select(F.concat(F.lit("sync_"), "id").alias("id"), (F.col("id") % 240).alias("timestamp"))
+    facts = spark.createDataFrame([("a", 1.0), ("b", None)], "id string, confidence double")
+    tables.export_all(path, 1, "2024-01-01", syncLog=log, facts=facts)
+    kinds = {"syncLog": "id string, timestamp long", "facts": "id string, confidence double", "settings": "key string"}
+    back = tables.import_all(spark, path, kinds)
+    assert sorted(r["timestamp"] for r in back["syncLog"].collect()) == list(range(140, 240))
+    assert sorted(tuple(r) for r in back["facts"].collect()) == [("a", 1.0), ("b", None)] and back["settings"].count() == 0
+    # an export that dies on its way changes nothing
+    with pytest.raises(Exception, match="stopped"):
+        tables.export_all(path, 2, "2024-01-02", facts=facts.limit(1), syncLog=log.withColumn("timestamp", F.raise_error(F.lit("stopped")).cast("long")))
+    assert tables.import_all(spark, path, kinds)["facts"].count() == 2
+    tables.export_all(path, 3, "2024-01-03", facts=facts.limit(0))
+    assert [df.count() for df in tables.import_all(spark, path, kinds).values()] == [0, 0, 0]
+    with pytest.raises(ValueError, match="no part"):
+        tables.export_all(path, 1, "2024-01-01", other=facts)
+
+
 def test_vector_search_in_blocks(spark):
     """Blocks of any size, queries of several lengths, vectors without length."""
     rnd = random.Random(7)
