@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Phrases and what stands for them, in order; case is ignored.
@@ -71,6 +71,27 @@ def expanded(text: Column, symbols: list[tuple[str, str]]) -> Column:
     return text
 
 
+# The lines that tell a reader how to answer and what the symbols stand for.
+SPEC_HEAD = [
+    "--- CMPRS ---",
+    "Respond concisely. Skip filler phrases.",
+    "DROP: essentially, basically, actually, hope this helps, it's worth noting, I'd be happy to",
+    "ABR: info config app env docs impl reqs deps perf auth auto comms org fn svc param",
+]
+SPEC_USE = "USE: replace above phrases with their § code in your responses."
+SPEC_TAIL = ["RULE: terse prose. no filler. code unchanged.", "--- END ---"]
+
+
 def spec_block(symbols: list[tuple[str, str]], most: int = 20) -> str:
-    """The lines that tell a reader the symbols."""
-    return "\n".join(["--- SYMBOLS ---", *(f"{s}={p}" for p, s in symbols[:most]), "--- END ---"])
+    """The block that goes before a shortened message, with the first ``most`` (phrase, symbol) pairs."""
+    known = ["SYMBOLS: " + " ".join(f"{s}={p}" for p, s in symbols[:most]), SPEC_USE] if symbols else []
+    return "\n".join([*SPEC_HEAD, *known, *SPEC_TAIL])
+
+
+def spec_of(symbols: DataFrame, *order: str | Column, most: int = 20) -> DataFrame:
+    """One row, block: ``spec_block`` of the first ``most`` entries (symbol, phrase) of a dictionary in an order, also of an empty one."""
+    top = symbols.orderBy(*order, "symbol").limit(most)
+    ranked = top.select(F.struct(F.row_number().over(Window.orderBy(*order, "symbol")).alias("at"), F.concat("symbol", F.lit("="), "phrase").alias("line")).alias("x"))
+    lines = ranked.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), " ").alias("lines"))
+    known = F.when(F.col("lines") != "", F.concat(F.lit("SYMBOLS: "), "lines", F.lit(f"\n{SPEC_USE}\n"))).otherwise("")
+    return lines.select(F.concat(F.lit("\n".join(SPEC_HEAD) + "\n"), known, F.lit("\n".join(SPEC_TAIL))).alias("block"))

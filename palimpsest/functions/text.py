@@ -61,13 +61,6 @@ def normal_role(role: Column) -> Column:
     return F.when(r.isin("human", "user"), "user").when(r == "system", "system").otherwise("assistant")
 
 
-def normal_content(content: Column) -> Column:
-    """Plain text, or the texts of a JSON array of blocks, blank ones left out, one to a line; other JSON as it is."""
-    blocks = F.from_json(content, "array<struct<text:string>>")
-    texts = F.filter(F.transform(blocks, lambda b: F.trim(F.coalesce(b["text"], F.lit("")))), lambda t: t != "")
-    return F.when(F.trim(content).startswith("["), F.coalesce(F.array_join(texts, "\n"), F.trim(content))).otherwise(F.trim(content))
-
-
 def _decimals(x: Column, n: int) -> Column:
     """With n decimals, halves rounded up."""
     return F.format_string(f"%.{n}f", F.floor(x * 10**n + 0.5) / 10**n)

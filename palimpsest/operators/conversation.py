@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import token_estimate, truncated
+from palimpsest.plans.steps import materialised
 
 
 def key(platform: Column, conversation: Column, otherwise: Column) -> Column:
@@ -113,17 +114,19 @@ def flush_rows(turns: DataFrame, conversations: DataFrame, synced: DataFrame) ->
     return turns.join(unsynced(conversations, synced).select("conv_id"), "conv_id", "left_semi").select("conv_id", "id", "platform", "role", "content", "ts_ms")
 
 
-def migration_batches(turns: DataFrame, size: int = 25) -> DataFrame:
-    """batch, conv_id, n_turns: conversations in order, ``size`` to a batch.
+def migration_batches(turns: DataFrame, size: int = 25, per_range: int = 500_000) -> DataFrame:
+    """batch, conv_id, n_turns: conversations in order of their ids, of any type (null first), ``size`` to a batch.
 
-    The order comes from counts by block of conversation ids, so no task numbers all of them.
+    Conversations are dealt to ranges of some ``per_range`` and stored, so that each range is numbered
+    by a task of its own; the one window without a partition adds up a number for each range.
     """
-    per = turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"))
-    blocks = per.withColumn("block", F.expr("conv_id DIV 100000"))
-    counts = blocks.groupBy("block").agg(F.count("*").alias("n"))
+    per = materialised(turns.groupBy("conv_id").agg(F.count("*").alias("n_turns")))
+    ranges = max(1, -(-per.count() // per_range))
+    ranged = materialised(per.repartitionByRange(ranges, F.asc_nulls_first("conv_id")).withColumn("block", F.spark_partition_id()))
+    counts = ranged.groupBy("block").agg(F.count("*").alias("n"))
     before = counts.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
-    at = F.row_number().over(Window.partitionBy("block").orderBy("conv_id")) + F.col("before")
-    return blocks.join(before, "block").select(F.ceil(at / size).cast("long").alias("batch"), "conv_id", "n_turns")
+    at = F.row_number().over(Window.partitionBy("block").orderBy(F.asc_nulls_first("conv_id"))) + F.col("before")
+    return ranged.join(before, "block").select(F.ceil(at / size).cast("long").alias("batch"), "conv_id", "n_turns")
 
 
 def extraction_text(turns: DataFrame, last: int = 20, each: int = 2_000, most: int = 8_000, least: int = 100) -> DataFrame:
@@ -181,7 +184,7 @@ def sync_log(entries: DataFrame, n: int = 20) -> DataFrame:
 
 def migration_tallies(turns: DataFrame, there: DataFrame, size: int = 25) -> DataFrame:
     """batch, ingested, skipped, errors: turns (conv_id, id, content) that are new, that ``there`` (id) holds, and that have no content."""
-    rows = turns.join(migration_batches(turns, size).select("batch", "conv_id"), "conv_id").join(there.select("id").distinct().withColumn("known", F.lit(True)), "id", "left")
+    rows = turns.withColumnRenamed("conv_id", "_of").join(migration_batches(turns, size).select("batch", "conv_id"), F.col("_of").eqNullSafe(F.col("conv_id"))).join(there.select("id").distinct().withColumn("known", F.lit(True)), "id", "left")
     bad = F.coalesce(F.trim("content") == "", F.lit(True))
     known = F.coalesce("known", F.lit(False))
     return rows.groupBy("batch").agg(F.count_if(~bad & ~known).alias("ingested"), F.count_if(~bad & known).alias("skipped"), F.count_if(bad).alias("errors"))

@@ -208,21 +208,27 @@ def layered(
     return turns.where(F.lit(False)).select(F.lit(0).alias("layer"), F.col("id").cast("string").alias("id"), F.lit(0.0).alias("score"), F.lit("").alias("method"))
 
 
-def context_blocks(session: str | None, relevant: str | None, host: str = "") -> str | None:
-    """What goes before a message: a host's session context and what matches the message; None if there is neither."""
+# The sentences of the blocks that go before a message.
+SESSION_NOTE = "(Recent decisions, entities, and stable patterns from your work history.)"
+RELEVANT_NOTE = "(Query-matched context from past sessions. Use to inform response; do not narrate.)"
+ENRICHMENT_NOTE = "(Pre-matched patterns, decisions, entities for this message.)"
+
+
+def context_blocks(session: Column, relevant: Column, host: str = "") -> Column:
+    """What goes before a message: a host's session context and what matches the message; null if there is neither (null or empty)."""
     name = f"{host.upper()} " if host else ""
-    parts = []
-    if session:
-        parts += [f"--- {name}SESSION CONTEXT ---", "(Recent decisions, entities, and stable patterns from your work history.)", session, "--- END SESSION CONTEXT ---"]
-    if relevant:
-        parts += [f"--- {name}RELEVANT CONTEXT ---", "(Query-matched context from past sessions. Use to inform response; do not narrate.)", relevant, "--- END RELEVANT CONTEXT ---"]
-    return "\n".join(parts) + "\n\n" if parts else None
+
+    def part(title: str, note: str, text: Column) -> Column:
+        return F.when(text != "", F.concat(F.lit(f"--- {name}{title} CONTEXT ---\n{note}\n"), text, F.lit(f"\n--- END {title} CONTEXT ---")))
+
+    parts = F.concat_ws("\n", part("SESSION", SESSION_NOTE, session), part("RELEVANT", RELEVANT_NOTE, relevant))
+    return F.when(parts != "", F.concat(parts, F.lit("\n\n")))
 
 
 def enrichment_block(text: Column, kind: Column, host: str = "") -> Column:
     """A block of what was matched beforehand for a message of a kind (null: auto)."""
     name = f"{host.upper()} " if host else ""
-    head = F.concat(F.lit(f"--- {name}ENRICHMENT ["), F.upper(F.coalesce(F.nullif(kind, F.lit("")), F.lit("auto"))), F.lit("] ---\n(Pre-matched patterns, decisions, entities for this message.)\n"))
+    head = F.concat(F.lit(f"--- {name}ENRICHMENT ["), F.upper(F.coalesce(F.nullif(kind, F.lit("")), F.lit("auto"))), F.lit("] ---\n{ENRICHMENT_NOTE}\n"))
     return F.concat(head, F.trim(text), F.lit(f"\n--- END {name}ENRICHMENT ---\n\n"))
 
 

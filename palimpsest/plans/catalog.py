@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions import compression, text
+from palimpsest.functions import compression, text, values
 from palimpsest.operators import adjacency, conversation, facts, graph, patterns, phrase_levels, phrases, retrieval, tables, telemetry, windows
 from palimpsest.operators.keyed import KeyedTable
 from palimpsest.operators.search_index import SearchIndex
@@ -149,7 +149,37 @@ def role_normalise(spark, sf_dir):
 def content_normalise(spark, sf_dir):
     t = views.turns(spark, sf_dir)
     blocks = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("content").alias("text")), F.struct(F.lit("text").alias("type"), F.lit("  ").alias("text")), F.struct(F.lit("text").alias("type"), F.lit("end").alias("text"))))
-    return t.select("id", text.normal_content(F.when(F.col("turn") % 2 == 0, blocks).otherwise(F.concat(F.lit("  "), "content"))).alias("content"))
+    mixed = t.select("id", F.when(F.col("turn") % 2 == 0, blocks).otherwise(F.concat(F.lit(" \n "), "content")).alias("content"))
+    return values.with_content(mixed, "content")
+
+
+def _shaped(spark, sf_dir):
+    """Turns with contents as services send them: texts, arrays of texts and blocks, objects, numbers and broken JSON."""
+    t, at = views.turns(spark, sf_dir), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(7))
+    quoted = F.to_json(F.struct(F.col("content").alias("c")))
+    quoted = F.substring(quoted, F.lit(6), F.length(quoted) - 6)  # the JSON string alone
+    made = (
+        F.when(at == 0, quoted)
+        .when(at == 1, F.concat(F.lit('["one", {"type": "text", "text": '), quoted, F.lit('}, {"type": "image"}, {"text": ""}, null, 7]')))
+        .when(at == 2, F.concat(F.lit('{"b": {"c": [1, 2]}, "a": '), quoted, F.lit("}")))
+        .when(at == 3, F.col("turn").cast("string"))
+        .when(at == 4, F.lit("null"))
+        .when(at == 5, F.concat(F.lit('{"a": '), quoted))
+        .otherwise(F.concat(F.lit("[["), quoted, F.lit("], false, []]")))
+    )
+    return t.select("id", "platform", made.alias("body"))
+
+
+def content_shapes(spark, sf_dir):
+    """Kind and text of each content; a body that is no JSON has no kind and an empty text."""
+    v = F.col("json")
+    return values.parsed(_shaped(spark, sf_dir), "body").select("id", values.kind(v).alias("kind"), values.content_text(v).alias("content"))
+
+
+def content_schemas(spark, sf_dir):
+    """The schema that fits all JSON objects that each service sends."""
+    rows = values.parsed(_shaped(spark, sf_dir), "body")
+    return values.shapes(rows.where(values.kind(F.col("json")) == "OBJECT"), F.col("json"), "platform")
 
 
 def turn_dedup(spark, sf_dir):
@@ -348,7 +378,7 @@ def user_message_extract(spark, sf_dir):
         .when(F.col("platform") == "chatgpt", F.to_json(F.struct(F.array(F.struct(F.struct(F.array("content", F.lit("!")).alias("parts")).alias("content"))).alias("messages"))))
         .otherwise(F.to_json(F.struct(F.col("content").alias("query"))))
     )
-    return views.turns(spark, sf_dir).select("id", sse.user_message(body, F.col("platform")).alias("message"))
+    return values.parsed(views.turns(spark, sf_dir), body).select("id", sse.user_message(F.col("json"), F.col("platform")).alias("message"))
 
 
 def token_islands(spark, sf_dir):
@@ -567,6 +597,19 @@ def symbols_by_frequency(spark, sf_dir):
     return phrases.by_frequency(symbol_dictionary(spark, sf_dir)).select("symbol", "phrase", "freq")
 
 
+def spec_block(spark, sf_dir):
+    """The block that tells a reader the 20 best symbols of the turns' dictionary, one row."""
+    return compression.spec_of(symbol_dictionary(spark, sf_dir), F.desc("value"), "phrase")
+
+
+def context_sections(spark, sf_dir):
+    """What goes before each user message: the turn before it as session context, and what it says itself where it is long."""
+    t = views.turns(spark, sf_dir)
+    before = F.lag("content").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = t.withColumn("before", before).where("role = 'user'")
+    return rows.select("id", retrieval.context_blocks(F.col("before"), F.when(F.length("content") > 200, F.col("content")), "atlas").alias("block"))
+
+
 def enrichment_blocks(spark, sf_dir):
     kind = F.when(F.col("turn") % 3 == 0, F.col("role"))
     return views.turns(spark, sf_dir).select("id", retrieval.enrichment_block(F.concat(F.lit(" "), "content", F.lit("  ")), kind).alias("block"))
@@ -649,13 +692,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_scan, index_changes, bm25_terms, bm25_stats, vector_topk, vector_same_model, vector_normalised, rrf_hybrid, recent_turns, layered_retrieval, fact_relevance, facts_by_confidence,
-        conversation_rollup, conversation_stats, platform_breakdown, conversations_recent, conversations_cursor, conversations_changed, popup_rows, role_normalise, content_normalise,
+        conversation_rollup, conversation_stats, platform_breakdown, conversations_recent, conversations_cursor, conversations_changed, popup_rows, role_normalise, content_normalise, content_shapes, content_schemas,
         turn_dedup, fact_similar_pairs, fact_fuzzy_dedup, fact_members, fact_search, fact_valid, fact_answers, ngram_counts, phrases_mined, symbol_candidates, symbol_dictionary, compress_static, compress_dictionary,
         compression_savings, expand_symbols, strip_context, purge_marked, kg_entities, kg_relations, kg_named, compress_phrases, kg_walk, kg_reach, kg_block, kg_stats, kg_top, sse_reassemble, sse_usage, url_match, artifact_extract,
         history_turns, user_message_extract, token_islands, token_cost, memory_health, injection_stats, vector_stats, delta_query, query_extract, extraction_text, to_extract, unsynced_flatten,
         migration_batches, backfill_todo, index_backfill, upsert_latest, rollup_arrivals, delete_keys, ring_buffer, evict_oldest, context_block, export_import, window_tumbling, window_sliding, window_sessions,
         grouping_sets, as_of_join, approx_distinct, point_lookup, settings_default, composite_key, last_turns, extraction_totals, injection_guard, fact_block, response_json, reembed_texts,
-        newest_events, average_latency, kg_own_patterns, approx_distinct_error, facts_by_time, symbols_by_frequency, enrichment_blocks, merged_lists, embedded_turns, extracted_facts, sync_flush,
+        newest_events, average_latency, kg_own_patterns, approx_distinct_error, facts_by_time, symbols_by_frequency, spec_block, context_sections, enrichment_blocks, merged_lists, embedded_turns, extracted_facts, sync_flush,
         sync_log, migration_tallies, import_all, overwritten_settings, history_pages,
     )
 }

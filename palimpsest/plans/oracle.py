@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.functions.compression import STATIC_RULES
+from palimpsest.functions.compression import SPEC_HEAD, SPEC_TAIL, SPEC_USE, STATIC_RULES
 from palimpsest.functions.text import CONTEXT_MARKERS, PHRASE_STOP_WORDS, STOP_WORDS, context_pattern
 from palimpsest.operators.graph import ENTITY_PATTERNS, RELATION_PATTERNS
 from palimpsest.sources.views import CATEGORIES, CONFIDENCES, EPOCH_MS, PLATFORMS
@@ -14,6 +14,8 @@ def _list(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
 TURNS = f"""turns AS (
   SELECT conv_id || '-' || turn AS id, conv_id, turn, {_list(PLATFORMS)}[conv_id % 4 + 1] AS platform, role, text AS content,
          {EPOCH_MS} + conv_id * 3600000 + turn * 60000 AS ts_ms
@@ -194,7 +196,7 @@ SELECT id, score::DOUBLE AS score FROM sized WHERE ceil((size + n - 1 + 34) / 4)
     "popup_rows": f"WITH {ROLLUP} SELECT conv_id, platform, title, turn_count, updated_at, coalesce(synced_at >= updated_at, false) AS synced FROM rollup LEFT JOIN synced USING (conv_id)",
     "role_normalise": f"""WITH {TURNS} SELECT CASE WHEN lower(r) IN ('human', 'user') THEN 'user' WHEN lower(r) = 'system' THEN 'system' ELSE 'assistant' END AS role, count(*) AS n
 FROM (SELECT CASE WHEN turn % 3 = 0 THEN upper(role) WHEN turn % 3 = 1 THEN 'Human' WHEN turn = 2 THEN NULL ELSE 'model' END AS r FROM turns) GROUP BY 1""",
-    "content_normalise": f"WITH {TURNS} SELECT id, CASE WHEN turn % 2 = 0 THEN trim(content) || chr(10) || 'end' ELSE trim(content) END AS content FROM turns",
+    "content_normalise": f"WITH {TURNS} SELECT id, CASE WHEN turn % 2 = 0 THEN concat_ws(chr(10), nullif(content, ''), '  ', 'end') ELSE trim(content, {_BLANKS}) END AS content FROM turns",
     "turn_dedup": f"WITH {COPIES} SELECT conv_id, id, arrival, ts_ms FROM copies WHERE id NOT LIKE '%-a'",
     "fact_similar_pairs": f"WITH {WORDSETS} SELECT a, b, similarity FROM pairs",
     "fact_search": f"WITH {FACTS} SELECT id, category FROM facts WHERE contains(lower(content), 'thtion') OR contains(lower(category), 'thtion')",
@@ -296,8 +298,10 @@ FROM sized WHERE ceil((size + n - 1 + 34) / 4) <= 500 OR place <= greatest(3, n
 )
 
 
+_SPEC_LINES = ["\n".join(SPEC_HEAD), "\n".join(SPEC_TAIL)]
+_HEAD, _TAIL, _USE = ("'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for x in (*_SPEC_LINES, SPEC_USE))
 ORACLE_SQL["compression_savings"] = ORACLE_SQL["compression_savings"].replace(
-    "{spec}", "(length('--- SYMBOLS ---' || chr(10) || '§tt=that the' || chr(10) || '§wt=with the' || chr(10) || '§ti=tion' || chr(10) || '--- END ---') // 4 + 1)"
+    "{spec}", f"(length({_HEAD} || chr(10) || 'SYMBOLS: §tt=that the §wt=with the §ti=tion' || chr(10) || {_USE} || chr(10) || {_TAIL}) // 4 + 1)"
 )
 
 # A pass in id order: of equal texts and of equal word sets the first alone is looked at, and one is kept if none
@@ -335,6 +339,8 @@ DICTIONARY = f"""{GRAMS}, ordered AS (
                     list_filter(list_transform(range(1, 100), lambda k: '§' || k), lambda s: NOT list_contains(p.used, s))[1]) AS symbol
     FROM pass p JOIN named n ON n.i = p.i + 1 WHERE p.budget >= 5)
 ), chosen AS (SELECT symbol, phrase, freq, value, cost AS spec_cost FROM pass WHERE phrase IS NOT NULL)"""
+ORACLE_SQL["spec_block"] = f"""WITH RECURSIVE {DICTIONARY}, top AS (SELECT * FROM chosen ORDER BY value DESC, phrase LIMIT 20)
+SELECT {_HEAD} || chr(10) || coalesce('SYMBOLS: ' || string_agg(symbol || '=' || phrase, ' ' ORDER BY value DESC, phrase) || chr(10) || {_USE} || chr(10), '') || {_TAIL} AS block FROM top"""
 ORACLE_SQL["symbol_dictionary"] = f"WITH RECURSIVE {DICTIONARY} SELECT * FROM chosen"
 ORACLE_SQL["symbols_by_frequency"] = f"WITH RECURSIVE {DICTIONARY} SELECT symbol, phrase, freq FROM chosen ORDER BY freq DESC, symbol LIMIT 16"
 
@@ -381,3 +387,15 @@ FROM turns JOIN b USING (conv_id) GROUP BY batch""",
 SELECT page, CAST("at" AS INTEGER) AS "at", id, NULL::VARCHAR AS error FROM every WHERE page <= coalesce((SELECT 9 FROM n WHERE page = 9), page)
 UNION ALL SELECT page, 0, NULL, 'no JSON list' FROM n WHERE page = 3""",
 }
+
+_SHAPED = f"""{TURNS}, shaped AS (SELECT *, (conv_id + turn) % 7 AS at FROM turns)"""
+ORACLE_SQL["content_shapes"] = f"""WITH {_SHAPED}
+SELECT id, CASE at WHEN 0 THEN 'STRING' WHEN 1 THEN 'ARRAY' WHEN 2 THEN 'OBJECT' WHEN 3 THEN 'BIGINT' WHEN 4 THEN 'VOID' WHEN 6 THEN 'ARRAY' END AS kind,
+  CASE at WHEN 0 THEN trim(content, {_BLANKS}) WHEN 1 THEN concat_ws(chr(10), 'one', nullif(content, '')) WHEN 2 THEN '{{"a":' || CAST(to_json(content) AS VARCHAR) || ',"b":{{"c":[1,2]}}}}'
+    WHEN 3 THEN CASE WHEN turn = 0 THEN '' ELSE CAST(turn AS VARCHAR) END ELSE '' END AS content FROM shaped"""
+ORACLE_SQL["content_schemas"] = f"WITH {_SHAPED} SELECT platform, 'OBJECT<a: STRING, b: OBJECT<c: ARRAY<BIGINT>>>' AS schema, count(*) AS n FROM shaped WHERE at = 2 GROUP BY platform"
+ORACLE_SQL["context_sections"] = f"""WITH {TURNS}, b AS (SELECT *, lag(content) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM turns), p AS (
+  SELECT id, CASE WHEN before <> '' THEN '--- ATLAS SESSION CONTEXT ---' || chr(10) || '(Recent decisions, entities, and stable patterns from your work history.)' || chr(10) || before || chr(10) || '--- END SESSION CONTEXT ---' END AS a,
+    CASE WHEN length(content) > 200 THEN '--- ATLAS RELEVANT CONTEXT ---' || chr(10) || '(Query-matched context from past sessions. Use to inform response; do not narrate.)' || chr(10) || content || chr(10) || '--- END RELEVANT CONTEXT ---' END AS z
+  FROM b WHERE role = 'user')
+SELECT id, nullif(concat_ws(chr(10), a, z), '') || chr(10) || chr(10) AS block FROM p"""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions.values import items_at, kind, parsed, text_at
+
 BLOCKS = "array<struct<type:string,text:string,content:string>>"
 
 
@@ -30,11 +32,11 @@ def artifacts(messages: DataFrame) -> DataFrame:
 
 def history_turns(messages: DataFrame) -> DataFrame:
     """Turns of ``messages`` (conv_id, uuid, sender, content, text, created_at); content is text or a JSON list of blocks."""
-    blocks = F.filter(F.from_json("content", BLOCKS), lambda b: b["type"] == "text")
-    joined = F.array_join(F.transform(blocks, lambda b: F.coalesce(b["text"], F.lit(""))), "\n")
-    text = F.when(F.col("content").startswith("["), joined).otherwise(F.coalesce("content", "text"))
+    blocks = F.filter(items_at(F.col("__json")), lambda b: F.try_variant_get(b, "$.type", "string") == "text")
+    joined = F.array_join(F.transform(blocks, lambda b: F.coalesce(text_at(b, "$.text"), F.lit(""))), "\n")
+    text = F.when(kind(F.col("__json")) == "ARRAY", joined).otherwise(F.coalesce("content", "text"))
     role = F.when(F.col("sender") == "human", "user").otherwise(F.coalesce("sender", F.lit("unknown")))
-    out = messages.select(
+    out = parsed(messages, "content", "__json").select(
         F.col("uuid").alias("id"), F.lit("claude.ai").alias("platform"), "conv_id", role.alias("role"), text.alias("content"), F.lit("backfill").alias("capture_type"),
         F.unix_millis(F.to_timestamp("created_at")).alias("ts_ms"),
     )

@@ -10,29 +10,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.values import block_texts, is_json, items_at, kind, number_at, parsed, text_at
 
-def _json(frame: Column, *paths: str) -> Column:
-    """The first path of a frame that holds a non-empty string."""
-    return F.coalesce(*[F.nullif(F.get_json_object(frame, p), F.lit("")) for p in paths])
-
-
-def frame_text(platform: Column, frame: Column) -> Column:
+def frame_text(platform: Column, json: Column) -> Column:
+    """The text that a frame (VARIANT) brings; null if it brings none."""
+    kind_of = F.try_variant_get(json, "$.type", "string")
     claude = F.when(
-        (F.get_json_object(frame, "$.type") == "content_block_delta") & (F.get_json_object(frame, "$.delta.type") == "text_delta"), F.get_json_object(frame, "$.delta.text")
-    ).when(F.get_json_object(frame, "$.type") == "completion", F.get_json_object(frame, "$.completion"))
-    parts = F.from_json(F.get_json_object(frame, "$.message.content.parts"), "array<string>")
+        (kind_of == "content_block_delta") & (F.try_variant_get(json, "$.delta.type", "string") == "text_delta"), F.try_variant_get(json, "$.delta.text", "string")
+    ).when(kind_of == "completion", F.try_variant_get(json, "$.completion", "string"))
+    content = F.when(kind(F.try_variant_get(json, "$.content", "variant")) == "STRING", text_at(json, "$.content"))
     return (
         F.when(platform == "claude", claude)
-        .when(platform == "chatgpt", F.try_element_at(parts, F.lit(-1)))
-        .when(platform == "gemini", _json(frame, "$.candidates[0].content.parts[0].text"))
-        .when(platform == "perplexity", _json(frame, "$.choices[0].delta.content", "$.text"))
-        .otherwise(_json(frame, "$.choices[0].delta.content", "$.delta.text", "$.text", "$.content"))
+        .when(platform == "chatgpt", F.try_variant_get(F.try_element_at(items_at(json, "$.message.content.parts"), F.lit(-1)), "$", "string"))
+        .when(platform == "gemini", text_at(json, "$.candidates[0].content.parts[0].text"))
+        .when(platform == "perplexity", text_at(json, "$.choices[0].delta.content", "$.text"))
+        .otherwise(F.coalesce(text_at(json, "$.choices[0].delta.content", "$.delta.text", "$.text"), content))
     )
 
 
-def inner_conversation(frame: Column) -> Column:
-    """The conversation that a frame names."""
-    return _json(frame, "$.conversation_id", "$.message.conversation_id")
+def inner_conversation(json: Column) -> Column:
+    """The conversation that a frame (VARIANT) names."""
+    return text_at(json, "$.conversation_id", "$.message.conversation_id")
 
 
 def frames(packets: DataFrame) -> DataFrame:
@@ -54,11 +52,10 @@ def reassemble(packets: DataFrame, mode: str = "concat") -> DataFrame:
 
     ``concat`` joins all pieces; ``latest`` takes the last one of streams whose frames are cumulative.
     """
-    got = frames(packets).withColumn("piece", frame_text(F.col("platform"), F.col("frame")))
-    inner = inner_conversation(F.col("frame"))
+    got = parsed(frames(packets), "frame").select("stream_id", "platform", "conversation_id", "at", frame_text(F.col("platform"), F.col("json")).alias("piece"), inner_conversation(F.col("json")).alias("inner"))
     pieces = F.transform(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("at", "piece")))), lambda p: p["piece"])
     out = got.groupBy("stream_id").agg(
-        F.first("platform").alias("platform"), F.coalesce(F.max("conversation_id"), F.max(inner)).alias("conversation_id"), pieces.alias("pieces")
+        F.first("platform").alias("platform"), F.coalesce(F.max("conversation_id"), F.max("inner")).alias("conversation_id"), pieces.alias("pieces")
     )
     joined = F.array_join("pieces", "")
     content = joined if mode == "concat" else F.when(F.col("platform") == "chatgpt", F.coalesce(F.try_element_at("pieces", F.lit(-1)), F.lit(""))).otherwise(joined)
@@ -67,12 +64,12 @@ def reassemble(packets: DataFrame, mode: str = "concat") -> DataFrame:
 
 def usage_of_frames(packets: DataFrame) -> DataFrame:
     """stream_id, input_tokens, output_tokens: of each the last that is not zero."""
-    got = frames(packets)
-    number = lambda *paths: F.coalesce(*[F.nullif(F.get_json_object("frame", p).try_cast("long"), F.lit(0)) for p in paths])
-    tokens_in = number("$.message.usage.input_tokens", "$.usage.input_tokens", "$.usage.prompt_tokens")
-    tokens_out = number("$.usage.output_tokens", "$.message.usage.output_tokens", "$.usage.completion_tokens")
-    last = lambda c, name: F.coalesce(F.max_by(c, F.when(c.isNotNull(), F.col("at"))), F.lit(0)).alias(name)
-    return got.groupBy("stream_id").agg(last(tokens_in, "input_tokens"), last(tokens_out, "output_tokens"))
+    json = F.col("json")
+    tokens_in = number_at(json, "$.message.usage.input_tokens", "$.usage.input_tokens", "$.usage.prompt_tokens")
+    tokens_out = number_at(json, "$.usage.output_tokens", "$.message.usage.output_tokens", "$.usage.completion_tokens")
+    got = parsed(frames(packets), "frame").select("stream_id", "at", tokens_in.alias("i"), tokens_out.alias("o"))
+    last = lambda c, name: F.coalesce(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))), F.lit(0)).alias(name)
+    return got.groupBy("stream_id").agg(last("i", "input_tokens"), last("o", "output_tokens"))
 
 
 # Host and path of each service's endpoint; the first that fits counts.
@@ -96,20 +93,19 @@ def match_endpoints(urls: DataFrame) -> DataFrame:
     return urls.withColumns({"platform": platform, "conversation_id": conversation})
 
 
-def user_message(body: Column, platform: Column) -> Column:
-    """What the user wrote, from the JSON body of a request."""
-    messages = F.from_json(F.get_json_object(body, "$.messages"), "array<string>")
-    last = F.try_element_at(messages, F.lit(-1))
-    get = lambda p: F.nullif(F.get_json_object(body, p), F.lit(""))
-    content = F.get_json_object(last, "$.content")
-    is_blocks = content.startswith("[")
-    blocks = F.array_join(F.transform(F.from_json(content, "array<struct<text:string>>"), lambda b: F.coalesce(b["text"], F.lit(""))), "")
-    of_claude = F.coalesce(get("$.prompt"), F.when(F.get_json_object(last, "$.role") == "user", F.when(is_blocks, F.nullif(blocks, F.lit(""))).otherwise(content)))
-    parts = F.from_json(F.get_json_object(last, "$.content.parts"), "array<string>")
-    of_chatgpt = F.when(parts.isNotNull(), F.array_join(parts, "")).otherwise(F.when(~content.startswith("{"), content))
-    return F.when(platform == "claude", of_claude).when(platform == "chatgpt", of_chatgpt).otherwise(F.coalesce(get("$.query"), get("$.prompt"), content))
+def user_message(json: Column, platform: Column) -> Column:
+    """What the user wrote, from the body of a request (VARIANT): of the services that send a history its last message."""
+    last = F.try_element_at(items_at(json, "$.messages"), F.lit(-1))
+    content = text_at(last, "$.content")
+    shape = kind(F.try_variant_get(last, "$.content", "variant"))
+    blocks = F.nullif(F.array_join(block_texts(last, "$.content"), ""), F.lit(""))
+    said = F.when(shape == "ARRAY", blocks).when(shape == "STRING", content)
+    of_claude = F.coalesce(text_at(json, "$.prompt"), F.when(text_at(last, "$.role") == "user", said))
+    parts = F.transform(items_at(last, "$.content.parts"), lambda p: F.try_variant_get(p, "$", "string"))
+    of_chatgpt = F.when(parts.isNotNull(), F.array_join(parts, "")).when(shape == "STRING", content)
+    return F.when(platform == "claude", of_claude).when(platform == "chatgpt", of_chatgpt).otherwise(F.coalesce(text_at(json, "$.query", "$.prompt"), content))
 
 
 def response_body(body: Column, most: int = 50_000) -> Column:
     """A whole response's body, up to ``most`` characters, if it is JSON; else null."""
-    return F.when(F.try_parse_json(body).isNotNull(), F.substring(body, 1, most))
+    return F.when(is_json(body), F.substring(body, 1, most))

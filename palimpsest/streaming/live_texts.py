@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from palimpsest.functions.values import parsed
 from palimpsest.operators import versions
 from palimpsest.operators.keyed import KeyedTable
 from palimpsest.plans.steps import importable
@@ -132,10 +133,11 @@ def live_frames(packets: DataFrame, idle_ms: int = 60_000, first: int = 0) -> Da
 
 
 def _parts(frames: DataFrame) -> DataFrame:
-    got = frames.withColumn("piece", frame_text(F.col("platform"), F.col("frame")))
+    got = parsed(frames, "frame")
+    got = got.select(*frames.columns, frame_text(F.col("platform"), F.col("json")).alias("piece"), inner_conversation(F.col("json")).alias("inner"))
     pieces = F.transform(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("at", "piece")))), lambda p: p["piece"])
     out = got.groupBy("stream_id").agg(
-        F.first("platform", ignorenulls=True).alias("platform"), F.max("conversation_id").alias("conversation_id"), F.max(inner_conversation(F.col("frame"))).alias("inner_id"), pieces.alias("pieces"),
+        F.first("platform", ignorenulls=True).alias("platform"), F.max("conversation_id").alias("conversation_id"), F.max("inner").alias("inner_id"), pieces.alias("pieces"),
         F.min("at").alias("from_at"), F.max("ended").alias("ended"),
     )
     return out.select(

@@ -28,7 +28,6 @@ def test_small_functions(spark):
     assert [one(spark, text.cost_label, c, "double") for c in (0.0001, 0.25)] == ["<$0.01", "$0.250"]
     assert one(spark, text.last_sentences, "--- a. ---One. Two! Three?") == "Two! Three?"
     assert one(spark, text.without_context, "<memory_context>\nx\n</memory_context>\n\nhello") == "hello"
-    assert one(spark, text.normal_content, '[{"text":" a "},{"text":""},{"text":"b"}]') == "a\nb"
 
 
 def test_bm25_by_hand(spark):
@@ -267,9 +266,11 @@ def test_equal_short_facts(spark):
     assert sorted(r["id"] for r in facts.fuzzy_distinct(df).collect()) == [1, 3, 4]
 
 
-def test_context_blocks():
-    assert retrieval.context_blocks(None, "") is None
-    assert retrieval.context_blocks("s", None, "host") == "--- HOST SESSION CONTEXT ---\n(Recent decisions, entities, and stable patterns from your work history.)\ns\n--- END SESSION CONTEXT ---\n\n"
+def test_context_blocks(spark):
+    rows = spark.createDataFrame([(1, None, ""), (2, "s", None), (3, "s", "r\n$1")], "n int, session string, relevant string")
+    got = {r["n"]: r["block"] for r in rows.select("n", retrieval.context_blocks(F.col("session"), F.col("relevant"), "host").alias("block")).collect()}
+    session = f"--- HOST SESSION CONTEXT ---\n{retrieval.SESSION_NOTE}\ns\n--- END SESSION CONTEXT ---\n"
+    assert got == {1: None, 2: session + "\n", 3: f"{session}--- HOST RELEVANT CONTEXT ---\n{retrieval.RELEVANT_NOTE}\nr\n$1\n--- END RELEVANT CONTEXT ---\n\n"}
 
 
 def test_hashed_embedding(spark):

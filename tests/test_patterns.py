@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from palimpsest.functions import compression
 from palimpsest.operators import graph, patterns
 from palimpsest.sources import views
@@ -35,7 +37,11 @@ def test_phrases_as_in_turn(spark):
         for phrase, symbol in sorted(symbols, key=lambda s: (-len(s[0]), s[0])):
             want = want and re.sub(re.escape(phrase), lambda m, s=symbol: s, want, flags=re.IGNORECASE | re.ASCII)
         assert got[i] == want
-    assert compression.spec_block(symbols[:2]) == "--- SYMBOLS ---\n§1=a b\n§2=b c\n--- END ---"
+    spec = compression.spec_block([("a b", "§1"), ("b c", "§2")])
+    assert spec.split("\n")[4:] == ["SYMBOLS: §1=a b §2=b c", compression.SPEC_USE, *compression.SPEC_TAIL]
+    table = spark.createDataFrame([("§2", "b c", 1), ("§1", "a b", 2)], "symbol string, phrase string, value int")
+    assert compression.spec_of(table, F.desc("value")).first()["block"] == spec
+    assert compression.spec_of(table.where("value > 9"), F.desc("value")).first()["block"] == compression.spec_block([])
 
 
 def test_seeds_and_walks_of_many_queries(spark):
