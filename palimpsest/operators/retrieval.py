@@ -228,7 +228,7 @@ def context_blocks(session: Column, relevant: Column, host: str = "") -> Column:
 def enrichment_block(text: Column, kind: Column, host: str = "") -> Column:
     """A block of what was matched beforehand for a message of a kind (null: auto)."""
     name = f"{host.upper()} " if host else ""
-    head = F.concat(F.lit(f"--- {name}ENRICHMENT ["), F.upper(F.coalesce(F.nullif(kind, F.lit("")), F.lit("auto"))), F.lit("] ---\n{ENRICHMENT_NOTE}\n"))
+    head = F.concat(F.lit(f"--- {name}ENRICHMENT ["), F.upper(F.coalesce(F.nullif(kind, F.lit("")), F.lit("auto"))), F.lit(f"] ---\n{ENRICHMENT_NOTE}\n"))
     return F.concat(head, F.trim(text), F.lit(f"\n--- END {name}ENRICHMENT ---\n\n"))
 
 

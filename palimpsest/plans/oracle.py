@@ -388,12 +388,12 @@ SELECT page, CAST("at" AS INTEGER) AS "at", id, NULL::VARCHAR AS error FROM ever
 UNION ALL SELECT page, 0, NULL, 'no JSON list' FROM n WHERE page = 3""",
 }
 
-_SHAPED = f"""{TURNS}, shaped AS (SELECT *, (conv_id + turn) % 7 AS at FROM turns)"""
+_SHAPED = f"""{TURNS}, shaped AS (SELECT *, (conv_id + turn) % 7 AS sh FROM turns)"""
 ORACLE_SQL["content_shapes"] = f"""WITH {_SHAPED}
-SELECT id, CASE at WHEN 0 THEN 'STRING' WHEN 1 THEN 'ARRAY' WHEN 2 THEN 'OBJECT' WHEN 3 THEN 'BIGINT' WHEN 4 THEN 'VOID' WHEN 6 THEN 'ARRAY' END AS kind,
-  CASE at WHEN 0 THEN trim(content, {_BLANKS}) WHEN 1 THEN concat_ws(chr(10), 'one', nullif(content, '')) WHEN 2 THEN '{{"a":' || CAST(to_json(content) AS VARCHAR) || ',"b":{{"c":[1,2]}}}}'
+SELECT id, CASE sh WHEN 0 THEN 'STRING' WHEN 1 THEN 'ARRAY' WHEN 2 THEN 'OBJECT' WHEN 3 THEN 'BIGINT' WHEN 4 THEN 'VOID' WHEN 6 THEN 'ARRAY' END AS kind,
+  CASE sh WHEN 0 THEN trim(content, {_BLANKS}) WHEN 1 THEN concat_ws(chr(10), 'one', nullif(content, '')) WHEN 2 THEN '{{"a":' || CAST(to_json(content) AS VARCHAR) || ',"b":{{"c":[1,2]}}}}'
     WHEN 3 THEN CASE WHEN turn = 0 THEN '' ELSE CAST(turn AS VARCHAR) END ELSE '' END AS content FROM shaped"""
-ORACLE_SQL["content_schemas"] = f"WITH {_SHAPED} SELECT platform, 'OBJECT<a: STRING, b: OBJECT<c: ARRAY<BIGINT>>>' AS schema, count(*) AS n FROM shaped WHERE at = 2 GROUP BY platform"
+ORACLE_SQL["content_schemas"] = f"WITH {_SHAPED} SELECT platform, 'OBJECT<a: STRING, b: OBJECT<c: ARRAY<BIGINT>>>' AS schema, count(*) AS n FROM shaped WHERE sh = 2 GROUP BY platform"
 ORACLE_SQL["context_sections"] = f"""WITH {TURNS}, b AS (SELECT *, lag(content) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM turns), p AS (
   SELECT id, CASE WHEN before <> '' THEN '--- ATLAS SESSION CONTEXT ---' || chr(10) || '(Recent decisions, entities, and stable patterns from your work history.)' || chr(10) || before || chr(10) || '--- END SESSION CONTEXT ---' END AS a,
     CASE WHEN length(content) > 200 THEN '--- ATLAS RELEVANT CONTEXT ---' || chr(10) || '(Query-matched context from past sessions. Use to inform response; do not narrate.)' || chr(10) || content || chr(10) || '--- END RELEVANT CONTEXT ---' END AS z
