@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest.engine import Engine
 from palimpsest.functions import compression, text, values
 from palimpsest.operators import adjacency, conversation, facts, graph, patterns, phrase_levels, phrases, retrieval, tables, telemetry, windows
 from palimpsest.operators.keyed import KeyedTable
@@ -645,6 +646,15 @@ def sync_flush(spark, sf_dir):
     return conversation.mark_synced(_synced(spark, sf_dir), sent, FLUSHED_MS)
 
 
+def engine_unsynced(spark, sf_dir):
+    """Conversations to send, after an engine took in the first turns, sent them and took in the rest."""
+    t, e = views.turns(spark, sf_dir), Engine(spark, shared_path(spark, "engine"), 8)
+    e.capture(t.where("turn < 4"), 0)
+    e.flush(lambda rows: rows.write.format("noop").mode("overwrite").save(), views.EPOCH_MS + 36_000_000)
+    e.capture(t, 1)
+    return e.unsynced().select("conv_id", "turn_count", "updated_at")
+
+
 def sync_log(spark, sf_dir):
     """The log after a flush and one that failed."""
     sent = conversation.flush_rows(views.turns(spark, sf_dir), _rollup(spark, sf_dir), _synced(spark, sf_dir))
@@ -698,7 +708,7 @@ QUERIES = {
         history_turns, user_message_extract, token_islands, token_cost, memory_health, injection_stats, vector_stats, delta_query, query_extract, extraction_text, to_extract, unsynced_flatten,
         migration_batches, backfill_todo, index_backfill, upsert_latest, rollup_arrivals, delete_keys, ring_buffer, evict_oldest, context_block, export_import, window_tumbling, window_sliding, window_sessions,
         grouping_sets, as_of_join, approx_distinct, point_lookup, settings_default, composite_key, last_turns, extraction_totals, injection_guard, fact_block, response_json, reembed_texts,
-        newest_events, average_latency, kg_own_patterns, approx_distinct_error, facts_by_time, symbols_by_frequency, spec_block, context_sections, enrichment_blocks, merged_lists, embedded_turns, extracted_facts, sync_flush,
+        newest_events, average_latency, kg_own_patterns, approx_distinct_error, facts_by_time, symbols_by_frequency, spec_block, context_sections, enrichment_blocks, merged_lists, embedded_turns, extracted_facts, sync_flush, engine_unsynced,
         sync_log, migration_tallies, import_all, overwritten_settings, history_pages,
     )
 }

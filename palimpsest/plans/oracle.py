@@ -399,3 +399,5 @@ ORACLE_SQL["context_sections"] = f"""WITH {TURNS}, b AS (SELECT *, lag(content)
     CASE WHEN length(content) > 200 THEN '--- ATLAS RELEVANT CONTEXT ---' || chr(10) || '(Query-matched context from past sessions. Use to inform response; do not narrate.)' || chr(10) || content || chr(10) || '--- END RELEVANT CONTEXT ---' END AS z
   FROM b WHERE role = 'user')
 SELECT id, nullif(concat_ws(chr(10), a, z), '') || chr(10) || chr(10) AS block FROM p"""
+ORACLE_SQL["engine_unsynced"] = f"""WITH {TURNS} SELECT conv_id, count(*) AS turn_count, max(ts_ms) AS updated_at FROM turns GROUP BY conv_id
+HAVING max(turn) >= 4 OR max(ts_ms) > {EPOCH_MS} + 36000000"""
