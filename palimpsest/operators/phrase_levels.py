@@ -26,6 +26,10 @@ def _slot(at: Column, n: int, slots: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(n), *[F.get("w", at + k) for k in range(n)]), F.lit(slots))
 
 
+def _there(at: Column, n: int) -> Column:
+    return F.get("w", at + (n - 1)).isNotNull()
+
+
 def _set(table: Column, slot: Column) -> Column:
     return F.getbit(F.get(table, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
 
@@ -58,18 +62,17 @@ def mined_phrases(texts: DataFrame, shortest: int = 2, longest: int = 6, least_f
         return _set(tables[n].scalar(), _slot(at + shift, n, slots))
 
     for n in range(2, longest + 1):
-        whole = begins.where(F.get("w", at + (n - 1)).isNotNull())
+        whole = begins.where(_there(at, n))
         if n > 2:
             whole = whole.where(may_recur(n - 1) & may_recur(n - 1, 1))
         tables[n] = _table(whole.select(_slot(at, n, slots).alias("slot")), slots, least_freq)
-    # lengths from the shortest on; a gram that can't recur ends the row's search for longer ones
-    able, lengths = F.lit(True), []
-    for n in range(2, longest + 1):
-        able = able & F.get("w", at + (n - 1)).isNotNull() & may_recur(n)
-        last = F.get("w", at + (n - 1))
-        if n >= shortest:
-            lengths.append(F.when(able & ~last.isin(PHRASE_STOP_WORDS), F.array_join(F.slice("w", at + 1, n), " ")))
-    some = begins.where(~F.get("w", at).isin(PHRASE_STOP_WORDS)).where(may_recur(2))
-    found = some.select("conv_id", F.explode(F.array(*lengths)).alias("phrase")).where(F.length("phrase") >= 6)
+    # the longest gram from a place that may recur; each level is looked up once, and the first that can't ends the search
+    longest_able = F.when(~_there(at, 2) | ~may_recur(2), 1)
+    for n in range(3, longest + 1):
+        longest_able = longest_able.when(~_there(at, n) | ~may_recur(n), n - 1)
+    longest_able = longest_able.otherwise(longest)
+    lengths = F.slice(F.array(*[F.lit(n) for n in range(shortest, longest + 1)]), F.lit(1), F.greatest(F.lit(0), longest_able - (shortest - 1)))
+    grams = begins.where(~F.get("w", at).isin(PHRASE_STOP_WORDS)).select("conv_id", "w", "at", F.explode(lengths).alias("n"))
+    found = grams.where(~F.get("w", at + F.col("n") - 1).isin(PHRASE_STOP_WORDS)).select("conv_id", F.array_join(F.slice("w", at + 1, F.col("n")), " ").alias("phrase")).where(F.length("phrase") >= 6)
     per = found.groupBy("phrase", "conv_id").agg(F.count("*").alias("n"))
     return per.groupBy("phrase").agg(F.sum("n").alias("freq"), F.count("*").alias("n_convs")).where((F.col("freq") >= least_freq) & (F.col("n_convs") >= least_convs))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.text import PHRASE_STOP_WORDS, phrase_token_estimate
 
 SPEC_BUDGET, SPEC_COST, SYMBOL_COST = 80, 3, 1
+TASK_CHARS = 1 << 20  # a task's characters of text: the grams of them that it holds take some hundred times as many bytes
 
 
 def word_rows(texts: DataFrame, longest: int) -> DataFrame:
@@ -16,7 +17,9 @@ def word_rows(texts: DataFrame, longest: int) -> DataFrame:
     order, whole = Window.partitionBy("conv_id").orderBy("turn"), Window.partitionBy("conv_id")
     size = F.sum(F.length("content") + 1).over(whole) - 1
     # texts are exchanged as they are: arrays of their words take several times the bytes
-    turns = texts.select("conv_id", "turn", "content").repartition("conv_id")
+    # in as many parts as their characters ask for: by their few bytes, Spark would put them into few tasks
+    parts = 1 + (texts.agg(F.sum(F.length("content"))).first()[0] or 0) // TASK_CHARS
+    turns = texts.select("conv_id", "turn", "content").repartition(parts, "conv_id")
     turns = turns.select("conv_id", "turn", F.filter(F.split(clean, " "), lambda w: F.length(w) > 1).alias("w"), size.alias("size")).where("size >= 10 AND size(w) > 0")
     following = F.flatten(F.collect_list(F.slice("w", 1, longest - 1)).over(order.rowsBetween(1, longest - 1)))
     return turns.select("conv_id", F.size("w").alias("own"), F.concat("w", F.slice(following, 1, longest - 1)).alias("w"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import PHRASE_STOP_WORDS
-from palimpsest.operators import adjacency, phrase_levels
+from palimpsest.operators import adjacency, phrase_levels, phrases
 
 
 def counted(turns, longest=6, least_freq=2, least_convs=1):
@@ -102,3 +102,19 @@ def test_a_hub_in_parts(spark):
     assert "SortMergeJoin" in plan and plan.count("Exchange") == 1  # the front's, not the edges'
     assert adjacency.walked(near, spark.createDataFrame([("n7",)], "name string"), 2).count() == n + 1
     near.forget()
+
+
+def test_parts_of_words_follow_the_characters(spark, monkeypatch):
+    """Words are dealt to as many tasks as their characters ask for, and Spark puts none of them together."""
+    monkeypatch.setattr(phrases, "TASK_CHARS", 500, raising=False)
+    df = spark.createDataFrame([(c, t, f"the same words of turn {t} in a conversation {c}") for c in range(40) for t in range(6)], "conv_id long, turn int, content string")
+    chars = df.selectExpr("sum(length(content)) AS n").first()["n"]
+    assert phrases.word_rows(df, 6).rdd.getNumPartitions() == 1 + chars // 500
+    assert sorted(phrase_levels.mined_phrases(df, slots=64).collect()) == sorted(phrases.phrase_counts(df).collect())
+    assert sorted(phrase_levels.mined_phrases(df, 3, 4, 3).collect()) == sorted(phrases.phrase_counts(df, 3, 4, 3).collect())
+
+
+def test_each_level_is_looked_up_once(spark):
+    df = spark.createDataFrame([(1, 0, "words of a turn that recur and words of a turn that recur")], "conv_id long, turn int, content string")
+    plan = phrase_levels.mined_phrases(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("getbit(") <= 5
