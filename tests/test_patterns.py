@@ -61,3 +61,17 @@ def test_seeds_and_walks_of_many_queries(spark):
         assert got.get(i, set()) == {r["name"] for r in one.collect()}
         if i < 4:
             assert walked.get(i, set()) == {tuple(r) for r in graph.walk(one, rels).collect()}
+
+
+def test_graph_facts_are_dealt_and_grouped_by_hash(spark, monkeypatch):
+    """Short rows go to as many tasks as their number asks for; the first step keeps numbers alone and sorts nothing."""
+    from palimpsest.operators import graph
+    from palimpsest.sources import views
+
+    monkeypatch.setattr(views, "TASK_ROWS", 50, raising=False)
+    facts = views.graph_facts(spark, "/root/testdata/sf0.001")
+    assert facts.rdd.getNumPartitions() >= facts.count() // 50
+    for made in (graph.entities(facts), graph.relations(facts)):
+        plan = made._jdf.queryExecution().sparkPlan().toString()
+        lowest = [line for line in plan.splitlines() if "Aggregate(" in line][-1]
+        assert "HashAggregate" in lowest and "SortAggregate" not in lowest
